@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dendrolith.llm.bpe import op9_bpe_round_trip
 from dendrolith.llm.sharding import op1_feistel_shards
 from dendrolith.llm.simhash import op2_simhash_near_duplicates
 
@@ -14,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_feistel_shards": op1_feistel_shards,
         "op2_simhash_near_duplicates": op2_simhash_near_duplicates,
+        "op9_bpe_round_trip": op9_bpe_round_trip,
     }
 
 
