@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from dendrolith.llm.bpe import op9_bpe_round_trip
+from dendrolith.llm.html import op10_html_main_text
+from dendrolith.llm.mixing import op5_flow_mixture
+from dendrolith.llm.quality import op8_crf_quality
 from dendrolith.llm.sharding import op1_feistel_shards
 from dendrolith.llm.simhash import op2_simhash_near_duplicates
 
@@ -15,7 +18,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_feistel_shards": op1_feistel_shards,
         "op2_simhash_near_duplicates": op2_simhash_near_duplicates,
+        "op5_flow_mixture": op5_flow_mixture,
+        "op8_crf_quality": op8_crf_quality,
         "op9_bpe_round_trip": op9_bpe_round_trip,
+        "op10_html_main_text": op10_html_main_text,
     }
 
 
