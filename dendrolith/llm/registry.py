@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from dendrolith.llm.bpe import op9_bpe_round_trip
 from dendrolith.llm.html import op10_html_main_text
 from dendrolith.llm.mixing import op5_flow_mixture
+from dendrolith.llm.perplexity import op3_kneser_ney_bands
 from dendrolith.llm.quality import op8_crf_quality
 from dendrolith.llm.sharding import op1_feistel_shards
 from dendrolith.llm.simhash import op2_simhash_near_duplicates
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_feistel_shards": op1_feistel_shards,
         "op2_simhash_near_duplicates": op2_simhash_near_duplicates,
+        "op3_kneser_ney_bands": op3_kneser_ney_bands,
         "op5_flow_mixture": op5_flow_mixture,
         "op8_crf_quality": op8_crf_quality,
         "op9_bpe_round_trip": op9_bpe_round_trip,
