@@ -11,6 +11,7 @@ from dendrolith.llm.html import op10_html_main_text
 from dendrolith.llm.mixing import op5_flow_mixture
 from dendrolith.llm.perplexity import op3_kneser_ney_bands
 from dendrolith.llm.quality import op8_crf_quality
+from dendrolith.llm.repeats import op6_radix_repeats
 from dendrolith.llm.sharding import op1_feistel_shards
 from dendrolith.llm.simhash import op2_simhash_near_duplicates
 
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash_near_duplicates": op2_simhash_near_duplicates,
         "op3_kneser_ney_bands": op3_kneser_ney_bands,
         "op5_flow_mixture": op5_flow_mixture,
+        "op6_radix_repeats": op6_radix_repeats,
         "op8_crf_quality": op8_crf_quality,
         "op9_bpe_round_trip": op9_bpe_round_trip,
         "op10_html_main_text": op10_html_main_text,
