@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dendrolith.llm.backoff import OP7_SQL, op7_stupid_backoff
 from dendrolith.llm.bpe import op9_bpe_round_trip
+from dendrolith.llm.hamming_search import OP4_SQL, op4_multi_index_search
 from dendrolith.llm.html import op10_html_main_text
 from dendrolith.llm.mixing import op5_flow_mixture
 from dendrolith.llm.perplexity import op3_kneser_ney_bands
@@ -21,8 +23,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_feistel_shards": op1_feistel_shards,
         "op2_simhash_near_duplicates": op2_simhash_near_duplicates,
         "op3_kneser_ney_bands": op3_kneser_ney_bands,
+        "op4_multi_index_search": op4_multi_index_search,
         "op5_flow_mixture": op5_flow_mixture,
         "op6_radix_repeats": op6_radix_repeats,
+        "op7_stupid_backoff": op7_stupid_backoff,
         "op8_crf_quality": op8_crf_quality,
         "op9_bpe_round_trip": op9_bpe_round_trip,
         "op10_html_main_text": op10_html_main_text,
@@ -30,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_multi_index_search": OP4_SQL, "op7_stupid_backoff": OP7_SQL}
