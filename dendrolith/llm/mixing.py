@@ -139,8 +139,11 @@ def cut_offs(docs: DataFrame, words: dict[int, int]) -> dict[int, int]:
     return done
 
 
-def mix(docs: DataFrame, targets: dict[str | None, float], seed: int = SEED, place_by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Add ``copies`` (0 to 3). docs has size long and ``sources`` array<string>, the sources that a document is in."""
+def decide(docs: DataFrame, targets: dict[str | None, float], seed: int = SEED, place_by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(sources, rounds, below), a row per membership pattern: whole rounds, and the place below which one more is due.
+
+    docs has size long, ``sources`` array<string> (the sources that a document is in) and the columns of ``place_by``.
+    """
     names = list(targets)
     at = {s: i for i, s in enumerate(names)}
     sized = docs.groupBy("sources").agg(F.sum("size").cast("long").alias("size")).collect()  # one row per pattern
@@ -148,32 +151,56 @@ def mix(docs: DataFrame, targets: dict[str | None, float], seed: int = SEED, pla
     feeds = route([(tuple(at[s] for s in dict.fromkeys(r["sources"])), r["size"]) for r in sized], [targets[s] for s in names])
     taken = [sum(f) for f in feeds]
     rounds = [min(MOST_COPIES, t // r["size"]) if r["size"] else 0 for t, r in zip(taken, sized, strict=True)]
+    rest = {p: 0 if rounds[p] >= MOST_COPIES else taken[p] - rounds[p] * r["size"] for p, r in enumerate(sized)}
     spark = docs.sparkSession
-    kind = T.StructType([T.StructField("sources", T.ArrayType(T.StringType())), T.StructField("pattern", T.IntegerType()), T.StructField("rounds", T.IntegerType())])
-    known = spark.createDataFrame([(r["sources"], p, n) for p, (r, n) in enumerate(zip(sized, rounds, strict=True))], kind)
-    placed = docs.withColumn("_place", seeded_place(seed, *place_by))
-    placed = placed.join(known.withColumnRenamed("sources", "_sources"), F.col("sources").eqNullSafe(F.col("_sources"))).drop("_sources")
-    rest = {p: taken[p] - rounds[p] * r["size"] for p, r in enumerate(sized)}
-    below = cut_offs(placed.select("pattern", "size", F.col("_place").alias("place")), rest)
-    below_df = spark.createDataFrame([(p, b) for p, b in below.items()], "pattern int, below long")
-    extra = ((F.col("_place") < F.col("below")) & (F.col("rounds") < MOST_COPIES)).cast("int")
-    return placed.join(below_df, "pattern").withColumn("copies", F.col("rounds") + extra).drop("pattern", "rounds", "below", "_place")
-
-
-def mix_by_source(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED, text: str = "text") -> DataFrame:
-    """(doc_id, size, source_size, target, copies) where each document is in one source; sources weigh in code-point order."""
-    crc = F.crc32(F.coalesce(F.col(text).cast("binary"), F.lit(b"")))
-    own = cut(docs.select("doc_id", "source", n_words(text).alias("size"), crc.alias("_crc"), F.array("source").alias("sources")))
+    known = spark.createDataFrame([(r["sources"], p) for p, r in enumerate(sized)], T.StructType([T.StructField("_sources", T.ArrayType(T.StringType())), T.StructField("pattern", T.IntegerType())]))
+    placed = docs.join(known, F.col("sources").eqNullSafe(F.col("_sources"))).select("pattern", "size", seeded_place(seed, *place_by).alias("place"))
+    below = cut_offs(placed, rest)
+    kind = T.StructType([T.StructField("_sources", T.ArrayType(T.StringType())), T.StructField("_rounds", T.IntegerType()), T.StructField("_below", T.LongType())])
+    return spark.createDataFrame([(r["sources"], rounds[p], below[p]) for p, r in enumerate(sized)], kind)
+
+
+def with_copies(docs: DataFrame, decisions: DataFrame, seed: int = SEED, place_by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """docs (with ``sources``) and ``copies``, 0 to 3; each row's own values and its pattern's decision suffice."""
+    joined = docs.join(decisions, F.col("sources").eqNullSafe(F.col("_sources")))
+    extra = (seeded_place(seed, *place_by) < F.col("_below")).cast("int")
+    return joined.withColumn("copies", F.col("_rounds") + extra).drop("_sources", "_rounds", "_below")
+
+
+def text_crc() -> Column:
+    return F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """The narrow table that decisions are made on."""
+    return cut(docs.select("doc_id", "source", n_words("text").alias("size"), text_crc().alias("_crc"), F.array("source").alias("sources")))
+
+
+def source_targets(own: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> dict[str | None, tuple[int, float]]:
+    """Size and target of each source; sources weigh in code-point order, null last."""
     sized = own.groupBy("source").agg(F.sum("size").cast("long").alias("size")).collect()  # one row per source
     sized.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     shares = capped_shares([r["size"] for r in sized], [weights[i % len(weights)] for i in range(len(sized))])
-    targets = {r["source"]: t for r, t in zip(sized, shares, strict=True)}
-    mixed = mix(own, targets, seed, ("doc_id", "_crc"))
-    rows = docs.sparkSession.createDataFrame([(r["source"], r["size"], targets[r["source"]]) for r in sized], "_source string, source_size long, target double")
-    return mixed.join(rows, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "size", "source_size", "target", "copies")
+    return {r["source"]: (r["size"], t) for r, t in zip(sized, shares, strict=True)}
+
+
+PLACE_BY = ("doc_id", "_crc")
+
+
+def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """Each document as often as the mix takes it; the text does not move."""
+    own = measured(docs)
+    targets = {s: t for s, (_, t) in source_targets(own, weights).items()}
+    wide = docs.withColumns({"_crc": text_crc(), "sources": F.array("source")})
+    mixed = with_copies(wide, decide(own, targets, place_by=PLACE_BY), place_by=PLACE_BY)
+    again = F.explode(F.sequence(F.lit(1), F.col("copies")))
+    return mixed.where("copies > 0").withColumn("_again", again).select(*docs.columns)
 
 
 def op5_flow_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents; ``taken`` counts words, repeats included."""
-    mixed = mix_by_source(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    own = measured(table(spark, sf_dir, "documents"))
+    found = source_targets(own)
+    mixed = with_copies(own, decide(own, {s: t for s, (_, t) in found.items()}, place_by=PLACE_BY), place_by=PLACE_BY)
+    rows = spark.createDataFrame([(s, n, t) for s, (n, t) in found.items()], "_source string, source_size long, target double")
+    return mixed.join(rows, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))

@@ -28,6 +28,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -359,11 +360,12 @@ def _last_passes(length: int):
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     """(documents with k, h and text, spans (k, h, a, b) to remove); docs has doc_id and text."""
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("k"), F.xxhash64(text).alias("h"), text.alias("text"))
+    keyed = docs.withColumns({"k": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "h": F.xxhash64(text), "text": text})
     runs = keyed.where(F.octet_length("text") >= length).select("k", "h", "text").mapInArrow(_first_pass(length), ROWS)
     met = shelve(runs.repartition("route").sortWithinPartitions("route").mapInArrow(_second_pass(length), ROWS))
     asked = met.where(F.col("kind") >= UNDECIDED).groupBy("k", "h").agg(F.collect_list(F.struct("kind", "route", "a", "b")).alias("asked"))
-    fetched = keyed.join(asked, ["k", "h"]).select("k", "h", "text", "asked").mapInArrow(_fetch(length), "route long, start long, count long, bytes binary, k long, h long")
+    # all columns go along, so that both uses of the documents read one exchange
+    fetched = keyed.join(asked, ["k", "h"]).mapInArrow(_fetch(length), "route long, start long, count long, bytes binary, k long, h long")
     sorted_ = fetched.repartition("route").sortWithinPartitions("route").mapInArrow(_last_passes(length), "a long, b long, k long, h long")
     spans = met.where(F.col("kind") == SPAN).select("k", "h", "a", "b").unionByName(sorted_)
     return keyed, spans
@@ -381,31 +383,43 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def cut_out(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, n_bytes, kept binary, spans array<struct<a,b>>): texts without repeated bytes."""
+    """docs with ``kept`` binary, the text without repeated bytes, and ``spans`` array<struct<a,b>>, what was cut out."""
     keyed, spans = repeated_spans(docs, length)
     of = spans.groupBy("k", "h").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     copy = F.row_number().over(Window.partitionBy("k", "h").orderBy("k"))
-    rows = keyed.join(of, ["k", "h"], "left").withColumn("copy", copy).select("doc_id", "text", "spans", "copy")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kept, cuts = [], []
-            for text, found, n in zip(texts_as_bytes(b.column("text")), b.column("spans"), b.column("copy").to_pylist(), strict=True):
-                if n > 1 and len(text) >= length:
-                    merged = [(0, len(text))]
-                else:
-                    merged = merge_spans([(s["a"], s["b"]) for s in found.as_py() or []])
-                at, parts = 0, []
-                for s, e in merged:
-                    parts.append(text[at:s])
-                    at = e
-                parts.append(text[at:])
-                kept.append(b"".join(parts))
-                cuts.append([{"a": s, "b": e} for s, e in merged])
-            span = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(kept, pa.binary()), pa.array(cuts, span)], names=["doc_id", "kept", "spans"])
-
-    return rows.select(F.col("doc_id").cast("long"), "text", "spans", "copy").mapInArrow(run, "doc_id long, kept binary, spans array<struct<a:long,b:long>>")
+    rows = keyed.join(of, ["k", "h"], "left").withColumn("copy", copy)
+
+    @F.pandas_udf("kept binary, spans array<struct<a:long,b:long>>")
+    def cut_text(texts: pd.Series, found: pd.Series, copies: pd.Series) -> pd.DataFrame:
+        kept, cuts = [], []
+        for text, asked, n in zip(texts, found, copies, strict=True):
+            if n > 1 and len(text) >= length:
+                merged = [(0, len(text))]
+            else:
+                merged = merge_spans([(s["a"], s["b"]) for s in asked]) if asked is not None else []
+            at, parts = 0, []
+            for s, e in merged:
+                parts.append(text[at:s])
+                at = e
+            parts.append(text[at:])
+            kept.append(b"".join(parts))
+            cuts.append([{"a": s, "b": e} for s, e in merged])
+        return pd.DataFrame({"kept": kept, "spans": cuts})
+
+    done = rows.withColumn("_done", cut_text("text", "spans", "copy"))
+    return done.select(*[c for c in docs.columns if c != "text"], F.col("_done.kept").alias("kept"), F.col("_done.spans").alias("spans"))
+
+
+def cut_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs with repeated passages cut out of the texts; a character that was cut in two is dropped."""
+
+    @F.pandas_udf("string")
+    def whole(kept: pd.Series) -> pd.Series:
+        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+
+    text = cut_out(docs, length).withColumn("text", whole("kept"))
+    sized = text.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else text
+    return sized.select(*docs.columns)
 
 
 def op6_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dendrolith.llm.common import U64, cut, mix64, table, texts_as_bytes
@@ -63,14 +63,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp long) for every row of (doc_id, text)."""
+    """(doc_id, h long, fp long) for every row of (doc_id, text); h is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t, shingle) for t in texts_as_bytes(b.column("text"))], dtype=U64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(fps)], names=["doc_id", "h", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    h = F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")
+    return docs.select(F.col("doc_id").cast("long"), h, "text").mapInArrow(run, "doc_id long, h long, fp long")
 
 
 def pivots(seed: int = SEED) -> np.ndarray:
@@ -212,14 +213,24 @@ def near_links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicate_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) rows to (doc_id, fp long, component_id long)."""
+    """(doc_id, text) rows to (doc_id, h, fp long, component long, component_id long)."""
     printed = cut(fingerprints(docs))
     distinct = cut(printed.groupBy("fp").agg(F.min("doc_id").alias("least")))
     component = connected_components(near_links(distinct))
     linked = distinct.join(component, distinct["fp"] == component["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     smallest = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = linked.join(smallest, "component").select("fp", "component_id")
-    return printed.join(cut(of), "fp").select("doc_id", "fp", "component_id")
+    of = linked.join(smallest, "component").select("fp", "component", "component_id")
+    return printed.join(cut(of), "fp").select("doc_id", "h", "fp", "component", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row of each group: the smallest doc_id (null last), then the smallest hash of the text."""
+    groups = near_duplicate_groups(docs.select("doc_id", "text"))
+    best = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("best"))
+    kept = best.select(F.coalesce("best.doc_id", F.lit(0)).alias("_k"), F.col("best.none").alias("_none"), F.col("best.h").alias("_h"))
+    keyed = docs.withColumns({"_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_none": F.col("doc_id").isNull(), "_h": F.xxhash64(F.coalesce("text", F.lit("")))})
+    copy = F.row_number().over(Window.partitionBy("_k", "_none", "_h").orderBy("_k"))  # wholly equal rows meet here
+    return keyed.join(kept, ["_k", "_none", "_h"]).withColumn("_copy", copy).where("_copy = 1").select(*docs.columns)
 
 
 def op2_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
