@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dendrolith.plans import alignment, samples, scalars, trees
+from dendrolith.plans import alignment, numeric, samples, scalars, trees
 
-MODULES = (alignment, samples, trees, scalars)
+MODULES = (alignment, samples, trees, scalars, numeric)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
