@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dendrolith.llm import bpe, mixing, quality, repeats, simhash
 from dendrolith.llm.common import table
@@ -13,25 +14,37 @@ from dendrolith.llm.common import table
 ORACLE_SQL = None
 
 
+def apart(docs: DataFrame, *used: str) -> DataFrame:
+    """The columns that a stage uses, and all others in one struct, so that no name of theirs meets one of the stage's own."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    return docs.select(*[c for c in used if c in docs.columns], (F.struct(*rest) if rest else F.lit(0)).alias("__rest"))
+
+
+def whole(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again, in their order."""
+    return found.select(*[F.col(c) if c in found.columns else F.col(f"__rest.`{c}`").alias(c) for c in docs.columns])
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line field does not reject."""
     field = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.classify(docs, field).where("predicted = 1").select(*docs.columns)
+    good = quality.classify(apart(docs, "doc_id", "text"), field).where("predicted = 1")
+    return whole(good.select("doc_id", "text", "__rest"), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each near-duplicate group: the smallest doc_id."""
+    return whole(simhash.drop_near_duplicates(apart(docs, "doc_id", "text")), docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that occurred earlier."""
-    return repeats.cut_documents(docs)
+    """Texts without passages that occurred earlier; every row stays, if need be with an empty text."""
+    return whole(repeats.cut_documents(apart(docs, "doc_id", "text", "n_chars")), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target mixture takes them."""
-    return mixing.mix_documents(docs)
+    """Documents as often as the target mixture takes them: left out, once, or repeated up to three times."""
+    return whole(mixing.mix_documents(apart(docs, "doc_id", "text", "source")), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,15 +64,17 @@ class LineReader(HTMLParser):
         self.path: tuple[int, ...] = ()
         self.pieces: list[str] = []
         self.tags = self.linked = self.links = 0
-        self.excluded = False
+        self.excluded = self.left_out = False
 
     def end_line(self) -> None:
-        if self.pieces:
-            text = " ".join("".join(self.pieces).split())
-            if text:
-                self.lines.append(Line(text, self.tags, self.linked, self.excluded, self.path))
-            self.pieces = []
+        text = " ".join("".join(self.pieces).split())
+        if text:
+            self.lines.append(Line(text, self.tags, self.linked, False, self.path))
+        elif self.left_out:
+            self.lines.append(Line("", self.tags, 0, True, self.path))
+        self.pieces = []
         self.tags = self.linked = 0
+        self.left_out = False
 
     def unwanted(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in NEVER:
@@ -141,6 +143,9 @@ class LineReader(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.excluded:
+            self.left_out = self.left_out or not data.isspace()
+            return
         self.pieces.append(data)
         if self.links:
             self.linked += len(data)
