@@ -28,7 +28,7 @@ def joined_tree(spark, sf, method=cluster.neighbour_joining) -> tuple[Tree, list
 
 
 def edge_rows(spark, tree: Tree):
-    rows = [(r["node"], r["parent"], r["name"], r["is_tip"], r["length"]) for r in tree.rows()]
+    rows = [(r["node"], r["parent"], r["name"], r["is_tip"], None if r["length"] is None else float(r["length"])) for r in tree.rows()]
     return spark.createDataFrame(rows, "node int, parent int, name string, is_tip boolean, length double")
 
 
