@@ -371,3 +371,57 @@ def test_running_rungs(spark, tmp_path):
     q.stop()
     got = {r["beta"]: (r["n"], r["mean"], r["top"]) for r in spark.sql("select * from rungs").collect()}
     assert got == {0.0: (2, -4.0, -3.0), 1.0: (2, -1.5, -1.0)}
+
+
+def test_height_transforms():
+    from dendrolith.operators import heights as H
+
+    # (A:2,(B:1.5,(C:2,D:1):2.5):2.5) with tips A5 B3 C0 D1
+    children, parent = [[], [], [], [], [2, 3], [1, 4], [0, 5]], np.array([6, 5, 4, 4, 5, 6, -1])
+    h = np.array([5.0, 3.0, 0.0, 1.0, 2.0, 4.5, 7.0])
+    ratios = H.to_ratios(children, parent, h)
+    assert H.from_ratios(children, parent, np.array([5.0, 3, 0, 1, 0, 0, 0]), ratios) == pytest.approx(h)
+    assert H.log_jacobian(children, parent, h) == pytest.approx(2.639057, abs=1e-6)
+    gradient = H.ratio_gradient(children, parent, h, ratios, H.jacobian_height_gradient(children, parent, h))
+    assert gradient[4:] == pytest.approx([0.0, 1.142857, 0.357143], abs=1e-6)
+    assert H.from_shifts(children, np.array([5.0, 3, 0, 1, 0, 0, 0]), H.to_shifts(children, h)) == pytest.approx(h)
+    p, step = np.array([0.1, 0.2, 0.3, 0.4]), 1e-6
+
+    def sticks(z):
+        out, left = [], 1.0
+        for i, v in enumerate(z):
+            share = 1 / (1 + np.exp(-(v - np.log(len(z) - i))))
+            out.append(left * share)
+            left -= out[-1]
+        return np.array([*out, left])
+
+    z = np.array([-1.0986122886681, -0.5596157879354, -0.2876820724518])
+    assert sticks(z) == pytest.approx(p)
+    numeric_ = np.array([(sticks(z + step * e) - sticks(z - step * e)) / (2 * step) for e in np.eye(3)])
+    assert H.simplex_gradient(p) == pytest.approx(numeric_, abs=1e-8)
+
+
+def test_topology_search(spark):
+    from dendrolith.operators import search
+
+    true = likelihood.TreeArrays.of("((((a:0.1,b:0.1):0.1,c:0.2):0.1,d:0.3):0.1,(e:0.2,f:0.2):0.2);", "abcdef")
+    sites = likelihood.simulate(spark, true, M.jc69(), M.rate_categories(), 2000, seed=3)
+    pats = sites.groupBy("pattern").count().withColumnRenamed("count", "weight").cache()
+    start = newick.parse("((((a:0.1,e:0.1):0.1,c:0.1):0.1,d:0.1):0.1,(b:0.1,f:0.1):0.1);")
+    want = float(search.score_trees(pats, [newick.parse("((((a,b),c),d),(e,f));")], "abcdef").first()["score"])
+    tree, score = search.climb(pats, start, "abcdef", search.spr)
+    assert score <= want
+    assert len(cluster.nni(tree)) > 0
+    rates = search.best_rates(pats, true, M.jc69(), [0.1, 1.0, 10.0]).toPandas()
+    assert set(rates.rate) <= {0.1, 1.0, 10.0}
+
+
+def test_roots_by_date(spark):
+    from dendrolith.operators import search
+
+    tree = newick.parse("((a:1,b:3):1,(c:6,d:2):1);")
+    rows = search.ranked_roots(spark, tree, {"a": 2.0, "b": 4.0, "c": 7.0, "d": 3.0}).collect()
+    assert len(rows) == 4 and rows[0]["r"] >= rows[-1]["r"]
+    x = np.arange(20.0)
+    classes, rss = search.rate_clusters(x, np.where(x % 2 == 0, x, 10 - x), 2)
+    assert rss < 60 and len(set(classes)) == 2
