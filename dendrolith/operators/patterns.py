@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RESOLVED = ("A", "C", "G", "T")
+#: Taxa up to which a site's states are gathered in a column each.
+WIDE = 256
 
 
 def taxa_of(aln: DataFrame) -> list:
@@ -20,7 +22,13 @@ def taxa_of(aln: DataFrame) -> list:
 
 
 def columns_of(aln: DataFrame, taxa: Sequence, width: int = 1) -> DataFrame:
-    """(site, pattern): each site's states in taxon order, gaps where a taxon has none."""
+    """(site, pattern): each site's states in taxon order, gaps where a taxon has none.
+
+    One-letter states of up to WIDE taxa are summed up as numbers, a buffer per taxon, which stays in generated code.
+    """
+    if width == 1 and len(taxa) <= WIDE:
+        codes = aln.groupBy("site").agg(*[F.max(F.when(F.col("taxon") == t, F.ascii("state"))).alias(f"_{n}") for n, t in enumerate(taxa)])
+        return codes.select("site", F.concat(*[F.coalesce(F.char(F.col(f"_{n}")), F.lit("-")) for n in range(len(taxa))]).alias("pattern"))
     at = F.map_from_entries(F.collect_list(F.struct("taxon", "state")))
     states = F.transform(F.lit(list(taxa)), lambda t: F.coalesce(F.element_at(F.col("at"), t), F.lit("-" * width)))
     return aln.groupBy("site").agg(at.alias("at")).select("site", F.concat_ws("", states).alias("pattern"))
