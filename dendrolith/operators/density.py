@@ -109,3 +109,12 @@ def compound(parts: DataFrame, by: Sequence[str], lp: str, weight: str | None =
     top = Window.partitionBy(*by)
     shifted = parts.withColumn("_m", F.max(lp).over(top))
     return shifted.groupBy(*by).agg((F.max("_m") + F.log(F.sum(F.col(weight) * F.exp(F.col(lp) - F.col("_m"))))).alias("lp"))
+
+
+def multivariate_normal(x, mean, covariance=None, factor=None) -> float:
+    """Log density from a covariance or its lower Cholesky factor."""
+    import numpy as np
+
+    lower = np.linalg.cholesky(np.asarray(covariance, dtype=float)) if factor is None else np.asarray(factor, dtype=float)
+    z = np.linalg.solve(lower, np.asarray(x, dtype=float) - np.asarray(mean, dtype=float))
+    return float(-0.5 * z @ z - np.log(np.diag(lower)).sum() - 0.5 * len(z) * LOG_2PI)

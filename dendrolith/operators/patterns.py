@@ -39,6 +39,24 @@ def compress(columns: DataFrame) -> DataFrame:
     return columns.groupBy("pattern").agg(F.count("*").alias("weight"))
 
 
+def compress_partials(columns: DataFrame) -> DataFrame:
+    """Equal real-valued columns (site, partial array<double>) with their number and first site."""
+    return columns.groupBy("partial").agg(F.count("*").alias("weight"), F.min("site").alias("first"))
+
+
+def attribute_pattern(attributes: DataFrame, taxa: Sequence, states: Sequence[str]) -> DataFrame:
+    """One pattern from a table (taxon, value): each taxon's place among the states, unknown values last."""
+    place = F.array_position(F.lit(list(states)), F.col("value"))
+    code = F.when(place > 0, place - 1).otherwise(len(states)).cast("int")
+    at = F.map_from_entries(F.collect_list(F.struct("taxon", code.alias("code"))))
+    return attributes.agg(at.alias("at")).select(F.transform(F.lit(list(taxa)), lambda t: F.coalesce(F.element_at("at", t), F.lit(len(states)))).alias("pattern"), F.lit(1).cast("long").alias("weight"))
+
+
+def in_tree_order(sequences_: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rows sorted by the place of their taxon among a tree's tips."""
+    return sequences_.withColumn("_at", F.array_position(F.lit(list(order)), F.col("taxon"))).orderBy("_at").drop("_at")
+
+
 def codon_alignment(aln: DataFrame) -> DataFrame:
     """Sites in threes: (taxon, site, state) with three-letter states; incomplete codons are gaps."""
     letters = F.map_from_entries(F.collect_list(F.struct((F.col("site") % 3).alias("p"), "state")))

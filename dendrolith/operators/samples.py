@@ -210,3 +210,21 @@ def jenks(values: np.ndarray, classes: int) -> list[int]:
         end = int(at[end])
         out.append(end)
     return [0, *reversed(out)] if classes > 1 else [0]
+
+
+def log_evidence_by_importance(df: DataFrame, log_p: str, log_q: str, by: Sequence[str] = (), normalised: bool = True) -> DataFrame:
+    """ln mean p/q over draws of q; without a normalised p, the self-normalised mean of log p instead."""
+    ratio = F.col(log_p) - F.col(log_q)
+    if normalised:
+        return log_mean_exp(df, ratio, by)
+    own = df.withColumn("_r", ratio)
+    top = own.groupBy(*by).agg(F.max("_r").alias("_t"))
+    joined = own.join(top, list(by)) if by else own.join(F.broadcast(top))  # without keys, one row
+    w = F.exp(F.col("_r") - F.col("_t"))
+    return joined.groupBy(*by).agg((F.sum(w * F.col(log_p)) / F.sum(w)).alias("mean"))
+
+
+def moment_fits(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Gamma (shape, rate) and lognormal (mu, sigma) fits by moments of positive samples."""
+    m = df.groupBy(*by).agg(F.avg(value).alias("m"), F.var_samp(value).alias("v"), F.avg(F.log(value)).alias("mu"), F.stddev_samp(F.log(value)).alias("sigma"))
+    return m.select(*by, (F.col("m") ** 2 / F.col("v")).alias("shape"), (F.col("m") / F.col("v")).alias("rate"), "mu", "sigma")

@@ -216,3 +216,14 @@ def gmrf_time_aware(spark, sf):
 
     timed = S.table(spark, sf, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
     return rounded(density(timed, "user_id", ["ts", "event_id"], "value", "t", 2.0), 4)
+
+
+@query("SELECT event_type, round(avg(value) * avg(value) / var_samp(value), 6) AS shape, round(avg(value) / var_samp(value), 6) AS rate, round(avg(ln(value)), 6) AS mu, round(stddev_samp(ln(value)), 6) AS sigma FROM events GROUP BY 1")
+def moment_fits(spark, sf):
+    return rounded(O.moment_fits(S.table(spark, sf, "events"), ["event_type"], "value"))
+
+
+@query(f"{BASE}, r AS (SELECT chain, ll - ln(1.0 / 50) + (-ll) / 50 AS r FROM samples) SELECT chain, round(max(r) + ln(sum(exp(r - m))) - ln(count(*)), 6) AS lme FROM (SELECT *, max(r) OVER (PARTITION BY chain) AS m FROM r) GROUP BY chain")
+def importance_sampling(spark, sf):
+    own = S.samples(spark, sf).withColumn("lq", F.log(F.lit(1.0 / 50)) - (-F.col("ll")) / 50)
+    return rounded(O.log_evidence_by_importance(own, "ll", "lq", ["chain"]))

@@ -158,3 +158,26 @@ def tree_range(trees: DataFrame, start: int, end: int) -> DataFrame:
     from pyspark.sql import Window
 
     return trees.withColumn("n", F.row_number().over(Window.orderBy("tree")) - 1).where(F.col("n").between(start, end))
+
+
+def calibrations(edges_: DataFrame, key: str = "cal_height") -> DataFrame:
+    """(tree, child, lower, upper): node height bounds from ``[&cal_height={a,b}]`` notes; a single number is both."""
+    text = F.regexp_replace(F.element_at("notes", key), "[{}]", "")
+    ends = F.split(text, ",")
+    rows = edges_.where(F.element_at("notes", key).isNotNull())
+    return rows.select("tree", "child", F.element_at(ends, 1).cast("double").alias("lower"), F.element_at(ends, -1).cast("double").alias("upper"))
+
+
+def to_nexus(trees: DataFrame, taxa: list[str]) -> DataFrame:
+    """Text rows of a NEXUS file with a translation block; trees has tree and newick with tip names."""
+    numbers = {t: str(i + 1) for i, t in enumerate(taxa)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lines = [f"tree STATE_{n} = [&R] {parse(text, numbers).newick(notes=True)}" for n, text in zip(b.column("tree").to_pylist(), b.column("newick").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([1] * len(lines), pa.int32()), b.column("tree"), pa.array(lines, pa.string())], names=["part", "tree", "value"])
+
+    head = ["#NEXUS", "BEGIN TAXA;", f"DIMENSIONS NTAX={len(taxa)};", "TAXLABELS " + " ".join(taxa) + ";", "END;", "BEGIN TREES;", "TRANSLATE", ",\n".join(f"{i} {t}" for t, i in numbers.items()) + ";"]
+    ends = trees.sparkSession.createDataFrame([(0, i, x) for i, x in enumerate(head)] + [(2, 0, "END;")], "part int, tree long, value string")
+    body = trees.select(F.col("tree").cast("long"), "newick").mapInArrow(run, "part int, tree long, value string")
+    return ends.union(body).orderBy("part", "tree").select("value")

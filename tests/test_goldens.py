@@ -425,3 +425,20 @@ def test_roots_by_date(spark):
     x = np.arange(20.0)
     classes, rss = search.rate_clusters(x, np.where(x % 2 == 0, x, 10 - x), 2)
     assert rss < 60 and len(set(classes)) == 2
+
+
+def test_notes_partials_and_attributes(spark, tmp_path):
+    from dendrolith.operators import density, patterns
+
+    edges = newick.edges(spark.createDataFrame([(0, "((a:1,b:1)x[&cal_height={2,5}]:1,c:2)r;")], "tree long, newick string"))
+    assert [tuple(r) for r in newick.calibrations(edges).collect()] == [(0, "x", 2.0, 5.0)]
+    newick.to_nexus(spark.createDataFrame([(7, "((a:1,b:1):1,c:2);")], "tree long, newick string"), ["a", "b", "c"]).coalesce(1).write.text(str(tmp_path / "t"))
+    back = newick.read_trees(spark, str(tmp_path / "t")).first()
+    assert back["name"] == "STATE_7" and back["newick"] == "((1:1,2:1):1,3:2);"
+    assert newick.read_translation(spark, str(tmp_path / "t")) == {"1": "a", "2": "b", "3": "c"}
+    cols = spark.createDataFrame([(0, [0.5, 0.5]), (1, [1.0, 0.0]), (2, [0.5, 0.5])], "site long, partial array<double>")
+    assert sorted(r["weight"] for r in patterns.compress_partials(cols).collect()) == [1, 2]
+    traits = spark.createDataFrame([("a", "north"), ("b", "south"), ("c", "?")], "taxon string, value string")
+    assert patterns.attribute_pattern(traits, ["a", "b", "c", "d"], ["north", "south"]).first()["pattern"] == [0, 1, 2, 2]
+    assert [r["taxon"] for r in patterns.in_tree_order(traits, ["c", "a", "b"]).collect()] == ["c", "a", "b"]
+    assert density.multivariate_normal([1.0, 2.0], [0.0, 0.0], [[1, 0], [0, 4]]) == pytest.approx(-0.5 * (1 + 1) - np.log(2) - np.log(2 * np.pi))
