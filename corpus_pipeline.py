@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dendrolith.llm import bpe, mixing, quality, repeats, simhash
-from dendrolith.llm.common import table
+from dendrolith.llm.common import modest_batches, table
 
 #: SQL can express neither the classifier nor the encoder; the stages are tested against brute force.
 ORACLE_SQL = None
@@ -16,6 +16,7 @@ ORACLE_SQL = None
 
 def apart(docs: DataFrame, *used: str) -> DataFrame:
     """The columns that a stage uses, and all others in one struct, so that no name of theirs meets one of the stage's own."""
+    modest_batches(docs.sparkSession)
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in used]
     return docs.select(*[c for c in used if c in docs.columns], (F.struct(*rest) if rest else F.lit(0)).alias("__rest"))
 
@@ -49,6 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and the digests of the round trip."""
+    modest_batches(spark)
     encoded = bpe.encode_documents(docs, bpe.default_vocabulary(), keep_ids=True)
     return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
 

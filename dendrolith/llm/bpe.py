@@ -28,10 +28,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dendrolith.llm.common import table
+from dendrolith.llm.common import slices, table, tidy
 
-#: Distinct pre-tokens whose ids a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 700_000
+#: Distinct pre-tokens whose ids a task remembers, and token pairs; either memory is emptied when it is full.
+REMEMBERED = 300_000
 #: Fixed value: the pre-tokenizer's pattern, with white space as Unicode's property.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
@@ -115,17 +115,22 @@ class BytePairCodec:
         self.split_any, self.split_bmp = regex.compile(SPLIT), re.compile(bmp_pattern())
         self.at_special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.remembered = Remembered(self.encode_piece, remembered)
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}  # by both ids in one number
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the merges keep the boundary between tokens a and b."""
-        known = self.fits.get((a, b))
+        known = self.fits.get(a << 20 | b)
         if known is None:
-            if len(self.fits) >= 2 * REMEMBERED:
+            if len(self.fits) >= REMEMBERED:
                 self.fits.clear()
-            known = self.fits[a, b] = self._undone(a, b)
+            known = self.fits[a << 20 | b] = self._undone(a, b)
         return known
 
+    def forget(self) -> None:
+        """Workers outlive their tasks; what a task remembered does not."""
+        self.remembered.clear()
+        self.fits.clear()
+
     def _undone(self, a: int, b: int) -> bool:
         merged, halves = self.merged, self.halves
         limit = len(halves)
@@ -163,7 +168,7 @@ class BytePairCodec:
                 if at + lengths[token] not in dead:
                     if last < 0:
                         break
-                    known = fits((last, token))
+                    known = fits(last << 20 | token)
                     if known if known is not None else self.compatible(last, token):
                         break
                 token = shorter[token]
@@ -212,7 +217,7 @@ def encode_documents(docs: DataFrame, vocabulary: bytes, keep_ids: bool = False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value)
-        for b in batches:
+        for b in slices(batches):
             counts, digests, decoded, kept = [], [], [], []
             for scalar in b.column("text"):
                 packed = own.encode(scalar.as_py() or "")
@@ -226,6 +231,8 @@ def encode_documents(docs: DataFrame, vocabulary: bytes, keep_ids: bool = False)
             if keep_ids:
                 columns.append(pa.array(kept, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        own.forget()
+        tidy()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)

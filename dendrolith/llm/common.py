@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def modest_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Bound the bytes of a batch that goes to Python: ten thousand long texts are too many at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
+def tidy() -> None:
+    """Give freed memory back at the end of a task, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -59,6 +75,14 @@ def texts_as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.large_binary()).to_pylist()]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """Smaller batches of the same rows: what a task derives from a batch can be many times its size."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+    tidy()
+
+
 def number_rows(df: DataFrame, order: list, to: str = "row_number") -> tuple[DataFrame, int]:
     """Add gapless global row numbers 0..n-1 in the order of ``order``; also returns n.
 

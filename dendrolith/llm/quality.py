@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from dendrolith.llm.common import table, texts_as_bytes
+from dendrolith.llm.common import slices, table, texts_as_bytes
 
 SAMPLE = 6000
 MOST_LINES = 400
@@ -194,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_lines:
     chosen = allowed.orderBy(F.xxhash64(F.lit(seed), "_id"), "_id", "_good").limit(sample)  # at most ``sample`` rows, hence small enough to broadcast
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             own, _, counts = line_features(texts_as_bytes(b.column("text")))
             ends = np.cumsum(counts)
             packed = [own[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)]
@@ -214,16 +215,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_lines:
 def classify(docs: DataFrame, field: LineField, threshold: float = THRESHOLD) -> DataFrame:
     """docs with ``score`` and ``predicted``; texts go through whole."""
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-
-        parts, texts = [], [(t or "").encode() for t in texts]
-        for at in range(0, len(texts), 500):
-            parts.append(field.scores(texts[at : at + 500]))
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 512):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(field.scores(texts_as_bytes(b.column("text"))))], names=[*b.schema.names, "score"])
 
-    return docs.withColumn("score", score("text")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    scored = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def op8_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

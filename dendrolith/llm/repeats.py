@@ -28,12 +28,12 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from dendrolith.llm.common import U64, ensure_checkpoint_dir, mix64, table, texts_as_bytes
+from dendrolith.llm.common import U64, ensure_checkpoint_dir, mix64, slices, table, texts_as_bytes
 
 LENGTH = 100
 GRAM = 32
@@ -175,7 +175,7 @@ def _firsts(order_keys: tuple[np.ndarray, ...], same: tuple[np.ndarray, ...]) ->
 
 def _first_pass(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 4096):
             k, h = (b.column(c).to_numpy(zero_copy_only=False) for c in ("k", "h"))
             sig, content, doc, start, count = runs_of(texts_as_bytes(b.column("text")), length)
             order, head = _firsts((k[doc], h[doc], start), (sig, content))
@@ -255,7 +255,7 @@ def _fetch(length: int):
         return pa.RecordBatch.from_arrays([*cols, pa.array(data, pa.binary()), pa.array(np.asarray(k, np.int64)), pa.array(np.asarray(h, np.int64))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out: tuple[list, ...] = ([], [], [], [], [], [])
             windows: dict[bytes, tuple[int, int, int]] = {}
             for k, h, text, asked in zip(b.column("k").to_pylist(), b.column("h").to_pylist(), texts_as_bytes(b.column("text")), b.column("asked"), strict=True):
@@ -382,42 +382,43 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def cut_out(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with ``kept`` binary, the text without repeated bytes, and ``spans`` array<struct<a,b>>, what was cut out."""
+def cut_out(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataFrame:
+    """docs with ``spans`` array<struct<a,b>>, what was cut out, and ``kept`` in place of the text: binary, or a string
+    from which a character that was cut in two is dropped."""
     keyed, spans = repeated_spans(docs, length)
     of = spans.groupBy("k", "h").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     copy = F.row_number().over(Window.partitionBy("k", "h").orderBy("k"))
-    rows = keyed.join(of, ["k", "h"], "left").withColumn("copy", copy)
-
-    @F.pandas_udf("kept binary, spans array<struct<a:long,b:long>>")
-    def cut_text(texts: pd.Series, found: pd.Series, copies: pd.Series) -> pd.DataFrame:
-        kept, cuts = [], []
-        for text, asked, n in zip(texts, found, copies, strict=True):
-            if n > 1 and len(text) >= length:
-                merged = [(0, len(text))]
-            else:
-                merged = merge_spans([(s["a"], s["b"]) for s in asked]) if asked is not None else []
-            at, parts = 0, []
-            for s, e in merged:
-                parts.append(text[at:s])
-                at = e
-            parts.append(text[at:])
-            kept.append(b"".join(parts))
-            cuts.append([{"a": s, "b": e} for s, e in merged])
-        return pd.DataFrame({"kept": kept, "spans": cuts})
-
-    done = rows.withColumn("_done", cut_text("text", "spans", "copy"))
-    return done.select(*[c for c in docs.columns if c != "text"], F.col("_done.kept").alias("kept"), F.col("_done.spans").alias("spans"))
+    rows = keyed.join(of, ["k", "h"], "left").withColumn("copy", copy).drop("k", "h")
+    others = [c for c in docs.columns if c != "text"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+        for b in slices(batches):
+            kept, cuts = [], []
+            for text, found, n in zip(texts_as_bytes(b.column("text")), b.column("spans"), b.column("copy").to_pylist(), strict=True):
+                if n > 1 and len(text) >= length:
+                    merged = [(0, len(text))]
+                else:
+                    merged = merge_spans([(s["a"], s["b"]) for s in found.as_py() or []])
+                at, parts = 0, []
+                for s, e in merged:
+                    parts.append(text[at:s])
+                    at = e
+                parts.append(text[at:])
+                left = b"".join(parts)
+                kept.append(left.decode("utf-8", "ignore") if as_text else left)
+                cuts.append([{"a": s, "b": e} for s, e in merged])
+            columns = [b.column(c) for c in others]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(cuts, span)], names=[*others, "kept", "spans"])
+
+    kind = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+    schema = T.StructType([*[docs.schema[c] for c in others], T.StructField("kept", T.StringType() if as_text else T.BinaryType()), T.StructField("spans", kind)])
+    return rows.mapInArrow(run, schema)
 
-def cut_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with repeated passages cut out of the texts; a character that was cut in two is dropped."""
-
-    @F.pandas_udf("string")
-    def whole(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
 
-    text = cut_out(docs, length).withColumn("text", whole("kept"))
+def cut_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs with repeated passages cut out of the texts, and n_chars of what is left."""
+    text = cut_out(docs, length, as_text=True).withColumnRenamed("kept", "text")
     sized = text.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else text
     return sized.select(*docs.columns)
 

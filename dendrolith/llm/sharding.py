@@ -14,7 +14,7 @@ from __future__ import annotations
 from math import isqrt
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,9 +79,9 @@ def shard_rows(df: DataFrame, order: list, n_shards: int = N_SHARDS, seed: int =
     numbered, n = number_rows(df, order)
     permutation = FeistelPermutation(n, seed)
 
-    @F.pandas_udf("long")
-    def permuted(row: pd.Series) -> pd.Series:
-        return pd.Series(permutation.forward(row.to_numpy(dtype=np.int64)))
+    @F.arrow_udf("long")
+    def permuted(row: pa.Array) -> pa.Array:
+        return pa.array(permutation.forward(row.to_numpy(zero_copy_only=False)))
 
     at = numbered.withColumn("_at", permuted("row_number"))
     return at.withColumn("shard", (F.col("_at") % n_shards).cast("int")).withColumn("slot", F.expr(f"_at div {n_shards}")).drop("_at")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dendrolith.llm.common import U64, cut, mix64, table, texts_as_bytes
+from dendrolith.llm.common import U64, cut, mix64, slices, table, texts_as_bytes
 from dendrolith.llm.components import connected_components
 
 SHINGLE = 3
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, h long, fp long) for every row of (doc_id, text); h is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fps = np.array([fingerprint(t, shingle) for t in texts_as_bytes(b.column("text"))], dtype=U64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(fps)], names=["doc_id", "h", "fp"])
 
