@@ -27,6 +27,8 @@ WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 COSTS = (1, 4, 16)
 SEED = 7
+#: Patterns up to which their decisions are sent to all tasks.
+MOST_BROADCAST = 10_000
 DIGITS, DIGIT_BITS = 3, 12
 
 
@@ -111,6 +113,11 @@ def seeded_place(seed: int, *columns: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 64 - DIGITS * DIGIT_BITS)
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a table of the driver's if its rows, which are counted, are few; beyond that Spark chooses the join."""
+    return F.broadcast(df) if rows <= MOST_BROADCAST else df
+
+
 def cut_offs(docs: DataFrame, words: dict[int, int]) -> dict[int, int]:
     """For each pattern the place below which documents add up to about ``words``. docs: (pattern, size, place)."""
     spark, width = docs.sparkSession, 1 << DIGIT_BITS
@@ -122,7 +129,7 @@ def cut_offs(docs: DataFrame, words: dict[int, int]) -> dict[int, int]:
         shift = DIGIT_BITS * (DIGITS - 1 - level)
         want = spark.createDataFrame([(p, prefix[p], left[p]) for p in left], "pattern int, prefix long, words long")
         digit = F.shiftright("place", shift) % width
-        sums = docs.join(want, "pattern").where(F.shiftright("place", shift + DIGIT_BITS) == F.col("prefix")).groupBy("pattern", "words", digit.alias("digit")).agg(F.sum("size").alias("size"))
+        sums = docs.join(small(want, len(left)), "pattern").where(F.shiftright("place", shift + DIGIT_BITS) == F.col("prefix")).groupBy("pattern", "words", digit.alias("digit")).agg(F.sum("size").alias("size"))
         up_to = sums.withColumn("upto", F.sum("size").over(Window.partitionBy("pattern").orderBy("digit")))
         over = up_to.where("upto > words").groupBy("pattern").agg(F.min_by(F.struct("digit", "size", "upto"), "digit").alias("at")).select("pattern", "at.*").collect()
         crossed = {r["pattern"]: r for r in over}
@@ -154,10 +161,10 @@ def decide(docs: DataFrame, targets: dict[str | None, float], seed: int = SEED,
     rest = {p: 0 if rounds[p] >= MOST_COPIES else taken[p] - rounds[p] * r["size"] for p, r in enumerate(sized)}
     spark = docs.sparkSession
     known = spark.createDataFrame([(r["sources"], p) for p, r in enumerate(sized)], T.StructType([T.StructField("_sources", T.ArrayType(T.StringType())), T.StructField("pattern", T.IntegerType())]))
-    placed = docs.join(known, F.col("sources").eqNullSafe(F.col("_sources"))).select("pattern", "size", seeded_place(seed, *place_by).alias("place"))
+    placed = docs.join(small(known, len(sized)), F.col("sources").eqNullSafe(F.col("_sources"))).select("pattern", "size", seeded_place(seed, *place_by).alias("place"))
     below = cut_offs(placed, rest)
     kind = T.StructType([T.StructField("_sources", T.ArrayType(T.StringType())), T.StructField("_rounds", T.IntegerType()), T.StructField("_below", T.LongType())])
-    return spark.createDataFrame([(r["sources"], rounds[p], below[p]) for p, r in enumerate(sized)], kind)
+    return small(spark.createDataFrame([(r["sources"], rounds[p], below[p]) for p, r in enumerate(sized)], kind), len(sized))
 
 
 def with_copies(docs: DataFrame, decisions: DataFrame, seed: int = SEED, place_by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -203,4 +210,4 @@ def op5_flow_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = source_targets(own)
     mixed = with_copies(own, decide(own, {s: t for s, (_, t) in found.items()}, place_by=PLACE_BY), place_by=PLACE_BY)
     rows = spark.createDataFrame([(s, n, t) for s, (n, t) in found.items()], "_source string, source_size long, target double")
-    return mixed.join(rows, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    return mixed.join(small(rows, len(found)), F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
