@@ -1,0 +1,151 @@
+"""Near copies by resemblance: documents whose sets of word shingles have a Jaccard similarity of SIMILARITY or more.
+
+Equal sequences of words are one node. Every node gets BANDS keys of ROWS MinHash values each, and nodes are candidates
+where they share a key; a pair at similarity 0.8 shares none with probability (1 - 0.8^4)^32 < 5e-8, closer pairs still
+less often. Candidates are verified on their whole shingle sets, so a link is never a matter of the signatures.
+
+Inside a key not all pairs are verified: first neighbours in the order of the nodes, then, where a key still holds
+several components, neighbours in a random order, and last all pairs that are in different components by then. Pairs
+left out are already in one component, so the components are those of all candidate pairs.
+
+Shingles and nodes are 64-bit hashes: two different texts of n are taken for one with probability n^2 / 2^65.
+
+Edge cases: a text of at most SHINGLE words is one shingle; null and blank texts are one node. Rows with a null doc_id
+belong to groups like any other. Repeated rows each give a row; empty tables give an empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from dendrolith.llm.backoff import word_hashes
+from dendrolith.llm.common import U64, cut, mix64, slices, texts_as_bytes
+from dendrolith.llm.components import connected_components
+
+SHINGLE = 5
+#: Jaccard similarity in hundredths.
+SIMILARITY = 80
+BANDS, ROWS = 32, 4
+SEED = 42
+
+
+def shingle_sets(texts: list[bytes], shingle: int = SHINGLE) -> list[np.ndarray]:
+    """Ascending distinct 64-bit hashes of the word shingles of each text; none for a blank text."""
+    words, counts = word_hashes([t.lower() for t in texts])
+    out = []
+    for end, n in zip(np.cumsum(counts).tolist(), counts.tolist(), strict=True):
+        own = words[end - n : end]
+        size = min(n, shingle)
+        h = np.full(max(n - size + 1, 0) if n else 0, SEED + size, dtype=U64)
+        for k in range(size):
+            h = mix64(h * U64(0x9E3779B97F4A7C15) + own[k : k + len(h)])
+        out.append(np.unique(h))
+    return out
+
+
+def band_keys(found: np.ndarray) -> np.ndarray:
+    """A key for each band of MinHash values of one set."""
+    odd = mix64(np.arange(1, BANDS * ROWS + 1, dtype=U64) + U64(SEED)) | U64(1)
+    least = odd if not len(found) else np.full(len(odd), np.iinfo(U64).max)
+    for at in range(0, len(found), 1024):
+        least = np.minimum(least, np.multiply.outer(odd, found[at : at + 1024]).min(axis=1))
+    key = np.arange(1, BANDS + 1, dtype=U64)
+    for column in least.reshape(BANDS, ROWS).T:
+        key = mix64(key * U64(0x9E3779B97F4A7C15) + column)
+    return key
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, node, size, keys) for every row of (doc_id, text); h is a hash of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 512):
+            texts = texts_as_bytes(b.column("text"))
+            nodes = np.array([xxhash.xxh64_intdigest(b" ".join(t.lower().split()), SEED) for t in texts], dtype=U64)
+            sets = shingle_sets(texts)
+            keys = np.array([band_keys(s) for s in sets], dtype=U64).reshape(-1)
+            keys = pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * BANDS, pa.array(keys.view(np.int64)))
+            columns = [b.column("doc_id"), b.column("h"), pa.array(nodes.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), keys]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "node", "size", "keys"])
+
+    h = F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")
+    return docs.select(F.col("doc_id").cast("long"), h, "text").mapInArrow(run, "doc_id long, h long, node long, size long, keys array<long>")
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches, 512):
+        sets = [s.astype("<u8").tobytes() for s in shingle_sets(texts_as_bytes(b.column("text")))]
+        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose whole sets are similar enough."""
+    for b in slices(batches, 512):
+        keep = []
+        for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
+            x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
+            both = np.concatenate([x, y])
+            both.sort()
+            shared = int((both[1:] == both[:-1]).sum())
+            keep.append(100 * shared >= SIMILARITY * (len(x) + len(y) - shared))
+        yield pa.RecordBatch.from_arrays([b.column("src"), b.column("dst")], names=["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    x = sets.select(F.col("node").alias("src"), F.col("shingles").alias("x"))
+    y = sets.select(F.col("node").alias("dst"), F.col("shingles").alias("y"))
+    return cut(pairs.join(x, "src").join(y, "dst").select("src", "dst", "x", "y").mapInArrow(_alike, "src long, dst long"))
+
+
+def neighbours(rows: DataFrame, *order) -> DataFrame:
+    """Distinct pairs of nodes that follow each other inside a key and may be similar by their sizes."""
+    beside = Window.partitionBy("key").orderBy(*order)
+    pairs = rows.select("node", "size", F.lead("node").over(beside).alias("other"), F.lead("size").over(beside).alias("other_size"))
+    return _pairs(pairs.where("other is not null"))
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    near = 100 * F.least("size", "other_size") >= SIMILARITY * F.greatest("size", "other_size")
+    return rows.where(near).select(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst")).distinct()
+
+
+def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """nodes (node, size, keys, doc_id, h), docs (doc_id, h, text) to links (src, dst) with the components of all similar pairs."""
+    rows = nodes.select("node", "size", F.explode("keys").alias("key"))
+    rows = cut(rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key"))
+    met = rows.select("node").distinct()
+    asked = nodes.join(met, "node").select("node", F.col("doc_id").alias("_d"), F.col("h").alias("_h"))
+    held = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h"))).select("node", "text")
+    sets = cut(held.mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node"]))
+    tried = cut(neighbours(rows, "node"))
+    found = verified(tried, sets)
+    for last in (False, True):
+        parts = connected_components(found)
+        placed = rows.join(parts, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("part"))
+        mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+        rows = cut(placed.join(mixed, "key"))
+        if last:
+            other = rows.select("key", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("part").alias("other_part"))
+            pairs = _pairs(rows.join(other, "key").where("node < other and part <> other_part"))
+        else:
+            pairs = neighbours(rows, F.xxhash64("node", "key"))
+        pairs = cut(pairs.join(tried, ["src", "dst"], "left_anti"))
+        tried, found = tried.union(pairs), found.union(verified(pairs, sets))
+        rows = rows.drop("part")
+    return found
+
+
+def near_copy_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) rows to (doc_id, h, component): the documents of one component are linked by similar pairs."""
+    signed = cut(signatures(docs))
+    one = F.min(F.struct("doc_id", "h")).alias("one")
+    nodes = cut(signed.groupBy("node").agg(one, F.first("size").alias("size"), F.first("keys").alias("keys")).select("node", "size", "keys", "one.doc_id", "one.h"))
+    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
+    parts = connected_components(links(nodes, texts))
+    return signed.select("doc_id", "h", "node").join(parts, "node", "left").select("doc_id", "h", F.coalesce("component", "node").alias("component"))

@@ -225,7 +225,11 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each group: the smallest doc_id (null last), then the smallest hash of the text."""
-    groups = near_duplicate_groups(docs.select("doc_id", "text"))
+    return one_of_each(docs, near_duplicate_groups(docs.select("doc_id", "text")))
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of each component of groups (doc_id, h, component): the smallest doc_id (null last), then the smallest hash of the text."""
     best = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("best"))
     kept = best.select(F.coalesce("best.doc_id", F.lit(0)).alias("_k"), F.col("best.none").alias("_none"), F.col("best.h").alias("_h"))
     keyed = docs.withColumns({"_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_none": F.col("doc_id").isNull(), "_h": F.xxhash64(F.coalesce("text", F.lit("")))})

@@ -1,0 +1,35 @@
+"""Near copies of the pipeline against all pairs."""
+
+from __future__ import annotations
+
+import numpy as np
+
+import corpus_pipeline
+
+
+def similarity(a: str, b: str) -> float:
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_stage_drops_all_near_copies(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    texts = []
+    for _ in range(12):
+        words = [f"w{k}" for k in rng.integers(0, 5000, 400)]
+        texts.append(words)
+        for changed in (1, 3, 6, 8, 20, 60):
+            copy = list(words)
+            for at in rng.choice(400, changed, replace=False):
+                copy[at] = f"x{rng.integers(0, 10**6)}"
+            texts.append(copy)
+    texts = [" ".join(w) for w in texts] + ["", "a b", "A  b", "a c"]
+    parent = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if similarity(texts[i], texts[j]) >= 0.8:
+                low, high = sorted((parent[i], parent[j]))
+                parent = [low if p == high else p for p in parent]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).toPandas()
+    assert sorted(kept.doc_id) == sorted(set(parent))
