@@ -4,8 +4,10 @@ Documents travel in groups of at most GROUP rows. Each group explodes its texts
 bucket by bucket of the n-gram hash, for the corpus counts of the n-grams it holds, each asked once per group with its
 local count. A bucket's task adds up the local counts, which makes its slice of the count table, joins the table to what
 every group asked and sends the counts back. The group then scores its n-grams and sums per document. Both joins move
-sorted keys of five bytes, not rows per n-gram; the texts are shuffled once, as both uses of a group read the same
-exchange.
+sorted keys, not rows per n-gram; the texts are shuffled once, as both uses of a group read the same exchange.
+
+A key is the whole 64-bit hash of an n-gram and buckets are ranges of keys, so counts do not depend on their number. Two
+of n different n-grams of an order share a hash with probability n^2 / 2^65 at most: 2.4e-7 at three million.
 
 For the words w1 w2 w3, the score is c(w1 w2 w3) / c(w1 w2) if the trigram was counted MIN_COUNT times at least, else
 0.4 c(w2 w3) / c(w2) if the bigram was, else 0.16 c(w3) / N; the first two words of a text start at the lower orders.
@@ -31,7 +33,6 @@ ORDER = 3
 MIN_COUNT = 2
 BACKOFF = 0.4
 GROUP = 4096
-KEY_BITS = 40
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -65,22 +66,20 @@ def ngrams(words: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.n
 
 
 def bucketed(h: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, key of KEY_BITS bits) of n-gram hashes."""
-    mixed = mix64(h + U64(3))
-    return ((mixed >> U64(KEY_BITS)) % U64(n_buckets)).astype(np.int64), mixed & U64((1 << KEY_BITS) - 1)
+    """(bucket, 64-bit key) of n-gram hashes; buckets ascend with the keys."""
+    key = mix64(h + U64(3))
+    return ((key >> U64(32)) * U64(n_buckets) >> U64(32)).astype(np.int64), key
 
 
 def packed(keys: np.ndarray) -> bytes:
     """Ascending keys, as bytes of their differences by place value."""
-    steps = np.diff(keys, prepend=U64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    steps = np.diff(keys, prepend=U64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
     return zlib.compress(np.ascontiguousarray(steps.T).tobytes(), 1)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(5, -1)
-    wide = np.zeros((planes.shape[1], 8), dtype=np.uint8)
-    wide[:, :5] = planes.T
-    return np.cumsum(wide.view("<u8")[:, 0], dtype=U64)
+    planes = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8")[:, 0], dtype=U64)
 
 
 def _numbers(values: np.ndarray) -> bytes:
@@ -95,10 +94,8 @@ def _read_numbers(data: bytes) -> np.ndarray:
 
 def _distinct(h: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct n-grams by (bucket, key): buckets, keys, local counts, and for each n-gram its place among them."""
-    bucket, key = bucketed(h, n_buckets)
-    joint = (bucket.astype(U64) << U64(KEY_BITS)) | key
-    distinct, which, n = np.unique(joint, return_inverse=True, return_counts=True)
-    return (distinct >> U64(KEY_BITS)).astype(np.int64), distinct & U64((1 << KEY_BITS) - 1), n, which
+    order, first, which, n = np.unique(bucketed(h, n_buckets)[1], return_index=True, return_inverse=True, return_counts=True)
+    return bucketed(h[first], n_buckets)[0], order, n, which
 
 
 def _asking(n_buckets: int):
