@@ -111,27 +111,30 @@ def jenks_breaks(spark, sf):
 
 
 def _target(spark, sf):
-    stats = S.table(spark, sf, "events").agg(F.avg(F.log("value")).alias("m"), F.stddev_samp(F.log("value")).alias("s"), F.count("*").alias("n")).first()
-    m, s, n = float(stats["m"]), float(stats["s"]), min(int(stats["n"]), 100)
+    """Prior and likelihood of the mean of all log values, with their mean and its standard error; values without a logarithm are left out."""
+    log = F.log("value")
+    stats = S.table(spark, sf, "events").agg(F.avg(log).alias("m"), F.stddev_samp(log).alias("s"), F.count(log).alias("n")).first()
+    m, s, n = float(stats["m"]), float(stats["s"]), int(stats["n"])
     prior = lambda x: float(-0.5 * x[0] ** 2 / 100 - 0.5 * np.log(200 * np.pi))
-    like = lambda x: float(-0.5 * n * ((x[0] - m) / s) ** 2 - n * np.log(s) - 0.5 * n * np.log(2 * np.pi))
-    return prior, like
+    like = lambda x: float(-0.5 * n * ((x[0] - m) / s) ** 2 - 0.5 * (n - 1) - n * np.log(s) - 0.5 * n * np.log(2 * np.pi))
+    return prior, like, m, s / np.sqrt(n)
 
 
 @query
 def tempered_mcmc(spark, sf):
-    prior, like = _target(spark, sf)
-    return inference.run_rungs(spark, prior, like, [0.0], inference.temperatures(5), 2000)
+    prior, like, m, _ = _target(spark, sf)
+    return inference.run_rungs(spark, prior, like, [m], inference.temperatures(5), 2000)
 
 
 @query
 def nested_sampling(spark, sf):
-    prior, like = _target(spark, sf)
+    prior, like, _, _ = _target(spark, sf)
     found = inference.nested_sampling(lambda r: 10 * r.standard_normal(1), prior, like, live=60)
     return spark.createDataFrame([(found["log_z"], found["information"], found["error"])], "log_z double, information double, error double")
 
 
 @query
 def variational_race(spark, sf):
-    prior, like = _target(spark, sf)
-    return inference.step_size_race(spark, lambda x: prior(x) + like(x), 1, [0.01, 0.1, 0.5])
+    """Fits to the distance from the mean in standard errors, which leaves the evidence as it is."""
+    prior, like, m, error = _target(spark, sf)
+    return inference.step_size_race(spark, lambda z: prior(m + error * z) + like(m + error * z) + float(np.log(error)), 1, [0.01, 0.1, 0.5])
