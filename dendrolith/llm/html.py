@@ -180,7 +180,7 @@ def content_lines(lines: list[Line], kinds: dict[int, str]) -> list[Line]:
     if named:
         return [x for x in lines if not x.excluded and named[-1] in x.path]
     near = {x.path for x, is_content in zip(lines, content, strict=True) if is_content and 2 * x.linked <= x.chars}
-    return [x for x in lines if not x.excluded and 2 * x.linked <= x.chars and x.path in near and (not region or region in x.path or x.path in near)]
+    return [x for x in lines if not x.excluded and (region in x.path or 2 * x.linked <= x.chars and x.path in near)]
 
 
 def main_text(html: str) -> str:
