@@ -1,6 +1,6 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A vector's code holds the signs of its first 64 components. Codes are cut into m segments, m = ceil(64 / log2 n), and
+A vector's code holds the signs of its components, 64 at most; a wider vector stops the query with an error. Codes are cut into m segments, m = ceil(64 / log2 n), and
 each segment of each distinct code is an index entry. Queries probe in rounds: round r looks up all segment values
 within r bits of the query's. If two codes are within m*r + m - 1 bits, some segment is within r bits, so after round r
 all neighbours up to that distance are known; a query is done as soon as its k-th verified neighbour is no farther. A
@@ -32,9 +32,10 @@ def signed(x: int) -> int:
 
 
 def sign_code(vector: str) -> Column:
-    """64 sign bits of an array column as a long."""
+    """64 sign bits of an array column as a long; wider arrays are an error."""
+    wide = F.raise_error(F.format_string(f"vectors of over {BITS} components are not supported: %d", F.size(vector))).cast("long")
     bit = F.transform(F.slice(vector, 1, BITS), lambda x, i: F.when(F.coalesce(x, F.lit(0)).cast("double").between(5e-324, float("inf")), F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))).otherwise(F.lit(0).cast("long")))
-    return F.when(F.size(vector) > 0, F.aggregate(bit, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))
+    return F.when(F.size(vector) > BITS, wide).when(F.size(vector) > 0, F.aggregate(bit, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))
 
 
 def segment_masks(m: int) -> list[int]:
