@@ -189,20 +189,32 @@ def cov2cor(cov: DataFrame) -> DataFrame:
     return cov.join(F.broadcast(a), "i").join(F.broadcast(b), "j").select("i", "j", "cov", (F.col("cov") / F.sqrt(F.col("_vi") * F.col("_vj"))).alias("cor"))  # a row per column
 
 
-def jenks(values: np.ndarray, classes: int) -> list[int]:
-    """Start indexes of the classes that minimise the within-class squares of ascending values."""
+def jenks(values: np.ndarray, classes: int, counts: np.ndarray | None = None) -> list[int]:
+    """Start indexes of the classes that minimise the within-class squares of ascending values, each taken ``counts`` times.
+
+    The best start of the last class never falls as values are added, so each class takes n log n steps.
+    """
     x = np.asarray(values, dtype=float)
     n = len(x)
-    s1, s2 = np.concatenate([[0], np.cumsum(x)]), np.concatenate([[0], np.cumsum(x * x)])
-    within = lambda i, j: s2[j] - s2[i] - (s1[j] - s1[i]) ** 2 / np.maximum(j - i, 1)
+    w = np.ones(n) if counts is None else np.asarray(counts, dtype=float)
+    x = x - np.average(x, weights=w) if n else x
+    s0, s1, s2 = (np.concatenate([[0], np.cumsum(w * x**k)]) for k in (0, 1, 2))
+    within = lambda i, j: s2[j] - s2[i] - (s1[j] - s1[i]) ** 2 / np.maximum(s0[j] - s0[i], 1)
     cost, back = within(0, np.arange(n + 1)), []
     for _ in range(1, classes):
         best, at = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=int)
-        for j in range(1, n + 1):
-            i = np.arange(1, j + 1)
-            c = cost[i - 1 + 0] + within(i - 1, j)
+        spans = [(1, n, 0, n - 1)] if n else []
+        while spans:
+            low, high, first, last = spans.pop()
+            j = (low + high) // 2
+            i = np.arange(first, min(last, j - 1) + 1)
+            c = cost[i] + within(i, j)
             k = int(np.argmin(c))
-            best[j], at[j] = c[k], k
+            best[j], at[j] = c[k], i[k]
+            if low < j:
+                spans.append((low, j - 1, first, int(i[k])))
+            if j < high:
+                spans.append((j + 1, high, int(i[k]), last))
         cost = best
         back.append(at)
     out, end = [], n

@@ -98,16 +98,16 @@ def bootstrap_means(spark, sf):
 
 @query
 def jenks_breaks(spark, sf):
-    """Natural breaks of the event values' percentiles, by type."""
-    grid = [k / 200 for k in range(201)]
-    q = S.table(spark, sf, "events").groupBy("event_type").agg(F.expr(f"percentile_approx(value, array({', '.join(map(str, grid))}), 10000)").alias("q"))
+    """Natural breaks of all event values, by type; distinct values with their counts meet in a task per type."""
+    counted = S.table(spark, sf, "events").where("value is not null and not isnan(value)").groupBy("event_type", F.col("value").cast("double").alias("value")).agg(F.count("*").alias("n"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = np.array(pdf["q"].iloc[0])
-        starts = samples.jenks(values, 4)
+        pdf = pdf.sort_values("value")
+        values = pdf["value"].to_numpy()
+        starts = samples.jenks(values, 4, pdf["n"].to_numpy())
         return pd.DataFrame({"event_type": pdf["event_type"].iloc[0], "cls": range(len(starts)), "low": values[starts]})
 
-    return q.groupBy("event_type").applyInPandas(run, "event_type string, cls int, low double")
+    return counted.groupBy("event_type").applyInPandas(run, "event_type string, cls int, low double")
 
 
 def _target(spark, sf):
