@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dendrolith.llm import bpe, mixing, nearcopies, quality, repeats, simhash
+from dendrolith.llm import bpe, mixing, quality, repeats, simhash, simhash_wide
 from dendrolith.llm.common import modest_batches, table
 
 #: SQL can express neither the classifier nor the encoder; the stages are tested against brute force.
@@ -36,7 +36,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by 5-word Jaccard similarities of 0.8 or more: the smallest doc_id."""
     own = apart(docs, "doc_id", "text")
-    return whole(simhash.one_of_each(own, nearcopies.near_copy_groups(own.select("doc_id", "text"))), docs)
+    return whole(simhash.one_of_each(own, simhash_wide.similar_groups(own.select("doc_id", "text"))), docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
