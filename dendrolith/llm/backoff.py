@@ -1,10 +1,12 @@
 """Stupid-backoff scores from count tables partitioned by n-gram hash.
 
-Documents travel in groups of at most GROUP rows. Each group explodes its texts into n-grams of order 1 to 3 and asks,
-bucket by bucket of the n-gram hash, for the corpus counts of the n-grams it holds, each asked once per group with its
-local count. A bucket's task adds up the local counts, which makes its slice of the count table, joins the table to what
-every group asked and sends the counts back. The group then scores its n-grams and sums per document. Both joins move
-sorted keys, not rows per n-gram; the texts are shuffled once, as both uses of a group read the same exchange.
+Documents travel in groups of about GROUP bytes of text. Each group explodes its texts into n-grams of order 1 to 3 and
+asks, bucket by bucket of the n-gram hash, for the corpus counts of the n-grams it holds, each asked once per group with
+its local count. A bucket's task adds up the local counts, which makes its slice of the count table, joins the table to
+what every group asked and sends the counts back. The group then scores its n-grams, which are summed per document. Both
+joins move sorted keys, not rows per n-gram; the texts are shuffled once, compressed, as both uses of a group read the
+same exchange. A very common n-gram has an entry per group, not per occurrence. Buckets grow in number with the bytes of
+the corpus, about BUCKET each, so that what a bucket's task holds does not grow.
 
 A key is the whole 64-bit hash of an n-gram and buckets are ranges of keys, so counts do not depend on their number. Two
 of n different n-grams of an order share a hash with probability n^2 / 2^65 at most: 2.4e-7 at three million.
@@ -13,26 +15,34 @@ For the words w1 w2 w3, the score is c(w1 w2 w3) / c(w1 w2) if the trigram was c
 0.4 c(w2 w3) / c(w2) if the bigram was, else 0.16 c(w3) / N; the first two words of a text start at the lower orders.
 Counts cover all documents.
 
-Edge cases: a null, empty or blank text has no words and score 0. Repeated rows count and score like any other; null
-doc_id gives a row; extra columns are ignored; an empty table gives an empty result.
+Edge cases: a null, empty or blank text has no words and score 0. A text of over GROUP bytes is scored in pieces that
+overlap by two words. Repeated rows count and score like any other; null doc_id gives a row; extra columns are ignored;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import zlib
+import itertools
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dendrolith.llm.common import U64, cut, mix64, table, texts_as_bytes
+from dendrolith.llm.common import U64, cut, mix64, slices, table, texts_as_bytes
 
 ORDER = 3
 MIN_COUNT = 2
 BACKOFF = 0.4
-GROUP = 4096
+#: Bytes of text in a group and, about, behind a bucket of the count table.
+GROUP = 8 << 20
+BUCKET = 32 << 20
+BLANKS = re.compile(rb"[\x20\x09-\x0D]+")
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -52,9 +62,14 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(out, dtype=U64), counts
 
 
+def places(counts: np.ndarray) -> np.ndarray:
+    """Of each word, its place in its text."""
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
 def ngrams(words: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each order, n-gram hashes in text order and the position of their last word."""
-    place = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)  # of each word in its text
+    place = places(counts)
     found, h = [], words
     for order in range(1, ORDER + 1):
         if order > 1:
@@ -73,40 +88,98 @@ def bucketed(h: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 def packed(keys: np.ndarray) -> bytes:
     """Ascending keys, as bytes of their differences by place value."""
-    steps = np.diff(keys, prepend=U64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
-    return zlib.compress(np.ascontiguousarray(steps.T).tobytes(), 1)
+    return _numbers(np.diff(keys, prepend=U64(0)))
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8")[:, 0], dtype=U64)
+    return np.cumsum(_read_numbers(data).view(U64), dtype=U64)
 
 
 def _numbers(values: np.ndarray) -> bytes:
-    """Counts by place value, which leaves long runs of zeros."""
-    return zlib.compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+    """Numbers by place value, which leaves long runs of zeros."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def _read_numbers(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<u8")[:, 0].astype(np.int64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8")[:, 0]
 
 
-def _distinct(h: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _distinct(h: np.ndarray, n_buckets: int, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct n-grams by (bucket, key): buckets, keys, local counts, and for each n-gram its place among them."""
     order, first, which, n = np.unique(bucketed(h, n_buckets)[1], return_index=True, return_inverse=True, return_counts=True)
+    if weight is not None:
+        n = np.bincount(which, weights=weight, minlength=len(order)).astype(np.int64)
     return bucketed(h[first], n_buckets)[0], order, n, which
 
 
+def pieces(text: bytes, most: int) -> Iterator[tuple[int, bytes]]:
+    """(leading words that belong to the piece before, bytes) of a text, cut at blanks."""
+    at, lead, look = 0, 0, most
+    while len(text) - at > most and (blank := BLANKS.search(text, look)):
+        end = blank.start()
+        before = text[at:end].rsplit(None, ORDER - 1)[1:]
+        if len(before) < ORDER - 1:  # a piece of fewer words than the next one needs goes on
+            look = blank.end()
+            continue
+        yield lead, text[at:end]
+        for word in reversed(before):
+            end = text.rindex(word, at, end)
+        at, lead, look = end, len(before), end + most
+    yield lead, text[at:]
+
+
+def _grouping(most: int):
+    """One row per group: number, compressed texts, and of each piece its row, doc_id, leading words and size."""
+    names = ["grp", "texts", "row", "doc_id", "lead", "bytes"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = TaskContext.get().partitionId() << 32
+        number, row, size = itertools.count(base), itertools.count(base), 0
+        held: list[tuple[int, int | None, int, bytes]] = []
+
+        def flushed() -> pa.RecordBatch:
+            lists = [pa.array([[h[k] for h in held]], pa.list_(pa.int64())) for k in (0, 1, 2)]
+            sizes = pa.array([[len(h[3]) for h in held]], pa.list_(pa.int64()))
+            blob = zstandard.ZstdCompressor(level=3).compress(b"".join(h[3] for h in held))
+            return pa.RecordBatch.from_arrays([pa.array([next(number)], pa.int64()), pa.array([blob], pa.binary()), *lists, sizes], names=names)
+
+        for b in slices(batches, 512):
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), texts_as_bytes(b.column("text")), strict=True):
+                own = next(row)
+                for lead, piece in pieces(text, most):
+                    held.append((own, doc_id, lead, piece))
+                    size += len(piece) + 64
+                    if size >= most:
+                        yield flushed()
+                        held, size = [], 0
+        if held:
+            yield flushed()
+
+    return run
+
+
+GROUPS = "grp long, texts binary, row array<long>, doc_id array<long>, lead array<long>, bytes array<long>"
+
+
+def _words(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, words of each piece, and for each word whether it is the piece's own."""
+    blob = zstandard.ZstdDecompressor().decompress(group.column("texts")[0].as_py())
+    ends = np.cumsum(group.column("bytes")[0].as_py()).tolist()
+    words, counts = word_hashes([blob[s:e] for s, e in zip([0, *ends], ends, strict=False)])
+    return words, counts, places(counts) >= np.repeat(np.array(group.column("lead")[0].as_py(), dtype=np.int64), counts)
+
+
 def _asking(n_buckets: int):
     def run(group: pa.Table) -> pa.Table:
-        words, counts = word_hashes(texts_as_bytes(group.column("text")))
-        own = group.column("grp")[0].as_py()
+        words, counts, own_word = _words(group)
+        grp = group.column("grp")[0].as_py()
         out: list[tuple[int, int, int, bytes, bytes]] = []
-        for order, (h, _) in enumerate(ngrams(words, counts), 1):
-            bucket, key, n, _ = _distinct(h, n_buckets)
+        for order, (h, last) in enumerate(ngrams(words, counts), 1):
+            bucket, key, n, _ = _distinct(h, n_buckets, own_word[last])
             for b, s, e in _slices(bucket):
-                out.append((b, order, own, packed(key[s:e]), _numbers(n[s:e])))
+                out.append((b, order, grp, packed(key[s:e]), _numbers(n[s:e])))
         columns = zip(*out, strict=True) if out else ([], [], [], [], [])
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
         return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "n", "grp", "keys", "counts"])
@@ -132,7 +205,7 @@ def _answering(block: pa.Table) -> pa.Table:
 
 def _scoring(n_buckets: int):
     def run(group: pa.Table, answers: pa.Table) -> pa.Table:
-        words, counts = word_hashes(texts_as_bytes(group.column("text")))
+        words, counts, own_word = _words(group)
         got = {(o, b): a for o, b, a in zip(answers.column("n").to_pylist(), answers.column("bucket").to_pylist(), answers.column("answer").to_pylist(), strict=True)}
         count = np.zeros((ORDER + 1, len(words)), dtype=np.int64)  # of the n-gram of each order that ends at a word
         for order, (h, last) in enumerate(ngrams(words, counts), 1):
@@ -142,8 +215,8 @@ def _scoring(n_buckets: int):
                 count[order, last] = np.concatenate(totals)[which]
         previous = np.zeros_like(count)
         previous[:, 1:] = count[:, :-1]
-        place = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
-        score, open_ = np.zeros(len(words)), np.ones(len(words), dtype=bool)
+        place = places(counts)
+        score, open_ = np.zeros(len(words)), own_word.copy()
         for order in range(ORDER, 1, -1):
             hit = open_ & (place >= order - 1) & (count[order] >= MIN_COUNT)
             steps = np.minimum(ORDER, place + 1) - order
@@ -153,23 +226,25 @@ def _scoring(n_buckets: int):
         score[open_] = np.log(count[1][open_]) + steps[open_] * np.log(BACKOFF)
         starts = np.minimum(np.cumsum(counts) - counts, len(words))
         total = lambda x: np.where(counts > 0, np.add.reduceat(np.append(x, 0), starts), 0)
-        return pa.table([group.column("doc_id"), pa.array(counts), pa.array(total(score).astype(float)), pa.array(total(open_.astype(np.int64)).astype(np.int64))], names=["doc_id", "n_words", "log_sum", "n_unigram"])
+        columns = [pa.array(group.column(c)[0].as_py(), pa.int64()) for c in ("row", "doc_id")]
+        sums = [pa.array(total(own_word.astype(np.int64)).astype(np.int64)), pa.array(total(score).astype(float)), pa.array(total(open_.astype(np.int64)).astype(np.int64))]
+        return pa.table([*columns, *sums], names=["row", "doc_id", "n_words", "log_sum", "n_unigram"])
 
     return run
 
 
-def backoff_scores(docs: DataFrame, n_buckets: int | None = None) -> DataFrame:
+def backoff_scores(docs: DataFrame, n_buckets: int | None = None, group: int = GROUP) -> DataFrame:
     """(doc_id, n_words, score): the sum of the log scores of all words of each text."""
-    spark = docs.sparkSession
-    n_buckets = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    row = F.monotonically_increasing_id()
-    group = F.shiftright(row, 33).cast("long") * (1 << 21) + F.shiftright(row.bitwiseAND((1 << 33) - 1), 12)
-    grouped = docs.select(F.col("doc_id").cast("long"), "text", group.alias("grp"))
+    if not n_buckets:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        n_buckets = 1 + size // BUCKET
+    grouped = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_grouping(group), GROUPS)
     asked = grouped.groupBy("grp").applyInArrow(_asking(n_buckets), "bucket long, n long, grp long, keys binary, counts binary")
     answers = asked.groupBy("bucket", "n").applyInArrow(_answering, "grp long, bucket long, n long, answer binary")
-    scored = cut(grouped.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_scoring(n_buckets), "doc_id long, n_words long, log_sum double, n_unigram long"))
+    scored = cut(grouped.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_scoring(n_buckets), "row long, doc_id long, n_words long, log_sum double, n_unigram long"))
     total = scored.agg(F.sum("n_words")).first()[0] or 1
-    return scored.select("doc_id", "n_words", (F.col("log_sum") - F.col("n_unigram") * F.log(F.lit(float(total)))).alias("score"))
+    each = scored.groupBy("row", "doc_id").agg(*[F.sum(c).alias(c) for c in ("n_words", "log_sum", "n_unigram")])
+    return each.select("doc_id", "n_words", (F.col("log_sum") - F.col("n_unigram") * F.log(F.lit(float(total)))).alias("score"))
 
 
 def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
