@@ -1,19 +1,28 @@
 """Main-content extraction from HTML by text-to-tag ratios.
 
 The standard library's parser streams events; block-level tags end a line. Each line has a text-to-tag ratio, its
-characters over the tags met in it, counted as nothing inside elements that never hold article text (menus, headers,
-footers, sidebars, notices, adverts, forms, comments). The ratios are smoothed with a Gaussian kernel, and lines above a
-share of the mean smoothed ratio form the content clusters. The region is the deepest element that holds nearly all
-clustered text, widened to its enclosing article or main element; its lines outside the excluded elements are the text.
-
-Edge cases: a null, empty or text-free page gives the empty text. Unclosed and wrongly nested tags, unknown references
-and truncated pages are read as far as they go. Repeated pages and null page_id give a row each; extra columns are
-ignored; an empty table gives an empty result.
+characters over the tags met in it, counted as nothing inside furniture (menus, headers, footers, sidebars, notices,
+adverts, forms, reader comments). The ratios are smoothed with a Gaussian kernel, and lines above a share of the mean
+smoothed ratio form the content clusters. The region is the deepest element that holds nearly all clustered text,
+widened to its enclosing article or main element; its lines outside furniture are the text. Where no article or main
+element is found, blocks of several links without a dense line are menus, whatever they are called.
+
+What counts as furniture: tags and roles that HTML has for it, hidden elements, and elements that have a class or an id
+made up of furniture words only (``cookie-notice``, not ``popular-uprising``), unless nothing else is left. A header inside an article belongs to it. Furniture that is never closed by its own end tag ends at the next paragraph,
+heading, article or main element, so that a forgotten end tag costs no article.
+
+Every event takes constant time but for the elements that it closes, so a page takes time in proportion to its length.
+
+Edge cases: a null, empty or text-free page gives the empty text. Unclosed and wrongly nested tags, end tags without a
+start, unknown references and truncated pages are read as far as they go; an end tag of a phrase does not close the
+block around it. Repeated pages and null page_id give a row each; extra columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -22,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dendrolith.llm.common import table
+from dendrolith.llm.common import slices, table
 
 SIGMA = 1.5
 #: Share of the mean smoothed ratio above which a line is content.
@@ -34,23 +43,43 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
+#: Elements that end furniture that was left open.
+FRESH = frozenset("p h1 h2 h3 h4 h5 h6 article main".split())
 REGION = frozenset("article main section div td body html blockquote center table".split())
-NEVER = frozenset("head title nav header footer aside form script style noscript template svg math button select textarea input iframe object canvas audio video map menu dialog datalist".split())
+NEVER = frozenset("nav header footer aside form menu dialog".split())
+#: Elements whose text is no text of the page.
+SILENT = frozenset("head title script style noscript template svg math button select textarea input iframe object canvas audio video map datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 HINTS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidenav menu nav navbar navigation navi breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist respond reply replies disqus share sharing social related recommended recommendations widget toolbar pagination pager skip popular trending".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidenav menu nav navbar navigation navi breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist respond reply replies disqus share sharing social related recommended recommendations widget widgets toolbar pagination pager skip popular trending".split()
 )
 COMMENT = frozenset("comment comments commentlist reply replies disqus".split())
-PARTS = re.compile(r"[a-z0-9]+")
+#: Words that say where or how, not what.
+PLACE = frozenset("area bar block body bottom box col column container content first global inner item last left link links list main middle outer page primary right secondary section site small sticky text thread top wrap wrapper".split())
+PARTS = re.compile(r"[a-z]+")
+#: Nested furniture beyond this depth is not told apart.
+DEEPEST = 16
+
+
+class Furniture:
+    """An element whose lines are left out; unless ``sound``, only up to the line ``until``."""
+
+    __slots__ = ("depth", "named", "outer", "sound", "until")
+
+    def __init__(self, outer: Furniture | None, named: bool):
+        self.outer, self.named = outer, named
+        self.depth = outer.depth + 1 if outer else 1
+        self.sound = False
+        self.until: int | None = None
 
 
 class Line:
-    __slots__ = ("chars", "excluded", "linked", "path", "ratio", "tags", "text")
+    __slots__ = ("chars", "excluded", "inside", "linked", "links", "ratio", "region", "tags", "text")
 
-    def __init__(self, text: str, tags: int, linked: int, excluded: bool, path: tuple[int, ...]):
-        self.text, self.tags, self.linked, self.excluded, self.path = text, tags, linked, excluded, path
+    def __init__(self, text: str, tags: int, linked: int, links: int, inside: Furniture | None, region: int):
+        self.text, self.tags, self.linked, self.links, self.inside, self.region = text, tags, linked, links, inside, region
         self.chars = len(text)
-        self.ratio = 0.0 if excluded else self.chars / max(1, tags)
+        self.excluded, self.ratio = False, 0.0
 
 
 class LineReader(HTMLParser):
@@ -59,92 +88,113 @@ class LineReader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.kinds: dict[int, str] = {}
-        self.stack: list[tuple[str, bool, int]] = []  # tag, excluded from here on, region number or 0
-        self.path: tuple[int, ...] = ()
+        self.kinds: list[str] = [""]  # of regions; 0 is the page
+        self.parents: list[int] = [0]
+        self.stack: list[tuple[str, int, Furniture | None, Furniture | None]] = []  # tag, region around, furniture around, own furniture
+        self.open_blocks: Counter[str] = Counter()
+        self.open_phrases: list[Counter[str]] = [Counter()]  # of each open block
+        self.region = 0
+        self.inside: Furniture | None = None
+        self.silent = self.links = 0
         self.pieces: list[str] = []
-        self.tags = self.linked = self.links = 0
-        self.excluded = self.left_out = False
+        self.tags = self.linked = self.anchors = 0
 
     def end_line(self) -> None:
         text = " ".join("".join(self.pieces).split())
         if text:
-            self.lines.append(Line(text, self.tags, self.linked, False, self.path))
-        elif self.left_out:
-            self.lines.append(Line("", self.tags, 0, True, self.path))
+            self.lines.append(Line(text, self.tags, self.linked, self.anchors, self.inside, self.region))
         self.pieces = []
-        self.tags = self.linked = 0
-        self.left_out = False
-
-    def unwanted(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in NEVER:
-            return True
+        self.tags = self.linked = self.anchors = 0
+
+    def furniture(self, tag: str, attrs: list[tuple[str, str | None]]) -> Furniture | None:
+        if self.inside and self.inside.depth >= DEEPEST:
+            return None
+        if tag in NEVER and not (tag == "header" and self.open_blocks["article"]):
+            return Furniture(self.inside, False)
+        words = COMMENT if tag in ("article", "main", "body", "html") else HINTS
         for name, value in attrs:
             if name == "hidden":
-                return True
+                return Furniture(self.inside, False)
             if not value:
                 continue
             if name in ("class", "id"):
-                parts = PARTS.findall(value.lower())
-                if not (COMMENT if tag in ("article", "main", "body", "html") else HINTS).isdisjoint(parts):
-                    return True
+                for own in value.lower().split():
+                    parts = PARTS.findall(own)
+                    if not words.isdisjoint(parts) and all(p in words or p in PLACE for p in parts):
+                        return Furniture(self.inside, True)
             elif name == "role":
                 if value.lower() in ROLES:
-                    return True
+                    return Furniture(self.inside, False)
             elif name == "aria-hidden":
                 if value.lower() == "true":
-                    return True
+                    return Furniture(self.inside, False)
             elif name == "style" and "display:none" in value.replace(" ", "").lower():
-                return True
-        return False
+                return Furniture(self.inside, False)
+        return None
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in BLOCK:
+        block = tag in BLOCK
+        if block:
             self.end_line()
             if tag != "br" and self.stack and self.stack[-1][0] == "p":
                 self.close_from(len(self.stack) - 1)
+        if tag in FRESH:
+            around = self.inside
+            while around and around.until is None:
+                around.until = len(self.lines)
+                around = around.outer
         self.tags += 1
         if tag in VOID:
             return
-        if tag == "body":  # a body ends a head that was left open
-            for n, (open_tag, _, _) in enumerate(self.stack):
-                if open_tag == "head":
-                    self.close_from(n)
-                    break
-        number = 0
-        excluded = self.excluded or self.unwanted(tag, attrs)
+        if tag == "body" and self.open_blocks["head"]:  # a body ends a head that was left open
+            self.handle_endtag("head")
+        own = self.furniture(tag, attrs)
+        self.stack.append((tag, self.region, self.inside, own))
+        if block:
+            self.open_blocks[tag] += 1
+            self.open_phrases.append(Counter())
+        else:
+            self.open_phrases[-1][tag] += 1
+        self.inside = own or self.inside
         if tag in REGION:
-            number = len(self.kinds) + 1
-            self.kinds[number] = tag
-            self.path = (*self.path, number)
-        self.stack.append((tag, self.excluded, number))
-        self.excluded = excluded
+            self.kinds.append(tag)
+            self.parents.append(self.region)
+            self.region = len(self.kinds) - 1
+        self.silent += tag in SILENT
         if tag == "a":
             self.links += 1
+            self.anchors += 1
 
     def close_from(self, n: int) -> None:
-        tags = [t for t, _, _ in self.stack[n:]]
-        if any(t in BLOCK for t in tags):
+        if any(t in BLOCK for t, _, _, _ in self.stack[n:]):
             self.end_line()
-        self.excluded = self.stack[n][1]
-        closed = sum(1 for _, _, number in self.stack[n:] if number)
-        if closed:
-            self.path = self.path[:-closed]
-        self.links -= tags.count("a")
+        _, self.region, self.inside, _ = self.stack[n]
+        for tag, _, _, _ in reversed(self.stack[n:]):
+            if tag in BLOCK:
+                self.open_blocks[tag] -= 1
+                self.open_phrases.pop()
+            else:
+                self.open_phrases[-1][tag] -= 1
+            self.silent -= tag in SILENT
+            self.links -= tag == "a"
         del self.stack[n:]
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self.end_line()
         self.tags += 1
-        for n in range(len(self.stack) - 1, -1, -1):
-            if self.stack[n][0] == tag:
-                self.close_from(n)
-                return
+        if not (self.open_blocks[tag] if tag in BLOCK else self.open_phrases[-1][tag]):
+            return
+        n = len(self.stack) - 1
+        while self.stack[n][0] != tag:
+            n -= 1
+        own = self.stack[n][3]
+        if own:
+            own.sound = True
+        self.close_from(n)
 
     def handle_data(self, data: str) -> None:
-        if self.excluded:
-            self.left_out = self.left_out or not data.isspace()
+        if self.silent:
             return
         self.pieces.append(data)
         if self.links:
@@ -159,28 +209,54 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return full / np.convolve(np.ones(len(ratios)), kernel)[reach : reach + len(ratios)]
 
 
-def content_lines(lines: list[Line], kinds: dict[int, str]) -> list[Line]:
+def leave_out(lines: list[Line], names: bool = True) -> None:
+    """Mark the lines that belong to furniture; without ``names``, to furniture by tag or role."""
+    for n, x in enumerate(lines):
+        x.excluded, around = False, x.inside
+        while around and not x.excluded:
+            if names or not around.named:
+                x.excluded = around.sound or around.until is None or n < around.until
+            around = around.outer
+        x.ratio = 0.0 if x.excluded else x.chars / max(1, x.tags)
+
+
+def clusters(lines: list[Line]) -> tuple[list[bool], float]:
+    """Which lines are content by their smoothed ratio, and the ratio it takes."""
+    level = smoothed(np.array([x.ratio for x in lines]))
+    least = THRESHOLD * float(level.mean())
+    return [bool(s > 0 and s >= least and not x.excluded) for s, x in zip(level, lines, strict=True)], least
+
+
+def content_lines(lines: list[Line], kinds: list[str], parents: list[int]) -> list[Line]:
     if not lines:
         return []
-    level = smoothed(np.array([x.ratio for x in lines]))
-    content = [(s > 0 and s >= THRESHOLD * level.mean() and not x.excluded) for s, x in zip(level, lines, strict=True)]
-    held: dict[int, int] = {}
-    total = 0
+    leave_out(lines)
+    if all(x.excluded for x in lines):
+        leave_out(lines, names=False)
+    content, least = clusters(lines)
+    held = [0] * len(kinds)
     for x, is_content in zip(lines, content, strict=True):
-        if is_content:
-            total += x.chars
-            for n in x.path:
-                held[n] = held.get(n, 0) + x.chars
-    if not total:
+        held[x.region] += x.chars * is_content
+    for n in range(len(kinds) - 1, 0, -1):  # elements are numbered as they open, so the inner ones come last
+        held[parents[n]] += held[n]
+    if not held[0]:
         return []
-    enough = [n for n, c in held.items() if c >= HELD * total]
-    region = max(enough, default=0)  # elements are numbered as they open, so the deepest one comes last
-    chain = next((x.path[: x.path.index(region) + 1] for x in lines if region in x.path), ())
-    named = [n for n in chain if kinds[n] in ("article", "main")]
-    if named:
-        return [x for x in lines if not x.excluded and named[-1] in x.path]
-    near = {x.path for x, is_content in zip(lines, content, strict=True) if is_content and 2 * x.linked <= x.chars}
-    return [x for x in lines if not x.excluded and (region in x.path or 2 * x.linked <= x.chars and x.path in near)]
+    region = max(n for n, chars in enumerate(held) if chars >= HELD * held[0])
+    named = region
+    while named and kinds[named] not in ("article", "main"):
+        named = parents[named]
+    region = named or region
+    inside = [False] * len(kinds)
+    for n in range(len(kinds)):
+        inside[n] = n == region or n > 0 and inside[parents[n]]
+    kept = [x for x in lines if inside[x.region] and not x.excluded]
+    if not named:
+        dense, links = [False] * len(kinds), [0] * len(kinds)
+        for x in lines:
+            dense[x.region] |= x.ratio >= least
+            links[x.region] += x.links
+        kept = [x for x in kept if 2 * x.linked <= x.chars or links[x.region] < 2 or dense[x.region]]
+    return kept
 
 
 def main_text(html: str) -> str:
@@ -188,14 +264,14 @@ def main_text(html: str) -> str:
     reader.feed(html)
     reader.close()
     reader.end_line()
-    return " ".join(x.text for x in content_lines(reader.lines, reader.kinds))
+    return " ".join(x.text for x in content_lines(reader.lines, reader.kinds, reader.parents))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, html) to (page_id, url, text, n_chars)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 256):
             texts = [main_text(h.as_py() or "") for h in b.column("html")]
             yield pa.RecordBatch.from_arrays(
                 [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]
