@@ -41,7 +41,7 @@ MIN_COUNT = 2
 BACKOFF = 0.4
 #: Bytes of text in a group and, about, behind a bucket of the count table.
 GROUP = 8 << 20
-BUCKET = 32 << 20
+BUCKET = 16 << 20
 BLANKS = re.compile(rb"[\x20\x09-\x0D]+")
 
 
