@@ -5,11 +5,18 @@ pattern offers its words once, twice and three times at convex costs, a pattern
 quota holds its source's target; the cheapest maximal flow tells how often each pattern's words are used and where they
 go. Whole rounds of a pattern take every document of it; the last, partial round takes documents in a seeded order up to
 the words that remain. The cut-off of that order is found by three rounds of 4,096-bucket histograms, so that no source
-is ever sorted or collected in one task. The driver holds one row per pattern only.
+is ever sorted or collected in one task. A document in several sources counts against one quota, drawn from its own
+values by the shares in which the flow sends its pattern's words to them.
+
+The driver holds one row per pattern, MOST_PATTERNS at most (more stop the query with an error), and solves patterns that
+share no source apart from each other, so that sources without overlap take linear time.
+
+Rows that agree in doc_id and text are told apart by a global row number among all such rows, which a range sort deals
+out evenly; as they are equal, it does not matter which of them is taken. All other rows' places follow from their own
+values alone.
 
 Edge cases: null is a source of its own, the last in order; a null or blank text has size 0 and nothing is taken from
-it; sources without words get target 0; equal rows share a place in the seeded order and are taken or left together;
-extra columns are ignored; an empty table gives an empty result.
+it; sources without words get target 0; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,14 +28,16 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dendrolith.llm.common import cut, n_words, table
+from dendrolith.llm.common import cut, n_words, number_rows, table
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 COSTS = (1, 4, 16)
 SEED = 7
-#: Patterns up to which their decisions are sent to all tasks.
+#: Rows up to which a counted table is sent to all tasks.
 MOST_BROADCAST = 10_000
+#: Membership patterns that the driver takes.
+MOST_PATTERNS = 1_000_000
 DIGITS, DIGIT_BITS = 3, 12
 
 
@@ -93,21 +102,54 @@ class FlowNetwork:
                 self.arcs[a ^ 1][1] += room
 
 
-def route(patterns: list[tuple[tuple[int, ...], int]], targets: list[float], costs: tuple[int, ...] = COSTS) -> list[list[int]]:
-    """Words that each pattern (members, size) sends to each of its members, in the members' order."""
+def _solved(patterns: list[tuple[tuple[int, ...], int]], targets: dict[int, float], costs: tuple[int, ...]) -> list[list[int]]:
+    """The flow of patterns that are linked by their sources."""
+    place = {q: 2 + len(patterns) + n for n, q in enumerate(targets)}
     net = FlowNetwork(2 + len(patterns) + len(targets))
-    source, sink, quota = 0, 1, 2 + len(patterns)
-    for q, t in enumerate(targets):
-        net.arc(quota + q, sink, round(t))
+    source, sink = 0, 1
+    for q, t in targets.items():
+        net.arc(place[q], sink, round(t))
     feeds = []
     for p, (members, size) in enumerate(patterns):
         for cost in costs:
             net.arc(source, 2 + p, size, cost)
-        feeds.append([net.arc(2 + p, quota + q, len(costs) * size) for q in members])
+        feeds.append([net.arc(2 + p, place[q], len(costs) * size) for q in members])
     net.solve(source, sink)
     return [[net.used(a) for a in arcs] for arcs in feeds]
 
 
+def route(patterns: list[tuple[tuple[int, ...], int]], targets: list[float], costs: tuple[int, ...] = COSTS) -> list[list[int]]:
+    """Words that each pattern (members, size) sends to each of its members, in the members' order."""
+    parent = list(range(len(targets)))
+
+    def root(q: int) -> int:
+        while parent[q] != q:
+            parent[q] = q = parent[parent[q]]
+        return q
+
+    for members, _ in patterns:
+        for q in members[1:]:
+            low, high = sorted((root(members[0]), root(q)))
+            parent[high] = low
+    linked: dict[int, list[int]] = {}
+    for p, (members, _) in enumerate(patterns):
+        linked.setdefault(root(members[0]) if members else -1, []).append(p)
+    out: list[list[int]] = [[] for _ in patterns]
+    for own in linked.values():
+        sources = dict.fromkeys(q for p in own for q in patterns[p][0])
+        for p, feed in zip(own, _solved([patterns[p] for p in own], {q: targets[q] for q in sources}, costs), strict=True):
+            out[p] = feed
+    return out
+
+
+def few(df: DataFrame) -> list:
+    """The rows of a table that has a row per pattern or source; an error beyond MOST_PATTERNS."""
+    rows = df.limit(MOST_PATTERNS + 1).collect()
+    if len(rows) > MOST_PATTERNS:
+        raise ValueError(f"over {MOST_PATTERNS} sources or membership patterns")
+    return rows
+
+
 def seeded_place(seed: int, *columns: str) -> Column:
     """36 bits that order documents by chance, from their own values alone."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 64 - DIGITS * DIGIT_BITS)
@@ -147,58 +189,82 @@ def cut_offs(docs: DataFrame, words: dict[int, int]) -> dict[int, int]:
 
 
 def decide(docs: DataFrame, targets: dict[str | None, float], seed: int = SEED, place_by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(sources, rounds, below), a row per membership pattern: whole rounds, and the place below which one more is due.
+    """(sources, rounds, below, shares), a row per membership pattern: whole rounds, the place below which one more is due,
+    and of each quota that the pattern feeds the share of its words up to there.
 
     docs has size long, ``sources`` array<string> (the sources that a document is in) and the columns of ``place_by``.
     """
     names = list(targets)
     at = {s: i for i, s in enumerate(names)}
-    sized = docs.groupBy("sources").agg(F.sum("size").cast("long").alias("size")).collect()  # one row per pattern
+    sized = few(docs.groupBy("sources").agg(F.sum("size").cast("long").alias("size")))
     sized.sort(key=lambda r: [(s is None, s or "") for s in r["sources"]])
-    feeds = route([(tuple(at[s] for s in dict.fromkeys(r["sources"])), r["size"]) for r in sized], [targets[s] for s in names])
+    members = [list(dict.fromkeys(r["sources"])) for r in sized]
+    feeds = route([(tuple(at[s] for s in m), r["size"]) for m, r in zip(members, sized, strict=True)], [targets[s] for s in names])
     taken = [sum(f) for f in feeds]
     rounds = [min(MOST_COPIES, t // r["size"]) if r["size"] else 0 for t, r in zip(taken, sized, strict=True)]
     rest = {p: 0 if rounds[p] >= MOST_COPIES else taken[p] - rounds[p] * r["size"] for p, r in enumerate(sized)}
+    shares = [[(s, sum(f[: k + 1]) / t if t else 1.0) for k, s in enumerate(m)] for m, f, t in zip(members, feeds, taken, strict=True)]
     spark = docs.sparkSession
-    known = spark.createDataFrame([(r["sources"], p) for p, r in enumerate(sized)], T.StructType([T.StructField("_sources", T.ArrayType(T.StringType())), T.StructField("pattern", T.IntegerType())]))
+    of = T.StructField("_sources", T.ArrayType(T.StringType()))
+    known = spark.createDataFrame([(r["sources"], p) for p, r in enumerate(sized)], T.StructType([of, T.StructField("pattern", T.IntegerType())]))
     placed = docs.join(small(known, len(sized)), F.col("sources").eqNullSafe(F.col("_sources"))).select("pattern", "size", seeded_place(seed, *place_by).alias("place"))
     below = cut_offs(placed, rest)
-    kind = T.StructType([T.StructField("_sources", T.ArrayType(T.StringType())), T.StructField("_rounds", T.IntegerType()), T.StructField("_below", T.LongType())])
-    return small(spark.createDataFrame([(r["sources"], rounds[p], below[p]) for p, r in enumerate(sized)], kind), len(sized))
+    share = T.ArrayType(T.StructType([T.StructField("quota", T.StringType()), T.StructField("upto", T.DoubleType())]))
+    kind = T.StructType([of, T.StructField("_rounds", T.IntegerType()), T.StructField("_below", T.LongType()), T.StructField("_shares", share)])
+    return small(spark.createDataFrame([(r["sources"], rounds[p], below[p], shares[p]) for p, r in enumerate(sized)], kind), len(sized))
 
 
 def with_copies(docs: DataFrame, decisions: DataFrame, seed: int = SEED, place_by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """docs (with ``sources``) and ``copies``, 0 to 3; each row's own values and its pattern's decision suffice."""
+    """docs (with ``sources``), ``copies``, 0 to 3, and ``quota``, the source whose target a document counts against; each
+    row's own values and its pattern's decision suffice."""
     joined = docs.join(decisions, F.col("sources").eqNullSafe(F.col("_sources")))
     extra = (seeded_place(seed, *place_by) < F.col("_below")).cast("int")
-    return joined.withColumn("copies", F.col("_rounds") + extra).drop("_sources", "_rounds", "_below")
+    drawn = seeded_place(seed + 1, *place_by) / float(1 << DIGITS * DIGIT_BITS)
+    quota = F.get(F.filter("_shares", lambda s: drawn < s["upto"]), 0)["quota"]
+    return joined.withColumn("copies", F.col("_rounds") + extra).withColumn("quota", quota).drop("_sources", "_rounds", "_below", "_shares")
 
 
 def text_crc() -> Column:
     return F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
 
 
+def told_apart(docs: DataFrame) -> DataFrame:
+    """docs with ``_row``: zero, or a number of its own for each row that agrees with another one in doc_id and _crc.
+
+    Only such rows move. Their keys are counted and sent to all tasks if they are few; beyond that Spark chooses the join.
+    """
+    keys = cut(docs.groupBy(F.col("doc_id").alias("_d"), F.col("_crc").alias("_c")).agg(F.count("*").alias("_n")).where("_n > 1").select("_d", "_c"))
+    n = keys.count()
+    if not n:
+        return docs.withColumn("_row", F.lit(0).cast("long"))
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_crc") == F.col("_c"))
+    alone = docs.join(small(keys, n), same, "left_anti").withColumn("_row", F.lit(0).cast("long"))
+    repeated, _ = number_rows(docs.join(small(keys, n), same, "left_semi"), [F.col("doc_id"), F.col("_crc"), F.col("sources")], "_row")
+    return alone.unionByName(repeated.withColumn("_row", F.col("_row") + 1))
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """The narrow table that decisions are made on."""
-    return cut(docs.select("doc_id", "source", n_words("text").alias("size"), text_crc().alias("_crc"), F.array("source").alias("sources")))
+    own = cut(docs.select("doc_id", "source", n_words("text").alias("size"), text_crc().alias("_crc"), F.array("source").alias("sources")))
+    return told_apart(own)
 
 
 def source_targets(own: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> dict[str | None, tuple[int, float]]:
     """Size and target of each source; sources weigh in code-point order, null last."""
-    sized = own.groupBy("source").agg(F.sum("size").cast("long").alias("size")).collect()  # one row per source
+    sized = few(own.groupBy("source").agg(F.sum("size").cast("long").alias("size")))
     sized.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     shares = capped_shares([r["size"] for r in sized], [weights[i % len(weights)] for i in range(len(sized))])
     return {r["source"]: (r["size"], t) for r, t in zip(sized, shares, strict=True)}
 
 
-PLACE_BY = ("doc_id", "_crc")
+PLACE_BY = ("doc_id", "_crc", "_row")
 
 
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """Each document as often as the mix takes it; the text does not move."""
+    """Each document as often as the mix takes it; only texts of repeated rows move."""
     own = measured(docs)
     targets = {s: t for s, (_, t) in source_targets(own, weights).items()}
-    wide = docs.withColumns({"_crc": text_crc(), "sources": F.array("source")})
+    wide = told_apart(docs.withColumns({"_crc": text_crc(), "sources": F.array("source")}))
     mixed = with_copies(wide, decide(own, targets, place_by=PLACE_BY), place_by=PLACE_BY)
     again = F.explode(F.sequence(F.lit(1), F.col("copies")))
     return mixed.where("copies > 0").withColumn("_again", again).select(*docs.columns)
