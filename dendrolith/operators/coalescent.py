@@ -108,3 +108,16 @@ def lineages(events: DataFrame, tree: str = "tree") -> DataFrame:
     w = Window.partitionBy(tree).orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)
     sign = F.when(F.col("kind") == SAMPLING, 1).when(F.col("kind") == COALESCENCE, -1).otherwise(0)
     return events.select(tree, "t", "id", F.sum(sign).over(w).alias("k"))
+
+
+def constant_gradient(rows: DataFrame, theta: float, tree: str = "tree") -> DataFrame:
+    """(tree, slope): derivative of the constant population's log density by theta."""
+    return total(rows, pairs() * F.col("dt") / theta**2 - F.when(is_coal(), 1 / theta).otherwise(0.0), tree).withColumnRenamed("lp", "slope")
+
+
+def piecewise_gradient(rows: DataFrame, sizes: Sequence[float], bin_: Column, tree: str = "tree") -> DataFrame:
+    """(tree, bin, slope): derivative by the size of each bin that events fall in; bins beyond the last stay there."""
+    own = F.least(bin_, F.lit(len(sizes) - 1)).cast("int")
+    size = F.element_at(F.lit([float(x) for x in sizes]).cast("array<double>"), F.col("bin") + 1)
+    slope = pairs() * F.col("dt") / size**2 - F.when(is_coal(), 1 / size).otherwise(0.0)
+    return rows.withColumn("bin", own).groupBy(tree, "bin").agg(F.sum(slope).alias("slope"))

@@ -118,3 +118,13 @@ def multivariate_normal(x, mean, covariance=None, factor=None) -> float:
     lower = np.linalg.cholesky(np.asarray(covariance, dtype=float)) if factor is None else np.asarray(factor, dtype=float)
     z = np.linalg.solve(lower, np.asarray(x, dtype=float) - np.asarray(mean, dtype=float))
     return float(-0.5 * z @ z - np.log(np.diag(lower)).sum() - 0.5 * len(z) * LOG_2PI)
+
+
+def multivariate_normal_of(xs: Sequence[Column], mean: Sequence[float], covariance) -> Column:
+    """The log density of a vector of columns; the inverse covariance is worked out once."""
+    import numpy as np
+
+    precision = np.linalg.inv(np.asarray(covariance, dtype=float))
+    away = [x - float(m) for x, m in zip(xs, mean, strict=True)]
+    square = sum((float(precision[i, j]) * a * b for i, a in enumerate(away) for j, b in enumerate(away)), F.lit(0.0))
+    return -0.5 * square - 0.5 * float(np.linalg.slogdet(np.asarray(covariance, dtype=float))[1]) - 0.5 * len(away) * LOG_2PI

@@ -2,42 +2,49 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dendrolith.functions.special import pnorm, qnorm
 
 
+#: P(X <= k) of a Poisson variable with mean one.
+POISSON = np.cumsum(np.exp(-1) / np.cumprod([1.0, *range(1, 13)]))
+
+
+def uniform(seed: int, *keys: Column) -> Column:
+    """A number in [0, 1) from the digest of the keys, the same on every engine."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]))
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") / float(1 << 48)
+
+
+def poisson_draw(u: Column) -> Column:
+    """Poisson(1) by inversion."""
+    out = F.lit(len(POISSON))
+    for k in range(len(POISSON) - 1, -1, -1):
+        out = F.when(u < float(POISSON[k]), k).otherwise(out)
+    return out.cast("long")
+
+
 def bootstrap_weights(patterns: DataFrame, replicates: int, seed: int = 1) -> DataFrame:
     """(replicate, pattern, weight): site weights of bootstrap replicates.
 
-    Each site is drawn Poisson(1) times, seeded by pattern and replicate, so that replicates need no total and no order;
-    a replicate's number of sites is Poisson distributed about the alignment's.
+    Each site is drawn Poisson(1) times by the digest of pattern, number and replicate, so that replicates need no total
+    and no order; a replicate's number of sites is Poisson distributed about the alignment's.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [[], [], []]
-            for pattern, weight, key in zip(b.column("pattern").to_pylist(), b.column("weight").to_pylist(), b.column("key").to_pylist(), strict=True):
-                drawn = np.random.default_rng([seed, key & ((1 << 63) - 1)]).poisson(weight, replicates)
-                for r in np.flatnonzero(drawn):
-                    for c, v in zip(out, (int(r), pattern, int(drawn[r])), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())], names=["replicate", "pattern", "weight"])
-
-    return patterns.select("pattern", F.col("weight").cast("long").alias("weight"), F.xxhash64("pattern").alias("key")).mapInArrow(run, "replicate int, pattern string, weight long")
+    sites = patterns.select("pattern", F.explode(F.sequence(F.lit(1).cast("long"), F.col("weight").cast("long"))).alias("k"))
+    each = sites.select("pattern", "k", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    drawn = each.withColumn("w", poisson_draw(uniform(seed, F.col("replicate"), F.col("pattern"), F.col("k")))).where("w > 0")
+    return drawn.groupBy("replicate", "pattern").agg(F.sum("w").alias("weight"))
 
 
 def jackknife_sites(columns: DataFrame, share: float, replicates: int, seed: int = 1) -> DataFrame:
-    """(replicate, site, pattern): each replicate deletes about ``share`` of the sites by a seeded hash."""
+    """(replicate, site, pattern): each replicate deletes about ``share`` of the sites by a seeded digest."""
     each = columns.select("site", "pattern", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    u = F.pmod(F.xxhash64(F.lit(seed), "replicate", "site"), F.lit(1 << 30)) / float(1 << 30)
-    return each.where(u >= share).select("replicate", "site", "pattern")
+    return each.where(uniform(seed, F.col("replicate"), F.col("site")) >= share).select("replicate", "site", "pattern")
 
 
 def normal_interval(theta: np.ndarray, estimate: float, alpha: float = 0.05) -> tuple[float, float]:
@@ -60,23 +67,22 @@ def bca_interval(jackknife: np.ndarray, boot: np.ndarray, estimate: float, alpha
     return out[0], out[1]
 
 
-def bootstrap_means(df: DataFrame, by: str, value: str, replicates: int, seed: int = 1) -> DataFrame:
-    """(by, replicate, mean): Poisson bootstrap of group means, added up from partial sums."""
+def bootstrap_means(df: DataFrame, by: str, value: str, replicates: int, seed: int = 1, row: Column | None = None) -> DataFrame:
+    """(by, replicate, mean): Poisson bootstrap of group means, added up from partial sums.
+
+    ``row`` tells rows apart, by default their number, so that equal rows are drawn apart.
+    """
+    own = df.select(F.col(by).alias("_k"), F.col(value).cast("double").alias("_v"), (F.monotonically_increasing_id() if row is None else row).alias("_row"))
+    each = own.select("_k", "_v", "_row", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    w = poisson_draw(uniform(seed, F.col("replicate"), F.col("_row")))
+    return each.withColumn("_w", w).where("_w > 0").groupBy(F.col("_k").alias(by), "replicate").agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("mean"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            pdf = b.to_pandas()
-            for key, part in pdf.groupby("k", dropna=False):
-                total, n = np.zeros(replicates), np.zeros(replicates)
-                for v, h in zip(part["v"], part["h"], strict=True):
-                    drawn = np.random.default_rng([seed, int(h) & ((1 << 63) - 1)]).poisson(1, replicates)
-                    total += drawn * v
-                    n += drawn
-                yield pa.RecordBatch.from_pandas(pd.DataFrame({"k": key, "replicate": np.arange(replicates, dtype=np.int32), "total": total, "n": n}), preserve_index=False)
 
-    rows = df.select(F.col(by).cast("string").alias("k"), F.col(value).cast("double").alias("v"), F.xxhash64(*df.columns).alias("h"))
-    parts = rows.mapInArrow(run, "k string, replicate int, total double, n double")
-    return parts.groupBy(F.col("k").alias(by), "replicate").agg((F.sum("total") / F.sum("n")).alias("mean"))
+def roulette_draws(weights: DataFrame, by: Sequence[str], item: str, weight: str, u: Column) -> DataFrame:
+    """(by, item): of each group one item, drawn in proportion to the weights by the group's uniform number."""
+    w = Window.partitionBy(*by)
+    upto = F.sum(weight).over(w.orderBy(item).rowsBetween(Window.unboundedPreceding, 0)) / F.sum(weight).over(w)
+    return weights.withColumn("_upto", upto).withColumn("_u", u).where("_upto > _u").groupBy(*by).agg(F.min_by(item, "_upto").alias(item))
 
 
 def roulette(weights: Sequence[float], u: float) -> int:

@@ -111,14 +111,14 @@ def ess_of(values: np.ndarray) -> float:
     return float(n * gamma[0] / total)
 
 
-def ess(df: DataFrame, chain: str, order: str, value: str) -> DataFrame:
+def ess(df: DataFrame, chain: str, order: Sequence[str], value: str) -> DataFrame:
     """(chain, n, ess); one chain is a sequential record and is handled in one task."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values(order)[value].to_numpy(dtype=float)
+        v = pdf.sort_values(list(order))[value].to_numpy(dtype=float)
         return pd.DataFrame({"chain": [str(pdf[chain].iloc[0])], "n": [len(v)], "ess": [ess_of(v)]})
 
-    return df.select(chain, order, value).groupBy(chain).applyInPandas(run, "chain string, n long, ess double")
+    return df.select(chain, *order, value).groupBy(chain).applyInPandas(run, "chain string, n long, ess double")
 
 
 def nearest_rank(df: DataFrame, by: Sequence[str], value: str, p: float) -> DataFrame:
@@ -126,6 +126,50 @@ def nearest_rank(df: DataFrame, by: Sequence[str], value: str, p: float) -> Data
     return df.groupBy(*by).agg(F.expr(f"percentile_disc({p}) within group (order by {value})").alias("q"))
 
 
+def interpolated_percentile(df: DataFrame, by: Sequence[str], value: str, p: float) -> DataFrame:
+    """The value at position p (n + 1) of the ordered values, between neighbours in proportion; the ends beyond them."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*by).orderBy(value)
+    ranked = counted.withColumn("_last", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    at = ranked.withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
+    at = at.withColumn("_at", F.least(F.greatest(p * (F.col("_n") + 1), F.lit(1.0)), F.col("_n").cast("double")))
+    low, share = F.floor("_at"), F.col("_at") - F.floor("_at")
+    has = lambda k: (F.col("_last") >= k) & (F.col("_last") - F.col("_c") < k)
+    return at.groupBy(*by).agg((F.max(F.when(has(low), (1 - share) * F.col(value))) + F.coalesce(F.max(F.when(has(low + 1), share * F.col(value))), F.lit(0.0))).alias("q"))
+
+
+def naive_monte_carlo(df: DataFrame) -> DataFrame:
+    """ln mean likelihood over draws of the prior, the samples at inverse temperature zero."""
+    return log_mean_exp(df.where(F.col("beta") == 0), F.col("ll"), (), "lml")
+
+
+def mixture_importance(df: DataFrame, log_p: str, log_qs: Sequence[str], weights: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """ln mean p/q over draws of a mixture q of densities."""
+    top = F.greatest(*log_qs)
+    q = top + F.log(sum((w * F.exp(F.col(c) - top) for c, w in zip(log_qs, weights, strict=True)), F.lit(0.0)))
+    return log_mean_exp(df, F.col(log_p) - q, by)
+
+
+def slope_interval(fits: DataFrame, t: float) -> DataFrame:
+    """Adds slope_low and slope_high to a regression's rows; ``t`` is the quantile for its n - 2 degrees of freedom."""
+    half = t * F.col("se_slope")
+    return fits.withColumns({"slope_low": F.col("slope") - half, "slope_high": F.col("slope") + half})
+
+
+def x_intercept_interval(fits: DataFrame, t: float) -> DataFrame:
+    """Fieller's interval of the regression's crossing of the x axis: x0, x_low, x_high (null where the slope may be zero).
+
+    se_slope^2 = s^2 / Sxx and se_intercept^2 = s^2 (1/n + m^2 / Sxx) give the mean of x up to its sign, which the
+    covariance of both estimates carries: cov = -m s^2 / Sxx.
+    """
+    b, a, vb, va = F.col("slope"), F.col("intercept"), F.col("se_slope") ** 2, F.col("se_intercept") ** 2
+    cov = -F.col("mean_x") * vb
+    qa, qb, qc = b * b - t * t * vb, 2 * (a * b - t * t * cov), a * a - t * t * va
+    root = F.sqrt(F.greatest(qb * qb - 4 * qa * qc, F.lit(0.0)))
+    sure = qa > 0
+    return fits.withColumns({"x0": -a / b, "x_low": F.when(sure, (-qb - root) / (2 * qa)), "x_high": F.when(sure, (-qb + root) / (2 * qa))})
+
+
 def information_criteria(lnl: Column, k: Column, n: Column) -> dict[str, Column]:
     aic = -2 * lnl + 2 * k
     return {"aic": aic, "aicc": aic + 2 * k * (k + 1) / (n - k - 1), "bic": -2 * lnl + k * F.log(n), "hq": -2 * lnl + 2 * k * F.log(F.log(n))}
@@ -155,7 +199,7 @@ def regression(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     mse = sse / (n - 2)
     sxx = (n - 1) * F.col("vx")
     return sums.select(
-        *by, "n", slope.alias("slope"), (F.col("my") - slope * F.col("mx")).alias("intercept"), sse.alias("sse"), mse.alias("mse"),
+        *by, "n", F.col("mx").alias("mean_x"), slope.alias("slope"), (F.col("my") - slope * F.col("mx")).alias("intercept"), sse.alias("sse"), mse.alias("mse"),
         F.sqrt(mse / sxx).alias("se_slope"), F.sqrt(mse * (1 / n + F.col("mx") * F.col("mx") / sxx)).alias("se_intercept"), (F.col("c") / F.sqrt(F.col("vx") * F.col("vy"))).alias("r"),
     )
 

@@ -21,10 +21,15 @@ def root_paths(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(tree, node, depth, distance) from the root of each node."""
     inner = edges.where("parent is not null").select("tree", F.col("child").alias("node"), F.col("parent").alias("jump"), F.lit(1).cast("long").alias("depth"), F.col("length").cast("double").alias("distance"))
     now = inner.union(roots(edges).select("tree", "node", F.lit(None).alias("jump"), F.lit(0).cast("long"), F.lit(0.0)))
+    before = None
     for _ in range(max_rounds):
         now = now.cache()
-        if now.where("jump is not null").isEmpty():
+        open_ = now.agg(F.count("jump")).first()[0]  # all of it is stored by then, and what it came from can go
+        if before is not None:
+            before.unpersist()
+        if not open_:
             break
+        before = now
         far = now.select("tree", F.col("node").alias("jump"), F.col("jump").alias("_j"), F.col("depth").alias("_d"), F.col("distance").alias("_x"))
         now = now.join(far, ["tree", "jump"], "left").select("tree", "node", F.col("_j").alias("jump"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), (F.col("distance") + F.coalesce("_x", F.lit(0.0))).alias("distance"))
     return now.select("tree", "node", "depth", "distance")
@@ -75,16 +80,32 @@ def splits(edges: DataFrame) -> DataFrame:
     return kept.groupBy("tree", F.concat_ws(",", side).alias("split")).agg(F.sum("length").alias("length"))
 
 
-def robinson_foulds(splits_: DataFrame) -> DataFrame:
-    """(a, b, rf, normalised, branch_score) of all pairs of trees with some split in common, from shared-split counts."""
+def _split_sums(splits_: DataFrame, trees: DataFrame | None) -> DataFrame:
+    """(a, b, na, nb, sa, sb, m, dot) of all pairs of trees a < b: splits, squared lengths, shared splits, their products."""
     own = splits_.groupBy("tree").agg(F.count("*").alias("n"), F.sum(F.col("length") ** 2).alias("ss"))
+    if trees is not None:
+        own = trees.select("tree").distinct().join(own, "tree", "left").select("tree", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("ss", F.lit(0.0)).alias("ss"))
     l, r = splits_.alias("l"), splits_.alias("r")
     both = l.join(r, (F.col("l.split") == F.col("r.split")) & (F.col("l.tree") < F.col("r.tree")))
     shared = both.groupBy(F.col("l.tree").alias("a"), F.col("r.tree").alias("b")).agg(F.count("*").alias("m"), F.sum(F.col("l.length") * F.col("r.length")).alias("dot"))
     a, b = own.selectExpr("tree as a", "n as na", "ss as sa"), own.selectExpr("tree as b", "n as nb", "ss as sb")
-    joined = shared.join(a, "a").join(b, "b")
-    rf = (F.col("na") + F.col("nb") - 2 * F.col("m")) / 2
-    return joined.select("a", "b", rf.alias("rf"), (2 * rf / (F.col("na") + F.col("nb"))).alias("normalised"), F.sqrt(F.greatest(F.col("sa") + F.col("sb") - 2 * F.col("dot"), F.lit(0.0))).alias("branch_score"))
+    pairs = a.join(b, F.col("a") < F.col("b"))  # a row per pair of trees is the result
+    return pairs.join(shared, ["a", "b"], "left").na.fill({"m": 0, "dot": 0.0})
+
+
+def robinson_foulds(splits_: DataFrame, trees: DataFrame | None = None) -> DataFrame:
+    """(a, b, rf, normalised, branch_score) of all pairs of trees; ``trees`` (tree) adds trees without inner splits."""
+    n = F.col("na") + F.col("nb")
+    rf = (n - 2 * F.col("m")) / 2
+    score = F.sqrt(F.greatest(F.col("sa") + F.col("sb") - 2 * F.col("dot"), F.lit(0.0)))
+    return _split_sums(splits_, trees).select("a", "b", rf.alias("rf"), F.when(n > 0, 2 * rf / n).otherwise(0.0).alias("normalised"), score.alias("branch_score"))
+
+
+def k_tree_scores(splits_: DataFrame) -> DataFrame:
+    """(a, b, k, score): the factor that brings tree b closest to tree a, and the branch score that is left."""
+    k = F.when(F.col("sb") > 0, F.col("dot") / F.col("sb")).otherwise(0.0)
+    left = F.sqrt(F.greatest(F.col("sa") - k * F.col("dot"), F.lit(0.0)))
+    return _split_sums(splits_, None).select("a", "b", k.alias("k"), left.alias("score"))
 
 
 def patristic(edges: DataFrame) -> DataFrame:
@@ -147,6 +168,37 @@ def check(edges: DataFrame) -> DataFrame:
     return roots(edges).groupBy("tree").agg(F.count("*").alias("n_roots")).join(many.drop("_"), "tree").join(loops, "tree")
 
 
+def traversal_ranks(edges: DataFrame) -> DataFrame:
+    """(tree, node, preorder, postorder) from 0, siblings by name; paths from the root are built by pointer doubling.
+
+    The ranks of a tree are a total order of its nodes, hence a window per tree.
+    """
+    up = ancestors(edges).select("tree", "node", "ancestor", "steps")
+    path = up.groupBy("tree", "node").agg(F.reverse(F.transform(F.sort_array(F.collect_list(F.struct("steps", "ancestor"))), lambda s: s["ancestor"])).alias("path"))
+    pre = Window.partitionBy("tree").orderBy(F.concat(F.concat_ws("\x01", "path"), F.lit("\x01")))
+    post = Window.partitionBy("tree").orderBy(F.concat(F.concat_ws("\x01", "path"), F.lit("\x01\x7f")))
+    return path.select("tree", "node", (F.row_number().over(pre) - 1).alias("preorder"), (F.row_number().over(post) - 1).alias("postorder"))
+
+
+def rate_correlation(edges: DataFrame, rate: str = "rate") -> DataFrame:
+    """(tree, n, correlation) between the rates of branches and of the branches above them."""
+    inner = edges.where("parent is not null")
+    above = inner.select("tree", F.col("child").alias("parent"), F.col(rate).alias("_above"))
+    return inner.join(above, ["tree", "parent"]).groupBy("tree").agg(F.count("*").alias("n"), F.corr(rate, "_above").alias("correlation"))
+
+
+def inherited_rates(edges: DataFrame, own: DataFrame, root_rate: float) -> DataFrame:
+    """(tree, node, rate): local clocks, a node's own rate (tree, node, rate) or that of the nearest ancestor with one."""
+    given = own.select("tree", F.col("node").alias("ancestor"), F.col("rate").alias("_r"))
+    near = ancestors(edges).join(given, ["tree", "ancestor"], "left").groupBy("tree", "node").agg(F.min_by("_r", F.when(F.col("_r").isNotNull(), F.col("steps"))).alias("_r"))
+    return near.select("tree", "node", F.coalesce("_r", F.lit(root_rate)).alias("rate"))
+
+
+def node_by_name(edges: DataFrame, name: str) -> DataFrame:
+    """The edges above the nodes of that name."""
+    return edges.where(F.col("child") == name)
+
+
 def scaled(edges: DataFrame, factor: float) -> DataFrame:
     return edges.withColumn("length", F.col("length") * factor)
 

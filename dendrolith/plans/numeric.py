@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from dendrolith.functions import models as M
-from dendrolith.operators import cluster, distances, inference, likelihood, resampling, samples
+from dendrolith.operators import cluster, distances, inference, likelihood, samples
 from dendrolith.plans import standins as S
 from dendrolith.sources.trees import Tree
 
@@ -86,16 +86,6 @@ def simulate_sequences(spark, sf):
     return likelihood.simulate(spark, tree, M.jc69(), M.rate_categories("gamma", 4, 1.0), n)
 
 
-@query
-def bootstrap_patterns(spark, sf):
-    return resampling.bootstrap_weights(S.patterns(spark, sf), 20)
-
-
-@query
-def bootstrap_means(spark, sf):
-    return resampling.bootstrap_means(S.table(spark, sf, "events").select("event_id", "event_type", "value"), "event_type", "value", 50)
-
-
 @query
 def jenks_breaks(spark, sf):
     """Natural breaks of all event values, by type; distinct values with their counts meet in a task per type."""

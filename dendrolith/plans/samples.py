@@ -34,14 +34,21 @@ def harmonic_mean(spark, sf):
     return rounded(O.log_harmonic_mean(S.samples(spark, sf), F.col("ll"), ["chain"]))
 
 
-@query(None)
+#: The fixed point by recursion over a chain's list of values, with the same stop.
+SMOOTHED_SQL = f"""WITH RECURSIVE {SAMPLES_SQL}, v AS (SELECT chain, list(ll) AS v, count(*) AS n, max(ll) + ln(avg(exp(ll - m))) AS g FROM (SELECT *, max(ll) OVER (PARTITION BY chain) AS m FROM samples) GROUP BY chain),
+step(chain, v, n, g, moved, k) AS (SELECT chain, v, n, g, 1.0::DOUBLE, 0 FROM v UNION ALL SELECT chain, v, n, new, abs(new - g), k + 1 FROM (
+  SELECT *, g + ln((n * 0.01 / 0.99 + list_sum(list_transform(v, lambda x: exp(x - g) / (0.01 + 0.99 * exp(x - g))))) / (n * 0.01 / 0.99 + list_sum(list_transform(v, lambda x: 1 / (0.01 + 0.99 * exp(x - g)))))) AS new FROM step WHERE moved >= 1e-7 AND k < 10000))
+SELECT chain, round(arg_max(g, k), 4) AS lml FROM step GROUP BY chain"""
+
+
+@query(SMOOTHED_SQL)
 def smoothed_harmonic_mean(spark, sf):
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"chain": [pdf["chain"].iloc[0]], "lml": [O.smoothed_harmonic_mean(pdf["ll"].to_numpy())]})
 
-    return S.samples(spark, sf).select("chain", "ll").groupBy("chain").applyInPandas(run, "chain string, lml double")
+    return rounded(S.samples(spark, sf).select("chain", "ll").groupBy("chain").applyInPandas(run, "chain string, lml double"), 4)
 
 
 RUNGS_SQL = f"""{BASE}, r AS (SELECT beta, count(*) AS n, avg(ll) AS mean, var_samp(ll) AS var, max(ll) AS top FROM samples GROUP BY beta),
@@ -103,9 +110,18 @@ def autocovariance(spark, sf):
     return rounded(O.autocovariance(S.samples(spark, sf), "chain", ["ts", "event_id"], "ll", 4))
 
 
-@query(None)
+#: Autocovariances to lag 60, summed in pairs up to the first that is not positive.
+ESS_SQL = f"""{BASE}, c AS (SELECT chain, iter, ll - avg(ll) OVER (PARTITION BY chain) AS c, count(*) OVER (PARTITION BY chain) AS n FROM samples),
+l AS (SELECT chain, iter, c, n, unnest(range(0, 61)) AS lag FROM c),
+g AS (SELECT a.chain, a.lag, a.n, sum(a.c * b.c) / (a.n - a.lag) AS gamma FROM l a JOIN c b ON a.chain = b.chain AND b.iter = a.iter + a.lag GROUP BY 1, 2, 3),
+p AS (SELECT chain, (lag + 1) // 2 AS pair, sum(gamma) AS two FROM g WHERE lag > 0 GROUP BY 1, 2),
+f AS (SELECT chain, min(pair) FILTER (WHERE two <= 0) AS stop FROM p GROUP BY 1)
+SELECT g.chain, g.n::BIGINT AS n, round(g.n * gamma / (gamma + 2 * coalesce((SELECT sum(two) FROM p WHERE p.chain = g.chain AND p.pair < f.stop), 0)), 4) AS ess FROM g JOIN f ON f.chain = g.chain WHERE lag = 0"""
+
+
+@query(ESS_SQL)
 def effective_sample_size(spark, sf):
-    return O.ess(S.samples(spark, sf), "chain", "event_id", "ll")
+    return rounded(O.ess(S.samples(spark, sf), "chain", ["ts", "event_id"], "ll"), 4)
 
 
 @query("SELECT event_type AS chain, quantile_disc(value, 0.95) AS q FROM events GROUP BY 1")
@@ -145,7 +161,7 @@ t AS (SELECT *, c / vx AS slope, (n - 1) * (vy - c * c / vx) AS sse FROM s)"""
 @query(f"""{OLS_SQL} SELECT l_returnflag, n, round(slope, 4) AS slope, round(my - slope * mx, 2) AS intercept, round(log10(sse), 6) AS sse, round(log10(sse / (n - 2)), 6) AS mse,
 round(sqrt(sse / (n - 2) / ((n - 1) * vx)), 4) AS se_slope, round(sqrt(sse / (n - 2) * (1 / n + mx * mx / ((n - 1) * vx))), 4) AS se_intercept, round(c / sqrt(vx * vy), 6) AS r FROM t""")
 def least_squares(spark, sf):
-    r = O.regression(S.table(spark, sf, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice")
+    r = O.regression(S.table(spark, sf, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice").drop("mean_x")
     digits = {"slope": 4, "intercept": 2, "se_slope": 4, "se_intercept": 4, "r": 6}
     return r.withColumns({c: F.round(c, d) for c, d in digits.items()}).withColumns({"sse": F.round(F.log10("sse"), 6), "mse": F.round(F.log10("mse"), 6)})
 

@@ -30,8 +30,18 @@ def alignment(spark: SparkSession, sf_dir: str, status: str | None = None) -> Da
     return cells.select("taxon", "site", F.substring(F.lit("ACGT"), (F.col("q") % 4 + 1).cast("int"), F.lit(1)).alias("state"))
 
 
+_TAXA: dict[tuple[str, str], list[int]] = {}
+
+
 def taxa(spark: SparkSession, sf_dir: str) -> list[int]:
-    """Nations with suppliers: a dimension, read from the small table."""
+    """Nations whose suppliers have line items: a dimension, read once per application and folder."""
+    at = spark.sparkContext.applicationId, sf_dir
+    if at not in _TAXA:
+        _TAXA[at] = _read_taxa(spark, sf_dir)
+    return _TAXA[at]
+
+
+def _read_taxa(spark: SparkSession, sf_dir: str) -> list[int]:
     rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "lineitem").select("l_suppkey").distinct(), F.col("l_suppkey") == F.col("s_suppkey"), "left_semi")
     return sorted(r[0] for r in rows.select(F.col("s_nationkey").cast("long")).distinct().collect())
 

@@ -76,23 +76,35 @@ def topology_check(spark, sf):
     return T.check(geography(spark, sf)).select("n_roots", "n_many_parents", "n_loops")
 
 
-#: Small trees with one set of tips, as a collection.
-FOREST = ["(((a:2,b:2):4,c:6):6,d:12);", "(((a:2,c:2):3,b:5):7,d:12);", "((a:3,b:3):5,(c:4,d:4):4);", "(((a:1,b:1):5,c:6):6,d:12);", "(((b:2,c:2):1,a:3):4,d:7);"]
+#: A tree of five tips per nation: the letters in an order and the shape by its number, lengths by its number and the place.
+SHAPES = ["((((0,1)5,2)6,3)7,4)", "(((0,1)5,(2,3)6)7,4)"]
+#: Of each shape, the parent of node 0 to 7; 8 is the root.
+ABOVE = [[5, 5, 6, 7, 8, 6, 7, 8], [5, 5, 6, 6, 8, 7, 7, 8]]
+
+
+def forest_lines(spark, sf):
+    """(tree, newick)."""
+    k = F.col("n_nationkey")
+    length = lambda at: F.concat(F.lit(":"), (1 + (k * (at + 1) + at) % 5).cast("string"))
+    tip = lambda at: F.concat(F.substring(F.lit("abcdeabcde"), k % 5 + 1 + at, 1), length(at))
+
+    def text(shape: str) -> F.Column:
+        parts = []
+        for at, c in enumerate(shape):
+            parts.append((tip(int(c)) if int(c) < 5 else length(int(c))) if c.isdigit() else F.lit(c))
+        return F.concat(*parts, F.lit(";"))
+
+    return table(spark, sf, "nation").select(k.cast("long").alias("tree"), F.when(F.col("n_regionkey") % 2 == 0, text(SHAPES[0])).otherwise(text(SHAPES[1])).alias("newick"))
 
 
 def forest(spark, sf):
-    lines = spark.createDataFrame(list(enumerate(FOREST)), "tree long, newick string")
-    return newick.edges(lines)
+    return newick.edges(forest_lines(spark, sf))
 
 
 def forest_sql() -> str:
-    rows = []
-    for n, text in enumerate(FOREST):
-        for r in newick.parse(text).rows():
-            child = r["name"] or f"#{r['node']}"
-            if r["parent"] is not None:
-                rows.append(f"({n}, '{child}', '{r['parent_name'] or '#' + str(r['parent'])}', {r['length']}::DOUBLE)")
-    return f"edges(tree, child, parent, length) AS (VALUES {', '.join(rows)})"
+    name = lambda at: f"substr('abcdeabcde', n_nationkey % 5 + {at + 1}, 1)" if at < 5 else f"'#{at}'"
+    rows = [f"SELECT n_nationkey, {name(at)}, '#{up}', (1 + (n_nationkey * {at + 1} + {at}) % 5)::DOUBLE FROM nation WHERE n_regionkey % 2 = {shape}" for shape in (0, 1) for at, up in enumerate(ABOVE[shape])]
+    return f"edges(tree, child, parent, length) AS ({' UNION ALL '.join(rows)})"
 
 
 TIPS_SQL = f"""WITH RECURSIVE {forest_sql()}, anc(tree, node, ancestor, steps, d) AS (
@@ -115,13 +127,21 @@ def splits(spark, sf):
     return rounded(T.splits(forest(spark, sf)))
 
 
-@query(f"""{TIPS_SQL}, own AS (SELECT tree, count(*) AS n, sum(length * length) AS ss FROM splits GROUP BY 1),
-m AS (SELECT l.tree AS a, r.tree AS b, count(*) AS m, sum(l.length * r.length) AS dot FROM splits l JOIN splits r ON l.split = r.split AND l.tree < r.tree GROUP BY 1, 2)
-SELECT a::BIGINT AS a, b::BIGINT AS b, round((x.n + y.n - 2 * m) / 2, 6) AS rf, round((x.n + y.n - 2 * m) / (x.n + y.n), 6) AS normalised, round(sqrt(greatest(x.ss + y.ss - 2 * dot, 0)), 6) AS branch_score FROM m JOIN own x ON x.tree = a JOIN own y ON y.tree = b""")
+PAIRS_SQL = f"""{TIPS_SQL}, own AS (SELECT tree, count(*) AS n, sum(length * length) AS ss FROM splits GROUP BY 1),
+m AS (SELECT x.tree AS a, y.tree AS b, any_value(x.n) AS na, any_value(y.n) AS nb, any_value(x.ss) AS sa, any_value(y.ss) AS sb, count(r.split) AS m, coalesce(sum(l.length * r.length) FILTER (WHERE r.split IS NOT NULL), 0) AS dot
+  FROM own x JOIN own y ON x.tree < y.tree JOIN splits l ON l.tree = x.tree LEFT JOIN splits r ON r.tree = y.tree AND r.split = l.split GROUP BY 1, 2)"""
+
+
+@query(f"{PAIRS_SQL} SELECT a::BIGINT AS a, b::BIGINT AS b, round((na + nb - 2 * m) / 2, 6) AS rf, round((na + nb - 2 * m) / (na + nb), 6) AS normalised, round(sqrt(greatest(sa + sb - 2 * dot, 0)), 6) AS branch_score FROM m")
 def robinson_foulds(spark, sf):
     return rounded(T.robinson_foulds(T.splits(forest(spark, sf))))
 
 
+@query(f"{PAIRS_SQL} SELECT a::BIGINT AS a, b::BIGINT AS b, round(dot / sb, 6) AS k, round(sqrt(greatest(sa - dot * dot / sb, 0)), 6) AS score FROM m")
+def k_tree(spark, sf):
+    return rounded(T.k_tree_scores(T.splits(forest(spark, sf))))
+
+
 @query(f"""{TIPS_SQL}, meet AS (SELECT l.tree, l.node AS i, r.node AS j, l.d + r.d AS d, row_number() OVER (PARTITION BY l.tree, l.node, r.node ORDER BY l.steps + r.steps) AS k FROM up l JOIN up r ON l.tree = r.tree AND l.ancestor = r.ancestor AND l.node < r.node)
 SELECT tree::BIGINT AS tree, i, j, round(d, 6) AS d FROM meet WHERE k = 1""")
 def patristic(spark, sf):

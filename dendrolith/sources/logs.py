@@ -43,6 +43,25 @@ def read_pattern_log(spark: SparkSession, path: str, burnin: int = 0) -> tuple[D
     return samples, weights.select("pattern_id", F.col("w").cast("double").alias("weight"))
 
 
+def pattern_log(samples: DataFrame, weights: DataFrame) -> DataFrame:
+    """Text rows of a per-pattern log: the weights behind a mark, then an iteration's log-likelihoods a line, by pattern_id."""
+    cells = lambda df, c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pattern_id", c))), lambda s: s[c].cast("string")), "\t")
+    head = weights.agg(F.lit(-1).cast("long").alias("iter"), F.concat(F.lit("#"), cells(weights, "weight")).alias("value"))
+    rows = samples.groupBy("iter").agg(cells(samples, "lnl").alias("v")).select(F.col("iter").cast("long"), F.concat_ws("\t", F.col("iter").cast("string"), "v").alias("value"))
+    return head.union(rows).orderBy("iter").select("value")
+
+
+def read_settings(spark: SparkSession, path: str) -> DataFrame:
+    """(key, value) of ``key = value`` lines; blank lines and lines behind a # are left out."""
+    lines = spark.read.text(path).where(F.col("value").rlike(r"^\s*[^#\s][^=]*="))
+    return lines.select(F.trim(F.substring_index("value", "=", 1)).alias("key"), F.trim(F.expr("substr(value, length(substring_index(value, '=', 1)) + 2)")).alias("value"))
+
+
+def site_rate_table(sites: DataFrame, posteriors: DataFrame) -> DataFrame:
+    """(site, rate, category) in site order, to be written as a table: each site takes its pattern's posterior."""
+    return sites.join(posteriors.select("pattern", "rate", "category"), "pattern").select("site", "rate", "category").orderBy("site")
+
+
 def write_log(rows: DataFrame, path: str, append: bool = False) -> None:
     rows.write.mode("append" if append else "overwrite").csv(path, sep="\t", header=True)
 

@@ -57,8 +57,9 @@ def parse_phylip(text: str) -> list[tuple[str, str]]:
 
 
 def read_fasta(spark: SparkSession, path: str, keep_case: bool = False) -> DataFrame:
-    """Records are split by Spark's reader, so that a file of any size is read in parallel; empty records are dropped."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
+    """Records are split by Spark's reader at line starts, so that a file of any size is read in parallel and a header may
+    hold the mark; empty records are dropped."""
+    records = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"^\s*>", "").alias("value")).where(F.trim("value") != "")
     head = F.trim(F.substring_index("value", "\n", 1))
     body = F.regexp_replace(F.expr("substr(value, length(substring_index(value, '\n', 1)) + 1)"), r"\s", "")
     rows = records.select(head.alias("taxon"), (body if keep_case else F.upper(body)).alias("seq"))
@@ -79,6 +80,11 @@ def read_sequences(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).mapInArrow(run, "taxon string, seq string")
 
 
+def sequence_by_name(sequences: DataFrame, taxon: str) -> DataFrame:
+    """The rows of one taxon."""
+    return sequences.where(F.col("taxon") == taxon)
+
+
 def to_fasta(sequences: DataFrame) -> DataFrame:
     """One text row per record; write with ``.write.text``."""
     return sequences.select(F.concat(F.lit(">"), "taxon", F.lit("\n"), "seq").alias("value"))
