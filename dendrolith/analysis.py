@@ -237,6 +237,12 @@ class Analysis:
             self._optimize(node)
         elif node["type"] == "mcmc":
             self._mcmc(node)
+        elif node["type"] == "asr":  # (pattern, weight, states)
+            own = self.get(node["model"])
+            self.objects[node["id"]] = likelihood.reconstruct(own.patterns, own.arrays(), own.substitution(), own.rates())
+        elif node["type"] == "simulator":  # (site, pattern)
+            own = self.get(node["model"])
+            self.objects[node["id"]] = likelihood.simulate(self.spark, own.arrays(), own.substitution(), own.rates(), int(node["length"]), int(node.get("seed", 1)))
         elif node["type"] == "dumper":
             self.output.append(json.dumps({k: v.value for k, v in self.objects.items() if isinstance(v, Parameter)}))
         else:

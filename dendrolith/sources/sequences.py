@@ -60,7 +60,7 @@ def read_fasta(spark: SparkSession, path: str, keep_case: bool = False) -> DataF
     """Records are split by Spark's reader at line starts, so that a file of any size is read in parallel and a header may
     hold the mark; empty records are dropped."""
     records = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"^\s*>", "").alias("value")).where(F.trim("value") != "")
-    head = F.trim(F.substring_index("value", "\n", 1))
+    head = F.regexp_replace(F.substring_index("value", "\n", 1), r"^\s+|\s+$", "")
     body = F.regexp_replace(F.expr("substr(value, length(substring_index(value, '\n', 1)) + 1)"), r"\s", "")
     rows = records.select(head.alias("taxon"), (body if keep_case else F.upper(body)).alias("seq"))
     return rows.where("seq <> ''")
