@@ -1,10 +1,11 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
 A vector's code holds the signs of its components, 64 at most; a wider vector stops the query with an error. Codes are cut into m segments, m = ceil(64 / log2 n), and
-each segment of each distinct code is an index entry. Queries probe in rounds: round r looks up all segment values
-within r bits of the query's. If two codes are within m*r + m - 1 bits, some segment is within r bits, so after round r
-all neighbours up to that distance are known; a query is done as soon as its k-th verified neighbour is no farther. A
-pair is reported once: in the round of its distance, by the first segment that is close enough.
+each segment of each distinct code is an index entry. Queries probe in rounds: round r looks up the segment values at
+exactly r bits from the query's, and adds what it finds to what the rounds before found. If two codes are within
+m*r + m - 1 bits, some segment is within r bits, so after round r all neighbours up to that distance are known; a query is
+done as soon as its k-th verified neighbour is no farther. A pair is found once: in the round of its closest segment, by
+the first such segment. Of what is found, a query carries on the rows up to its k-th distance only.
 
 Ties are broken by id. Distinct codes carry their k smallest ids only, and equal queries are searched once, so that
 large groups of copies neither meet in one task nor multiply. Edge cases: vectors that are null or empty are neither
@@ -44,9 +45,14 @@ def segment_masks(m: int) -> list[int]:
 
 
 def flips(mask: int, radius: int) -> list[int]:
-    """All patterns of at most ``radius`` bits inside ``mask``."""
-    bits = [1 << p for p in range(BITS) if mask >> p & 1]
-    return [sum(c) for n in range(min(radius, len(bits)) + 1) for c in combinations(bits, n)]
+    """All patterns of ``radius`` bits inside ``mask``."""
+    return [sum(c) for c in combinations([1 << p for p in range(BITS) if mask >> p & 1], radius)]
+
+
+def nearest_rows(found: DataFrame, k: int) -> DataFrame:
+    """Of each query the rows up to the distance at which it has k ids."""
+    closer = Window.partitionBy("query").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1)
+    return found.withColumn("_closer", F.sum(F.size("ids")).over(closer)).where(F.coalesce("_closer", F.lit(0)) < k).drop("_closer")
 
 
 def search(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
@@ -70,19 +76,16 @@ def search(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             part = waiting.select("query", flip).select("query", F.lit(j).alias("seg"), F.col("query").bitwiseXOR(F.col("flip")).bitwiseAND(F.lit(signed(s))).alias("value"))
             probes = part if probes is None else probes.union(part)
         apart = F.col("query").bitwiseXOR(F.col("code"))
-        far = F.bit_count(apart)
-        earlier = [(F.col("e.seg") <= j) | (F.bit_count(apart.bitwiseAND(F.lit(signed(s)))) > r) for j, s in enumerate(masks[:-1])]
-        on = (F.col("p.seg") == F.col("e.seg")) & (F.col("p.value") == F.col("e.value")) & far.between(m * r, m * r + m - 1)
-        for e in earlier:
-            on &= e
-        near = probes.alias("p").join(entries.alias("e"), on).select("query", "code", "ids", far.cast("int").alias("distance"))
-        near = cut(near)
-        found = near if found is None else found.union(near)
-        enough = found.groupBy("query").agg(F.sum(F.size("ids")).alias("have")).where(F.col("have") >= k)
+        on = (F.col("p.seg") == F.col("e.seg")) & (F.col("p.value") == F.col("e.value"))
+        for j, s in enumerate(masks):
+            own = F.bit_count(apart.bitwiseAND(F.lit(signed(s))))
+            on &= (F.col("e.seg") == j) | (own > r) | ((own == r) & (F.col("e.seg") < j))
+        near = probes.alias("p").join(entries.alias("e"), on).select("query", "code", "ids", F.bit_count(apart).cast("int").alias("distance"))
+        found = cut(nearest_rows(near if found is None else found.union(near), k))
+        covered = F.sum(F.when(F.col("distance") < m * (r + 1), F.size("ids")))
+        enough = found.groupBy("query").agg(covered.alias("have")).where(F.col("have") >= k)
         waiting = cut(waiting.join(enough, "query", "left_anti"))
-    if found is None:
-        found = waiting.crossJoin(index).where("false").select("query", "code", "ids", F.lit(0).alias("distance"))
-    return found
+    return found if found is not None else waiting.sparkSession.createDataFrame([], "query long, code long, ids array<long>, distance int")
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
@@ -104,7 +107,7 @@ def op4_multi_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = f"""
 WITH bits AS (
-  SELECT DISTINCT vec_id, list_transform(range(1, {BITS + 1}), lambda i: CASE WHEN embedding[i] > 0 THEN 1 ELSE 0 END) AS b FROM embeddings
+  SELECT DISTINCT vec_id, list_transform(range(1, {BITS + 1}), lambda i: CASE WHEN embedding[i] > 0 AND NOT isnan(embedding[i]) THEN 1 ELSE 0 END) AS b FROM embeddings
 ), pairs AS (
   SELECT q.vec_id AS query_id, v.vec_id AS neighbor_id,
          CAST(list_sum(list_transform(range(1, {BITS + 1}), lambda i: abs(q.b[i] - v.b[i]))) AS INTEGER) AS distance
