@@ -19,13 +19,13 @@ MASK64 = (1 << 64) - 1
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; only a local session gets one of its own."""
+    """Use the shared folder that the cluster names; only a session in a single process gets one of its own."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isEmpty():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):  # local-cluster has several processes
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="checkpoint-")
     sc.setCheckpointDir(named)

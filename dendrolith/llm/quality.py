@@ -6,12 +6,13 @@ labels. Forward-backward marginals, weighted by line length, give the document's
 that is good.
 
 The field is fitted by gradient ascent on the conditional likelihood, on the driver, from a bounded sample: the
-``sample`` labelled documents with the smallest seeded hash among those of at most ``most_lines`` lines; each line of a
-sampled document carries the document's label. Scoring reads every line of every document.
+``sample`` labelled documents with the smallest seeded hash, of each at most ``most_lines`` consecutive lines from a seeded
+place, and of these the first documents in the order of the hash up to ``total_lines`` lines; each line of a sampled
+document carries the document's label. Scoring reads every line of every document.
 
 Edge cases: a null, empty or blank text has one empty line and still gets a score. Without labelled documents every score
 is the prior 0.5. A null doc_id counts as held out. If a document has several labels, each counts as a training row;
-labels that are null are ignored. Repeated rows each give a row; extra columns are ignored; an empty table gives an empty
+labels that are null are ignored; of several rows with one doc_id the one with the least hash of its text is sampled. Repeated rows each give a row; extra columns are ignored; an empty table gives an empty
 result.
 """
 
@@ -25,10 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dendrolith.llm.common import slices, table, texts_as_bytes
+from dendrolith.llm.common import U64, mix64, slices, table, texts_as_bytes
 
 SAMPLE = 6000
 MOST_LINES = 400
+TOTAL_LINES = 300_000
 THRESHOLD = 0.3
 SEED = 11
 CHUNK = 1 << 21
@@ -188,24 +190,30 @@ def held_out(column: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_lines: int = MOST_LINES, seed: int = SEED) -> LineField:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_lines: int = MOST_LINES, total_lines: int = TOTAL_LINES, seed: int = SEED) -> LineField:
     """Fit on a bounded sample of the labelled documents that are not held out."""
     allowed = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").alias("_id"), F.col("quality").alias("_good"))
-    lines = F.length("text") - F.length(F.translate("text", "\n", "")) + 1
     chosen = allowed.orderBy(F.xxhash64(F.lit(seed), "_id"), "_id", "_good").limit(sample)  # at most ``sample`` rows, hence small enough to broadcast
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             own, _, counts = line_features(texts_as_bytes(b.column("text")))
-            ends = np.cumsum(counts)
-            packed = [own[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_good"), pa.array(packed, pa.binary())], names=["_id", "_good", "lines"])
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).where(F.coalesce(lines, F.lit(1)) <= most_lines)
-    got = rows.select(F.col("_id").cast("long").alias("_id"), F.col("_good").cast("int").alias("_good"), "text").mapInArrow(run, "_id long, _good int, lines binary").limit(2 * sample).collect()
+            packed = []
+            for end, n, h in zip(np.cumsum(counts).tolist(), counts.tolist(), b.column("_h").to_pylist(), strict=True):
+                first = end - n + (h % (n - most_lines + 1) if n > most_lines else 0)
+                packed.append(own[first : min(end, first + most_lines)].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_good"), b.column("_h"), pa.array(packed, pa.binary())], names=["_id", "_good", "_h", "lines"])
+
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    keyed = rows.select(F.col("_id").cast("long").alias("_id"), F.col("_good").cast("int").alias("_good"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"), "text")
+    one = keyed.mapInArrow(run, "_id long, _good int, _h long, lines binary").groupBy("_id", "_good").agg(F.min(F.struct("_h", "lines")).alias("r"))
+    got = one.select("_id", "_good", "r.lines").collect()  # at most ``sample`` rows of ``most_lines`` lines
     if not got:
         return unlabelled_field()
-    got.sort(key=lambda r: (r["_id"], r["_good"], r["lines"]))
+    order = mix64(np.array([r["_id"] for r in got], dtype=np.int64).view(U64) ^ U64(seed))
+    got = [got[k] for k in np.lexsort((np.array([r["_good"] for r in got]), np.array([r["_id"] for r in got]), order))]
+    upto = np.cumsum([len(r["lines"]) // (4 * N_OWN) for r in got])
+    got = got[: max(1, int(np.searchsorted(upto, total_lines, side="right")))]
     each = [np.frombuffer(r["lines"], dtype=np.float32).reshape(-1, N_OWN) for r in got]
     counts = np.array([len(e) for e in each], dtype=np.int64)
     y = np.repeat(np.array([r["_good"] for r in got]), counts)
