@@ -5,7 +5,8 @@ each segment of each distinct code is an index entry. Queries probe in rounds: r
 exactly r bits from the query's, and adds what it finds to what the rounds before found. If two codes are within
 m*r + m - 1 bits, some segment is within r bits, so after round r all neighbours up to that distance are known; a query is
 done as soon as its k-th verified neighbour is no farther. A pair is found once: in the round of its closest segment, by
-the first such segment. Of what is found, a query carries on the rows up to its k-th distance only.
+the first such segment. Of what is found, a query carries on the rows up to its k-th distance only, which also bounds what
+later rounds look for.
 
 Ties are broken by id. Distinct codes carry their k smallest ids only, and equal queries are searched once, so that
 large groups of copies neither meet in one task nor multiply. Edge cases: vectors that are null or empty are neither
@@ -64,7 +65,7 @@ def search(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     m = min(BITS // 4, max(2, ceil(BITS / max(1.0, log2(max(n, 2))))))
     masks = segment_masks(m)
     entries = index.select("code", "ids", F.explode(F.array(*[F.struct(F.lit(j).alias("seg"), F.col("code").bitwiseAND(F.lit(signed(s))).alias("value")) for j, s in enumerate(masks)])).alias("e")).select("code", "ids", "e.seg", "e.value")
-    waiting = cut(queries.where("code is not null").select(F.col("code").alias("query")).distinct())
+    waiting = cut(queries.where("code is not null").select(F.col("code").alias("query"), F.lit(BITS).alias("most")).distinct())
     found = None
     for r in range(ceil(BITS / m) + 1):
         left = waiting.count()
@@ -73,18 +74,18 @@ def search(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         probes = None
         for j, s in enumerate(masks):
             flip = F.explode(F.lit([signed(x) for x in flips(s, r)]).cast("array<bigint>")).alias("flip")
-            part = waiting.select("query", flip).select("query", F.lit(j).alias("seg"), F.col("query").bitwiseXOR(F.col("flip")).bitwiseAND(F.lit(signed(s))).alias("value"))
+            part = waiting.select("query", "most", flip).select("query", "most", F.lit(j).alias("seg"), F.col("query").bitwiseXOR(F.col("flip")).bitwiseAND(F.lit(signed(s))).alias("value"))
             probes = part if probes is None else probes.union(part)
         apart = F.col("query").bitwiseXOR(F.col("code"))
-        on = (F.col("p.seg") == F.col("e.seg")) & (F.col("p.value") == F.col("e.value"))
+        on = (F.col("p.seg") == F.col("e.seg")) & (F.col("p.value") == F.col("e.value")) & (F.bit_count(apart) <= F.col("p.most"))
         for j, s in enumerate(masks):
             own = F.bit_count(apart.bitwiseAND(F.lit(signed(s))))
             on &= (F.col("e.seg") == j) | (own > r) | ((own == r) & (F.col("e.seg") < j))
         near = probes.alias("p").join(entries.alias("e"), on).select("query", "code", "ids", F.bit_count(apart).cast("int").alias("distance"))
         found = cut(nearest_rows(near if found is None else found.union(near), k))
-        covered = F.sum(F.when(F.col("distance") < m * (r + 1), F.size("ids")))
-        enough = found.groupBy("query").agg(covered.alias("have")).where(F.col("have") >= k)
-        waiting = cut(waiting.join(enough, "query", "left_anti"))
+        state = found.groupBy("query").agg(F.sum(F.size("ids")).alias("_have"), F.max("distance").alias("_far"))
+        known = waiting.drop("most").join(state, "query", "left").where(~(F.coalesce("_have", F.lit(0)) >= k) | (F.col("_far") >= m * (r + 1)))
+        waiting = cut(known.select("query", F.when(F.col("_have") >= k, F.col("_far")).otherwise(BITS).alias("most")))
     return found if found is not None else waiting.sparkSession.createDataFrame([], "query long, code long, ids array<long>, distance int")
 
 
