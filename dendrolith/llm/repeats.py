@@ -8,14 +8,17 @@ The first digit is chosen so that it also deals the work out: the hash of a wind
 of least hash. Equal windows have equal anchors at equal offsets, and neighbouring windows mostly share theirs, so that a
 run of windows travels as one row (about one row in 35 positions). The passes:
 
-1. Each task turns its texts into runs (anchor hash, hash of the whole run, document, place). Of equal runs in a batch
-   only the earliest travels; the others are removed spans already.
+1. Each task turns its texts into runs (anchor hash, two independent hashes of the whole run, document, place). Of equal
+   runs in a batch only the earliest travels; the others are removed spans already.
 2. Runs meet by anchor hash. Anchors met once are dropped. Of equal runs all but the earliest are removed spans; anchors
    with several different runs are undecided.
 3. The bytes of undecided runs are fetched from their documents and meet by anchor hash again. There the remaining
    digits, eight bytes each, are sorted window by window. An anchor with more than HOT different runs (a phrase with
    ever different surroundings) is dealt out by the hash of the whole window instead, each window once per batch.
-4. Spans are merged document by document and cut out.
+4. Spans are merged document by document and cut out. Texts under ``length`` bytes have none and pass by.
+
+Runs are taken for equal by their anchor and 128 bits of hashes, without a look at their bytes: two different runs of one
+anchor agree with probability 2^-128. Whatever the third pass decides, it decides on the bytes.
 
 Document order is (doc_id, hash of the text), null doc_id last. Edge cases: a null text is empty; texts under ``length``
 bytes lose nothing; a row equal to another one in doc_id and text counts as a later document. Extra columns are ignored;
@@ -45,35 +48,50 @@ RUN, SPAN, UNDECIDED, CROWDED = 0, 1, 2, 3
 LAST_ID = (1 << 63) - 1
 MIXERS = [U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9), U64(0xD6E8FEB86659FD93), U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53), U64(0x2545F4914F6CDD1D), U64(0x9FB21C651E98DF25)]
 BYTE_HASH = mix64(np.arange(1, 257, dtype=U64) * MIXERS[0])
+OTHER_HASH = mix64(np.arange(1, 257, dtype=U64) * MIXERS[6] + U64(0x51ED270B))
 
 
-def shelve(df: DataFrame) -> DataFrame:
-    """Write to the shared folder as a table and read it back: compact, columnar, and lineage ends there."""
-    spark = df.sparkSession
+def shelf(spark, name: str | None = None) -> str:
+    """A place for a table in the shared folder."""
     ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name or uuid.uuid4().hex}"
+
+
+def shelve(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write to the shared folder as a table and read it back: compact, columnar, and lineage ends there."""
+    path = path or shelf(df.sparkSession)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _joined(a: np.ndarray, b: np.ndarray, level: int) -> np.ndarray:
+def on_shelf(spark, path: str, gone: bool = False) -> bool:
+    """Whether a whole table lies there; with ``gone`` it is deleted."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS"))
+    if gone:
+        files.delete(place, True)
+    return found
+
+
+def _joined(a: np.ndarray, b: np.ndarray, level: int, turn: int = 0) -> np.ndarray:
     """Hash of two adjoining strings from the hashes of both."""
-    out = a * MIXERS[level]
-    out += b ^ (b >> U64(29))
+    out = a * (MIXERS[level] if not turn else MIXERS[level] ^ U64(turn << 17))
+    out += b ^ (b >> U64(29 if not turn else 31))
     out ^= out >> U64(32)
     return out
 
 
-def hashes(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all grams and of all windows of ``length`` bytes (GRAM = 32 < length <= 128)."""
-    h = {1: BYTE_HASH[data]}
+def hashes(data: np.ndarray, length: int, turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all grams and of all windows of ``length`` bytes (GRAM = 32 < length <= 128); ``turn`` picks the function."""
+    h = {1: (OTHER_HASH if turn else BYTE_HASH)[data]}
     for level, k in enumerate((1, 2, 4, 8, 16)):
-        h[2 * k] = _joined(h[k][: len(h[k]) - k], h[k][k:], level)
+        h[2 * k] = _joined(h[k][: len(h[k]) - k], h[k][k:], level, turn)
     n = len(data) - length + 1
     window, done = h[GRAM][:n], GRAM
     for k in (32, 32, 16, 8, 4, 2, 1):
         if done + k <= length:
-            window = _joined(window, h[k][done : done + n], 5 + (k == 32))
+            window = _joined(window, h[k][done : done + n], 5 + (k == 32), turn)
             done += k
     return h[GRAM], window
 
@@ -102,7 +120,7 @@ def segments(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, b
 
 
 def runs_of(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Of every run: anchor hash, run hash, text number, first start, number of starts."""
+    """Of every run: anchor hash, run hash, text number, first start, number of starts, another run hash."""
     found = []
     for group in segments(texts, length):
         data = np.frombuffer(b"".join(piece for _, _, piece in group), dtype=np.uint8)
@@ -125,23 +143,27 @@ def runs_of(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
         count = np.flatnonzero(stop) + 1 - starts
         anchor = (least[starts] & U64(0xFFFFFF)).astype(np.int64)
         sig = mix64(gram[anchor])
-        content = mix64(_joined(window[starts], window[starts + count - 1], 7) + (count * 128 + anchor - starts).astype(U64))
+        place_ = (count * 128 + anchor - starts).astype(U64)
+        content = mix64(_joined(window[starts], window[starts + count - 1], 7) + place_)
+        _, other = hashes(data, length, 1)
+        second = mix64(_joined(other[starts], other[starts + count - 1], 7, 1) ^ place_ * MIXERS[1])
         owner = np.searchsorted(offsets, starts, side="right") - 1
         number = np.array([n for n, _, _ in group], dtype=np.int64)
         at = np.array([a for _, a, _ in group], dtype=np.int64)
-        found.append((sig, content, number[owner], starts - offsets[owner] + at[owner], count))
+        found.append((sig, content, number[owner], starts - offsets[owner] + at[owner], count, second))
     if not found:
         z = np.zeros(0, dtype=np.int64)
-        return z.view(U64), z.view(U64), z, z, z
+        return z.view(U64), z.view(U64), z, z, z, z.view(U64)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-ROWS = "kind byte, route long, a long, b long, k long, h long"
-NAMES = ["kind", "route", "a", "b", "k", "h"]
+ROWS = "kind byte, route long, a long, b long, k long, h long, c long"
+NAMES = ["kind", "route", "a", "b", "k", "h", "c"]
 
 
-def _rows(kind: int, route: np.ndarray, a: np.ndarray, b: np.ndarray, k: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
-    cols = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (route, a, b, k, h)]
+def _rows(kind: int, route: np.ndarray, a: np.ndarray, b: np.ndarray, k: np.ndarray, h: np.ndarray, c: np.ndarray | None = None) -> pa.RecordBatch:
+    c = np.zeros(len(route), dtype=np.int64) if c is None else c
+    cols = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (route, a, b, k, h, c)]
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(route), kind, dtype=np.int8)), *cols], names=NAMES)
 
 
@@ -177,8 +199,8 @@ def _first_pass(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 4096):
             k, h = (b.column(c).to_numpy(zero_copy_only=False) for c in ("k", "h"))
-            sig, content, doc, start, count = runs_of(texts_as_bytes(b.column("text")), length)
-            order, head = _firsts((k[doc], h[doc], start), (sig, content))
+            sig, content, doc, start, count, second = runs_of(texts_as_bytes(b.column("text")), length)
+            order, head = _firsts((k[doc], h[doc], start), (sig, content, second))
             repeat = np.arange(len(order)) != head
             later = order[repeat]
             first = order[head[repeat]]
@@ -191,7 +213,7 @@ def _first_pass(length: int):
             packed = start[own] << 8 | count[own]
             for at in range(0, len(own), 100_000):
                 o, p = own[at : at + 100_000], packed[at : at + 100_000]
-                yield _rows(RUN, sig[o], content[o], p, k[doc[o]], h[doc[o]])
+                yield _rows(RUN, sig[o], content[o], p, k[doc[o]], h[doc[o]], second[o])
 
     return run
 
@@ -225,9 +247,9 @@ def _second_pass(length: int):
         if (spans := np.flatnonzero(kind == SPAN)).size:
             yield _rows(SPAN, *(cols[c][spans] for c in NAMES[1:]))
         at = np.flatnonzero(kind == RUN)
-        sig, content, packed, k, h = (cols[c][at] for c in NAMES[1:])
+        sig, content, packed, k, h, second = (cols[c][at] for c in NAMES[1:])
         start, count = packed >> 8, packed & 255
-        order, head = _firsts((k, h, start), (sig, content))
+        order, head = _firsts((k, h, start), (sig, content, second))
         repeat = np.arange(len(order)) != head
         later, first = order[repeat], order[head[repeat]]
         differ = (k[later] != k[first]) | (h[later] != h[first]) | (start[later] != start[first])
@@ -388,8 +410,13 @@ def cut_out(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> Dat
     keyed, spans = repeated_spans(docs, length)
     of = spans.groupBy("k", "h").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     copy = F.row_number().over(Window.partitionBy("k", "h").orderBy("k"))
-    rows = keyed.join(of, ["k", "h"], "left").withColumn("copy", copy).drop("k", "h")
     others = [c for c in docs.columns if c != "text"]
+    kind = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+    whole = F.octet_length("text") >= length
+    long_ = keyed.where(whole).join(of, ["k", "h"], "left").withColumn("copy", copy)
+    short = keyed.where(~whole).withColumns({"spans": F.lit(None).cast(kind), "copy": F.lit(1)})  # neither joined nor numbered
+    wanted = [*others, "text", "spans", "copy"]
+    rows = long_.select(*wanted).unionByName(short.select(*wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
@@ -411,7 +438,6 @@ def cut_out(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> Dat
             columns = [b.column(c) for c in others]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(cuts, span)], names=[*others, "kept", "spans"])
 
-    kind = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
     schema = T.StructType([*[docs.schema[c] for c in others], T.StructField("kept", T.StringType() if as_text else T.BinaryType()), T.StructField("spans", kind)])
     return rows.mapInArrow(run, schema)
 
