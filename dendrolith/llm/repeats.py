@@ -386,8 +386,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     runs = keyed.where(F.octet_length("text") >= length).select("k", "h", "text").mapInArrow(_first_pass(length), ROWS)
     met = shelve(runs.repartition("route").sortWithinPartitions("route").mapInArrow(_second_pass(length), ROWS))
     asked = met.where(F.col("kind") >= UNDECIDED).groupBy("k", "h").agg(F.collect_list(F.struct("kind", "route", "a", "b")).alias("asked"))
-    # all columns go along, so that both uses of the documents read one exchange
-    fetched = keyed.join(asked, ["k", "h"]).mapInArrow(_fetch(length), "route long, start long, count long, bytes binary, k long, h long")
+    # all columns go along and short texts do not, so that both uses of the documents read one exchange
+    fetched = keyed.where(F.octet_length("text") >= length).join(asked, ["k", "h"]).mapInArrow(_fetch(length), "route long, start long, count long, bytes binary, k long, h long")
     sorted_ = fetched.repartition("route").sortWithinPartitions("route").mapInArrow(_last_passes(length), "a long, b long, k long, h long")
     spans = met.where(F.col("kind") == SPAN).select("k", "h", "a", "b").unionByName(sorted_)
     return keyed, spans
