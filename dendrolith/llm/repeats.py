@@ -52,9 +52,10 @@ OTHER_HASH = mix64(np.arange(1, 257, dtype=U64) * MIXERS[6] + U64(0x51ED270B))
 
 
 def shelf(spark, name: str | None = None) -> str:
-    """A place for a table in the shared folder."""
+    """A place for a table in the shared folder: this application's own or, with a name, one that others find again."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name or uuid.uuid4().hex}"
+    own = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{own}/{uuid.uuid4().hex}" if name is None else f"{spark.conf.get('spark.checkpoint.dir', None) or own}/{name}"
 
 
 def shelve(df: DataFrame, path: str | None = None) -> DataFrame:

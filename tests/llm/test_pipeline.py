@@ -86,6 +86,30 @@ def test_run(spark, stages):
     assert got[cols].sort_values(cols).values.tolist() == want[cols].sort_values(cols).values.tolist()
 
 
+def test_a_named_run_goes_on_after_its_last_whole_stage(spark, monkeypatch, tmp_path):
+    calls: list[str] = []
+
+    def counted(name: str, fails: bool):
+        def stage(session, docs, sf_dir):
+            calls.append(name)
+            if fails:
+                raise RuntimeError("lost")
+            return docs.limit(50) if name == "quality" else docs
+
+        return stage
+
+    name = f"resumed-{tmp_path.name}-{id(calls)}"
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, counted(n, n == "mixture")) for n in names])
+    with pytest.raises(RuntimeError, match="lost"):
+        corpus_pipeline.run(spark, SF, resume=name)
+    assert calls == names[:4]
+    calls.clear()
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, counted(n, False)) for n in names])
+    assert corpus_pipeline.run(spark, SF, resume=name).count() == 50
+    assert calls == names[3:]
+
+
 def test_awkward_columns_and_rows(spark, tmp_path):
     text = "some words that go on, and on, for long enough to be a line of text in a document of its own.\n" * 2
     rows = [(1, text, "en", "a", 1, "kk", "hh", "cc", 7), (2, None, None, None, None, None, None, None, None), (2, None, None, None, None, None, None, None, None), (None, "", "en", "", 0, "x", "y", "z", 8), (3, text, "en", "a", 1, "k3", "h3", "c3", 9)]
