@@ -65,9 +65,18 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ]
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is written to the shared folder before the next one reads it."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = repeats.shelve(stage(spark, docs, sf_dir))
+def run(spark: SparkSession, sf_dir: str, resume: str | None = None) -> DataFrame:
+    """All stages over ``documents``; each stage's result is written to the shared folder before the next one reads it, and
+    deleted when that one is written in its turn. With a name in ``resume`` results stay there under that name, and a run
+    with the same name over the same input goes on after the last whole stage that it finds."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for n, (name, stage) in enumerate(STAGES[:-1]):
+        path = repeats.shelf(spark, resume and f"{resume}-{n}-{name}")
+        if resume and repeats.on_shelf(spark, path):
+            docs = spark.read.parquet(path)
+        else:
+            docs = repeats.shelve(stage(spark, docs, sf_dir), path)
+        if before and not resume:
+            repeats.on_shelf(spark, before, gone=True)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
