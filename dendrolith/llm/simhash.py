@@ -9,8 +9,9 @@ The table also deals the pairs out. A variant differs from the base inside one b
 two coordinates depends on that block alone. Two fingerprints within 2 bits differ in two blocks at most, so they agree
 on all coordinate differences of some two blocks: each of the six pairs of blocks gives a key, and pairs are looked for
 inside a key only. Where a key holds more than HOT fingerprints (large families of near copies), its rows go on to keys
-over quarters of the remaining bits, and once more over quarters of those; as fingerprints are distinct, a key of the
-last level holds at most 2^8 of them. Each task links the members of a key to the smallest of their local component
+over quarters of the remaining bits, and once more over quarters of those. As fingerprints are distinct and up to four
+values of a block share their coordinates, a key of the last level holds at most 4 x 4 x 2^8 of them. Only fingerprints
+travel: the coordinates follow from them and are worked out again where pairs meet. Each task links the members of a key to the smallest of their local component
 rather than writing all pairs, which keeps every component whole.
 
 Edge cases: a null or blank text has fingerprint zero and is linked like any other. Rows with a null doc_id get a
@@ -96,12 +97,11 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block_key = np.zeros((len(fps), BLOCKS), dtype=U64)
         for j in range(PIVOTS_PER_BLOCK):
             block_key = mix64(block_key * U64(31) + local[:, :, j].astype(np.int64).view(U64) + U64(17))
-        packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(rows.shape[1]), len(fps), [None, pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
         for n, (i, j) in enumerate(combinations(range(BLOCKS), 2)):
             key = mix64(block_key[:, i] * U64(3) + mix64(block_key[:, j] + U64(n + 1))).view(np.int64)
             free = sum(((1 << 16) - 1) << (16 * q) for q in range(BLOCKS) if q not in (i, j))
             free = pa.array(np.full(len(fps), free, dtype=U64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(key), free, b.column("fp"), packed], names=["key", "free", "fp", "coords"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), free, b.column("fp")], names=["key", "free", "fp"])
 
 
 def _quartered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +119,7 @@ def _quartered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key = mix64(old[at] + mix64((fps[at] & own) + U64(i * 4 + j + 1)))
                 rest = np.full(len(at), int(mask) & ~int(own), dtype=U64)
                 take = pa.array(at)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rest.view(np.int64)), b.column("fp").take(take), b.column("coords").take(take)], names=["key", "free", "fp", "coords"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rest.view(np.int64)), b.column("fp").take(take)], names=["key", "free", "fp"])
 
 
 def local_links(fps: np.ndarray, coords: np.ndarray, radius: int = RADIUS, block: int = 512) -> np.ndarray:
@@ -157,9 +157,12 @@ def _merged(parent: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key to links (src, dst) inside each key."""
 
-    def links(keys: np.ndarray, fps: np.ndarray, coords: np.ndarray) -> pa.RecordBatch:
+    refs = pivots()
+
+    def links(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
         cuts = np.flatnonzero(np.diff(keys)) + 1
         src, dst = [], []
+        coords = pivot_table(fps, refs)
         for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
             if e - s == 2:  # most keys
                 if np.abs(coords[s].astype(np.int16) - coords[s + 1]).max() <= RADIUS and int(fps[s] ^ fps[s + 1]).bit_count() <= RADIUS:
@@ -173,26 +176,25 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         join = lambda x: pa.array((np.concatenate(x) if x else np.zeros(0, U64)).view(np.int64))
         return pa.RecordBatch.from_arrays([join(src), join(dst)], names=["src", "dst"])
 
-    held: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+    held: tuple[np.ndarray, np.ndarray] | None = None
     for b in batches:
         if not b.num_rows:
             continue
         keys = b.column("key").to_numpy(zero_copy_only=False)
         fps = b.column("fp").to_numpy(zero_copy_only=False).view(U64)
-        coords = np.frombuffer(b"".join(b.column("coords").to_pylist()), dtype=np.uint8).reshape(len(keys), -1)
         if held:
-            keys, fps, coords = (np.concatenate(x) for x in zip(held, (keys, fps, coords), strict=True))
+            keys, fps = (np.concatenate(x) for x in zip(held, (keys, fps), strict=True))
         last = int(np.searchsorted(keys, keys[-1], side="left"))  # rows of one task come in key order
         if last:
-            yield links(keys[:last], fps[:last], coords[:last])
-        held = keys[last:], fps[last:], coords[last:]
+            yield links(keys[:last], fps[:last])
+        held = keys[last:], fps[last:]
     if held:
         yield links(*held)
 
 
 def near_links(distinct: DataFrame) -> DataFrame:
     """Links (src, dst) between distinct fingerprints (fp long) whose components are those of all pairs within RADIUS."""
-    schema = "key long, free long, fp long, coords binary"
+    schema = "key long, free long, fp long"
     rows = distinct.select("fp").mapInArrow(_keyed, schema)
     found = None
     for level in range(3):
@@ -201,11 +203,11 @@ def near_links(distinct: DataFrame) -> DataFrame:
         sized = rows.join(sizes, "key")
         last = level == 2
         part = sized if last else sized.where(F.col("n") <= HOT)
-        links = cut(part.select("key", "fp", "coords").repartition("key").sortWithinPartitions("key").mapInArrow(_linked, "src long, dst long").distinct())
+        links = cut(part.select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(_linked, "src long, dst long").distinct())
         found = links if found is None else found.union(links)
         if last:
             break
-        hot = sized.where(F.col("n") > HOT).select("key", "free", "fp", "coords")
+        hot = sized.where(F.col("n") > HOT).select("key", "free", "fp")
         if hot.isEmpty():
             break
         rows = hot.mapInArrow(_quartered, schema)
