@@ -22,6 +22,7 @@ CODE_CHANGES: dict[str, dict[str, str]] = {
     "vertebrate mitochondrial": {"AGA": "*", "AGG": "*", "ATA": "M", "TGA": "W"},
     "yeast": {"ATA": "M", "CTT": "T", "CTC": "T", "CTA": "T", "CTG": "T", "TGA": "W"},
     "mold protozoan mitochondrial": {"TGA": "W"},
+    "mycoplasma": {"TGA": "W"},
     "invertebrate mitochondrial": {"AGA": "S", "AGG": "S", "ATA": "M", "TGA": "W"},
     "ciliate": {"TAA": "Q", "TAG": "Q"},
     "echinoderm mitochondrial": {"AAA": "N", "AGA": "S", "AGG": "S", "TGA": "W"},
