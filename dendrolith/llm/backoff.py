@@ -41,7 +41,7 @@ MIN_COUNT = 2
 BACKOFF = 0.4
 #: Bytes of text in a group and, about, behind a bucket of the count table.
 GROUP = 8 << 20
-BUCKET = 16 << 20
+BUCKET = 24 << 20
 BLANKS = re.compile(rb"[\x20\x09-\x0D]+")
 
 
@@ -142,7 +142,7 @@ def _grouping(most: int):
         def flushed() -> pa.RecordBatch:
             lists = [pa.array([[h[k] for h in held]], pa.list_(pa.int64())) for k in (0, 1, 2)]
             sizes = pa.array([[len(h[3]) for h in held]], pa.list_(pa.int64()))
-            blob = zstandard.ZstdCompressor(level=3).compress(b"".join(h[3] for h in held))
+            blob = zstandard.ZstdCompressor(level=9).compress(b"".join(h[3] for h in held))
             return pa.RecordBatch.from_arrays([pa.array([next(number)], pa.int64()), pa.array([blob], pa.binary()), *lists, sizes], names=names)
 
         for b in slices(batches, 512):
