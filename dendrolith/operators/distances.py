@@ -72,10 +72,10 @@ def ts_tv(counts: DataFrame) -> DataFrame:
 
 
 def kappa(counts: DataFrame, freqs: DataFrame) -> DataFrame:
-    """Transition/transversion rate ratio from the counts and the state frequencies."""
+    """Transition/transversion rate ratio from the counts and the state frequencies; both sides are one row."""
     f = freqs.agg(*[F.sum(F.when(F.col("state") == s, F.col("freq")).otherwise(0.0)).alias(s) for s in "ACGT"])
     factor = (F.col("A") + F.col("G")) * (F.col("C") + F.col("T")) / (F.col("A") * F.col("G") + F.col("C") * F.col("T"))
-    return ts_tv(counts).join(f).select("ts", "tv", "ratio", (F.col("ratio") * factor).alias("kappa"))
+    return ts_tv(counts).crossJoin(F.broadcast(f)).select("ts", "tv", "ratio", (F.col("ratio") * factor).alias("kappa"))
 
 
 def unordered_pairs(patterns: DataFrame, n_taxa: int) -> DataFrame:

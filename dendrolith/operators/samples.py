@@ -14,7 +14,7 @@ def log_mean_exp(df: DataFrame, value: Column, by: Sequence[str] = (), name: str
     """ln mean exp(value) within ``by``, shifted by each group's maximum; two aggregations, no group in one task."""
     v = df.select(*by, value.alias("_v"))
     top = v.groupBy(*by).agg(F.max("_v").alias("_top"))
-    joined = v.join(top, list(by)) if by else v.join(F.broadcast(top))  # without keys, one row
+    joined = v.join(top, list(by)) if by else v.crossJoin(F.broadcast(top))  # without keys, one row
     return joined.groupBy(*by).agg((F.max("_top") + F.log(F.sum(F.exp(F.col("_v") - F.col("_top")))) - F.log(F.count("_v"))).alias(name))
 
 
@@ -275,7 +275,7 @@ def log_evidence_by_importance(df: DataFrame, log_p: str, log_q: str, by: Sequen
         return log_mean_exp(df, ratio, by)
     own = df.withColumn("_r", ratio)
     top = own.groupBy(*by).agg(F.max("_r").alias("_t"))
-    joined = own.join(top, list(by)) if by else own.join(F.broadcast(top))  # without keys, one row
+    joined = own.join(top, list(by)) if by else own.crossJoin(F.broadcast(top))  # without keys, one row
     w = F.exp(F.col("_r") - F.col("_t"))
     return joined.groupBy(*by).agg((F.sum(w * F.col(log_p)) / F.sum(w)).alias("mean"))
 

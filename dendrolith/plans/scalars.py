@@ -56,10 +56,11 @@ def parse_arrays(spark, sf):
     return o.withColumn("v", v).select("o_orderkey", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))), 4).alias("total"), F.size("v").alias("n"))
 
 
-@query("SELECT role, count(*) FILTER (WHERE lower(trim(role)) = 'true') AS n_true, min(upper(role) || '-' || lower(role) || '-' || substr(role, 2, 3)) AS cased FROM conversations GROUP BY role")
+@query("SELECT role, count(*) FILTER (WHERE turn % 3 <> 2) AS n_true, min(upper(role) || '-' || lower(role) || '-' || substr(role, 2, 3)) AS cased FROM conversations GROUP BY role")
 def boolean_and_case(spark, sf):
+    spelled = F.when(F.col("turn") % 3 == 0, " TRUE").when(F.col("turn") % 3 == 1, "true ").otherwise("untrue")
     c = table(spark, sf, "conversations").groupBy("role")
-    return c.agg(F.count_if(X.to_boolean(F.col("role"))).alias("n_true"), F.min(F.concat(F.upper("role"), F.lit("-"), F.lower("role"), F.lit("-"), F.substring("role", 2, 3))).alias("cased"))
+    return c.agg(F.count_if(X.to_boolean(spelled)).alias("n_true"), F.min(F.concat(F.upper("role"), F.lit("-"), F.lower("role"), F.lit("-"), F.substring("role", 2, 3))).alias("cased"))
 
 
 @query(r"SELECT event_id, regexp_matches(v, '^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$') AS f, regexp_matches(v, '^[+-]?[0-9]+$') AS i FROM (SELECT event_id, regexp_extract(props, '([0-9]+)', 1) || CASE WHEN user_id % 3 = 0 THEN '' WHEN user_id % 3 = 1 THEN '.5' ELSE 'x' END AS v FROM events)")
@@ -215,7 +216,7 @@ def rate_matrix(spark, sf):
     r = flows.where("s_nationkey <> c_nationkey").groupBy(F.col("s_nationkey").alias("i"), F.col("c_nationkey").alias("j")).agg(F.count("*").alias("n"))
     d = r.groupBy("i").agg((-F.sum("n")).alias("n")).select("i", F.col("i").alias("j"), "n")
     total = d.agg((-F.sum("n")).alias("t"))
-    return rounded(r.unionByName(d).join(F.broadcast(total)).select("i", "j", (F.col("n") / F.col("t")).alias("q")), 8)
+    return rounded(r.unionByName(d).crossJoin(F.broadcast(total)).select("i", "j", (F.col("n") / F.col("t")).alias("q")), 8)
 
 
 @query("""WITH a AS (SELECT l_linenumber AS i, l_suppkey % 5 AS k, sum(l_tax) AS v FROM lineitem GROUP BY 1, 2), b AS (SELECT l_suppkey % 5 AS k, CAST(l_quantity AS INTEGER) % 3 AS j, sum(l_discount) AS v FROM lineitem GROUP BY 1, 2)

@@ -242,11 +242,11 @@ def piecewise_linear(spark, sf):
     return rounded(C.piecewise_linear(order_events(spark, sf), [3, 10, 4, 2, 3], 4.0))
 
 
-@query(f"WITH {GEO_SQL}, t AS (SELECT sum(length) AS total FROM geo) SELECT event_type, round(sum(0.5 * ln(total) - 0.5723649429247001 - 0.5 * ln(value) - value * total) / 1e6, 6) AS lp FROM events, t GROUP BY 1")
+@query(f"WITH {GEO_SQL}, t AS (SELECT sum(length) AS total FROM geo) SELECT event_type, round(avg(0.5 * ln(total) - 0.5723649429247001 - 0.5 * ln(value) - value * total), 2) AS lp FROM events, t GROUP BY 1")
 def ctmc_scale(spark, sf):
     total = T.lengths(geography(spark, sf)).select(F.col("total").alias("_t"))
-    rows = table(spark, sf, "events").join(F.broadcast(total))  # one row
-    return rounded(rows.groupBy("event_type").agg((F.sum(Y.ctmc_scale(F.col("value"), F.col("_t"))) / 1e6).alias("lp")))
+    rows = table(spark, sf, "events").crossJoin(F.broadcast(total))  # one tree, hence one row
+    return rounded(rows.groupBy("event_type").agg(F.avg(Y.ctmc_scale(F.col("value"), F.col("_t"))).alias("lp")), 2)
 
 
 @query("SELECT p_size, round(-sum(ln(k)), 6) AS lp FROM (SELECT DISTINCT p_size FROM part), LATERAL (SELECT unnest(range(1, greatest(1, 2 * p_size - 5) + 1, 2)) AS k) GROUP BY p_size")
