@@ -10,8 +10,9 @@ run of windows travels as one row (about one row in 35 positions). The passes:
 
 1. Each task turns its texts into runs (anchor hash, two independent hashes of the whole run, document, place). Of equal
    runs in a batch only the earliest travels; the others are removed spans already.
-2. Runs meet by anchor hash. Anchors met once are dropped. Of equal runs all but the earliest are removed spans; anchors
-   with several different runs are undecided.
+2. Runs meet by anchor hash, sorted, and are read in blocks, so that what a task holds does not grow with an anchor's rows.
+   Anchors met once are dropped. Of equal runs all but the earliest are removed spans; anchors with several different
+   runs are undecided.
 3. The bytes of undecided runs are fetched from their documents and meet by anchor hash again. There the remaining
    digits, eight bytes each, are sorted window by window. An anchor with more than HOT different runs (a phrase with
    ever different surroundings) is dealt out by the hash of the whole window instead, each window once per batch.
@@ -42,6 +43,8 @@ LENGTH = 100
 GRAM = 32
 CHUNK = 1 << 20
 HOT = 5000
+#: Rows that the second pass holds at a time.
+BLOCK = 1 << 19
 #: Windows sorted at a time.
 AT_ONCE = 1 << 20
 RUN, SPAN, UNDECIDED, CROWDED = 0, 1, 2, 3
@@ -160,6 +163,8 @@ def runs_of(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
 
 ROWS = "kind byte, route long, a long, b long, k long, h long, c long"
 NAMES = ["kind", "route", "a", "b", "k", "h", "c"]
+#: Equal runs (anchor, both hashes) side by side, the earliest first.
+SECOND_ORDER = ["route", "a", "c", "k", "h", "b"]
 
 
 def _rows(kind: int, route: np.ndarray, a: np.ndarray, b: np.ndarray, k: np.ndarray, h: np.ndarray, c: np.ndarray | None = None) -> pa.RecordBatch:
@@ -241,30 +246,68 @@ def _by_route(batches: Iterator[pa.RecordBatch], work, most: int = 1 << 19) -> I
         yield from work(pa.Table.from_batches(held))
 
 
-def _second_pass(length: int):
-    def work(block: pa.Table) -> Iterator[pa.RecordBatch]:
-        kind = block.column("kind").to_numpy()
-        cols = {c: block.column(c).to_numpy() for c in NAMES[1:]}
-        if (spans := np.flatnonzero(kind == SPAN)).size:
-            yield _rows(SPAN, *(cols[c][spans] for c in NAMES[1:]))
-        at = np.flatnonzero(kind == RUN)
-        sig, content, packed, k, h, second = (cols[c][at] for c in NAMES[1:])
-        start, count = packed >> 8, packed & 255
-        order, head = _firsts((k, h, start), (sig, content, second))
-        repeat = np.arange(len(order)) != head
-        later, first = order[repeat], order[head[repeat]]
-        differ = (k[later] != k[first]) | (h[later] != h[first]) | (start[later] != start[first])
-        later = later[differ]
-        if len(later):
-            yield _rows(SPAN, h[later] ^ k[later], start[later], start[later] + count[later] + length - 1, k[later], h[later])
-        own = order[~repeat]
-        _, which, n = np.unique(sig[own], return_inverse=True, return_counts=True)
-        for kind_, chosen in ((UNDECIDED, own[(n[which] > 1) & (n[which] <= HOT)]), (CROWDED, own[n[which] > HOT])):
-            if len(chosen):
-                yield _rows(kind_, sig[chosen], start[chosen], count[chosen], k[chosen], h[chosen])
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Batches in blocks of about ``most`` rows."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        held.append(b)
+        size += b.num_rows
+        if size >= most:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _second_pass(length: int, most: int, hot: int):
+    """Decide equal runs; rows come sorted by ``SECOND_ORDER``.
+
+    Equal runs are neighbours and the earliest is first, so a block and at most ``hot`` runs of the anchor that goes on in
+    the next block are held, however many rows an anchor has.
+    """
+
+    def shown(kind: int, rows: np.ndarray) -> pa.RecordBatch:
+        sig, _, _, k, h, start, count = rows
+        return _rows(kind, sig, start, count, k, h)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _by_route(batches, work)
+        head = np.zeros((7, 0), dtype=np.int64)  # sig, content, second, k, h, start, count of the earliest of the last run
+        held, crowd = head, None  # different runs of the last anchor, or that anchor once it has more than ``hot``
+        for block in _blocks(batches, most):
+            kind = block.column("kind").to_numpy()
+            cols = {c: block.column(c).to_numpy() for c in NAMES[1:]}
+            if (spans := np.flatnonzero(kind == SPAN)).size:
+                yield _rows(SPAN, *(cols[c][spans] for c in NAMES[1:]))
+            sig, content, packed, k, h, second = (cols[c][kind == RUN] for c in NAMES[1:])
+            rows = np.concatenate([head, np.stack([sig, content, second, k, h, packed >> 8, packed & 255])], axis=1)
+            if not rows.shape[1]:
+                continue
+            new = np.ones(rows.shape[1], dtype=bool)
+            new[1:] = (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)
+            heads = np.flatnonzero(new)
+            first = heads[np.cumsum(new) - 1]
+            later = rows[:, ~new & (rows[3:6] != rows[3:6, first]).any(axis=0)]
+            if later.shape[1]:
+                _, _, _, k, h, start, count = later
+                yield _rows(SPAN, h ^ k, start, start + count + length - 1, k, h)
+            rows, head = np.concatenate([held, rows[:, heads[head.shape[1] :]]], axis=1), rows[:, heads[-1:]]
+            if not rows.shape[1]:
+                continue
+            sig = rows[0]
+            edges = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            n = np.diff(np.append(edges, len(sig)))
+            n = np.repeat(n, n)
+            crowded = n > hot
+            if crowd is not None:
+                crowded |= sig == crowd
+            goes_on = np.arange(len(sig)) >= edges[-1]
+            for kind_, chosen in ((UNDECIDED, (n > 1) & ~crowded & ~goes_on), (CROWDED, crowded)):
+                if chosen.any():
+                    yield shown(kind_, rows[:, chosen])
+            held, crowd = rows[:, goes_on & ~crowded], sig[-1] if crowded[-1] else None
+        if held.shape[1] > 1:
+            yield shown(UNDECIDED, held)
 
     return run
 
@@ -385,7 +428,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     keyed = docs.withColumns({"k": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "h": F.xxhash64(text), "text": text})
     runs = keyed.where(F.octet_length("text") >= length).select("k", "h", "text").mapInArrow(_first_pass(length), ROWS)
-    met = shelve(runs.repartition("route").sortWithinPartitions("route").mapInArrow(_second_pass(length), ROWS))
+    met = shelve(runs.repartition("route").sortWithinPartitions(*SECOND_ORDER).mapInArrow(_second_pass(length, BLOCK, HOT), ROWS))
     asked = met.where(F.col("kind") >= UNDECIDED).groupBy("k", "h").agg(F.collect_list(F.struct("kind", "route", "a", "b")).alias("asked"))
     # all columns go along and short texts do not, so that both uses of the documents read one exchange
     fetched = keyed.where(F.octet_length("text") >= length).join(asked, ["k", "h"]).mapInArrow(_fetch(length), "route long, start long, count long, bytes binary, k long, h long")
