@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dendrolith.functions import alphabet, models
-from dendrolith.operators import cluster, distances, inference, likelihood, patterns
+from dendrolith.operators import cluster, distances, inference, likelihood, patterns, samples
 from dendrolith.sources import config, sequences
 from dendrolith.sources.trees import Tree, parse
 
@@ -243,6 +243,15 @@ class Analysis:
         elif node["type"] == "simulator":  # (site, pattern)
             own = self.get(node["model"])
             self.objects[node["id"]] = likelihood.simulate(self.spark, own.arrays(), own.substitution(), own.rates(), int(node["length"]), int(node.get("seed", 1)))
+        elif node["type"] == "laplace":
+            at, start, _ = self._on_the_line(node)
+            mode, _ = inference.bfgs(lambda u: -at(u), start)
+            self._result(node, inference.laplace(at, mode))
+            at(mode)
+        elif node["type"] == "variational":
+            self._variational(node)
+        elif node["type"] == "marginallikelihood":
+            self._evidence(node)
         elif node["type"] == "dumper":
             self.output.append(json.dumps({k: v.value for k, v in self.objects.items() if isinstance(v, Parameter)}))
         else:
@@ -299,12 +308,73 @@ class Analysis:
             at(best if value < before else old)
         return model.log_p()
 
+    def _result(self, node, value: float) -> None:
+        self.objects[node["id"]] = value
+        self.output.append(f"{node['id']}: {value:.10g}")
+
+    def _on_the_line(self, node) -> tuple[Callable[[np.ndarray], float], np.ndarray, list[Parameter]]:
+        """Log density over real numbers, the present point and the parameters; positive ones enter by their logarithm."""
+        model, ps = self.get(node["model"]), self.parameters_of(node["parameters"])
+        if any("$" in p for p in node["parameters"]):
+            raise ValueError(f"{node['type']} takes single parameters, not a simplex")
+        positive = np.array([p.lower >= 0 for p in ps])
+
+        def at(u: np.ndarray) -> float:
+            for p, v, up in zip(ps, u, positive, strict=True):
+                p.value = float(np.exp(np.clip(v, -700, 700))) if up else float(v)
+            inside = all(p.lower <= p.value <= p.upper for p in ps)
+            return model.log_p() + float(u[positive].sum()) if inside else -inf
+
+        return at, np.array([log(max(p.value, 1e-12)) if up else p.value for p, up in zip(ps, positive, strict=True)]), ps
+
+    def _variational(self, node) -> None:
+        """A normal on the real line around the present values; the lower bound of the evidence is the result."""
+        at, start, ps = self._on_the_line(node)
+        settings = {k: node[k] for k in ("seed", "rounds", "draws", "rate") if k in node}
+        mean, factor, bound = inference.mean_field(lambda u: at(start + u), len(ps), full_rank=node.get("algorithm") == "fullrank", **settings)
+        at(start + mean)
+        self.objects[f"{node['id']}.mean"], self.objects[f"{node['id']}.factor"] = start + mean, factor
+        self._result(node, bound)
+
+    def _evidence(self, node) -> None:
+        """Marginal likelihood from the table of a tempered chain, without the first ``burnin`` share of every rung."""
+        chain = self.get(node["chain"])
+        last = chain.agg(F.max("iter")).first()[0]
+        kept = chain.where(F.col("iter") >= last * float(node.get("burnin", 0.2)))
+        estimators = {
+            "steppingstone": samples.stepping_stone,
+            "pathsampling": samples.path_sampling,
+            "modifiedpathsampling": lambda df: samples.path_sampling(df, modified=True),
+            "harmonicmean": lambda df: samples.log_harmonic_mean(df.where("beta = 1"), F.col("ll")),
+        }
+        algorithm = node.get("algorithm", "steppingstone")
+        if algorithm not in estimators:
+            raise ValueError(f"unknown estimator {algorithm!r}")
+        self._result(node, estimators[algorithm](kept).first()[0])
+
     def _mcmc(self, node) -> None:
+        """A chain's table; with ``temperatures`` one chain per inverse temperature, each from the end of the one before."""
         model = self.get(node["model"])
         moves = [(self.parameters_of(o["x"] if "x" in o else o["parameters"]), o.get("algorithm", "slider"), float(o.get("weight", 1))) for o in node["operators"]]
         rng = np.random.default_rng(node.get("seed", 1))
+        names = [p.id for m in moves for p in m[0]]
+        if "temperatures" in node:
+            rows = [(beta, k, ll, *x) for beta in inference.temperatures(int(node["temperatures"])) for k, _, ll, x in self._chain(node, model, moves, rng, beta)]
+            names = ["beta", "iter", "ll", *names]
+        else:
+            rows = [(k, now, *x) for k, now, _, x in self._chain(node, model, moves, rng)]
+            names = ["iter", "posterior", *names]
+        self.objects[node.get("id", "mcmc")] = self.spark.createDataFrame([tuple(map(float, r)) for r in rows], names)
+
+    def _chain(self, node, model, moves, rng: np.random.Generator, beta: float = 1.0) -> list[tuple[int, float, float, list[float]]]:
+        """(iteration, log density, log-likelihood, values) of every ``every``-th state."""
         weights = np.array([m[2] for m in moves])
-        now, rows = model.log_p(), []
+
+        def density() -> tuple[float, float]:
+            ll, prior = split_log_p(model)
+            return (prior + beta * ll if beta else prior), ll
+
+        (now, ll), rows = density(), []
         for k in range(int(node.get("length", 1000))):
             ps, kind, _ = moves[int(rng.choice(len(moves), p=weights / weights.sum()))]
             old = [p.value for p in ps]
@@ -313,16 +383,23 @@ class Analysis:
             for p, v in zip(ps, y, strict=True):
                 p.value = float(v)
             inside = all(p.lower <= p.value <= p.upper for p in ps)
-            new = model.log_p() if inside else -inf
+            new, new_ll = density() if inside else (-inf, -inf)
             if new - now + ratio >= 0 or log(rng.random()) < new - now + ratio:
-                now = new
+                now, ll = new, new_ll
             else:
                 for p, v in zip(ps, old, strict=True):
                     p.value = v
             if k % int(node.get("every", 10)) == 0:
-                rows.append((k, now, *[p.value for m in moves for p in m[0]]))
-        names = ["iter", "posterior", *[p.id for m in moves for p in m[0]]]
-        self.objects[node.get("id", "mcmc")] = self.spark.createDataFrame([tuple(map(float, r)) for r in rows], names)
+                rows.append((k, now, ll, [p.value for m in moves for p in m[0]]))
+        return rows
+
+
+def split_log_p(model) -> tuple[float, float]:
+    """(log-likelihood, log prior) of a model."""
+    if isinstance(model, Compound):
+        parts = [split_log_p(p) for p in model.parts]
+        return sum(p[0] for p in parts), sum(p[1] for p in parts)
+    return (model.log_p(), 0.0) if isinstance(model, Likelihood) else (0.0, model.log_p())
 
 
 def run(spark: SparkSession, text: str, folder: str = ".") -> Analysis:
