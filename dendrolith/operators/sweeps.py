@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from dendrolith.operators.scans import running, settled
 
 MOST_ROUNDS = 64
+#: Of a sum of squares a tip, what counts as none.
+FLAT = 1e-9
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -185,8 +187,9 @@ def roots_on_branches(edges: DataFrame, dates: DataFrame) -> DataFrame:
     count and the sums of dates, distances, their squares and products come from two sweeps: from the tips up for the side
     below, and from the root down for the side above, where a step to a child adds the subtrees beside it. With the root at
     x from the lower end, distances are those below plus x and those above plus length - x, so that the residual of their
-    regression on the dates is a parabola in x, whose least value in the branch is closed. ``share`` is x over the length;
-    a branch without length stays at 0.5. ``distance`` is x. Equal residuals are all kept; order by sse to rank."""
+    regression on the dates is a parabola in x, whose least value in the branch is closed. ``distance`` is x, ``share`` x over
+    the length. Where the residual does not depend on x (under three dated tips, or all on one side) x is the middle.
+    Equal residuals are all kept; order by sse to rank."""
     nodes = settled(nodes_of(edges))
     far = down(nodes, {"far": (F.lit(1.0), F.col("length"))})
     tipped = is_tip(nodes).join(far, ["tree", "node"]).join(dates.select("node", F.col("date").cast("double").alias("date")), "node", "left")
@@ -229,15 +232,15 @@ def _best_places(rows: DataFrame) -> DataFrame:
     cov = lambda ab, a, b: F.col(ab) - F.col(a) * F.col(b) / m
     rows = rows.withColumns({"c_tt": cov("mtt", "mt", "mt"), "c_yy": cov("yy", "y", "y"), "c_ys": cov("ys", "y", "s"), "c_ss": m - F.col("s") * F.col("s") / m, "c_ty": cov("ty", "mt", "y"), "c_ts": cov("ts", "mt", "s")})
     # residual(x) = c_yy + 2 x c_ys + x^2 c_ss - (c_ty + x c_ts)^2 / c_tt
-    share = lambda a, b: F.when(F.col("c_tt") > 0, F.col(a) * F.col(b) / F.col("c_tt")).otherwise(0.0)
+    share = lambda a, b: F.when(F.col("c_tt") > FLAT * m, F.col(a) * F.col(b) / F.col("c_tt")).otherwise(0.0)
     rows = rows.withColumns({"r0": F.col("c_yy") - share("c_ty", "c_ty"), "r1": F.col("c_ys") - share("c_ty", "c_ts"), "r2": F.col("c_ss") - share("c_ts", "c_ts")})
-    turn = F.when(F.col("r2") > 1e-12 * m, -F.col("r1") / F.col("r2")).otherwise(F.when(F.col("r1") > 0, 0.0).when(F.col("r1") < 0, length).otherwise(length / 2))
+    turn = F.when((m >= 3) & (F.col("u_n") > 0) & (F.col("a_n") > 0) & (F.col("r2") > FLAT * m), -F.col("r1") / F.col("r2")).otherwise(length / 2)
     x = F.least(F.greatest(turn, F.lit(0.0)), length)
     rows = rows.withColumn("x", F.when(length > 0, x).otherwise(0.0))
     x = F.col("x")
     ty, yy = F.col("c_ty") + x * F.col("c_ts"), F.col("c_yy") + 2 * x * F.col("c_ys") + x * x * F.col("c_ss")
-    slope = F.when(F.col("c_tt") > 0, ty / F.col("c_tt"))
+    slope = F.when(F.col("c_tt") > FLAT * m, ty / F.col("c_tt"))
     intercept = (F.col("y") + x * F.col("s")) / m - slope * F.col("mt") / m
-    sse = F.greatest(yy - F.when(F.col("c_tt") > 0, ty * ty / F.col("c_tt")).otherwise(0.0), F.lit(0.0))
-    r = F.when((F.col("c_tt") > 0) & (yy > 0), ty / F.sqrt(F.col("c_tt") * yy))
+    sse = F.greatest(yy - F.when(F.col("c_tt") > FLAT * m, ty * ty / F.col("c_tt")).otherwise(0.0), F.lit(0.0))
+    r = F.when((F.col("c_tt") > FLAT * m) & (yy > 0), ty / F.sqrt(F.col("c_tt") * yy))
     return rows.select("tree", "node", F.when(length > 0, x / length).otherwise(0.5).alias("share"), x.alias("distance"), sse.alias("sse"), r.alias("r"), slope.alias("slope"), intercept.alias("intercept"))

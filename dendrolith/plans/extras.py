@@ -31,12 +31,6 @@ def query(sql: str | None):
     return add
 
 
-@query(f"""WITH RECURSIVE {GEO_SQL}, walk AS (SELECT 'root' AS node, 'root' || chr(1) AS path UNION ALL SELECT g.child, w.path || g.child || chr(1) FROM walk w JOIN geo g ON g.parent = w.node WHERE g.child NOT LIKE 'o%')
-SELECT node, (row_number() OVER (ORDER BY path) - 1)::INTEGER AS preorder, (row_number() OVER (ORDER BY path || chr(127)) - 1)::INTEGER AS postorder FROM walk""")
-def traversals(spark, sf):
-    return T.traversal_ranks(geography(spark, sf).where(~F.col("child").startswith("o"))).select("node", F.col("preorder").cast("int").alias("preorder"), F.col("postorder").cast("int").alias("postorder"))
-
-
 @query(f"WITH {GEO_SQL} SELECT count(*) AS n, round(corr(c.rate + length(c.child), p.rate + length(p.child)), 6) AS correlation FROM geo c JOIN geo p ON p.child = c.parent")
 def rate_correlations(spark, sf):
     geo = geography(spark, sf).withColumn("rate", F.col("rate") + F.length("child"))
