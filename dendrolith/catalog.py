@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dendrolith.plans import alignment, extras, files, forests, markov, numeric, quartets, samples, scalars, trees
+from dendrolith.plans import alignment, extras, files, forests, heaps, markov, numeric, quartets, samples, scalars, trees
 
-MODULES = (alignment, samples, trees, scalars, markov, quartets, files, extras, forests, numeric)
+MODULES = (alignment, samples, trees, scalars, markov, quartets, files, extras, forests, heaps, numeric)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
