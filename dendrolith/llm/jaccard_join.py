@@ -54,6 +54,8 @@ RARE, COMMON = 8, 128
 SMALL, SINGLE = 64, 40
 #: Other sets send the tokens whose mixed hash, of 64 bits, is below this.
 QUARTER = 1 << 62
+#: Of the bitmap that thins out the texts to read again; its size does not follow the corpus.
+BITS = 1 << 24
 #: Of a prefix's frequent tokens, about as many fall into a cell.
 PER_CELL = 4
 #: Members of a family, and tokens of them, that one task compares.
@@ -67,60 +69,116 @@ def at_least(size: Column | int, similarity: int) -> Column | int:
 
 
 def first_look(docs: DataFrame, shingle: int, similarity: int) -> DataFrame:
-    """(doc_id, h, node, size, n, sent): h is a hash of the text, sent the (mixed) tokens that are counted first, n how many of
-    them count for this set: all tokens of a set of SMALL tokens, whose partners send all of theirs, else a quarter."""
+    """A row per document with the tokens, mixed, that have to be counted first.
+
+    ``wanted`` tokens count for this set: all of a set of SMALL tokens, whose partners offer all of theirs, else a quarter.
+    ``offered`` ones only count for others. A token that two sets of one batch hold is known to be shared: it leaves both
+    lists and goes, once for the batch, into ``told``, so that a very common token sends a row per batch, not per holder.
+    ``missing`` is the number of wanted tokens; equal sets of a batch are one, the others have ``counted`` 0."""
     all_of = SMALL * 100 // similarity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 512):
+        for b in slices(batches, 1024):
             sets = shingle_sets(texts_as_bytes(b.column("text")), shingle)
+            sizes = np.array([len(s) for s in sets], dtype=np.int64)
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), len(s)) for s in sets], dtype=U64)
-            mixed = [mix64(s) for s in sets]
-            few = [m[m < U64(QUARTER)] for m in mixed]
-            sent = [m if len(m) <= all_of else q for m, q in zip(mixed, few, strict=True)]
-            n = [len(m) if len(m) <= SMALL else len(q) for m, q in zip(mixed, few, strict=True)]
-            ends = np.cumsum([0, *map(len, sent)]).astype(np.int32)
-            packed = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*sent, np.zeros(0, U64)]).view(np.int64)))
-            columns = [b.column("doc_id"), b.column("h"), pa.array(nodes.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array(n, pa.int64()), packed]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "node", "size", "n", "sent"])
-
-    return named(docs).mapInArrow(run, "doc_id long, h long, node long, size long, n long, sent array<long>")
+            counted = np.zeros(len(sets), dtype=bool)
+            counted[np.unique(nodes, return_index=True)[1]] = True
+            held = np.where(counted, sizes, 0)
+            tokens = mix64(np.concatenate([*(s for s, c in zip(sets, counted, strict=True) if c), np.zeros(0, U64)]))
+            owner = np.repeat(np.arange(len(sets)), held)
+            few = tokens < U64(QUARTER)
+            used = few | (sizes[owner] <= all_of)
+            tokens, owner, few = tokens[used], owner[used], few[used]
+            wants = few | (sizes[owner] <= SMALL)
+            order = np.argsort(tokens, kind="stable")
+            starts = np.flatnonzero(np.diff(tokens[order], prepend=tokens[order][:1] + U64(1)) != 0) if len(order) else order
+            many = np.diff(np.append(starts, len(order))) > 1
+            shared = np.zeros(len(order), dtype=bool)
+            shared[order] = np.repeat(many, np.diff(np.append(starts, len(order))))
+            missing = np.bincount(owner[wants & ~shared], minlength=len(sets))
+            told = tokens[order][starts[many]]
+
+            def lists(chosen: np.ndarray) -> pa.Array:
+                ends = np.append(0, np.cumsum(np.bincount(owner[chosen], minlength=len(sets)))).astype(np.int32)  # noqa: B023
+                return pa.ListArray.from_arrays(ends, pa.array(tokens[chosen].view(np.int64)))  # noqa: B023
+
+            first = pa.ListArray.from_arrays(np.append(0, np.full(len(sets), len(told))).astype(np.int32), pa.array(told.view(np.int64)))
+            columns = [b.column("doc_id"), b.column("h"), pa.array(nodes.view(np.int64)), pa.array(sizes), pa.array(counted.astype(np.int64)), pa.array(missing), lists(wants & ~shared), lists(~wants & ~shared), first]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "node", "size", "counted", "missing", "wanted", "offered", "told"])
+
+    return named(docs).mapInArrow(run, "doc_id long, h long, node long, size long, counted long, missing long, wanted array<long>, offered array<long>, told array<long>")
 
 
 def named(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
 
 
+OFFERED, WANTED, TOLD = 0, 1, 2
+
+
+def _credits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by token to how many wanted tokens of a node other sets hold too."""
+    for block in groups(batches, 1 << 16):
+        keys, nodes, flags = (block.column(c).to_numpy() for c in ("key", "node", "flag"))
+        starts = np.append(0, np.flatnonzero(np.diff(keys)) + 1)
+        shared = (np.minimum.reduceat(nodes, starts) != np.maximum.reduceat(nodes, starts)) | (np.maximum.reduceat(flags, starts) == TOLD)
+        good = np.repeat(shared, np.diff(np.append(starts, len(keys)))) & (flags == WANTED)
+        found, n = np.unique(nodes[good], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["node", "n"])
+
+
 def possible(looked: DataFrame, similarity: int) -> DataFrame:
     """(node, size, doc_id, h) of the sets that may have a partner, each with one of its rows."""
-    tokens = looked.select("node", F.explode("sent").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
-    own = looked.select("node", F.explode("sent").alias("token"), "size").where((F.col("size") <= SMALL) | F.col("token").between(0, QUARTER - 1))
-    held = own.select("node", "token").join(shared.hint("merge"), "token", "left_semi").groupBy("node").agg(F.count("*").alias("held"))
-    nodes = looked.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("n").alias("n"), F.count("*").alias("copies"), F.min(F.struct("doc_id", "h")).alias("one"))
-    missed = F.col("n") * F.col("copies") - F.coalesce("held", F.lit(0))  # every copy has sent its tokens
-    kept = nodes.join(held, "node", "left").where(missed <= (F.col("size") - at_least(F.col("size"), similarity)) * F.col("copies"))
+    rows = None
+    for flag, column in ((OFFERED, "offered"), (WANTED, "wanted"), (TOLD, "told")):
+        own = looked.select(F.explode(column).alias("key"), "node", F.lit(flag).alias("flag"))
+        rows = own if rows is None else rows.union(own)
+    found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_credits, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    sums = [F.first("size").alias("size"), F.sum("missing").alias("missing"), F.sum("counted").alias("counted"), F.min(F.struct("doc_id", "h")).alias("one")]
+    nodes = looked.where("size > 0").groupBy("node").agg(*sums)
+    missed = F.col("missing") - F.coalesce("n", F.lit(0))
+    kept = nodes.join(found, "node", "left").where(missed <= (F.col("size") - at_least(F.col("size"), similarity)) * F.col("counted"))
     return kept.select("node", "size", "one.doc_id", "one.h")
 
 
+def thinned(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, h, text) without most rows that ``nodes`` does not name, by a bitmap of BITS bits, whatever the corpus."""
+    place = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), "h"), F.lit(BITS)) + 1
+    maps = nodes.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    bits = np.zeros(BITS // 8, dtype=np.uint8)
+    for row in maps:
+        bits[(row["bucket"] - 1) * 4096 : row["bucket"] * 4096] = np.frombuffer(row["bits"], dtype=np.uint8)
+    marks = nodes.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = marks.value
+        for b in batches:
+            at = b.column("p").to_numpy() - 1
+            good = (held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            yield b.select(["doc_id", "h", "text"]).filter(pa.array(good))
+
+    return named(docs).withColumn("p", place).mapInArrow(run, "doc_id long, h long, text string")
+
+
 def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 512):
             sets = shingle_sets(texts_as_bytes(b.column("text")), shingle)
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             packed = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*sets, np.zeros(0, U64)]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("size"), packed], names=["node", "size", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column("node"), packed], names=["node", "tokens"])
 
     return run
 
 
 def ordered_sets(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: int) -> DataFrame:
     """(node, size, tokens, holders): the tokens that other sets hold too, in the global order, with how many sets hold them."""
-    asked = nodes.select("node", "size", F.col("doc_id").alias("_d"), F.col("h").alias("_h"))
-    texts = named(docs).join(asked, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h"))).select("node", "size", "text")
-    tokens = cut(texts.mapInArrow(_sets(shingle), "node long, size long, tokens array<long>")).select("node", "size", F.explode("tokens").alias("token"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token", "n")
-    found = tokens.join(counts.hint("merge"), "token").groupBy("node", "size").agg(F.collect_set(F.struct("n", "token")).alias("found"))
+    asked = nodes.select("node", F.col("doc_id").alias("_d"), F.col("h").alias("_h"))
+    texts = thinned(docs, nodes).join(asked, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h"))).select("node", "text")
+    tokens = cut(texts.mapInArrow(_sets(shingle), "node long, tokens array<long>")).select("node", F.explode("tokens").alias("token"))
+    counts = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")  # a repeated row only makes the test weaker
+    found = tokens.select("node", "token").join(counts.hint("merge"), "token").groupBy("node").agg(F.collect_set(F.struct("n", "token")).alias("found")).join(nodes.select("node", "size"), "node")
     kept = found.where(F.size("found") >= at_least(F.col("size"), similarity)).select("node", "size", F.array_sort("found").alias("found"))
     return kept.select("node", "size", F.col("found.token").alias("tokens"), F.col("found.n").alias("holders"))
 
