@@ -8,10 +8,17 @@ widened to its enclosing article or main element; its lines outside furniture ar
 element is found, blocks of several links without a dense line are menus, whatever they are called.
 
 What counts as furniture: tags and roles that HTML has for it, hidden elements, and elements that have a class or an id
-made up of furniture words only (``cookie-notice``, not ``popular-uprising``), unless nothing else is left. A header inside an article belongs to it. Furniture that is never closed by its own end tag ends at the next paragraph,
-heading, article or main element, so that a forgotten end tag costs no article.
-
-Every event takes constant time but for the elements that it closes, so a page takes time in proportion to its length.
+made up of furniture words only (``cookie-notice``, not ``popular-uprising``). Forms, dialogs and elements that only their
+names make furniture are judged by the clusters first: one that holds half or more of the clustered text, with no article or
+main element beside it that holds any, is a wrapper around the content (a page-wide form, a ``div`` called ``modal``) and is
+no furniture. Inside an article, paragraphs, headings, cells and items go by a name only if it is one of adverts or reader
+comments, and sections not by words that say something else as well (``notice``, ``popular``). A header inside an article
+belongs to it. Furniture that is never closed by its own end tag ends at the next paragraph, heading, article or main
+element, so that a forgotten end tag costs no article.
+
+Before it is parsed a page is made whole: a tag ends within LONGEST characters a quoted value or is text, a comment without
+an end is none, and script or style without an end reaches to the end of the page. So the parser never looks ahead in vain,
+every event takes constant time but for the elements that it closes, and a page takes time in proportion to its length.
 
 Edge cases: a null, empty or text-free page gives the empty text. Unclosed and wrongly nested tags, end tags without a
 start, unknown references and truncated pages are read as far as they go; an end tag of a phrase does not close the
@@ -53,7 +60,19 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidenav menu nav navbar navigation navi breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist respond reply replies disqus share sharing social related recommended recommendations widget widgets toolbar pagination pager skip popular trending".split()
 )
-COMMENT = frozenset("comment comments commentlist reply replies disqus".split())
+COMMENT = frozenset("comment comments commentlist discussion discussions feedback reactions reply replies responses talkback disqus".split())
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion".split())
+#: Words that also name something inside an article, and elements that are its flow.
+DOUBTFUL = frozenset("alert banner header menu modal notice notices overlay popular skip social trending widget widgets".split())
+FLOW = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr figure figcaption".split())
+#: Furniture by tag or role, by a name or as a form, and reader comments by name.
+HARD, SOFT, READERS = range(3)
+#: Share of the clustered text that makes soft furniture a wrapper.
+WRAPS = 0.5
+#: Of a quoted attribute value.
+LONGEST = 4096
+WHOLE_TAG = re.compile(r"""</?[a-zA-Z](?:[^"'<>]++|"[^"]{0,%d}+"|'[^']{0,%d}+'|["'])*+>""" % (LONGEST, LONGEST))
+RAW = re.compile(r"<(script|style)\b", re.IGNORECASE)
 #: Words that say where or how, not what.
 PLACE = frozenset("area bar block body bottom box col column container content first global inner item last left link links list main middle outer page primary right secondary section site small sticky text thread top wrap wrapper".split())
 PARTS = re.compile(r"[a-z]+")
@@ -64,10 +83,11 @@ DEEPEST = 16
 class Furniture:
     """An element whose lines are left out; unless ``sound``, only up to the line ``until``."""
 
-    __slots__ = ("depth", "named", "outer", "sound", "until")
+    __slots__ = ("depth", "kind", "outer", "sound", "until", "wraps")
 
-    def __init__(self, outer: Furniture | None, named: bool):
-        self.outer, self.named = outer, named
+    def __init__(self, outer: Furniture | None, kind: int):
+        self.outer, self.kind = outer, kind
+        self.wraps = False
         self.depth = outer.depth + 1 if outer else 1
         self.sound = False
         self.until: int | None = None
@@ -109,27 +129,32 @@ class LineReader(HTMLParser):
     def furniture(self, tag: str, attrs: list[tuple[str, str | None]]) -> Furniture | None:
         if self.inside and self.inside.depth >= DEEPEST:
             return None
+        inside = self.open_blocks["article"] or self.open_blocks["main"]
         if tag in NEVER and not (tag == "header" and self.open_blocks["article"]):
-            return Furniture(self.inside, False)
-        words = COMMENT if tag in ("article", "main", "body", "html") else HINTS
+            return Furniture(self.inside, SOFT if tag in ("form", "dialog") else HARD)
+        words = COMMENT if tag in ("article", "main", "body", "html") else HINTS | COMMENT
+        if inside and tag in FLOW:
+            words = COMMENT | ADVERTS
+        elif inside and tag == "section":
+            words = words - DOUBTFUL
         for name, value in attrs:
             if name == "hidden":
-                return Furniture(self.inside, False)
+                return Furniture(self.inside, HARD)
             if not value:
                 continue
             if name in ("class", "id"):
                 for own in value.lower().split():
                     parts = PARTS.findall(own)
                     if not words.isdisjoint(parts) and all(p in words or p in PLACE for p in parts):
-                        return Furniture(self.inside, True)
+                        return Furniture(self.inside, SOFT if COMMENT.isdisjoint(parts) else READERS)
             elif name == "role":
                 if value.lower() in ROLES:
-                    return Furniture(self.inside, False)
+                    return Furniture(self.inside, SOFT if value.lower() in ("dialog", "form") else HARD)
             elif name == "aria-hidden":
                 if value.lower() == "true":
-                    return Furniture(self.inside, False)
+                    return Furniture(self.inside, HARD)
             elif name == "style" and "display:none" in value.replace(" ", "").lower():
-                return Furniture(self.inside, False)
+                return Furniture(self.inside, HARD)
         return None
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -209,17 +234,44 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return full / np.convolve(np.ones(len(ratios)), kernel)[reach : reach + len(ratios)]
 
 
-def leave_out(lines: list[Line], names: bool = True) -> None:
-    """Mark the lines that belong to furniture; without ``names``, to furniture by tag or role."""
+def leave_out(lines: list[Line], soft: bool = True) -> None:
+    """Mark the lines that belong to furniture; without ``soft``, to hard furniture and to reader comments."""
     for n, x in enumerate(lines):
-        x.excluded, around = False, x.inside
-        while around and not x.excluded:
-            if names or not around.named:
-                x.excluded = around.sound or around.until is None or n < around.until
-            around = around.outer
+        x.excluded = any(not around.wraps and (soft or around.kind != SOFT) for around in surrounding(n, x))
         x.ratio = 0.0 if x.excluded else x.chars / max(1, x.tags)
 
 
+def find_wrappers(lines: list[Line], kinds: list[str], parents: list[int]) -> None:
+    """Soft furniture that holds the content, by the clusters of the page without soft furniture, is none."""
+    own = {around for n, x in enumerate(lines) for around in surrounding(n, x) if around.kind == SOFT}
+    if not own:
+        return
+    leave_out(lines, soft=False)
+    content = [(n, x) for n, (x, is_content) in enumerate(zip(lines, clusters(lines)[0], strict=True)) if is_content]
+    total = sum(x.chars for _, x in content)
+    article = [False] * len(kinds)
+    for n in range(1, len(kinds)):
+        article[n] = kinds[n] in ("article", "main") or article[parents[n]]
+    held: Counter[Furniture] = Counter()
+    told: Counter[Furniture] = Counter()  # inside an article or main element
+    for n, x in content:
+        for around in surrounding(n, x):
+            held[around] += x.chars
+            told[around] += x.chars * article[x.region]
+    in_articles = sum(x.chars for _, x in content if article[x.region])
+    for around in own:
+        around.wraps = total > 0 and held[around] >= WRAPS * total and told[around] == in_articles
+
+
+def surrounding(n: int, line: Line) -> Iterator[Furniture]:
+    """The furniture around the n-th line that has not ended by then."""
+    around = line.inside
+    while around:
+        if around.sound or around.until is None or n < around.until:
+            yield around
+        around = around.outer
+
+
 def clusters(lines: list[Line]) -> tuple[list[bool], float]:
     """Which lines are content by their smoothed ratio, and the ratio it takes."""
     level = smoothed(np.array([x.ratio for x in lines]))
@@ -230,9 +282,10 @@ def clusters(lines: list[Line]) -> tuple[list[bool], float]:
 def content_lines(lines: list[Line], kinds: list[str], parents: list[int]) -> list[Line]:
     if not lines:
         return []
+    find_wrappers(lines, kinds, parents)
     leave_out(lines)
     if all(x.excluded for x in lines):
-        leave_out(lines, names=False)
+        leave_out(lines, soft=False)
     content, least = clusters(lines)
     held = [0] * len(kinds)
     for x, is_content in zip(lines, content, strict=True):
@@ -259,9 +312,40 @@ def content_lines(lines: list[Line], kinds: list[str], parents: list[int]) -> li
     return kept
 
 
+def made_whole(html: str) -> str:
+    """The page with tags that end, comments and scripts taken out, and every other opening bracket as text."""
+    out, at, comments = [], 0, True
+    while (start := html.find("<", at)) >= 0:
+        out.append(html[at:start])
+        if html.startswith("<!--", start):
+            end = html.find("-->", start + 4) if comments else -1
+            comments = end >= 0
+            at = end + 3 if comments else start + 4
+        elif html[start + 1 : start + 2] in ("!", "?"):
+            end = html.find(">", start, start + LONGEST)
+            at = end + 1 if end >= 0 else start + 2
+        elif found := WHOLE_TAG.match(html, start):
+            at = found.end()
+            raw = RAW.match(found[0])
+            if not raw:
+                out.append(found[0])
+            elif not found[0].endswith("/>") or raw[1].lower() == "script":
+                end = re.compile("</" + raw[1], re.IGNORECASE).search(html, at)
+                if not end:
+                    return "".join(out)
+                at = end.start()
+                closing = WHOLE_TAG.match(html, at)
+                at = closing.end() if closing else at + len(end[0])
+        else:
+            out.append("&lt;")
+            at = start + 1
+    out.append(html[at:])
+    return "".join(out)
+
+
 def main_text(html: str) -> str:
     reader = LineReader()
-    reader.feed(html)
+    reader.feed(made_whole(html))
     reader.close()
     reader.end_line()
     return " ".join(x.text for x in content_lines(reader.lines, reader.kinds, reader.parents))
