@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dendrolith.operators.scans import ranked, settled
+
 
 def log_mean_exp(df: DataFrame, value: Column, by: Sequence[str] = (), name: str = "lme") -> DataFrame:
     """ln mean exp(value) within ``by``, shifted by each group's maximum; two aggregations, no group in one task."""
@@ -77,19 +79,50 @@ def waic(df: DataFrame, pattern: str, value: str) -> DataFrame:
 
 
 def drop_burnin(df: DataFrame, chain: str, order: Sequence[str], burnin: int) -> DataFrame:
-    """Adds ``iter`` within each chain and drops the first ``burnin`` samples."""
-    it = F.row_number().over(Window.partitionBy(chain).orderBy(*order))
-    return df.withColumn("iter", it).where(F.col("iter") > burnin)
+    """Adds ``iter`` within each chain and drops the first ``burnin`` samples; a chain need not fit into a task."""
+    return ranked(df, [chain], order, "iter").where(F.col("iter") > burnin)
+
+
+def _blocks(centred: DataFrame, chain: str, size: int, lags: int) -> DataFrame:
+    """(chain, block, iter, c, own): runs of ``size`` samples, each with the ``lags`` that follow it, which are not its own."""
+    it = F.col("iter") - 1
+    block = F.floor(it / size).cast("long")
+    both = F.when(it % size < lags, F.array(F.struct(block.alias("b"), F.lit(True).alias("own")), F.struct((block - 1).alias("b"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(block.alias("b"), F.lit(True).alias("own"))))
+    return centred.select(chain, "iter", "c", F.explode(both).alias("x")).select(chain, F.col("x.b").alias("block"), "iter", "c", F.col("x.own").alias("own")).where("block >= 0")
+
+
+def lagged_sums(centred: DataFrame, chain: str, lags: int, least: int = 4096) -> DataFrame:
+    """(chain, lag, s): sums of products of samples ``lag`` apart, from (chain, iter, c), block by block of a chain."""
+    size = max(least, lags)
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("iter")
+        c, own = rows.column("c").to_numpy(), rows.column("own").to_numpy(zero_copy_only=False).astype(bool)
+        n = int(own.sum())
+        width = 1 << int(len(c) + n).bit_length()
+        mine = np.zeros(width)
+        mine[:n] = c[:n]
+        sums = np.fft.irfft(np.fft.rfft(c, width) * np.conj(np.fft.rfft(mine, width)), width)[: min(lags + 1, len(c))]
+        first = rows.column(chain)[0].as_py()
+        return pa.Table.from_arrays([pa.array([first] * len(sums), rows.schema.field(chain).type), pa.array(np.arange(len(sums))), pa.array(sums)], names=[chain, "lag", "s"])
+
+    kind = dict(centred.dtypes)[chain]
+    found = _blocks(centred, chain, size, lags).groupBy(chain, "block").applyInArrow(run, f"`{chain}` {kind}, lag long, s double")
+    return found.groupBy(chain, "lag").agg(F.sum("s").alias("s"))
+
+
+def _centred(df: DataFrame, chain: str, order: Sequence[str], value: str) -> DataFrame:
+    placed = ranked(df.select(chain, *order, F.col(value).cast("double").alias("_v")), [chain], order, "iter")
+    means = placed.groupBy(chain).agg(F.avg("_v").alias("_m"), F.count("*").alias("n"))
+    return placed.join(means, chain).select(chain, "iter", (F.col("_v") - F.col("_m")).alias("c"), "n")
 
 
 def autocovariance(df: DataFrame, chain: str, order: Sequence[str], value: str, lags: int) -> DataFrame:
-    """(chain, lag, gamma) for lags 0..lags, each a windowed product."""
-    w = Window.partitionBy(chain).orderBy(*order)
-    means = df.groupBy(chain).agg(F.avg(value).alias("_m"))
-    centred = df.join(means, chain).withColumn("_c", F.col(value) - F.col("_m"))
-    led = centred.select(chain, "_c", *[F.lead("_c", k).over(w).alias(f"_l{k}") if k else F.col("_c").alias("_l0") for k in range(lags + 1)])
-    sums = led.groupBy(chain).agg(*[F.avg(F.col("_c") * F.col(f"_l{k}")).alias(str(k)) for k in range(lags + 1)])
-    return sums.unpivot([chain], [str(k) for k in range(lags + 1)], "lag", "gamma").withColumn("lag", F.col("lag").cast("int"))
+    """(chain, lag, gamma) for lags 0..lags: mean products of samples so far apart."""
+    centred = settled(_centred(df, chain, order, value))
+    sizes = centred.groupBy(chain).agg(F.first("n").alias("n"))
+    sums = lagged_sums(centred, chain, lags).join(sizes, chain).where("lag < n")
+    return sums.select(chain, F.col("lag").cast("int").alias("lag"), (F.col("s") / (F.col("n") - F.col("lag"))).alias("gamma"))
 
 
 def ess_of(values: np.ndarray) -> float:
@@ -111,14 +144,55 @@ def ess_of(values: np.ndarray) -> float:
     return float(n * gamma[0] / total)
 
 
-def ess(df: DataFrame, chain: str, order: Sequence[str], value: str) -> DataFrame:
-    """(chain, n, ess); one chain is a sequential record and is handled in one task."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values(list(order))[value].to_numpy(dtype=float)
-        return pd.DataFrame({"chain": [str(pdf[chain].iloc[0])], "n": [len(v)], "ess": [ess_of(v)]})
-
-    return df.select(chain, *order, value).groupBy(chain).applyInPandas(run, "chain string, n long, ess double")
+def ess(df: DataFrame, chain: str, order: Sequence[str], value: str, lags: int = 256) -> DataFrame:
+    """(chain, n, ess): as ``ess_of``, for chains of any length.
+
+    Autocovariances up to ``lags`` are summed block by block; only chains whose pairs are all positive up to there go on to
+    eight times as many lags. The driver sees how many chains are left."""
+    left, out = settled(_centred(df, chain, order, value)), None
+    while True:
+        sizes = left.groupBy(chain).agg(F.first("n").alias("n"))
+        sums = lagged_sums(left, chain, lags).join(sizes, chain).where((F.col("lag") == 0) | (F.col("lag") < F.col("n") - 1))
+        gamma = sums.select(chain, "n", "lag", (F.col("s") / (F.col("n") - F.col("lag"))).alias("g"))
+        # without round-off: what is left of a constant chain's products is none
+        pairs = gamma.where("lag > 0").groupBy(chain, "n", F.floor((F.col("lag") + 1) / 2).alias("pair")).agg(F.sum("g").alias("two"), F.count("*").alias("m")).where("m = 2")
+        stop = pairs.where("two <= 0").groupBy(chain).agg(F.min("pair").alias("stop"))
+        zero = gamma.where("lag = 0").select(chain, "n", F.col("g").alias("zero")).join(stop, chain, "left")
+        summed = zero.select(chain, "stop").join(pairs, chain).where(F.col("stop").isNull() | (F.col("pair") < F.col("stop"))).groupBy(chain).agg(F.sum("two").alias("sum"))
+        found = settled(zero.join(summed, chain, "left").select(F.col(chain), "n", "zero", "stop", F.coalesce("sum", F.lit(0.0)).alias("sum")))
+        done = F.col("stop").isNotNull() | (F.col("n") <= lags + 2)
+        ratio = F.when(F.col("n") < 2, F.col("n").cast("double")).when(F.col("zero") <= 0, 1.0).otherwise(F.col("n") * F.col("zero") / (F.col("zero") + 2 * F.col("sum")))
+        rows = found.where(done).select(F.col(chain).cast("string").alias("chain"), "n", ratio.alias("ess"))
+        out = rows if out is None else out.union(rows)
+        rest = found.where(~done).select(chain)
+        if rest.isEmpty():
+            return out
+        left, lags = settled(left.join(rest, chain, "left_semi")), 8 * lags
+
+
+def smoothed_harmonic_means(df: DataFrame, by: str, value: str, delta: float = 0.01, tolerance: float = 1e-7, rounds: int = 60, tried: int = 16) -> DataFrame:
+    """(by, lml): the fixed point of ``smoothed_harmonic_mean`` for every group, without a group in one task.
+
+    A round adds up, for every group and ``tried`` guesses between its bounds, the sums that map a guess to the next; the
+    guess at which the map crosses itself lies between two of them, which are the next round's bounds. A round narrows
+    them to a seventeenth. Values are scaled by their group's greatest."""
+    tops = df.groupBy(by).agg(F.max(value).alias("top"), F.min(value).alias("low"), F.count(value).alias("n"))
+    rows = settled(df.select(by, F.col(value).alias("v")).where("v is not null").join(tops.select(by, "top"), by).select(by, (F.col("v") - F.col("top")).alias("v")))
+    bounds = settled(tops.select(by, "top", "n", (F.col("low") - F.col("top") - 1).alias("low"), F.lit(1.0).alias("high")))
+    at = F.explode(F.expr(f"transform(sequence(1, {tried}), j -> low + (high - low) * j / {tried + 1})")).alias("g")
+    for _ in range(rounds):
+        guesses = bounds.select(by, "n", "low", "high", at)
+        ratio = F.exp(F.col("v") - F.col("g"))
+        weight = 1 / (delta + (1 - delta) * ratio)
+        prior = F.col("n") * delta / (1 - delta)
+        sums = rows.join(guesses, by).groupBy(by, "n", "low", "high", "g").agg(F.sum(ratio * weight).alias("up"), F.sum(weight).alias("down"))
+        moved = sums.withColumn("moved", F.log((prior + F.col("up")) / (prior + F.col("down"))))
+        new = moved.groupBy(by, "n", "low", "high").agg(F.max(F.when(F.col("moved") > 0, F.col("g"))).alias("_low"), F.min(F.when(F.col("moved") <= 0, F.col("g"))).alias("_high"))
+        tops_ = bounds.select(by, "top")
+        bounds = settled(new.join(tops_, by).select(by, "top", "n", F.coalesce("_low", "low").alias("low"), F.coalesce("_high", "high").alias("high")))
+        if bounds.where(F.col("high") - F.col("low") > tolerance).isEmpty():
+            break
+    return bounds.select(by, (F.col("top") + (F.col("low") + F.col("high")) / 2).alias("lml"))
 
 
 def nearest_rank(df: DataFrame, by: Sequence[str], value: str, p: float) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dendrolith.operators.sweeps import down, is_tip, nodes_of, up
+
 
 def roots(edges: DataFrame) -> DataFrame:
     """(tree, node): parents that are nobody's child, or children without a parent."""
@@ -28,11 +30,11 @@ def root_paths(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         if before is not None:
             before.unpersist()
         if not open_:
-            break
+            return now.select("tree", "node", "depth", "distance")
         before = now
         far = now.select("tree", F.col("node").alias("jump"), F.col("jump").alias("_j"), F.col("depth").alias("_d"), F.col("distance").alias("_x"))
         now = now.join(far, ["tree", "jump"], "left").select("tree", "node", F.col("_j").alias("jump"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), (F.col("distance") + F.coalesce("_x", F.lit(0.0))).alias("distance"))
-    return now.select("tree", "node", "depth", "distance")
+    raise ValueError(f"the edges have a loop, or a depth of over 2^{max_rounds}")
 
 
 def ancestors(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -43,12 +45,12 @@ def ancestors(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     for _ in range(max_rounds):
         reach = reach.cache()
         if reach.isEmpty():
-            break
+            return nodes.select("tree", "node", F.col("node").alias("ancestor"), F.lit(0).cast("long").alias("steps"), F.lit(0.0).alias("distance")).union(out)
         far = reach.select("tree", F.col("node").alias("ancestor"), F.col("ancestor").alias("_a"), F.col("steps").alias("_s"), F.col("distance").alias("_x"))
         step = lambda left: left.join(far, ["tree", "ancestor"]).select("tree", "node", F.col("_a").alias("ancestor"), (F.col("steps") + F.col("_s")).alias("steps"), (F.col("distance") + F.col("_x")).alias("distance"))  # noqa: E731,B023
         out = out.union(step(out))
         reach = step(reach)
-    return nodes.select("tree", "node", F.col("node").alias("ancestor"), F.lit(0).cast("long").alias("steps"), F.lit(0.0).alias("distance")).union(out)
+    raise ValueError(f"the edges have a loop, or a depth of over 2^{max_rounds}")
 
 
 def tips(edges: DataFrame) -> DataFrame:
@@ -59,8 +61,9 @@ def tips(edges: DataFrame) -> DataFrame:
 
 def tip_counts(edges: DataFrame) -> DataFrame:
     """(tree, node, n_tips) of internal nodes."""
-    up = tips(edges).join(ancestors(edges), ["tree", "node"])
-    return up.where("steps > 0").groupBy("tree", F.col("ancestor").alias("node")).agg(F.count("*").alias("n_tips"))
+    tipped = is_tip(nodes_of(edges))
+    counted = up(tipped, {"n_tips": ("sum", F.col("tip").cast("long"))})
+    return counted.join(tipped.where("not tip").select("tree", "node"), ["tree", "node"])
 
 
 def clades(edges: DataFrame) -> DataFrame:
@@ -168,18 +171,6 @@ def check(edges: DataFrame) -> DataFrame:
     return roots(edges).groupBy("tree").agg(F.count("*").alias("n_roots")).join(many.drop("_"), "tree").join(loops, "tree")
 
 
-def traversal_ranks(edges: DataFrame) -> DataFrame:
-    """(tree, node, preorder, postorder) from 0, siblings by name; paths from the root are built by pointer doubling.
-
-    The ranks of a tree are a total order of its nodes, hence a window per tree.
-    """
-    up = ancestors(edges).select("tree", "node", "ancestor", "steps")
-    path = up.groupBy("tree", "node").agg(F.reverse(F.transform(F.sort_array(F.collect_list(F.struct("steps", "ancestor"))), lambda s: s["ancestor"])).alias("path"))
-    pre = Window.partitionBy("tree").orderBy(F.concat(F.concat_ws("\x01", "path"), F.lit("\x01")))
-    post = Window.partitionBy("tree").orderBy(F.concat(F.concat_ws("\x01", "path"), F.lit("\x01\x7f")))
-    return path.select("tree", "node", (F.row_number().over(pre) - 1).alias("preorder"), (F.row_number().over(post) - 1).alias("postorder"))
-
-
 def rate_correlation(edges: DataFrame, rate: str = "rate") -> DataFrame:
     """(tree, n, correlation) between the rates of branches and of the branches above them."""
     inner = edges.where("parent is not null")
@@ -189,9 +180,9 @@ def rate_correlation(edges: DataFrame, rate: str = "rate") -> DataFrame:
 
 def inherited_rates(edges: DataFrame, own: DataFrame, root_rate: float) -> DataFrame:
     """(tree, node, rate): local clocks, a node's own rate (tree, node, rate) or that of the nearest ancestor with one."""
-    given = own.select("tree", F.col("node").alias("ancestor"), F.col("rate").alias("_r"))
-    near = ancestors(edges).join(given, ["tree", "ancestor"], "left").groupBy("tree", "node").agg(F.min_by("_r", F.when(F.col("_r").isNotNull(), F.col("steps"))).alias("_r"))
-    return near.select("tree", "node", F.coalesce("_r", F.lit(root_rate)).alias("rate"))
+    given = nodes_of(edges).join(own.select("tree", "node", F.col("rate").cast("double").alias("_r")), ["tree", "node"], "left")
+    slope = F.when(F.col("_r").isNull(), 1.0).otherwise(0.0)
+    return down(given, {"rate": (slope, F.coalesce("_r", F.lit(0.0)))}, {"rate": F.coalesce("_r", F.lit(float(root_rate)))})
 
 
 def node_by_name(edges: DataFrame, name: str) -> DataFrame:

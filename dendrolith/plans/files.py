@@ -125,12 +125,14 @@ def calibration_notes(spark, sf):
     return newick.calibrations(newick.edges(lines))
 
 
-@query(f"WITH {SAMPLES_SQL} SELECT iter, round(ll, 6) AS ll, beta FROM samples WHERE chain = 'click' AND iter > 50")
+@query(f"WITH {SAMPLES_SQL} SELECT chain, iter, round(ll, 6) AS ll, beta FROM samples WHERE iter > 50")
 def sample_logs(spark, sf):
-    rows = O.drop_burnin(S.samples(spark, sf).where("chain = 'click'"), "chain", ["ts", "event_id"], 0)
+    """A log per chain, written and read again."""
+    rows = O.drop_burnin(S.samples(spark, sf), "chain", ["ts", "event_id"], 0)
     path = place(spark, "samples")
-    logs.write_log(rows.select("iter", "ll", "beta").coalesce(1), path)
-    return rounded(logs.read_log(spark, path, ["ll", "beta"], burnin=50).drop("file"))
+    logs.write_logs(rows.select("chain", "iter", "ll", "beta"), path, "chain", "iter")
+    read = logs.read_log(spark, path, ["ll", "beta"], burnin=50)
+    return rounded(read.select(F.regexp_extract("file", "chain=([a-z]+)/", 1).alias("chain"), "iter", "ll", "beta"))
 
 
 @query("SELECT l_linenumber, round(sum(l_quantity), 2) AS quantity, round(sum(l_tax), 4) AS tax FROM lineitem GROUP BY 1")

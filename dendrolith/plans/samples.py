@@ -43,6 +43,7 @@ SELECT chain, round(arg_max(g, k), 4) AS lml FROM step GROUP BY chain"""
 
 @query(SMOOTHED_SQL)
 def smoothed_harmonic_mean(spark, sf):
+    """Iterated up to the usual stop, a chain at a time; ``smoothed_harmonic_root`` has no such limit."""
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -51,6 +52,15 @@ def smoothed_harmonic_mean(spark, sf):
     return rounded(S.samples(spark, sf).select("chain", "ll").groupBy("chain").applyInPandas(run, "chain string, lml double"), 4)
 
 
+@query(f"""WITH RECURSIVE {SAMPLES_SQL}, v AS (SELECT chain, list(ll - m) AS v, count(*) AS n, any_value(m) AS m FROM (SELECT *, max(ll) OVER (PARTITION BY chain) AS m FROM samples) GROUP BY chain),
+step(chain, v, n, m, low, high, k) AS (SELECT chain, v, n, m, list_min(v) - 1, 1.0::DOUBLE, 0 FROM v UNION ALL SELECT chain, v, n, m, CASE WHEN up > down THEN g ELSE low END, CASE WHEN up > down THEN high ELSE g END, k + 1 FROM (
+  SELECT *, list_sum(list_transform(v, lambda x: exp(x - g) / (0.01 + 0.99 * exp(x - g)))) AS up, list_sum(list_transform(v, lambda x: 1 / (0.01 + 0.99 * exp(x - g)))) AS down FROM (SELECT *, (low + high) / 2 AS g FROM step WHERE k < 60)))
+SELECT chain, round(m + (low + high) / 2, 4) AS lml FROM step WHERE k = 60""")
+def smoothed_harmonic_root(spark, sf):
+    """The fixed point itself, by sums over all chains at once."""
+    return rounded(O.smoothed_harmonic_means(S.samples(spark, sf), "chain", "ll"), 4)
+
+
 RUNGS_SQL = f"""{BASE}, r AS (SELECT beta, count(*) AS n, avg(ll) AS mean, var_samp(ll) AS var, max(ll) AS top FROM samples GROUP BY beta),
 k AS (SELECT *, lead(beta) OVER (ORDER BY beta) AS nxt, lead(mean) OVER (ORDER BY beta) AS mean1, lead(var) OVER (ORDER BY beta) AS var1 FROM r)"""
 
@@ -100,7 +110,7 @@ def waic(spark, sf):
 
 @query(f"{BASE} SELECT chain, event_id, ll, CAST(iter AS INTEGER) AS iter FROM samples WHERE iter > 100")
 def burnin(spark, sf):
-    return O.drop_burnin(S.samples(spark, sf), "chain", ["ts", "event_id"], 100).select("chain", "event_id", "ll", "iter")
+    return O.drop_burnin(S.samples(spark, sf), "chain", ["ts", "event_id"], 100).select("chain", "event_id", "ll", F.col("iter").cast("int").alias("iter"))
 
 
 @query(f"""{BASE}, c AS (SELECT chain, iter, ll - avg(ll) OVER (PARTITION BY chain) AS c FROM samples),

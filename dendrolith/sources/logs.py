@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dendrolith.operators.scans import ranked, running
+
 
 def read_log(spark: SparkSession, path: str, columns: Sequence[str], burnin: int = 0) -> DataFrame:
     """(iter, columns...) of tab-separated logs; the first ``burnin`` rows of each file are dropped. Unknown names raise."""
@@ -18,8 +20,7 @@ def read_log(spark: SparkSession, path: str, columns: Sequence[str], burnin: int
     rows = raw.select(F.input_file_name().alias("file"), F.col(first).cast("long").alias("iter"), *[F.col(f"`{c}`").cast("double").alias(c) for c in columns if c != first])
     if not burnin:
         return rows
-    rank = F.row_number().over(Window.partitionBy("file").orderBy("iter"))
-    return rows.withColumn("_r", rank).where(F.col("_r") > burnin).drop("_r")
+    return ranked(rows, ["file"], ["iter"], "_r").where(F.col("_r") > burnin).drop("_r")
 
 
 def read_rungs(spark: SparkSession, path: str, column: str, betas: Sequence[float], burnin: int = 0) -> DataFrame:
@@ -38,7 +39,7 @@ def read_pattern_log(spark: SparkSession, path: str, burnin: int = 0) -> tuple[D
     cells = F.split("value", "\t")
     rows = numbers.select(cells[0].cast("long").alias("iter"), F.expr("slice(split(value, '\t'), 2, 100000000)").alias("c"))
     if burnin:
-        rows = rows.withColumn("_r", F.row_number().over(Window.orderBy("iter"))).where(F.col("_r") > burnin).drop("_r")
+        rows = ranked(rows, [], ["iter"], "_r").where(F.col("_r") > burnin).drop("_r")
     samples = rows.select("iter", F.posexplode("c").alias("pattern_id", "lnl")).withColumn("lnl", F.col("lnl").cast("double"))
     return samples, weights.select("pattern_id", F.col("w").cast("double").alias("weight"))
 
@@ -66,6 +67,11 @@ def write_log(rows: DataFrame, path: str, append: bool = False) -> None:
     rows.write.mode("append" if append else "overwrite").csv(path, sep="\t", header=True)
 
 
+def write_logs(rows: DataFrame, path: str, chain: str, order: str) -> None:
+    """A folder of one log per chain, each in its order: a chain's log is one file, as its readers take the header from its start."""
+    rows.repartition(chain).sortWithinPartitions(chain, order).write.mode("overwrite").partitionBy(chain).csv(path, sep="\t", header=True)
+
+
 def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, schema="name string, value double")
 
@@ -97,7 +103,8 @@ def read_dates(spark: SparkSession, path: str, pattern: str | None = None) -> Da
 def classes_in_logs(lines: DataFrame, token: str) -> DataFrame:
     """(block, n_classes, first, last): runs of consecutive trees with the same number of ``token`` classes."""
     n = F.size(F.array_distinct(F.expr(f"regexp_extract_all(value, '{token}=([0-9]+)', 1)")))
-    w = Window.orderBy("at")
-    marked = lines.withColumn("n_classes", n).withColumn("new", (F.coalesce(F.lag("n_classes").over(w), F.lit(-1)) != F.col("n_classes")).cast("int"))
-    blocks = marked.withColumn("block", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = ranked(lines.withColumn("n_classes", n), [], ["at"], "_r")
+    before = placed.select((F.col("_r") + 1).alias("_r"), F.col("n_classes").alias("_n"))
+    marked = placed.join(before, "_r", "left").withColumn("_new", (F.coalesce("_n", F.lit(-1)) != F.col("n_classes")).cast("long"))
+    blocks = running(marked, [], ["at"], {"block": F.col("_new")})
     return blocks.groupBy("block", "n_classes").agg(F.min("at").alias("first"), F.max("at").alias("last"))

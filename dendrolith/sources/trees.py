@@ -155,9 +155,9 @@ def read_translation(spark: SparkSession, path: str) -> dict[str, str]:
 
 def tree_range(trees: DataFrame, start: int, end: int) -> DataFrame:
     """Trees number start..end in file order, counted from 0."""
-    from pyspark.sql import Window
+    from dendrolith.operators.scans import ranked
 
-    return trees.withColumn("n", F.row_number().over(Window.orderBy("tree")) - 1).where(F.col("n").between(start, end))
+    return ranked(trees, [], ["tree"], "n").withColumn("n", F.col("n") - 1).where(F.col("n").between(start, end))
 
 
 def calibrations(edges_: DataFrame, key: str = "cal_height") -> DataFrame:
