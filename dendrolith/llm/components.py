@@ -40,6 +40,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if after == seen:
             break
         seen = after
+    else:
+        raise RuntimeError(f"components are not at rest after {max_rounds} rounds")
     stars = now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return stars.union(roots).union(loops.select("node", F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
