@@ -8,10 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from math import lgamma
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from dendrolith.functions.special import qgamma, qnorm
+from dendrolith.operators.samples import log_mean_exp
 
 LogDensity = Callable[[np.ndarray], float]
 
@@ -26,41 +31,37 @@ class Stop:
 
 
 def brent(f: Callable[[float], float], low: float, high: float, tolerance: float = 1e-9, rounds: int = 200) -> tuple[float, float]:
-    """Least value of f in [low, high]: parabolic steps, golden sections where they do not help."""
-    golden = 0.5 * (3 - np.sqrt(5))
-    x = w = v = low + golden * (high - low)
-    fx = fw = fv = f(x)
-    step = last = 0.0
+    """Least value of f in [low, high], for f with one valley there.
+
+    Three points with the lowest in the middle bracket the valley. The vertex of the parabola through them is tried; where it
+    is of no use, or the bracket has not halved in two tries, the longer side is cut in the golden ratio instead."""
+    cut = (3 - np.sqrt(5)) / 2
+    left, right = float(low), float(high)
+    middle = left + cut * (right - left)
+    at_left, at_middle, at_right = f(left), f(middle), f(right)
+    widths = [right - left, right - left]
     for _ in range(rounds):
-        mid = 0.5 * (low + high)
-        tol = tolerance * abs(x) + 1e-12
-        if abs(x - mid) <= 2 * tol - 0.5 * (high - low):
+        width, least = right - left, tolerance * abs(middle) + 1e-12
+        if width <= 4 * least:
             break
-        use_golden = True
-        if abs(last) > tol:
-            r, q = (x - w) * (fx - fv), (x - v) * (fx - fw)
-            p, q = (x - v) * q - (x - w) * r, 2 * (q - r)
-            p = -p if q > 0 else p
-            q = abs(q)
-            if abs(p) < abs(0.5 * q * last) and q * (low - x) < p < q * (high - x):
-                last, step, use_golden = step, p / q, False
-                if x + step - low < 2 * tol or high - x - step < 2 * tol:
-                    step = tol if x < mid else -tol
-        if use_golden:
-            last = (high if x < mid else low) - x
-            step = golden * last
-        u = x + (step if abs(step) >= tol else np.copysign(tol, step))
-        fu = f(u)
-        if fu <= fx:
-            low, high = (x, high) if u >= x else (low, x)
-            v, fv, w, fw, x, fx = w, fw, x, fx, u, fu
+        bend = (at_left - at_middle) * (right - middle) + (at_right - at_middle) * (middle - left)
+        lean = (at_left - at_middle) * (right - middle) ** 2 - (at_right - at_middle) * (middle - left) ** 2
+        trial = middle + lean / (2 * bend) if bend > 0 else middle
+        if not left + least < trial < right - least or abs(trial - middle) < least or width > widths[-2] / 2:
+            trial = middle + cut * (right - middle) if right - middle > middle - left else middle - cut * (middle - left)
+        at_trial = f(trial)
+        if trial < middle:
+            if at_trial <= at_middle:
+                right, at_right, middle, at_middle = middle, at_middle, trial, at_trial
+            else:
+                left, at_left = trial, at_trial
+        elif at_trial <= at_middle:
+            left, at_left, middle, at_middle = middle, at_middle, trial, at_trial
         else:
-            low, high = (u, high) if u < x else (low, u)
-            if fu <= fw or w == x:
-                v, fv, w, fw = w, fw, u, fu
-            elif fu <= fv or v in (x, w):
-                v, fv = u, fu
-    return float(x), float(fx)
+            right, at_right = trial, at_trial
+        widths.append(width)
+    value, x = min((at_middle, middle), (at_left, left), (at_right, right))
+    return float(x), float(value)
 
 
 def serial_brent(f: LogDensity, x: np.ndarray, bounds: Sequence[tuple[float, float]], stop: Stop | None = None) -> tuple[np.ndarray, float]:
@@ -242,7 +243,49 @@ def hamiltonian(f: LogDensity, x: np.ndarray, size: float, rng: np.random.Genera
     return y, float(start - 0.5 * p @ p)
 
 
-PROPOSALS = {"scaler": scaler, "slider": slider, "random_walk": random_walk, "exchange": simplex_exchange}
+def flip(x: np.ndarray, i: int, size: float, rng: np.random.Generator) -> tuple[np.ndarray, float]:
+    """Turn an indicator over."""
+    y = x.copy()
+    y[i] = 1 - y[i]
+    return y, 0.0
+
+
+def shift(x: np.ndarray, i: int, size: float, rng: np.random.Generator) -> tuple[np.ndarray, float]:
+    """Move a set indicator to an unset place, which keeps their number; without either, nothing moves."""
+    y, on = x.copy(), x > 0.5
+    if on.all() or not on.any():
+        return y, 0.0
+    a, b = rng.choice(np.flatnonzero(on)), rng.choice(np.flatnonzero(~on))
+    y[a], y[b] = 0.0, 1.0
+    return y, 0.0
+
+
+def interval(low: float, high: float) -> Callable:
+    """A slide that is reflected at the ends of [low, high]."""
+    def move(x: np.ndarray, i: int, size: float, rng: np.random.Generator) -> tuple[np.ndarray, float]:
+        y, span = x.copy(), high - low
+        at = (x[i] - low + size * (rng.random() - 0.5)) % (2 * span)
+        y[i] = low + min(at, 2 * span - at)
+        return y, 0.0
+
+    return move
+
+
+def height(parent: np.ndarray, children: list[list[int]]) -> Callable:
+    """A new height of an inner node, anywhere between its highest child and its parent; the root's distance to its highest child is scaled."""
+    def move(x: np.ndarray, i: int, size: float, rng: np.random.Generator) -> tuple[np.ndarray, float]:
+        y, floor = x.copy(), max(x[c] for c in children[i])
+        if parent[i] >= 0:
+            y[i] = floor + rng.random() * (x[parent[i]] - floor)
+            return y, 0.0
+        s = np.exp(size * (rng.random() - 0.5))
+        y[i] = floor + s * (x[i] - floor)
+        return y, float(np.log(s))
+
+    return move
+
+
+PROPOSALS = {"flip": flip, "shift": shift, "scaler": scaler, "slider": slider, "random_walk": random_walk, "exchange": simplex_exchange}
 
 
 def tuned(size: float, accepted: bool, k: int, shrinks: bool, target: float = 0.24) -> float:
@@ -405,6 +448,81 @@ def step_size_race(spark: SparkSession, log_density: LogDensity, n: int, rates:
     return rows.mapInArrow(run, "rate double, bound double")
 
 
+def inclusion(spark: SparkSession, log_density: LogDensity, n: int, chains: int, rounds: int, seed: int = 1, shifts: float = 0.25) -> DataFrame:
+    """(item, chain, share): how often each of n indicators is set, in ``chains`` chains of flips and shifts, each a row.
+
+    ``log_density`` scores a vector of zeros and ones; models with more and with fewer items are visited as they weigh. A
+    quarter of the rounds is left out as burn-in. A chain is seeded by its number and may be run again."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chain in b.column("id").to_pylist():
+                rng = np.random.default_rng([seed, chain])
+                x = (rng.random(n) < 0.5).astype(float)
+                now, held = log_density(x), np.zeros(n)
+                for k in range(rounds):
+                    y, ratio = (shift if rng.random() < shifts else flip)(x, int(rng.integers(n)), 1.0, rng)
+                    new = log_density(y)
+                    if np.log(rng.random()) < new - now + ratio:
+                        x, now = y, new
+                    if 4 * k >= rounds:
+                        held += x
+                share = held / (rounds - (rounds + 3) // 4)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array([chain] * n), pa.array(share)], names=["item", "chain", "share"])
+
+    return spark.range(chains, numPartitions=chains).mapInArrow(run, "item long, chain long, share double")
+
+
+#: Variational families on the positive numbers: draws, their log density, from two positive parameters.
+FAMILIES = {
+    "gamma": (lambda rng, a, b, n: rng.gamma(a, 1 / b, n), lambda x, a, b: a * np.log(b) - lgamma(a) + (a - 1) * np.log(x) - b * x),
+    "weibull": (lambda rng, a, b, n: b * rng.weibull(a, n), lambda x, a, b: np.log(a / b) + (a - 1) * np.log(x / b) - (x / b) ** a),
+    "lognormal": (lambda rng, a, b, n: np.exp(np.log(a) + b * rng.standard_normal(n)), lambda x, a, b: -0.5 * ((np.log(x) - np.log(a)) / b) ** 2 - np.log(x * b) - 0.5 * np.log(2 * np.pi)),
+}
+
+
+def multi_sample_bounds(spark: SparkSession, log_density: LogDensity, blocks: Sequence[tuple[str, float, float]], draws: int, sets: int, seed: int = 1, per_task: int = 64) -> DataFrame:
+    """(draws, bound, error): the evidence bound with ``draws`` draws in a set, E log mean p / q, over ``sets`` sets, and its
+    standard error. One draw gives the usual bound; more of them tighten it towards the log evidence.
+
+    ``blocks`` are independent (family, a, b), a coordinate each. Draws are rows (set, log weight), made block by block of
+    sets and seeded by the block's number; sets are logarithmic means and the bound their average."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for number in b.column("id").to_pylist():
+                rng = np.random.default_rng([seed, number])
+                m = min(per_task, sets - number * per_task) * draws
+                columns = [FAMILIES[f][0](rng, a, c, m) for f, a, c in blocks]
+                log_q = sum(FAMILIES[f][1](x, a, c) for (f, a, c), x in zip(blocks, columns, strict=True))
+                log_p = np.array([log_density(x) for x in np.stack(columns, axis=1)])
+                yield pa.RecordBatch.from_arrays([pa.array(number * per_task + np.arange(m) // draws), pa.array(log_p - log_q)], names=["set", "w"])
+
+    rows = spark.range(-(-sets // per_task)).mapInArrow(run, "set long, w double")
+    each = log_mean_exp(rows, F.col("w"), ["set"], "b")
+    return each.agg(F.lit(draws).alias("draws"), F.avg("b").alias("bound"), (F.stddev_samp("b") / F.sqrt(F.count("*"))).alias("error"))
+
+
+def fit_blocks(log_density: LogDensity, families: Sequence[str], start: Sequence[tuple[float, float]] | None = None, draws: int = 400, seed: int = 1, stop: Stop | None = None) -> list[tuple[str, float, float]]:
+    """Blocks of FAMILIES that are close to a density on positive coordinates: the one-draw bound over common random numbers,
+    raised by ``bfgs`` over the logarithms of the parameters. Draws move smoothly with the parameters, as they are quantiles
+    of fixed uniform numbers."""
+    u = np.random.default_rng(seed).random((len(families), draws)).clip(1e-6, 1 - 1e-6)
+    quantile = {
+        "gamma": lambda p, a, b: np.array([qgamma(float(x), a, b) for x in p]),
+        "weibull": lambda p, a, b: b * (-np.log1p(-p)) ** (1 / a),
+        "lognormal": lambda p, a, b: a * np.exp(b * np.array([qnorm(float(x)) for x in p])),
+    }
+
+    def loss(theta: np.ndarray) -> float:
+        pairs = np.exp(np.clip(theta, -20, 20)).reshape(-1, 2)
+        x = np.stack([quantile[f](p, a, b) for f, p, (a, b) in zip(families, u, pairs, strict=True)], axis=1).clip(1e-12)
+        log_q = sum(FAMILIES[f][1](x[:, j], *pairs[j]) for j, f in enumerate(families))
+        return float(-np.mean([log_density(row) for row in x] - log_q))
+
+    begin = np.log(np.array(start if start is not None else [(1.0, 1.0)] * len(families), dtype=float)).ravel()
+    theta, _ = bfgs(loss, begin, stop=stop or Stop(iterations=60, tolerance=1e-7))
+    return [(f, float(a), float(b)) for f, (a, b) in zip(families, np.exp(theta).reshape(-1, 2), strict=True)]
+
+
 def simulated_annealing(f: LogDensity, neighbour: Callable, start, seed: int = 1, rounds: int = 2000, hot: float = 1.0, cold: float = 1e-3):
     """Least value of f over states that ``neighbour(state, rng)`` proposes, cooling geometrically."""
     rng = np.random.default_rng(seed)

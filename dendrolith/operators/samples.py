@@ -83,16 +83,16 @@ def drop_burnin(df: DataFrame, chain: str, order: Sequence[str], burnin: int) ->
     return ranked(df, [chain], order, "iter").where(F.col("iter") > burnin)
 
 
-def _blocks(centred: DataFrame, chain: str, size: int, lags: int) -> DataFrame:
-    """(chain, block, iter, c, own): runs of ``size`` samples, each with the ``lags`` that follow it, which are not its own."""
+def _blocks(centred: DataFrame, size: int, lags: int) -> DataFrame:
+    """(_k, block, iter, c, own): runs of ``size`` samples, each with the ``lags`` that follow it, which are not its own."""
     it = F.col("iter") - 1
     block = F.floor(it / size).cast("long")
     both = F.when(it % size < lags, F.array(F.struct(block.alias("b"), F.lit(True).alias("own")), F.struct((block - 1).alias("b"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(block.alias("b"), F.lit(True).alias("own"))))
-    return centred.select(chain, "iter", "c", F.explode(both).alias("x")).select(chain, F.col("x.b").alias("block"), "iter", "c", F.col("x.own").alias("own")).where("block >= 0")
+    return centred.select("_k", "iter", "c", F.explode(both).alias("x")).select("_k", F.col("x.b").alias("block"), "iter", "c", F.col("x.own").alias("own")).where("block >= 0")
 
 
-def lagged_sums(centred: DataFrame, chain: str, lags: int, least: int = 4096) -> DataFrame:
-    """(chain, lag, s): sums of products of samples ``lag`` apart, from (chain, iter, c), block by block of a chain."""
+def lagged_sums(centred: DataFrame, lags: int, least: int = 4096) -> DataFrame:
+    """(_k, lag, s): sums of products of samples ``lag`` apart, from (_k, iter, c), block by block of a chain."""
     size = max(least, lags)
 
     def run(rows: pa.Table) -> pa.Table:
@@ -103,26 +103,28 @@ def lagged_sums(centred: DataFrame, chain: str, lags: int, least: int = 4096) ->
         mine = np.zeros(width)
         mine[:n] = c[:n]
         sums = np.fft.irfft(np.fft.rfft(c, width) * np.conj(np.fft.rfft(mine, width)), width)[: min(lags + 1, len(c))]
-        first = rows.column(chain)[0].as_py()
-        return pa.Table.from_arrays([pa.array([first] * len(sums), rows.schema.field(chain).type), pa.array(np.arange(len(sums))), pa.array(sums)], names=[chain, "lag", "s"])
+        first = rows.column("_k")[0].as_py()
+        return pa.Table.from_arrays([pa.array([first] * len(sums), rows.schema.field("_k").type), pa.array(np.arange(len(sums))), pa.array(sums)], names=["_k", "lag", "s"])
 
-    kind = dict(centred.dtypes)[chain]
-    found = _blocks(centred, chain, size, lags).groupBy(chain, "block").applyInArrow(run, f"`{chain}` {kind}, lag long, s double")
-    return found.groupBy(chain, "lag").agg(F.sum("s").alias("s"))
+    kind = dict(centred.dtypes)["_k"]
+    found = _blocks(centred, size, lags).groupBy("_k", "block").applyInArrow(run, f"_k {kind}, lag long, s double")
+    return found.groupBy("_k", "lag").agg(F.sum("s").alias("s"))
 
 
 def _centred(df: DataFrame, chain: str, order: Sequence[str], value: str) -> DataFrame:
-    placed = ranked(df.select(chain, *order, F.col(value).cast("double").alias("_v")), [chain], order, "iter")
-    means = placed.groupBy(chain).agg(F.avg("_v").alias("_m"), F.count("*").alias("n"))
-    return placed.join(means, chain).select(chain, "iter", (F.col("_v") - F.col("_m")).alias("c"), "n")
+    """(_k, iter, c, n): chain, place, distance from the chain's mean, length of the chain."""
+    own = df.select(F.col(chain).alias("_k"), *[F.col(c).alias(f"_o{j}") for j, c in enumerate(order)], F.col(value).cast("double").alias("_v"))
+    placed = ranked(own, ["_k"], [f"_o{j}" for j in range(len(order))], "iter")
+    means = placed.groupBy("_k").agg(F.avg("_v").alias("_m"), F.count("*").alias("n"))
+    return placed.join(means, "_k").select("_k", "iter", (F.col("_v") - F.col("_m")).alias("c"), "n")
 
 
 def autocovariance(df: DataFrame, chain: str, order: Sequence[str], value: str, lags: int) -> DataFrame:
     """(chain, lag, gamma) for lags 0..lags: mean products of samples so far apart."""
     centred = settled(_centred(df, chain, order, value))
-    sizes = centred.groupBy(chain).agg(F.first("n").alias("n"))
-    sums = lagged_sums(centred, chain, lags).join(sizes, chain).where("lag < n")
-    return sums.select(chain, F.col("lag").cast("int").alias("lag"), (F.col("s") / (F.col("n") - F.col("lag"))).alias("gamma"))
+    sizes = centred.groupBy("_k").agg(F.first("n").alias("n"))
+    sums = lagged_sums(centred, lags).join(sizes, "_k").where("lag < n")
+    return sums.select(F.col("_k").alias(chain), F.col("lag").cast("int").alias("lag"), (F.col("s") / (F.col("n") - F.col("lag"))).alias("gamma"))
 
 
 def ess_of(values: np.ndarray) -> float:
@@ -151,23 +153,23 @@ def ess(df: DataFrame, chain: str, order: Sequence[str], value: str, lags: int =
     eight times as many lags. The driver sees how many chains are left."""
     left, out = settled(_centred(df, chain, order, value)), None
     while True:
-        sizes = left.groupBy(chain).agg(F.first("n").alias("n"))
-        sums = lagged_sums(left, chain, lags).join(sizes, chain).where((F.col("lag") == 0) | (F.col("lag") < F.col("n") - 1))
-        gamma = sums.select(chain, "n", "lag", (F.col("s") / (F.col("n") - F.col("lag"))).alias("g"))
+        sizes = left.groupBy("_k").agg(F.first("n").alias("n"))
+        sums = lagged_sums(left, lags).join(sizes, "_k").where((F.col("lag") == 0) | (F.col("lag") < F.col("n") - 1))
+        gamma = sums.select("_k", "n", "lag", (F.col("s") / (F.col("n") - F.col("lag"))).alias("g"))
         # without round-off: what is left of a constant chain's products is none
-        pairs = gamma.where("lag > 0").groupBy(chain, "n", F.floor((F.col("lag") + 1) / 2).alias("pair")).agg(F.sum("g").alias("two"), F.count("*").alias("m")).where("m = 2")
-        stop = pairs.where("two <= 0").groupBy(chain).agg(F.min("pair").alias("stop"))
-        zero = gamma.where("lag = 0").select(chain, "n", F.col("g").alias("zero")).join(stop, chain, "left")
-        summed = zero.select(chain, "stop").join(pairs, chain).where(F.col("stop").isNull() | (F.col("pair") < F.col("stop"))).groupBy(chain).agg(F.sum("two").alias("sum"))
-        found = settled(zero.join(summed, chain, "left").select(F.col(chain), "n", "zero", "stop", F.coalesce("sum", F.lit(0.0)).alias("sum")))
+        pairs = gamma.where("lag > 0").groupBy("_k", "n", F.floor((F.col("lag") + 1) / 2).alias("pair")).agg(F.sum("g").alias("two"), F.count("*").alias("m")).where("m = 2")
+        stop = pairs.where("two <= 0").groupBy("_k").agg(F.min("pair").alias("stop"))
+        zero = gamma.where("lag = 0").select("_k", "n", F.col("g").alias("zero")).join(stop, "_k", "left")
+        summed = zero.select("_k", "stop").join(pairs, "_k").where(F.col("stop").isNull() | (F.col("pair") < F.col("stop"))).groupBy("_k").agg(F.sum("two").alias("sum"))
+        found = settled(zero.join(summed, "_k", "left").select(F.col("_k"), "n", "zero", "stop", F.coalesce("sum", F.lit(0.0)).alias("sum")))
         done = F.col("stop").isNotNull() | (F.col("n") <= lags + 2)
         ratio = F.when(F.col("n") < 2, F.col("n").cast("double")).when(F.col("zero") <= 0, 1.0).otherwise(F.col("n") * F.col("zero") / (F.col("zero") + 2 * F.col("sum")))
-        rows = found.where(done).select(F.col(chain).cast("string").alias("chain"), "n", ratio.alias("ess"))
+        rows = found.where(done).select(F.col("_k").cast("string").alias("chain"), "n", ratio.alias("ess"))
         out = rows if out is None else out.union(rows)
-        rest = found.where(~done).select(chain)
+        rest = found.where(~done).select("_k")
         if rest.isEmpty():
             return out
-        left, lags = settled(left.join(rest, chain, "left_semi")), 8 * lags
+        left, lags = settled(left.join(rest, "_k", "left_semi")), 8 * lags
 
 
 def smoothed_harmonic_means(df: DataFrame, by: str, value: str, delta: float = 0.01, tolerance: float = 1e-7, rounds: int = 60, tried: int = 16) -> DataFrame:

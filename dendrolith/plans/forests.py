@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dendrolith.operators import consensus as K
+from dendrolith.operators import subsplits as B
 from dendrolith.operators import sweeps as W
 from dendrolith.plans.standins import rounded, table
 from dendrolith.plans.trees import GEO_SQL, geography
@@ -175,3 +176,19 @@ def consensus_tree(spark, sf):
     taken = K.greedy(weighted)
     tree = K.tree_of(taken, taxa).join(taken.select("bits", "weight"), "bits", "left")
     return rounded(tree.select(F.col("bits")[0].alias("bits"), "n", "weight", F.col("parent")[0].alias("parent")), 8)
+
+
+@query(f"""WITH RECURSIVE {ballot_sql()}, tipsets AS (SELECT tree, child AS node, 1::BIGINT << (ascii(child) - 97) AS bits, 1::BIGINT AS n FROM edges WHERE child NOT LIKE '#%' UNION ALL SELECT tree, node, bits, n FROM sets),
+kids AS (SELECT e.tree, e.parent AS node, s.bits, s.n, row_number() OVER (PARTITION BY e.tree, e.parent ORDER BY s.bits) AS k FROM edges e JOIN tipsets s ON s.tree = e.tree AND s.node = e.child),
+p AS (SELECT x.tree, x.node, x.bits AS a, x.n AS na, y.bits AS b, y.n AS nb, 255 - x.bits - y.bits AS c, weight AS w FROM kids x JOIN kids y ON y.tree = x.tree AND y.node = x.node AND x.k = 1 AND y.k = 2 JOIN ballots ON ballots.tree = x.tree),
+d AS (SELECT a | b AS parent, a AS x, b AS y, w * (2 * (8 - na - nb) - 1) / 13 AS weight FROM p WHERE node <> '#14' UNION ALL SELECT b | c, b, c, w * (2 * na - 1) / 13 FROM p WHERE node <> '#14' UNION ALL SELECT a | c, a, c, w * (2 * nb - 1) / 13 FROM p WHERE node <> '#14'
+  UNION ALL SELECT 255, bits, 255 - bits, weight / 13 FROM kids JOIN ballots USING (tree) WHERE node <> '#14' OR k = 1),
+s AS (SELECT parent, least(x, y) AS one, greatest(x, y) AS two, sum(weight) AS weight FROM d GROUP BY 1, 2, 3)
+SELECT parent, one, two, round(weight, 6) AS weight, round(weight / sum(weight) OVER (PARTITION BY parent), 8) AS share FROM s""")
+def unrooted_subsplits(spark, sf):
+    """Conditional probabilities of subsplits over all trees and all their rootings."""
+    edges, weight = ballots(spark, sf)
+    taxa = spark.createDataFrame([(t, k) for k, t in enumerate(TAXA)], "name string, at long")
+    found = B.conditionals(B.unrooted(edges, W.clade_bits(edges, taxa, 1), weight))
+    first = lambda c: F.col(c)[0].alias(c)
+    return found.select(first("parent"), first("one"), first("two"), F.round("weight", 6).alias("weight"), F.round("share", 8).alias("share"))
