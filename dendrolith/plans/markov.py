@@ -190,19 +190,28 @@ def quantiles(spark, sf):
     return rounded(sizes.select("p_size", of(F.col("p_size") / 60).alias("q")).select("p_size", "q.*"))
 
 
-@query("""WITH RECURSIVE c(n, cells) AS (SELECT 1, [1]::HUGEINT[] UNION ALL SELECT n + 1, list_reduce(list_prepend([cells[n]]::HUGEINT[], list_transform(cells, lambda x: [x]::HUGEINT[])), lambda a, b: list_append(a, a[len(a)] + b[1])) FROM c WHERE n < 16)
-SELECT DISTINCT p_size, cells[n]::BIGINT AS bell FROM part JOIN c ON n = p_size""")
+@query("""WITH RECURSIVE c(n, cells) AS (SELECT 1, [1]::DOUBLE[] UNION ALL SELECT n + 1, list_reduce(list_prepend([cells[n]]::DOUBLE[], list_transform(cells, lambda x: [x]::DOUBLE[])), lambda a, b: list_append(a, a[len(a)] + b[1])) FROM c WHERE n < 50)
+SELECT DISTINCT p_size, CASE WHEN n <= 22 THEN cells[n]::BIGINT::VARCHAR ELSE '' END AS bell, round(ln(cells[n]), 8) AS log_bell FROM part JOIN c ON n = p_size""")
 def bell_numbers(spark, sf):
-    """Bell's triangle row by row."""
-    rows = spark.createDataFrame([(n, special.bell_number(n)) for n in range(1, 17)], "p_size int, bell long")
-    return table(spark, sf, "part").select("p_size").distinct().join(F.broadcast(rows), "p_size")  # sixteen rows
+    """Bell's triangle row by row, for every size; the numbers themselves as far as doubles hold them."""
+    @F.pandas_udf("bell string, log_bell double")
+    def bell(size: pd.Series) -> pd.DataFrame:
+        found = [special.bell_number(int(n)) for n in size]
+        return pd.DataFrame({"bell": [str(b) if n <= 22 else "" for n, b in zip(size, found, strict=True)], "log_bell": [math.log(b) for b in found]})
 
+    sizes = table(spark, sf, "part").select("p_size").distinct().withColumn("x", bell("p_size"))
+    return sizes.select("p_size", "x.bell", F.round("x.log_bell", 8).alias("log_bell"))
 
-@query("SELECT row_number() OVER (ORDER BY a.n_nationkey, b.n_nationkey, c.n_nationkey) - 1 AS rank, a.n_nationkey || ',' || b.n_nationkey || ',' || c.n_nationkey AS chosen FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey JOIN nation c ON b.n_nationkey < c.n_nationkey")
+
+@query("""WITH r AS (SELECT row_number() OVER (ORDER BY a.n_nationkey, b.n_nationkey, c.n_nationkey) - 1 AS rank, a.n_nationkey || ',' || b.n_nationkey || ',' || c.n_nationkey AS chosen FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey JOIN nation c ON b.n_nationkey < c.n_nationkey)
+SELECT p_partkey, rank, chosen FROM part JOIN r ON rank = p_partkey % (SELECT count(*) FROM r)""")
 def combinations_by_rank(spark, sf):
-    """The 2300 choices of three nations, each from its rank alone."""
+    """Every part's choice of three nations, from the rank that its key gives among all choices."""
+    n = table(spark, sf, "nation").count()
+
     @F.pandas_udf("string")
     def chosen(rank: pd.Series) -> pd.Series:
-        return pd.Series([",".join(map(str, special.combination_at(25, 3, int(r)))) for r in rank])
+        return pd.Series([",".join(map(str, special.combination_at(n, 3, int(r)))) for r in rank])
 
-    return spark.range(2300).select(F.col("id").alias("rank"), chosen("id").alias("chosen"))
+    rank = F.pmod("p_partkey", F.lit(math.comb(n, 3))).cast("long")
+    return table(spark, sf, "part").select("p_partkey", rank.alias("rank")).withColumn("chosen", chosen("rank"))

@@ -195,3 +195,32 @@ def bootstrap_patterns(spark, sf):
 SELECT event_type, r::INTEGER AS replicate, round(sum(w * value) / sum(w), 4) AS mean FROM each WHERE w > 0 GROUP BY 1, 2""")
 def bootstrap_means(spark, sf):
     return rounded(R.bootstrap_means(S.table(spark, sf, "events"), "event_type", "value", 50, row=F.col("event_id")), 4)
+
+
+def below_sql(x: str) -> str:
+    """P(Z <= x) by the series of the integral of the normal density."""
+    terms = "[" + ", ".join(f"[{k}.0, 0.0]" for k in range(1, 91)) + "]"
+    near = f"least(greatest({x}, -6.5::DOUBLE), 6.5::DOUBLE)"
+    return f"(0.5 + list_reduce(list_concat([[{near}, {near}]], {terms}::DOUBLE[][]), lambda run_, at_: [run_[1] * {near} * {near} / (2 * at_[1] + 1), run_[2] + run_[1] * {near} * {near} / (2 * at_[1] + 1)])[2] * exp(-{near} * {near} / 2) / sqrt(2 * pi()))"
+
+
+QUANTILE_SQL = """quantiles(p, low, high, k) AS (SELECT p, -6.5::DOUBLE, 6.5::DOUBLE, 0 FROM wanted UNION ALL SELECT p, CASE WHEN under THEN mid ELSE low END, CASE WHEN under THEN high ELSE mid END, k + 1
+  FROM (SELECT *, """ + below_sql("mid") + """ < p AS under FROM (SELECT *, (low + high) / 2 AS mid FROM quantiles WHERE k < 50))), q AS (SELECT p, (low + high) / 2 AS z FROM quantiles WHERE k = 50)"""
+
+
+@query(f"""WITH RECURSIVE each AS (SELECT event_type, value, r, {draw_sql('r', 'event_id')} AS w FROM events, (SELECT unnest(range(0, 50)) AS r)),
+boot AS (SELECT event_type, r, sum(w * value) / sum(w) AS m FROM each WHERE w > 0 GROUP BY 1, 2), est AS (SELECT event_type, avg(value) AS e, sum(value) AS s, count(*) AS n FROM events GROUP BY 1),
+jack AS (SELECT event_type, (s - value) / (n - 1) AS j FROM events JOIN est USING (event_type)), mean AS (SELECT event_type, avg(j) AS m FROM jack GROUP BY 1),
+acc AS (SELECT event_type, sum((m - j) ** 3) / (6 * sum((m - j) ** 2) ** 1.5) AS a FROM jack JOIN mean USING (event_type) GROUP BY 1),
+share AS (SELECT event_type, count(*) AS b, least(greatest(avg((m < e)::INTEGER), 1e-9), 1 - 1e-9) AS p FROM boot JOIN est USING (event_type) GROUP BY 1),
+wanted AS (SELECT DISTINCT p FROM share UNION SELECT 0.025 UNION SELECT 0.975), {QUANTILE_SQL},
+z AS (SELECT event_type, b, a, q.z AS z0, side, q.z + t.z AS z FROM share JOIN acc USING (event_type) JOIN q USING (p), (SELECT CASE WHEN p < 0.5 THEN 'low' ELSE 'high' END AS side, z FROM q WHERE p IN (0.025, 0.975)) t),
+at_ AS (SELECT *, least(greatest(ceil({below_sql('(z0 + z / (1 - a * z))')} * b), 1), b) AS k FROM z),
+ranked AS (SELECT event_type, m, row_number() OVER (PARTITION BY event_type ORDER BY m) AS k FROM boot)
+SELECT event_type, round(any_value(z0), 6) AS z0, round(any_value(a) * 1000, 6) AS acceleration, round(max(m) FILTER (side = 'low'), 4) AS low, round(max(m) FILTER (side = 'high'), 4) AS high FROM at_ JOIN ranked USING (event_type, k) GROUP BY 1""")
+def bca_intervals(spark, sf):
+    """Bias-corrected and accelerated intervals of the mean value of every event type."""
+    events = S.table(spark, sf, "events")
+    boot = R.bootstrap_means(events, "event_type", "value", 50, row=F.col("event_id")).withColumnRenamed("mean", "value")
+    found = R.bca_intervals(boot, R.leave_one_out_means(events, ["event_type"], "value"), events.groupBy("event_type").agg(F.avg("value").alias("value")), ["event_type"])
+    return found.select("event_type", F.round("z0", 6).alias("z0"), F.round(F.col("acceleration") * 1000, 6).alias("acceleration"), F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
