@@ -23,6 +23,7 @@ from dendrolith.functions import alphabet, models
 from dendrolith.operators import cluster, distances, inference, likelihood, patterns, samples
 from dendrolith.sources import config, sequences
 from dendrolith.sources.trees import Tree, parse
+from dendrolith.timetrees import Coalescent, Field, Heights, RateScale
 
 LOCAL_PATTERNS = 50_000
 STRUCTURES = {"jc69": "000000", "f81": "000000", "k80": "010010", "hky": "010010", "sym": "012345", "gtr": "012345"}
@@ -48,15 +49,24 @@ class Likelihood:
     substitution: Callable[[], models.SubstitutionModel]
     rates: Callable[[], models.SiteRates]
     clock: Parameter | None = None
+    heights: Heights | None = None
+    jacobian: bool = False
     local: tuple[np.ndarray, np.ndarray] | None = None
 
     def arrays(self) -> likelihood.TreeArrays:
         out = likelihood.TreeArrays.of(self.tree, self.taxa)
         scale = self.clock.value if self.clock else 1.0
+        if self.heights is not None:
+            out.length = self.heights.durations() * scale
+            return out
         out.length = np.array([p.value for p in self.lengths] + [0.0] * (len(out.length) - len(self.lengths))) * scale
         return out
 
     def log_p(self) -> float:
+        """With ``jacobian``, also the log-determinant of heights by ratios."""
+        return self.log_likelihood() + (self.heights.log_jacobian() if self.jacobian else 0.0)
+
+    def log_likelihood(self) -> float:
         tree, model, rates = self.arrays(), self.substitution(), self.rates()
         if self.local is None and self.patterns.count() <= LOCAL_PATTERNS:
             rows = self.patterns.collect()  # bounded by LOCAL_PATTERNS
@@ -113,6 +123,7 @@ class Analysis:
     folder: Path
     objects: dict[str, object] = field(default_factory=dict)
     output: list[str] = field(default_factory=list)
+    times: dict[int, Heights] = field(default_factory=dict)
 
     # building
 
@@ -169,7 +180,10 @@ class Analysis:
             model = "raw" if node["init"].get("model", "raw").lower() in ("raw", "uncorrected") else node["init"]["model"].lower()
             return method(taxa, cluster.matrix(distances.distances(pats, len(taxa), model), len(taxa)))
         text = node["newick"] if "newick" in node else (self.folder / node["file"]).read_text()
-        return parse(text, binary=True)
+        tree = parse(text, binary=True)
+        if node.get("time"):
+            self.times[id(tree)] = Heights(tree, {k: float(v) for k, v in node["dates"].items()} if "dates" in node else None)
+        return tree
 
     def _substitutionmodel(self, node) -> Callable[[], models.SubstitutionModel]:
         name = node["model"].lower()
@@ -210,13 +224,57 @@ class Analysis:
         arrays = likelihood.TreeArrays.of(tree, taxa)
         lengths = [Parameter(f"branch.{i}", max(float(v), 1e-6), 1e-8, 10.0) for i, v in enumerate(arrays.length[:-1])]
         clock = self.get(node["branchmodel"]) if "branchmodel" in node else None
-        made = Likelihood(taxa, pats, tree, lengths, substitution, rates, clock)
-        if isinstance(node["tree"], dict) and "parameters" in node["tree"]:
-            self.objects[node["tree"]["parameters"]] = lengths
+        heights = self.times.get(id(tree))
+        if heights is not None:
+            lengths = heights.place(taxa, Parameter)
+        made = Likelihood(taxa, pats, tree, lengths, substitution, rates, clock, heights, heights is not None and bool(node.get("include_jacobian", node.get("reparameterized", False))))
+        name = isinstance(node["tree"], dict) and node["tree"].get("reparam" if heights is not None else "parameters")
+        if name:
+            self.objects[name] = lengths
         return made
 
+    def heights_of(self, node) -> Heights:
+        found = self.times.get(id(self.get(node)))
+        if found is None:
+            raise ValueError("a time tree is asked for: declare it with time, before its likelihood")
+        return found
+
+    def _coalescent(self, node) -> Coalescent:
+        """Population sizes by model: constant, exponential, skyline, skyride, skygrid, piecewise-linear."""
+        model = node["model"].lower()
+        if model not in ("constant", "exponential", "skyline", "skyride", "skygrid", "piecewise-linear"):
+            raise ValueError(f"unknown population model {model!r}")
+        given = node["parameters"]
+        names = sorted((k for k in given if k != "id"), key=lambda k: k.lower() != "n0") if model == "exponential" else [k for k in given if k != "id"]
+        sizes = [q for k in names for q in self._vector(given[k])]
+        if isinstance(given.get("id"), str):
+            self.objects[given["id"]] = sizes
+        cutoff = float(node.get("cutoff", 0.0))
+        if model in ("skygrid", "piecewise-linear") and cutoff <= 0:
+            raise ValueError(f"{model} takes a cutoff above 0")
+        groups = node.get("groups")
+        groups = groups.get("values") if isinstance(groups, dict) else groups
+        return Coalescent(model, self.heights_of(node["tree"]), sizes, cutoff, groups, node.get("parameterization", "") == "log")
+
+    def _vector(self, node) -> list[Parameter]:
+        """A parameter, or with ``dimension`` or ``values`` as many as it says."""
+        if isinstance(node, dict) and ("dimension" in node or "values" in node):
+            values = node.get("values") or [node.get("value", 1.0)]
+            n = int(node.get("dimension", len(values)))
+            bound = lambda v, default: default if v is None else inf if v == "infinity" else float(v)
+            made = [Parameter(f"{node['id']}.{i}", float(values[i % len(values)]), bound(node.get("lower"), -inf), bound(node.get("upper"), inf)) for i in range(n)]
+            self.objects[node["id"]] = made
+            return made
+        got = self.get(node)
+        return [got] if isinstance(got, Parameter) else got
+
     def _distribution(self, node) -> Prior:
         given = node.get("parameters", {})
+        kind = node["distribution"].lower()
+        if kind in ("gmrf", "ctmcscale"):
+            xs = self.parameters_of(node["x"])
+            now = lambda: [p.value for p in xs]
+            return Field(now, self.get(given["precision"])) if kind == "gmrf" else RateScale(now, self.heights_of(node["tree"]))
         own = {k: self.get(v) for k, v in given.items()} if isinstance(given, dict) else [Parameter("", float(v)) for v in given]
         if "x" in node:
             xs = self.parameters_of(node["x"])
@@ -270,8 +328,9 @@ class Analysis:
             if isinstance(o, Likelihood) and o.tree is tree:
                 at = {str(t): i for i, t in enumerate(o.taxa)}
                 rows = [n for n, _ in tree.postorder() if not n.children] + [n for n, _ in tree.postorder() if n.children]
+                lengths = o.heights.durations() if o.heights is not None else [p.value for p in o.lengths]
                 for i, n in enumerate(rows[:-1]):
-                    n.length = o.lengths[at[n.name] if not n.children else i].value
+                    n.length = float(lengths[at[n.name] if not n.children else i])
         return tree
 
     def _optimize(self, node) -> float:
@@ -399,7 +458,10 @@ def split_log_p(model) -> tuple[float, float]:
     if isinstance(model, Compound):
         parts = [split_log_p(p) for p in model.parts]
         return sum(p[0] for p in parts), sum(p[1] for p in parts)
-    return (model.log_p(), 0.0) if isinstance(model, Likelihood) else (0.0, model.log_p())
+    if isinstance(model, Likelihood):  # the determinant belongs to the prior of the heights
+        ll = model.log_likelihood()
+        return ll, model.heights.log_jacobian() if model.jacobian else 0.0
+    return 0.0, model.log_p()
 
 
 def run(spark: SparkSession, text: str, folder: str = ".") -> Analysis:

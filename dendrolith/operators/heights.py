@@ -37,7 +37,8 @@ def from_ratios(children: list[list[int]], parent: np.ndarray, tip_heights: np.n
 
 def log_jacobian(children: list[list[int]], parent: np.ndarray, heights: np.ndarray) -> float:
     low = bounds(children, heights)
-    return float(sum(np.log(heights[parent[i]] - low[i]) for i, kids in enumerate(children) if kids and parent[i] >= 0))
+    gaps = [heights[parent[i]] - low[i] for i, kids in enumerate(children) if kids and parent[i] >= 0]
+    return float(np.log(gaps).sum()) if min(gaps, default=1.0) > 0 else -np.inf
 
 
 def ratio_gradient(children: list[list[int]], parent: np.ndarray, heights: np.ndarray, ratios: np.ndarray, by_height: np.ndarray) -> np.ndarray:

@@ -46,7 +46,7 @@ def brent(f: Callable[[float], float], low: float, high: float, tolerance: float
             break
         bend = (at_left - at_middle) * (right - middle) + (at_right - at_middle) * (middle - left)
         lean = (at_left - at_middle) * (right - middle) ** 2 - (at_right - at_middle) * (middle - left) ** 2
-        trial = middle + lean / (2 * bend) if bend > 0 else middle
+        trial = middle + lean / (2 * bend) if bend > 0 and np.isfinite(bend) and np.isfinite(lean) else middle
         if not left + least < trial < right - least or abs(trial - middle) < least or width > widths[-2] / 2:
             trial = middle + cut * (right - middle) if right - middle > middle - left else middle - cut * (middle - left)
         at_trial = f(trial)
