@@ -8,11 +8,14 @@ search for t answers a probe. A window explodes into the few blocks that it cove
 event there counts from a until e + d, so that leaf also holds prefix sums in the order of e, over events with a < e + d,
 and the answer is those known by t less those expired by t.
 
-The leaf width follows the client: the widest of WIDTHS whose fullest leaf holds LEAF events at most. For nearly all
+The leaf width follows the client: the widest of WIDTHS whose fullest leaf holds about LEAF events at most. For nearly all
 clients that is the top level: the tree is one level of blocks. For a client with a large part of all rows, leaves are
-narrow, and every block above them is cut again by the leaf in which an event becomes known; a block's earlier cuts come in
-as one summed row per kind of event, so that a cut is answered by itself. So no client, sale, item or block meets in one
-task, whatever its share, short of LEAF events of a client within one second; equal rows of one instant are summed before.
+narrow. There, availability is cut into parts of the same width. A block keeps its prefix sums by part; they are made of
+events already summed by leaf and part, and what a window's whole blocks hold at the start of a part is the same for all
+probes of that part and oldest leaf, so it is worked out once. A probe adds what becomes known inside its own part, from the
+events of that part, and its oldest leaf, from the events of that leaf. So an event is sent three times at most, not once a
+level, and no client, sale, item or block meets in one task, whatever its share, short of many events of a client within one
+second; facts of one kind that happen and become known in the same microsecond are summed before.
 
 Distinct items are made events too: the items of a sale are in a window from a until s + d (s: sold_at); of a client's and
 item's intervals in the order of a, each one counts from the end of those before it, if it ends later. As all have one
@@ -49,6 +52,8 @@ DELAY = 240 * 60 * SECOND
 SPREAD = 259_200
 #: log2 of microseconds: of the top level, and the leaf widths to choose from, down to one second.
 TOP, WIDTHS = 40, (40, 37, 34, 31, 28, 24, 20)
+#: Width by which events are counted first.
+COUNTED = 31
 #: Events of a client in a leaf.
 LEAF = 2048
 
@@ -101,14 +106,37 @@ def lines_of(lines: DataFrame, sales: DataFrame) -> DataFrame:
     return rows.join(known.hint("merge"), "sale").select("client", "s", F.greatest("a", "shipped").alias("a"), "item", "n", "cents")
 
 
+def together(*columns: Column | str) -> Column:
+    """Columns as one grouping key, ``at``: rows dealt out by client before are dealt out anew by all of them, so that a
+    large client is not aggregated in one task."""
+    return F.struct(*columns).alias("at")
+
+
 def leaf_widths(facts: DataFrame, leaf: int) -> DataFrame:
-    """(client, k) of the clients whose tree has more than its top level. facts: (client, e)."""
-    many = facts.groupBy("client").agg(F.count("*").alias("n")).where(F.col("n") > leaf).select("client")
-    base = facts.join(many.hint("merge"), "client", "left_semi").groupBy("client", F.shiftright("e", WIDTHS[-1]).alias("b")).agg(F.count("*").alias("n"))
-    levels = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.shiftright("b", k - WIDTHS[-1]).alias("at")) for k in WIDTHS])).alias("level")
-    full = base.select("client", "n", levels).groupBy("client", "level.k", "level.at").agg(F.sum("n").alias("n")).groupBy("client", "k").agg(F.max("n").alias("n"))
-    widest = full.groupBy("client").agg(F.max(F.when(F.col("n") <= leaf, F.col("k"))).alias("k"))
-    return widest.select("client", F.coalesce("k", F.lit(WIDTHS[-1])).alias("k")).where(F.col("k") < TOP)
+    """(client, k) of the clients whose tree has more than its top level. facts: (client, e).
+
+    Facts are counted by leaves of 2^COUNTED first; only clients that hold far more than a leaf in one of those are counted
+    again by seconds. No width parts what has one time: of the widths whose fullest leaf holds no more than a leaf's events,
+    or twice what the narrowest leaf holds anyway, a client has the widest."""
+    fine = [k for k in WIDTHS if k < COUNTED]
+
+    def fullest(base: DataFrame, levels: list[int]) -> DataFrame:
+        level = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.shiftright("b", k - levels[-1]).alias("at")) for k in levels])).alias("level")
+        full = base.select("client", "n", level).groupBy(together("client", "level.k", "level.at")).agg(F.sum("n").alias("n"))
+        return full.groupBy("at.client", "at.k").agg(F.max("n").alias("n"))
+
+    counted = facts.groupBy(together("client", F.shiftright("e", COUNTED).alias("b"))).agg(F.count("*").alias("n")).select("at.*", "n")
+    many = counted.groupBy("client").agg(F.sum("n").alias("n")).where(F.col("n") > leaf).select("client")
+    full = fullest(counted.join(many.hint("merge"), "client", "left_semi"), [k for k in WIDTHS if k >= COUNTED])
+    full = cut(full)
+    dense = full.where((F.col("k") == COUNTED) & (F.col("n") > 16 * leaf)).select("client")
+    if not dense.isEmpty():
+        base = facts.join(dense.hint("merge"), "client", "left_semi").groupBy(together("client", F.shiftright("e", fine[-1]).alias("b"))).agg(F.count("*").alias("n")).select("at.*", "n")
+        full = full.union(fullest(base, fine))
+    least = full.groupBy("client").agg(F.min_by("n", "k").alias("least"))
+    fits = F.col("n") <= F.greatest(F.lit(leaf), 2 * F.col("least"))
+    widest = full.join(least, "client").groupBy("client").agg(F.max(F.when(fits, F.col("k"))).alias("k"))
+    return widest.where(F.col("k") < TOP)
 
 
 def with_width(rows: DataFrame, widths: DataFrame) -> DataFrame:
@@ -119,12 +147,13 @@ def item_events(lines: DataFrame, widths: DataFrame, days: tuple[int, ...]) -> D
     """One event per stretch of time in which an item is in a window through one sale and through none before it."""
     rows = lines.where("item IS NOT NULL").groupBy("client", "item", "s").agg(F.min("a").alias("a"))
     rows = with_width(rows, widths)
-    before = lambda *by: Window.partitionBy("client", "item", *by).orderBy("a", F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)
-    few = rows.where(F.col("k") == TOP).withColumn("upto", F.max("s").over(before())).select("client", "s", "a", "upto")
-    many = rows.where(F.col("k") < TOP).withColumn("leaf", F.expr("shiftright(a, k)"))
-    ends = many.groupBy("client", "item", "leaf").agg(F.max("s").alias("last"))
-    carried = ends.withColumn("carried", F.max("last").over(Window.partitionBy("client", "item").orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1))).select("client", "item", "leaf", "carried")
-    many = many.withColumn("own", F.max("s").over(before("leaf"))).join(carried.hint("merge"), ["client", "item", "leaf"])
+    before = Window.partitionBy("at").orderBy("a", F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)
+    few = rows.where(F.col("k") == TOP).withColumn("at", together("client", "item")).withColumn("upto", F.max("s").over(before)).select("client", "s", "a", "upto")
+    many = rows.where(F.col("k") < TOP).withColumn("at", together("client", "item", F.expr("shiftright(a, k)").alias("leaf")))
+    ends = many.groupBy("at").agg(F.max("s").alias("last"))
+    earlier = Window.partitionBy("at.client", "at.item").orderBy("at.leaf").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("at", F.max("last").over(earlier).alias("carried"))
+    many = many.withColumn("own", F.max("s").over(before)).join(carried.hint("merge"), "at")
     rows = few.union(many.select("client", "s", "a", F.greatest("own", "carried").alias("upto")))
     from_ = [F.greatest(F.col("a"), F.col("upto") + d * DAY) for d in days]
     free = F.col("upto").isNull() | (F.col("upto") + max(days) * DAY <= F.col("a"))
@@ -158,63 +187,58 @@ def blocks(starts: np.ndarray, ends: np.ndarray, k: np.ndarray, top: int = TOP)
         rows, lo, hi, up = rows[more], lo[more] >> 1, hi[more] >> 1, up + 1
 
 
-PROBE = "client long, k int, level int, block long, sale long, t long, w int"
-
-
-def _exploded(spans: list[int]):
-    """Probes of clients with more than one level to the blocks of each window; the oldest leaf stands by itself."""
+SPAN = "client long, k int, part long, w int, oldest long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            t, k = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("t", "k"))
-            for w, span in enumerate(spans):
-                oldest, newest = (t - span) >> k, t >> k
-                for rows, up, block in [(np.arange(len(t)), 0, oldest), *blocks(oldest + 1, newest + 1, k)]:
-                    if len(rows):
-                        own = b.take(pa.array(rows))
-                        columns = [own.column("client"), own.column("k"), pa.array((k[rows] + up).astype(np.int32)), pa.array(block), own.column("sale"), own.column("t"), pa.array(np.full(len(rows), w, dtype=np.int32))]
-                        yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in PROBE.split(", ")])
 
-    return run
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans, the whole leaves after ``oldest`` up to ``part``, to the dyadic blocks that tile them."""
+    for b in batches:
+        k, part, oldest = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("k", "part", "oldest"))
+        for rows, up, block in blocks(oldest + 1, part + 1, k):
+            if len(rows):
+                own = b.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array((k[rows] + up).astype(np.int32)), pa.array(block)], names=[*own.schema.names, "level", "block"])
 
 
-ROWS = "key long, leaf boolean, w int, kind int, e long, a long, n long, cents long, id long, sale long, client long"
+#: Rows of a cell. ``part`` null: the events of a leaf, or of a whole block at the top, with probes that ask for window w (-1:
+#: for all). Else: the events that become known in that part, with probes, and rows of sums known before it: those of window w
+#: for the probes whose oldest leaf is ``oldest``.
+ROWS = ("key", "part", "k", "w", "oldest", "kind", "e", "a", "n", "cents", "id", "sale", "client")
 ANSWER = "sale long, client long, t long, w int, " + ", ".join(f"{m} long" for m in MEASURES) + ", last long, last_id long"
 
 
-def answers(cell: np.ndarray, leaf: np.ndarray, event: dict[str, np.ndarray], at: np.ndarray, t: np.ndarray, span: int, kinds: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """For probes (cell, t), sums of all measures and the row of the last click (-1: none), each by binary search.
+def answers(cell: np.ndarray, event: dict[str, np.ndarray], at: np.ndarray, t: np.ndarray, span: int, expire: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For probes (cell, t), sums of all measures over the events of their cell that are known by t and, with ``expire``, are
+    not older than the span; and the row of the last click (-1: none). Each is a binary search.
 
-    ``cell`` and ``event`` are the events, in the order of cells; ``leaf`` tells whether their cells are leaves."""
-    e, a, kind = event["e"], event["a"], event["kind"]
-    take = np.isin(kind, kinds) & (~leaf | (a < e + span))
-    rows = np.flatnonzero(take)
-    times = np.unique(np.concatenate([a[rows], e[rows] + span, t]))
+    ``cell`` and ``event`` are the events, in the order of cells."""
+    e, a, kind, n, cents = (event[c] for c in ("e", "a", "kind", "n", "cents"))
+    times = np.unique(np.concatenate([a, e + span, t]))
     place = lambda c, x: c.astype(np.int64) << 32 | np.searchsorted(times, x)
-    n, cents, kind = event["n"][rows], event["cents"][rows], kind[rows]
     item = (kind >= ITEM) | (kind == AHEAD)
     measures = [n * (kind <= PURCHASE), n * (kind == PURCHASE), cents * (kind <= PURCHASE), n * (kind == SALE), cents * (kind == SALE), n * (kind == LINES), cents * (kind == LINES), n * item]
     measures = np.stack(measures, axis=1).astype(np.int64)
     asked = place(at, t)
 
-    def known(key: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    def upto(key: np.ndarray) -> np.ndarray:
         """Sums over the events of the probe's cell whose key is not after the probe."""
-        order = chosen[np.argsort(key[chosen], kind="stable")]
+        order = np.argsort(key, kind="stable")
         sums = np.concatenate([np.zeros((1, measures.shape[1]), dtype=np.int64), np.cumsum(measures[order], axis=0)])
         held = key[order]
         return sums[np.searchsorted(held, asked, side="right")] - sums[np.searchsorted(held, at.astype(np.int64) << 32, side="left")]
 
-    since = place(cell[rows], a[rows])
-    total = known(since, np.arange(len(rows))) - known(place(cell[rows], e[rows] + span), np.flatnonzero(leaf[rows]))
-    clicks = np.flatnonzero((kind <= PURCHASE))
+    since = place(cell, a)
+    total = upto(since)
+    if expire:
+        total = total - upto(place(cell, e + span))
+    clicks = np.flatnonzero(kind <= PURCHASE)
     last = np.full(len(t), -1)
     if len(clicks):
-        ids = event["id"][rows][clicks]
         rank = np.empty(len(clicks), dtype=np.int64)
-        rank[np.lexsort((ids, e[rows][clicks]))] = np.arange(len(clicks))
-        of_rank = rows[clicks][np.argsort(rank)]
+        rank[np.lexsort((event["id"][clicks], e[clicks]))] = np.arange(len(clicks))
+        of_rank = clicks[np.argsort(rank)]
         order = np.argsort(since[clicks], kind="stable")
-        own = cell[rows][clicks][order].astype(np.int64)
+        own = cell[clicks][order].astype(np.int64)
         best = np.maximum.accumulate(own * (len(clicks) + 1) + rank[order] + 1)
         found = np.searchsorted(since[clicks][order], asked, side="right") - 1
         good = (found >= 0) & (own[found] == at)
@@ -224,36 +248,55 @@ def answers(cell: np.ndarray, leaf: np.ndarray, event: dict[str, np.ndarray], at
     return total, last
 
 
+NO_ID = -(1 << 62)
+
+
 def _answered(days: tuple[int, ...], ahead: int):
     spans = [d * DAY for d in days] + [ahead * DAY]
 
+    def kinds(w: int) -> tuple[int, ...]:
+        return (AHEAD,) if w == len(days) else (CLICK, PURCHASE, SALE, LINES, ITEM, ITEM + 1 + w)
+
+    def cells(block: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, dict[str, np.ndarray], bool]]:
+        """(window, probe rows, cells, events, whether they expire) of the comparisons that a block of whole cells holds."""
+        held = {c: block.column(c).fill_null(NO_ID if c == "id" else 0).to_numpy() for c in ("key", "part", "k", "oldest", "e", "a", "n", "cents", "id")}
+        kind, w = (block.column(c).fill_null(-1).to_numpy() for c in ("kind", "w"))
+        known = block.column("part").is_valid().to_numpy()
+        cell = np.concatenate([[0], np.cumsum(np.diff(held["key"]) != 0)])
+        held |= {"kind": kind, "cell": cell}
+        for number, span in enumerate(spans):
+            fits = np.isin(kind, kinds(number))
+            events = np.flatnonzero(~known & fits & (held["a"] < held["e"] + span))
+            probes = np.flatnonzero(~known & (kind < 0) & ((w == number) | (w == -1)))
+            yield number, probes, events, held, True
+            # inside a part, the oldest leaf of a window is one of two
+            probes = np.flatnonzero(known & (kind < 0))
+            oldest = (held["a"][probes] - span) >> held["k"][probes]
+            least = np.full(int(cell[-1]) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, cell[probes], oldest)
+            for more in (0, 1):
+                own = probes[oldest == least[cell[probes]] + more]
+                bound = least[cell] + more
+                before = (w == number) & (held["oldest"] == bound)
+                inside = (w == -1) & ((held["e"] >> held["k"]) > bound)
+                yield number, own, np.flatnonzero(known & fits & (before | inside)), held, False
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in groups(batches, 1 << 16):
-            column = {c: block.column(c) for c in block.column_names}
-            number = {c: column[c].fill_null(-(1 << 62) if c == "id" else 0).to_numpy() for c in ("key", "e", "a", "n", "cents", "id")}
-            kind = column["kind"].fill_null(-1).to_numpy()
-            cell = np.concatenate([[0], np.cumsum(np.diff(number["key"]) != 0)])
-            is_event = kind >= 0
-            events = {c: number[c][is_event] for c in ("e", "a", "n", "cents", "id")} | {"kind": kind[is_event]}
-            leaf = column["leaf"].to_numpy(zero_copy_only=False).astype(bool)[is_event]
-            asks, w = np.flatnonzero(~is_event), column["w"].fill_null(-1).to_numpy()
-            filled = np.isin(cell[asks], np.unique(cell[is_event]))
-            for number_, span in enumerate(spans):
-                rows = asks[filled & ((w[asks] == number_) | (w[asks] == -1))]
-                if not len(rows):
+            for number, probes, events, held, expire in cells(block):
+                if not len(probes) or not len(events):
                     continue
-                kinds = (AHEAD,) if number_ == len(days) else (CLICK, PURCHASE, SALE, LINES, ITEM, ITEM + 1 + number_)
-                t = number["a"][rows]
-                total, last = answers(cell[is_event], leaf, events, cell[rows], t, span, kinds)
+                own = {c: held[c][events] for c in ("e", "a", "n", "cents", "id", "kind")}
+                t = held["a"][probes]
+                total, last = answers(held["cell"][events], own, held["cell"][probes], t, spans[number], expire)
                 some = np.flatnonzero((total != 0).any(axis=1) | (last >= 0))
                 if not len(some):
                     continue
-                rows, total, last = rows[some], total[some], last[some]
-                own = block.select(["sale", "client"]).take(pa.array(rows))
-                ids = events["id"][last]
-                none = last < 0
-                columns = [own.column("sale").combine_chunks(), own.column("client").combine_chunks(), pa.array(t[some]), pa.array(np.full(len(rows), number_, dtype=np.int32)), *[pa.array(total[:, j]) for j in range(len(MEASURES))]]
-                columns += [pa.array(events["e"][last], mask=none), pa.array(ids, mask=none | (ids == -(1 << 62)))]
+                total, last = total[some], last[some]
+                ids, none = own["id"][last], last < 0
+                asked = block.select(["sale", "client"]).take(pa.array(probes[some]))
+                columns = [asked.column("sale"), asked.column("client"), pa.array(t[some]), pa.array(np.full(len(some), number, dtype=np.int32)), *[pa.array(total[:, j]) for j in range(len(MEASURES))]]
+                columns += [pa.array(own["e"][last], mask=none), pa.array(ids, mask=none | (ids == NO_ID))]
                 columns = [pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c for c in columns]
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in ANSWER.split(", ")])
         tidy()
@@ -261,40 +304,67 @@ def _answered(days: tuple[int, ...], ahead: int):
     return run
 
 
-def cells_of_large(events: DataFrame, asked: DataFrame, kinds: int) -> DataFrame:
-    """Events and exploded probes of clients with leaves below the top: rows of cells, which a task answers alone."""
-    every = events.withColumn("level", F.explode(F.expr(f"sequence(k, {TOP})"))).withColumn("block", F.expr("shiftright(e, level)"))
-    every = every.withColumn("part", F.expr("CASE WHEN level = k THEN 0 ELSE shiftright(a, k) END"))
-    asked = asked.withColumn("part", F.expr("CASE WHEN level = k THEN 0 ELSE shiftright(t, k) END"))
-    place = ["client", "level", "block", "part"]
-    above = F.col("level") > F.col("k")
-    # of the blocks above the leaves, what was known before a part: a row per kind, as old as the part
+TYPES = {c: "int" if c in ("k", "w", "kind") else "long" for c in ROWS}
+
+
+def cell_rows(df: DataFrame, **columns: Column) -> DataFrame:
+    """Rows of cells; columns that are not given are null."""
+    return df.select(*[columns.get(c, F.lit(None)).cast(TYPES[c]).alias(c) for c in ROWS])
+
+
+def own_columns(*names: str) -> dict[str, Column]:
+    return {n: F.col(n) for n in names}
+
+
+def known_before(events: DataFrame, spans: DataFrame, kinds: int) -> DataFrame:
+    """What the whole blocks of each span hold at the start of its part: a row per span and kind of event.
+
+    events: (client, k, leaf, part, kind, n, cents, e, id); spans: (client, k, part, w, oldest)."""
     sums = [F.sum(F.when(F.col("kind") == j, F.col(c))).alias(f"{c}{j}") for j in range(kinds) for c in ("n", "cents")]
-    last = F.max(F.when(F.col("id").isNotNull() | (F.col("kind") <= PURCHASE), F.struct("e", "id"))).alias("last")
-    parts = every.where(above).groupBy(*place, "k").agg(*sums, last)
-    visits = asked.where(above).select(*place, "k").distinct()
-    empty = [F.lit(None).cast(t).alias(c) for c, t in parts.dtypes if c not in (*place, "k")]
-    both = parts.union(visits.select(*place, "k", *empty))
-    earlier = Window.partitionBy("client", "level", "block").orderBy("part").rangeBetween(Window.unboundedPreceding, -1)
-    carried = both.select(*place, "k", *[F.sum(f"{c}{j}").over(earlier).alias(f"{c}{j}") for j in range(kinds) for c in ("n", "cents")], F.max("last").over(earlier).alias("last")).dropDuplicates(place)
+    last = F.max(F.when(F.col("kind") <= PURCHASE, F.struct("e", "id"))).alias("last")
+    summed = events.groupBy(together("client", "k", "leaf", "part")).agg(*sums, last).select("at.*", *[f"{c}{j}" for j in range(kinds) for c in ("n", "cents")], "last")
+    again = [F.sum(f"{c}{j}").alias(f"{c}{j}") for j in range(kinds) for c in ("n", "cents")] + [F.max("last").alias("last")]
+    level = F.explode(F.expr(f"sequence(k, {TOP})")).alias("level")
+    tree = summed.select("*", level).groupBy(together("client", "level", F.expr("shiftright(leaf, level - k)").alias("block"), "part")).agg(*again)
+    tiles = cut(spans.mapInArrow(_exploded, f"{SPAN}, level int, block long"))
+    visits = tiles.select(together("client", "level", "block", "part")).distinct()
+    both = tree.unionByName(visits, allowMissingColumns=True).withColumn("block_", F.struct("at.client", "at.level", "at.block"))
+    earlier = Window.partitionBy("block_").orderBy("at.part").rangeBetween(Window.unboundedPreceding, -1)
+    held = both.select("at", *[F.sum(f"{c}{j}").over(earlier).alias(f"{c}{j}") for j in range(kinds) for c in ("n", "cents")], F.max("last").over(earlier).alias("last")).dropDuplicates(["at"])
+    span = together("client", "k", "part", "w", "oldest")
+    found = tiles.select(span.alias("span"), together("client", "level", "block", "part")).join(held, "at").groupBy("span").agg(*again)
     click = lambda j: F.col("last") if j <= PURCHASE else F.lit(None).cast("struct<e:bigint,id:bigint>")
     stacked = F.explode(F.array(*[F.struct(F.lit(j).alias("kind"), F.col(f"n{j}").alias("n"), F.col(f"cents{j}").alias("cents"), click(j).alias("last")) for j in range(kinds)])).alias("x")
-    ahead = carried.select(*place, F.expr("shiftleft(part, k)").alias("a"), stacked).where("x.n IS NOT NULL")
-    none = F.lit(None)
-    key = F.xxhash64(*place).alias("key")
-    held = every.select(key, (~above).alias("leaf"), none.cast("int").alias("w"), "kind", "e", "a", "n", "cents", "id", none.cast("long").alias("sale"), "client")
-    carry = ahead.select(key, F.lit(False).alias("leaf"), none.cast("int").alias("w"), "x.kind", F.coalesce("x.last.e", F.lit(0)).alias("e"), "a", "x.n", "x.cents", "x.last.id", none.cast("long").alias("sale"), "client")
-    probes = asked.select(key, (~above).alias("leaf"), "w", none.cast("int").alias("kind"), none.cast("long").alias("e"), F.col("t").alias("a"), *[none.cast("long").alias(c) for c in ("n", "cents", "id")], "sale", "client")
-    return held.union(carry).union(probes)
+    return found.select("span.*", stacked).where("x.n IS NOT NULL").select(*[c.split()[0] for c in SPAN.split(", ")], "x.kind", "x.n", "x.cents", F.coalesce("x.last.e", F.lit(0)).alias("e"), F.col("x.last.id").alias("id"))
+
+
+def cells_of_large(events: DataFrame, probes: DataFrame, spans: list[int], kinds: int) -> DataFrame:
+    """Cells of clients with leaves below the top: the events of each leaf, and those that become known in each part."""
+    events = events.groupBy(together("client", "k", "e", "a", "kind")).agg(F.sum("n").alias("n"), F.sum("cents").alias("cents"), F.max("id").alias("id")).select("at.*", "n", "cents", "id")
+    events = cut(events.withColumns({"leaf": F.expr("shiftright(e, k)"), "part": F.expr("shiftright(a, k)")}))
+    windows = F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.expr(f"shiftright(t - {span}L, k)").alias("oldest")) for w, span in enumerate(spans)])).alias("x")
+    probes = probes.withColumn("part", F.expr("shiftright(t, k)"))
+    asked = probes.select("sale", "client", "t", "k", "part", windows)
+    before = known_before(events, asked.select(together("client", "k", "part", "x.w", "x.oldest")).distinct().select("at.*"), kinds)
+    leaf = lambda of: F.xxhash64(F.lit("leaf"), "client", of)
+    part, every = F.xxhash64(F.lit("part"), "client", "part"), F.lit(-1)
+    fact = own_columns("kind", "e", "a", "n", "cents", "id")
+    ask = own_columns("sale", "client") | {"a": F.col("t")}
+    rows = [
+        cell_rows(events, key=leaf("leaf"), **fact),
+        cell_rows(events, key=part, part=F.col("part"), k=F.col("k"), w=every, **fact),
+        cell_rows(before, key=part, a=F.expr("shiftleft(part, k)"), **own_columns("part", "k", "w", "oldest", "kind", "e", "n", "cents", "id")),
+        cell_rows(asked, key=leaf("x.oldest"), w=F.col("x.w"), **ask),
+        cell_rows(probes, key=part, part=F.col("part"), k=F.col("k"), w=every, **ask),
+    ]
+    return rows[0].union(rows[1]).union(rows[2]).union(rows[3]).union(rows[4])
 
 
 def cells_of_small(events: DataFrame, probes: DataFrame, longest: int) -> DataFrame:
-    """The same for clients whose only level is the top: a cell is a block, a probe asks each for all windows at once."""
-    none = F.lit(None)
-    held = events.select(F.xxhash64("client", F.shiftright("e", TOP)).alias("key"), F.lit(True).alias("leaf"), none.cast("int").alias("w"), "kind", "e", "a", "n", "cents", "id", none.cast("long").alias("sale"), "client")
+    """Cells of clients whose only level is the top: a cell is a block, a probe asks each for all windows at once."""
     asked = probes.withColumn("block", F.explode(F.sequence(F.shiftright(F.col("t") - longest, TOP), F.shiftright("t", TOP))))
-    asked = asked.select(F.xxhash64("client", "block").alias("key"), F.lit(True).alias("leaf"), F.lit(-1).alias("w"), none.cast("int").alias("kind"), none.cast("long").alias("e"), F.col("t").alias("a"), *[none.cast("long").alias(c) for c in ("n", "cents", "id")], "sale", "client")
-    return held.union(asked)
+    held = cell_rows(events, key=F.xxhash64("client", F.shiftright("e", TOP)), **own_columns("kind", "e", "a", "n", "cents", "id"))
+    return held.union(cell_rows(asked, key=F.xxhash64("client", "block"), w=F.lit(-1), a=F.col("t"), **own_columns("sale", "client")))
 
 
 def features(clicks: DataFrame, sales: DataFrame, lines: DataFrame, days: tuple[int, ...] = WINDOWS, ahead: int = AHEAD_DAYS, leaf: int = LEAF) -> DataFrame:
@@ -313,8 +383,7 @@ def features(clicks: DataFrame, sales: DataFrame, lines: DataFrame, days: tuple[
     events, probes = cut(events), cut(probes)
     spans = [d * DAY for d in (*days, ahead)]
     small = cells_of_small(events.where(F.col("k") == TOP).select(*EVENT), probes.where(F.col("k") == TOP), max(spans))
-    asked = probes.where(F.col("k") < TOP).select("sale", "client", "t", "k").mapInArrow(_exploded(spans), PROBE)
-    large = cells_of_large(events.where(F.col("k") < TOP), asked, ITEM + 1 + len(days))
+    large = cells_of_large(events.where(F.col("k") < TOP), probes.where(F.col("k") < TOP), spans, ITEM + 1 + len(days))
     found = small.union(large).repartition("key").sortWithinPartitions("key").mapInArrow(_answered(days, ahead), ANSWER)
     nothing = probes.select("sale", "client", "t", F.lit(-1).alias("w"), *[F.lit(0).cast("long").alias(m) for m in MEASURES], *[F.lit(None).cast("long").alias(c) for c in ("last", "last_id")], "copies")
     rows = nothing.union(found.withColumn("copies", F.lit(0).cast("long")))
