@@ -47,7 +47,7 @@ def rungs(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def stepping_stone(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Sum over rungs of ln mean exp of the step times the lower rung's log-likelihoods."""
     steps = rungs(df, by).where("next is not null").select(*by, "beta", (F.col("next") - F.col("beta")).alias("step"), "top")
-    each = df.join(F.broadcast(steps), [*by, "beta"])  # a row per rung
+    each = df.join(F.broadcast(steps) if not by else steps, [*by, "beta"])  # without groups, a row per rung
     step = each.groupBy(*by, "beta").agg((F.max(F.col("step") * F.col("top")) + F.log(F.avg(F.exp(F.col("step") * (F.col("ll") - F.col("top")))))).alias("r"))
     return step.groupBy(*by).agg(F.sum("r").alias("lml"))
 
@@ -306,7 +306,7 @@ def cov2cor(cov: DataFrame) -> DataFrame:
     """Scale (i, j, cov) by its diagonal."""
     diagonal = cov.where("i = j")
     a, b = diagonal.select("i", F.col("cov").alias("_vi")), diagonal.select("j", F.col("cov").alias("_vj"))
-    return cov.join(F.broadcast(a), "i").join(F.broadcast(b), "j").select("i", "j", "cov", (F.col("cov") / F.sqrt(F.col("_vi") * F.col("_vj"))).alias("cor"))  # a row per column
+    return cov.join(a, "i").join(b, "j").select("i", "j", "cov", (F.col("cov") / F.sqrt(F.col("_vi") * F.col("_vj"))).alias("cor"))  # a row per column
 
 
 def jenks(values: np.ndarray, classes: int, counts: np.ndarray | None = None) -> list[int]:

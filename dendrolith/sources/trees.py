@@ -147,9 +147,14 @@ def read_trees(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_translation(spark: SparkSession, path: str) -> dict[str, str]:
-    """The TRANSLATE block of a NEXUS file: a label for each taxon, a dimension of the file."""
-    text = " ".join(r[0] for r in spark.read.text(path).where(~F.col("value").rlike(r"(?i)^\s*u?tree\s")).collect())
-    found = re.search(r"(?is)translate\s+(.*?);", text)
+    """The TRANSLATE block of a NEXUS file: a label for each taxon, a dimension of the file. Only the lines from its start
+    to the first tree come to the driver; without either there is none."""
+    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
+    ends = lines.agg(F.min(F.when(F.col("value").rlike(r"(?i)translate\b"), F.col("at"))).alias("start"), F.min(F.when(F.col("value").rlike(r"(?i)^\s*u?tree\s"), F.col("at"))).alias("end")).first()
+    if ends["start"] is None or ends["end"] is None:
+        return {}
+    block = lines.where(F.col("at").between(ends["start"], ends["end"] - 1)).orderBy("at").select("value").collect()
+    found = re.search(r"(?is)translate\s+(.*?);", " ".join(r[0] for r in block))
     return dict(x.replace(",", " ").split()[:2] for x in found[1].split(",") if x.strip()) if found else {}
 
 
