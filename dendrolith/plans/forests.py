@@ -169,13 +169,13 @@ def clade_weights(spark, sf):
 @query(f"""{WEIGHTS_SQL}, k AS (SELECT bits, n, weight, row_number() OVER (ORDER BY weight DESC, bits) AS k FROM w),
 g(k, taken) AS (SELECT 0, []::BIGINT[] UNION ALL SELECT g.k + 1, CASE WHEN len(list_filter(taken, lambda t: (t & bits) <> 0 AND (t & bits) <> t AND (t & bits) <> bits)) = 0 THEN list_append(taken, bits) ELSE taken END FROM g JOIN k ON k.k = g.k + 1),
 c AS (SELECT bits, n, weight FROM k WHERE list_contains((SELECT arg_max(taken, k) FROM g), bits) UNION ALL SELECT 1::BIGINT << i, 1, NULL FROM (SELECT unnest(range(0, 8)) AS i))
-SELECT a.bits, a.n, any_value(round(a.weight, 8)) AS weight, arg_min(b.bits, b.n) AS parent FROM c a LEFT JOIN c b ON (a.bits & b.bits) = a.bits AND a.bits <> b.bits GROUP BY 1, 2""")
+SELECT a.bits, a.n, any_value(round(a.weight, 8)) AS weight, coalesce(arg_min(b.bits, b.n), 0) AS parent FROM c a LEFT JOIN c b ON (a.bits & b.bits) = a.bits AND a.bits <> b.bits GROUP BY 1, 2""")
 def consensus_tree(spark, sf):
-    """The greedy consensus of the collection: clades and tips with their parents."""
+    """The greedy consensus of the collection: clades and tips with their parents; the set of all taxa has parent 0."""
     weighted, taxa = _clades(spark, sf)
     taken = K.greedy(weighted)
     tree = K.tree_of(taken, taxa).join(taken.select("bits", "weight"), "bits", "left")
-    return rounded(tree.select(F.col("bits")[0].alias("bits"), "n", "weight", F.col("parent")[0].alias("parent")), 8)
+    return rounded(tree.select(F.col("bits")[0].alias("bits"), "n", "weight", F.coalesce(F.col("parent")[0], F.lit(0)).alias("parent")), 8)
 
 
 @query(f"""WITH RECURSIVE {ballot_sql()}, tipsets AS (SELECT tree, child AS node, 1::BIGINT << (ascii(child) - 97) AS bits, 1::BIGINT AS n FROM edges WHERE child NOT LIKE '#%' UNION ALL SELECT tree, node, bits, n FROM sets),
