@@ -82,15 +82,20 @@ def packed_index(i: Column, j: Column, n: int) -> Column:
     return i * (2 * n - i - 1) / 2 + j - i - 1
 
 
+def ln(x: Column) -> Column:
+    """The natural logarithm in IEEE terms: minus infinity at zero, not a number below it, where Spark's gives null."""
+    return F.when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan"))).otherwise(F.log(x))
+
+
 def to_real(x: Column, low: float | None = None, high: float | None = None) -> Column:
     """A bounded value on the real line: log or logit."""
     if low is None and high is None:
         return x
     if high is None:
-        return F.log(x - low)
+        return ln(x - low)
     if low is None:
-        return F.log(high - x)
-    return F.log((x - low) / (high - x))
+        return ln(high - x)
+    return ln((x - low) / (high - x))
 
 
 def from_real(z: Column, low: float | None = None, high: float | None = None) -> Column:
@@ -113,7 +118,7 @@ def log_jacobian(z: Column, low: float | None = None, high: float | None = None)
 
 
 def logit(x: Column) -> Column:
-    return F.log(x / (1 - x))
+    return ln(x / (1 - x))
 
 
 def inverse_logit(x: Column) -> Column:
