@@ -8,9 +8,16 @@ from math import lgamma, log, pi
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dendrolith.functions.text import ln
+
 LOG_2PI = log(2 * pi)
 
 
+def _times_ln(k: float, x: Column) -> Column:
+    """k ln x, the log of x to the power k: 0 for k = 0, at zero too."""
+    return F.when(x.isNotNull(), F.lit(0.0)) if k == 0 else k * ln(x)
+
+
 def exponential(x: Column, rate) -> Column:
     return F.log(F.lit(rate)) - rate * x
 
@@ -24,7 +31,7 @@ def half_normal(x: Column, sigma: float = 1.0) -> Column:
 
 
 def lognormal(x: Column, mu: float = 0.0, sigma: float = 1.0) -> Column:
-    return normal(F.log(x), mu, sigma) - F.log(x)
+    return normal(ln(x), mu, sigma) - ln(x)
 
 
 def cauchy(x: Column, location: float = 0.0, scale: float = 1.0) -> Column:
@@ -32,41 +39,41 @@ def cauchy(x: Column, location: float = 0.0, scale: float = 1.0) -> Column:
 
 
 def kumaraswamy(x: Column, a: float, b: float) -> Column:
-    return log(a * b) + (a - 1) * F.log(x) + (b - 1) * F.log(1 - x**a)
+    return log(a * b) + _times_ln(a - 1, x) + _times_ln(b - 1, 1 - x**a)
 
 
 def one_on_x(x: Column) -> Column:
-    return -F.log(x)
+    return -ln(x)
 
 
 def gamma(x: Column, shape: float, rate: float, shift: float = 0.0) -> Column:
     z = x - shift
-    return shape * log(rate) - lgamma(shape) + (shape - 1) * F.log(z) - rate * z
+    return shape * log(rate) - lgamma(shape) + _times_ln(shape - 1, z) - rate * z
 
 
 def beta(x: Column, a: float, b: float) -> Column:
-    return lgamma(a + b) - lgamma(a) - lgamma(b) + (a - 1) * F.log(x) + (b - 1) * F.log(1 - x)
+    return lgamma(a + b) - lgamma(a) - lgamma(b) + _times_ln(a - 1, x) + _times_ln(b - 1, 1 - x)
 
 
 def beta_prime(x: Column, a: float, b: float) -> Column:
-    return lgamma(a + b) - lgamma(a) - lgamma(b) + (a - 1) * F.log(x) - (a + b) * F.log(1 + x)
+    return lgamma(a + b) - lgamma(a) - lgamma(b) + _times_ln(a - 1, x) - (a + b) * ln(1 + x)
 
 
 def dirichlet(xs: Sequence[Column], alphas: Sequence[float]) -> Column:
     out = F.lit(lgamma(sum(alphas)) - sum(map(lgamma, alphas)))
     for x, a in zip(xs, alphas, strict=True):
         if a != 1:
-            out = out + (a - 1) * F.log(x)
+            out = out + (a - 1) * ln(x)
     return out
 
 
 def weibull(x: Column, shape: float, scale: float) -> Column:
-    return log(shape / scale) + (shape - 1) * F.log(x / scale) - (x / scale) ** shape
+    return log(shape / scale) + _times_ln(shape - 1, x / scale) - (x / scale) ** shape
 
 
 def ctmc_scale(rate: Column, tree_time: Column) -> Column:
     """Gamma(1/2, tree time) on a rate."""
-    return 0.5 * F.log(tree_time) - lgamma(0.5) - 0.5 * F.log(rate) - rate * tree_time
+    return 0.5 * ln(tree_time) - lgamma(0.5) - 0.5 * ln(rate) - rate * tree_time
 
 
 def uniform_topology(n_tips: Column) -> Column:
