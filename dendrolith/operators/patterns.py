@@ -125,11 +125,36 @@ def unconstrained(patterns: DataFrame) -> DataFrame:
     return patterns.agg(F.sum(w * F.log(w)).alias("s"), F.sum(w).alias("n")).select((F.col("s") - F.col("n") * F.log("n")).alias("lnl"))
 
 
+#: Sites that are put together at a time.
+BLOCK = 1 << 12
+
+
 def sequences(aln: DataFrame, n_sites: int) -> DataFrame:
-    """(taxon, seq): whole sequences, gaps filled."""
-    at = F.map_from_entries(F.collect_list(F.struct(F.col("site").cast("long").alias("site"), "state")))
-    filled = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n_sites - 1).cast("long")), lambda s: F.coalesce(F.element_at(F.col("at"), s), F.lit("-")))
-    return aln.groupBy("taxon").agg(at.alias("at")).select("taxon", F.concat_ws("", filled).alias("seq"))
+    """(taxon, seq): whole sequences, gaps filled.
+
+    A taxon's sites are put together in blocks, then the blocks, each in one pass over sorted places; two states of a taxon at
+    a site are an error. Sites outside 0 to n_sites - 1 are left out."""
+    at = F.col("site").cast("long")
+    block = F.when(at.between(0, n_sites - 1), F.floor(at / BLOCK))
+    own = F.when(block.isNotNull(), F.struct(at.alias("start"), (at + 1).alias("stop"), "state"))
+    first = F.col("_block") * BLOCK
+    stop = F.least(first + BLOCK, F.lit(n_sites))
+    blocks = aln.groupBy("taxon", block.alias("_block")).agg(F.sort_array(F.collect_list(own)).alias("_s"))
+    parts = F.when(F.col("_block").isNotNull(), F.struct(first.alias("start"), stop.alias("stop"), _filled("_s", first, stop).alias("state")))
+    whole = blocks.select("taxon", parts.alias("_p")).groupBy("taxon").agg(F.sort_array(F.collect_list("_p")).alias("_p"))
+    return whole.select("taxon", _filled("_p", F.lit(0), F.lit(n_sites)).alias("seq"))
+
+
+def _filled(pieces: str, start: Column, stop: Column) -> Column:
+    """The states of sorted pieces (start, stop, state) in one string, with gaps before, between and behind them."""
+    p = F.col(pieces)
+    gaps = lambda since, until: F.repeat(F.lit("-"), (until - since).cast("int"))
+
+    def piece(x: Column, i: Column) -> Column:
+        before = F.coalesce(F.get(p, i - 1)["stop"], start)
+        return F.when(x["start"] < before, F.raise_error(F.lit("a taxon has two states at a site")).cast("string")).otherwise(F.concat(gaps(before, x["start"]), x["state"]))
+
+    return F.concat(F.array_join(F.transform(p, piece), ""), gaps(F.coalesce(F.get(p, F.size(p) - 1)["stop"], start), stop))
 
 
 def concatenate(one: DataFrame, other: DataFrame) -> DataFrame:
