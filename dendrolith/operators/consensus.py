@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dendrolith.operators.scans import settled
-from dendrolith.operators.sweeps import MOST_ROUNDS, is_tip, nodes_of, up
+from dendrolith.operators.sweeps import MOST_ROUNDS, nodes_of, up
 
 
 def weights(clades: DataFrame, trees: DataFrame | None = None) -> DataFrame:
@@ -22,7 +22,8 @@ def weights(clades: DataFrame, trees: DataFrame | None = None) -> DataFrame:
     if trees is None:
         trees = held.select("tree").distinct().withColumn("weight", F.lit(1.0))
     total = trees.agg(F.sum("weight").alias("_total"))
-    rows = held.join(trees.select("tree", "weight"), "tree").groupBy("bits", "n").agg(F.sum("weight").alias("weight"), F.count("*").alias("trees"))
+    # trees are many: the planner is kept from sending them to the driver and every task
+    rows = held.join(trees.select("tree", "weight").hint("merge"), "tree").groupBy("bits", "n").agg(F.sum("weight").alias("weight"), F.count("*").alias("trees"))
     return rows.crossJoin(total).select("bits", "n", (F.col("weight") / F.col("_total")).alias("weight"), "trees")  # one row
 
 
@@ -87,21 +88,24 @@ def pruned(edges: DataFrame, kept: DataFrame) -> DataFrame:
     Nodes without a kept tip go; of the others those with one child go too, and their branches are added up: each node asks
     the node above, which asks on while it is one to go, by pointer doubling along such chains only. The root stays the
     highest node with two children. A tree with fewer than two kept tips has no edges."""
-    nodes = settled(nodes_of(edges))
     by = [c for c in ("tree", "node") if c in kept.columns]
-    tips = is_tip(nodes).where("tip").join(kept.select(*by).distinct(), by, "left_semi").select("tree", "node").withColumn("kept", F.lit(1).cast("long"))
-    held = up(nodes.join(tips, ["tree", "node"], "left"), {"k": ("sum", F.col("kept"))}).where("k > 0")
-    alive = nodes.join(held, ["tree", "node"])
-    kids = alive.where("parent is not null").groupBy("tree", F.col("parent").alias("node")).agg(F.count("*").alias("kids"))
-    alive = alive.join(kids, ["tree", "node"], "left").join(tips, ["tree", "node"], "left")
-    stays = (F.coalesce("kids", F.lit(0)) >= 2) | F.col("kept").isNotNull()
-    now = alive.select("tree", "node", F.col("parent").alias("jump"), "length", stays.alias("stays"))
+    marked = settled(nodes_of(edges).join(kept.select(*by).distinct().withColumn("_kept", F.lit(1).cast("long")).hint("merge"), by, "left"))
+    held = up(marked, {"k": ("sum", F.when(F.col("_kids") == 0, F.col("_kept")))}, keep=["parent", "length", "_kids"]).where("k > 0")
+    held = settled(held)
+    kids = held.where("parent is not null").groupBy("tree", F.col("parent").alias("node")).agg(F.count("*").alias("_alive"))
+    stays = (F.col("_kids") == 0) | (F.coalesce("_alive", F.lit(0)) >= 2)
+    alive = settled(held.join(kids.hint("merge"), ["tree", "node"], "left").select("tree", "node", F.col("parent").alias("jump"), "length", stays.alias("stays")))
+
+    def beyond(rows: DataFrame) -> DataFrame:
+        """``rows`` with what lies beyond the node above, where that one is to go."""
+        far = chain.select("tree", F.col("node").alias("jump"), F.col("jump").alias("_jump"), F.col("length").alias("_length"), F.lit(True).alias("_on"))
+        joined = rows.join(far.hint("merge"), ["tree", "jump"], "left").withColumn("_on", F.coalesce("_on", F.lit(False)))
+        return joined.select("tree", "node", F.when(F.col("_on"), F.col("_jump")).otherwise(F.col("jump")).alias("jump"), (F.col("length") + F.coalesce("_length", F.lit(0.0))).alias("length"), "_on")
+
+    chain = alive.where("not stays").select("tree", "node", "jump", "length")
     for _ in range(MOST_ROUNDS):
-        now = settled(now)
-        far = now.select("tree", F.col("node").alias("jump"), F.col("jump").alias("_jump"), F.col("length").alias("_length"), F.col("stays").alias("_stays"))
-        joined = now.join(far, ["tree", "jump"], "left")
-        on = ~F.coalesce("_stays", F.lit(True))
-        if joined.where(on).isEmpty():
-            return now.where("stays and jump is not null").select("tree", F.col("node").alias("child"), F.col("jump").alias("parent"), "length")
-        now = joined.select("tree", "node", F.when(on, F.col("_jump")).otherwise(F.col("jump")).alias("jump"), F.when(on, F.col("length") + F.coalesce("_length", F.lit(0.0))).otherwise(F.col("length")).alias("length"), "stays")
+        longer = settled(beyond(chain))
+        chain = longer.drop("_on")
+        if longer.where("_on").isEmpty():
+            return beyond(alive.where("stays")).where("jump is not null").select("tree", F.col("node").alias("child"), F.col("jump").alias("parent"), "length")
     raise ValueError("the edges have a loop")

@@ -1,12 +1,16 @@
 """Sweeps over collections of trees as edge tables (tree, child, parent, length): from the root down, and from the tips up.
 
-Both work by pointer doubling: after k rounds every node knows the node 2^k steps above it, and the sweep over the steps
-between. Rounds grow with the logarithm of the depth, a round moves one row per node, and no tree meets in one task; a
-caterpillar of a million tips takes twenty rounds, and a table of its paths is never made.
+Both strip the tips off the trees, again and again, while at least a fifth of what is left are tips: a bushy tree is gone
+after a few layers, each smaller than the one before, and children meet only at their own parent. What is left has long
+paths and goes by pointer doubling: after k rounds every node knows the node 2^k steps above it, and the sweep over the
+steps between. Rounds grow with the logarithm of the size and of the depth, no tree meets in one task; a caterpillar of a
+million tips takes twenty rounds, and a table of its paths is never made.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,13 +19,27 @@ from dendrolith.operators.scans import running, settled
 MOST_ROUNDS = 64
 #: Of a sum of squares a tip, what counts as none.
 FLAT = 1e-9
+#: Layers are stripped while a node in so many is a tip.
+SPARSE = 5
+#: Rows of inner nodes up to which the planner may send them to every task, and so through the driver.
+FEW = 100_000
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
-    """(tree, node, parent, length): every node once, the root with a null parent and length 0."""
+    """(tree, node, parent, length, _kids): every node once with its number of children, the root with a null parent and
+    length 0; settled, as sweeps read it several times."""
     inner = edges.where("parent is not null").select("tree", F.col("child").alias("node"), "parent", F.col("length").cast("double").alias("length"))
-    tops = edges.select("tree", F.explode(F.array("child", "parent")).alias("node")).where("node is not null").distinct().join(inner.select("tree", "node"), ["tree", "node"], "left_anti")
-    return inner.unionByName(tops, allowMissingColumns=True).na.fill({"length": 0.0})
+    ends = inner.select("tree", F.col("parent").alias("node"), F.lit(1).cast("long").alias("_k")).union(edges.where("parent is null and child is not null").select("tree", "child", F.lit(0).cast("long")))
+    counted = ends.groupBy("tree", "node").agg(F.sum("_k").alias("_kids"))
+    return settled(inner.join(counted.hint("merge"), ["tree", "node"], "full").na.fill({"length": 0.0, "_kids": 0}))
+
+
+def _counted(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with their numbers of children; those that bring them are settled."""
+    if "_kids" in nodes.columns:
+        return nodes
+    kids = nodes.where("parent is not null").groupBy("tree", F.col("parent").alias("node")).agg(F.count("*").alias("_kids"))
+    return settled(nodes.join(kids.hint("merge"), ["tree", "node"], "left").na.fill({"_kids": 0}))
 
 
 def _rounds(now: DataFrame, step) -> DataFrame:
@@ -34,56 +52,119 @@ def _rounds(now: DataFrame, step) -> DataFrame:
     raise ValueError("the edges have a loop, or a depth of over 2^64")
 
 
-def down(nodes: DataFrame, maps: dict[str, tuple[Column, Column]], roots: dict[str, Column] | None = None) -> DataFrame:
-    """(tree, node, names...): value(node) = slope * value(parent) + shift along every path from the root.
+def _strip(rest: DataFrame, sends: Sequence[Column], takes: Sequence[Column]) -> tuple[list[DataFrame], DataFrame | None, list[int]]:
+    """Layers of tips from the outside in, what long paths are left, and how many rows lie inside each layer.
+
+    ``rest`` has tree, node, parent, _open (children not yet stripped) and more; the tips' ``sends`` are aggregated at
+    their parents, whose other columns become ``takes``."""
+    layers, inside = [], []
+    while True:
+        leaf = rest.where("_open = 0")
+        sent = leaf.where("parent is not null").groupBy("tree", F.col("parent").alias("node")).agg(F.count("*").alias("_gone"), *sends)
+        layers.append(leaf)
+        rest = rest.where("_open > 0").join(sent.hint("merge"), ["tree", "node"], "left")
+        rest = settled(rest.select("tree", "node", "parent", (F.col("_open") - F.coalesce("_gone", F.lit(0))).alias("_open"), *takes))
+        n, tips = rest.agg(F.count("*"), F.count_if(F.col("_open") == 0)).first()
+        inside.append(n)
+        if not n:
+            return layers, None, inside
+        if tips * SPARSE < n:
+            return layers, rest, inside
+
+
+def down(nodes: DataFrame, maps: dict[str, tuple[Column, Column]], roots: dict[str, Column] | None = None, keep: Sequence[str] = (), above: bool = False) -> DataFrame:
+    """(tree, node, keep..., names...): value(node) = slope * value(parent) + shift along every path from the root.
 
     ``nodes`` has tree, node, parent and what the columns of ``maps`` read; the root's value is 0 or that of ``roots``.
     A slope of one gives sums, a slope of zero sets a value that the nodes below inherit. Affine maps compose, so that the
-    map from 2^k steps above is that of two half ways."""
+    map from 2^k steps above is that of two half ways. With ``above`` the parent's value of each name comes as above_name."""
     roots = roots or {}
     top = F.col("parent").isNull()
     columns = []
     for name, (slope, shift) in maps.items():
         columns += [F.when(top, 0.0).otherwise(slope.cast("double")).alias(f"a_{name}"), F.when(top, roots.get(name, F.lit(0.0)).cast("double")).otherwise(shift.cast("double")).alias(f"b_{name}")]
-    start = nodes.select("tree", "node", F.col("parent").alias("jump"), *columns)
+    carried = [k for k in keep if k != "parent"]
+    both = [f"{k}_{n}" for n in maps for k in "ab"]
+    start = _counted(nodes).select("tree", "node", "parent", F.col("_kids").alias("_open"), *carried, *columns)
+    layers, core, inside = _strip(start, [], [*carried, *both])
+    out = ["tree", "node", "parent", *carried]
+
+    def below(rows: DataFrame, known: DataFrame | None, few: bool) -> DataFrame:
+        if known is None:  # roots
+            return rows.select(*out, *[F.col(f"b_{n}").alias(n) for n in maps], *[F.lit(None).cast("double").alias(f"above_{n}") for n in maps if above])
+        far = known.select("tree", F.col("node").alias("parent"), *[F.col(n).alias(f"_{n}") for n in maps])
+        value = lambda n: F.when(top, F.col(f"b_{n}")).otherwise(F.col(f"a_{n}") * F.col(f"_{n}") + F.col(f"b_{n}")).alias(n)
+        return rows.join(far if few else far.hint("merge"), ["tree", "parent"], "left").select(*out, *map(value, maps), *[F.col(f"_{n}").alias(f"above_{n}") for n in maps if above])
+
+    known = None
+    if core is not None:
+        found = _down_paths(core.select("tree", "node", F.col("parent").alias("jump"), *both), list(maps))
+        known = settled(below(core, found, False))
+    for k in range(len(layers) - 1, -1, -1):
+        rows = below(layers[k], known, inside[k] <= FEW)
+        rows = settled(rows) if k else rows
+        known = rows if known is None else known.unionByName(rows)
+    return known.select("tree", "node", *keep, *maps, *[f"above_{n}" for n in maps if above])
+
+
+def _down_paths(start: DataFrame, names: list[str]) -> DataFrame:
+    """(tree, node, names...) of nodes (tree, node, jump, a_name, b_name) by pointer doubling."""
 
     def step(now: DataFrame) -> DataFrame:
-        far = now.select("tree", F.col("node").alias("jump"), F.col("jump").alias("_jump"), *[F.col(f"{k}_{n}").alias(f"_{k}_{n}") for n in maps for k in "ab"])
-        joined = now.join(far, ["tree", "jump"], "left")
+        far = now.select("tree", F.col("node").alias("jump"), F.col("jump").alias("_jump"), *[F.col(f"{k}_{n}").alias(f"_{k}_{n}") for n in names for k in "ab"])
+        joined = now.join(far.hint("merge"), ["tree", "jump"], "left")
         out = []
-        for n in maps:
+        for n in names:
             a, b, up = F.col(f"a_{n}"), F.col(f"b_{n}"), F.col("jump").isNotNull()
             out += [F.when(up, a * F.col(f"_a_{n}")).otherwise(a).alias(f"a_{n}"), F.when(up, a * F.col(f"_b_{n}") + b).otherwise(b).alias(f"b_{n}")]
         return joined.select("tree", "node", F.col("_jump").alias("jump"), *out)
 
-    return _rounds(start, step).select("tree", "node", *[F.col(f"b_{n}").alias(n) for n in maps])
+    return _rounds(start, step).select("tree", "node", *[F.col(f"b_{n}").alias(n) for n in names])
 
 
-def up(nodes: DataFrame, values: dict[str, tuple[str, Column]]) -> DataFrame:
-    """(tree, node, names...): each value folded over the node and all nodes below it.
+FOLD = {"sum": F.sum, "min": F.min, "max": F.max, "or": F.bit_or}
+TWO = {
+    "sum": lambda a, b: F.coalesce(a + b, a, b),
+    "min": F.least,
+    "max": F.greatest,
+    "or": lambda a, b: F.coalesce(a.bitwiseOR(b), a, b),
+}
 
-    ``values`` names a fold (sum, min, max, or) and what a node itself brings; nulls bring nothing. The descendants at
-    fewer than 2^(k+1) steps are those at fewer than 2^k, and the same of the nodes exactly 2^k steps below."""
-    fold = {"sum": F.sum, "min": F.min, "max": F.max, "or": F.bit_or}
-    two = {
-        "sum": lambda a, b: F.coalesce(a + b, a, b),
-        "min": F.least,
-        "max": F.greatest,
-        "or": lambda a, b: F.coalesce(a.bitwiseOR(b), a, b),
-    }
-    start = nodes.select("tree", "node", F.col("parent").alias("jump"), *[v.alias(n) for n, (_, v) in values.items()])
 
-    def step(now: DataFrame) -> DataFrame:
-        sent = now.where("jump is not null").groupBy("tree", F.col("jump").alias("node")).agg(*[fold[k](n).alias(f"_{n}") for n, (k, _) in values.items()])
-        far = now.select("tree", F.col("node").alias("jump"), F.col("jump").alias("_jump"))
-        kept = now.join(sent, ["tree", "node"], "left").select("tree", "node", "jump", *[two[k](F.col(n), F.col(f"_{n}")).alias(n) for n, (k, _) in values.items()])
-        return kept.join(far, ["tree", "jump"], "left").select("tree", "node", F.col("_jump").alias("jump"), *values)
+def up(nodes: DataFrame, values: dict[str, tuple[str, Column]], scale: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """(tree, node, keep..., names...): each value folded over the node and all nodes below it.
+
+    ``values`` names a fold (sum, min, max, or) and what a node itself brings; nulls bring nothing. With ``scale`` a node's
+    sums count that many times at its parent. In the doubling, the descendants at fewer than 2^(k+1) steps are those at
+    fewer than 2^k, and the same of the nodes exactly 2^k steps below."""
+    carried = [k for k in keep if k != "parent"]
+    weight = ["_scale"] if scale is not None else []
+    own = [v.alias(n) for n, (_, v) in values.items()]
+    start = _counted(nodes).select("tree", "node", "parent", F.col("_kids").alias("_open"), *carried, *([scale.cast("double").alias("_scale")] if weight else []), *own)
+    sends = [FOLD[k](F.col("_scale") * F.col(n) if weight else F.col(n)).alias(f"_{n}") for n, (k, _) in values.items()]
+    takes = [TWO[k](F.col(n), F.col(f"_{n}")).alias(n) for n, (k, _) in values.items()]
+    layers, core, _ = _strip(start, sends, [*carried, *weight, *takes])
+    found = [x.select("tree", "node", *keep, *values) for x in layers]
+    if core is not None:
+
+        def step(now: DataFrame) -> DataFrame:
+            sent = now.where("jump is not null").groupBy("tree", F.col("jump").alias("node")).agg(*sends)
+            far = now.select("tree", F.col("node").alias("jump"), F.col("jump").alias("_jump"), *[F.col(w).alias("_far") for w in weight])
+            kept = now.join(sent.hint("merge"), ["tree", "node"], "left").select("tree", "node", "jump", *weight, *takes)
+            return kept.join(far.hint("merge"), ["tree", "jump"], "left").select("tree", "node", F.col("_jump").alias("jump"), *[(F.col(w) * F.col("_far")).alias(w) for w in weight], *values)
 
-    return _rounds(start, step).drop("jump")
+        rows = _rounds(core.select("tree", "node", F.col("parent").alias("jump"), *weight, *values), step).drop("jump", "_scale")
+        found.append(rows.join(core.select("tree", "node", *keep).hint("merge"), ["tree", "node"]).select("tree", "node", *keep, *values) if keep else rows)
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def is_tip(nodes: DataFrame) -> DataFrame:
     """``nodes`` with a column tip."""
+    if "_kids" in nodes.columns:
+        return nodes.withColumn("tip", F.col("_kids") == 0)
     above = nodes.where("parent is not null").select("tree", F.col("parent").alias("node")).distinct().withColumn("_above", F.lit(True))
     return nodes.join(above, ["tree", "node"], "left").withColumn("tip", F.col("_above").isNull()).drop("_above")
 
@@ -93,11 +174,10 @@ def ranks(edges: DataFrame) -> DataFrame:
 
     A node's preorder rank is its parent's, plus one, plus the sizes of its earlier siblings' subtrees; its postorder rank
     follows from that, its depth and its own size. Sizes are summed from the tips up, ranks from the root down."""
-    nodes = settled(nodes_of(edges))
-    sized = up(nodes, {"size": ("sum", F.lit(1).cast("long"))})
-    kids = running(nodes.join(sized, ["tree", "node"]), ["tree", "parent"], ["node"], {"upto": F.col("size")})
+    sized = up(nodes_of(edges), {"size": ("sum", F.lit(1).cast("long"))}, keep=["parent", "_kids"])
+    kids = settled(running(sized, ["tree", "parent"], ["node"], {"upto": F.col("size")}))
     before = F.col("upto") - F.col("size")
-    found = down(kids, {"pre": (F.lit(1.0), 1 + before), "depth": (F.lit(1.0), F.lit(1.0))}).join(sized, ["tree", "node"])
+    found = down(kids, {"pre": (F.lit(1.0), 1 + before), "depth": (F.lit(1.0), F.lit(1.0))}, keep=["size"])
     pre, depth = F.col("pre").cast("long"), F.col("depth").cast("long")
     return found.select("tree", "node", pre.alias("preorder"), (pre - depth + F.col("size") - 1).alias("postorder"), depth.alias("depth"), "size")
 
@@ -107,7 +187,7 @@ def clade_bits(edges: DataFrame, taxa: DataFrame, words: int) -> DataFrame:
 
     ``taxa`` is (name, at): a tip's place from 0; ``words`` holds 63 places each. A set is 8 * words bytes whatever the
     names are; sets of children are united by an OR aggregate, level by level of the doubling."""
-    tipped = is_tip(nodes_of(edges)).join(taxa.select(F.col("name").alias("node"), "at"), "node", "left")
+    tipped = settled(is_tip(nodes_of(edges)).join(taxa.select(F.col("name").alias("node"), "at"), "node", "left"))
     if not (bad := tipped.where("tip and at is null").select("node").first()) is None:
         raise ValueError(f"tip {bad[0]!r} is not among the taxa")
     word = lambda w: F.when(F.col("tip"), F.when(F.floor(F.col("at") / 63) == w, F.expr("shiftleft(1L, cast(at % 63 as int))")).otherwise(F.lit(0).cast("long")))
@@ -118,56 +198,59 @@ def clade_bits(edges: DataFrame, taxa: DataFrame, words: int) -> DataFrame:
 
 
 def heights_below(nodes: DataFrame) -> DataFrame:
-    """(tree, node, height, low): heights from a collection of rooted trees, and the height of the latest tip under each node."""
-    far = down(nodes, {"distance": (F.lit(1.0), F.col("length"))})
-    top = far.groupBy("tree").agg(F.max("distance").alias("_top"))
-    placed = is_tip(nodes).join(far, ["tree", "node"]).join(top, "tree").withColumn("height", F.col("_top") - F.col("distance"))
-    placed = settled(placed.select("tree", "node", "parent", "tip", "height"))
-    low = up(placed, {"low": ("max", F.when(F.col("tip"), F.col("height")))})
-    return placed.join(low, ["tree", "node"]).select("tree", "node", "parent", "tip", "height", "low")
+    """(tree, node, parent, tip, height, low, above): heights from a collection of rooted trees, the height of the latest tip
+    under each node and that of its parent."""
+    far = settled(down(_counted(nodes), {"distance": (F.lit(1.0), F.col("length"))}, keep=["parent", "_kids"], above=True))
+    tip, top = F.col("_kids") == 0, F.col("_top")
+    near = up(far, {"_near": ("min", F.when(tip, F.col("distance")))}, keep=["parent", "_kids", "distance", "above_distance"])
+    rows = near.join(far.groupBy("tree").agg(F.max("distance").alias("_top")), "tree")
+    return rows.select("tree", "node", "parent", tip.alias("tip"), (top - F.col("distance")).alias("height"), (top - F.col("_near")).alias("low"), (top - F.col("above_distance")).alias("above"))
 
 
 def to_ratios(placed: DataFrame) -> DataFrame:
-    """(tree, node, parent, low, height, ratio) of inner nodes: their place between their lower bound and their parent; the root's own height.
+    """(tree, node, parent, low, height, above, ratio) of inner nodes: their place between their lower bound and their parent; the root's own height.
+
+    ``placed`` is what ``heights_below`` gives, or has tree, node, parent, tip, height and low."""
+    inner = _above(placed.where("not tip"))
+    ratio = F.when(F.col("parent").isNull(), F.col("height")).otherwise((F.col("height") - F.col("low")) / (F.col("above") - F.col("low")))
+    return inner.select("tree", "node", "parent", "low", "height", "above", ratio.alias("ratio"))
+
 
-    ``placed`` has tree, node, parent, tip, height and low."""
-    above = placed.select("tree", F.col("node").alias("parent"), F.col("height").alias("_above"))
-    inner = placed.where("not tip").join(above, ["tree", "parent"], "left")
-    ratio = F.when(F.col("parent").isNull(), F.col("height")).otherwise((F.col("height") - F.col("low")) / (F.col("_above") - F.col("low")))
-    return inner.select("tree", "node", "parent", "low", "height", ratio.alias("ratio"))
+def _above(inner: DataFrame) -> DataFrame:
+    """``inner`` with the height of each node's parent."""
+    if "above" in inner.columns:
+        return inner
+    return inner.join(inner.select("tree", F.col("node").alias("parent"), F.col("height").alias("above")), ["tree", "parent"], "left")
 
 
-def from_ratios(inner: DataFrame) -> DataFrame:
-    """(tree, node, height) of inner nodes from (tree, node, parent, low, ratio): h = low + ratio (h(parent) - low), affine in the parent."""
-    return down(inner, {"height": (F.col("ratio"), (1 - F.col("ratio")) * F.col("low"))}, {"height": F.col("ratio")})
+def from_ratios(inner: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(tree, node, keep..., height) of inner nodes from (tree, node, parent, low, ratio): h = low + ratio (h(parent) - low), affine in the parent."""
+    return down(inner, {"height": (F.col("ratio"), (1 - F.col("ratio")) * F.col("low"))}, {"height": F.col("ratio")}, keep)
 
 
 def ratio_log_jacobian(inner: DataFrame) -> DataFrame:
     """(tree, lj) of the transform from ratios, from (tree, node, parent, low, height)."""
-    above = inner.select("tree", F.col("node").alias("parent"), F.col("height").alias("_above"))
-    return inner.join(above, ["tree", "parent"]).groupBy("tree").agg(F.sum(F.log(F.col("_above") - F.col("low"))).alias("lj"))
+    rows = _above(inner).where("parent is not null and above is not null")
+    return rows.groupBy("tree").agg(F.sum(F.log(F.col("above") - F.col("low"))).alias("lj"))
 
 
-def ratio_gradients(inner: DataFrame, slopes: DataFrame, jacobian: bool = False) -> DataFrame:
+def ratio_gradients(inner: DataFrame, slopes: DataFrame, jacobian: bool | None = False) -> DataFrame:
     """(tree, node, slope): the gradient by ratios and the root's height, from that by heights (tree, node, by_height).
 
     A node's height moves every height below it by the product of the ratios in between, so that the whole slope by a height
-    is its own plus, over the children, their ratio times their whole slope: a sweep from the tips up, here of values scaled
-    by the path's product of ratios, which turns it into a plain sum. Ratios must not be zero. With ``jacobian`` the log of
-    the transform's determinant is added to what is differentiated."""
-    above = inner.select("tree", F.col("node").alias("parent"), F.col("height").alias("_above"))
-    known = inner.join(slopes.select("tree", "node", "by_height"), ["tree", "node"], "left").join(above, ["tree", "parent"], "left").na.fill({"by_height": 0.0})
-    if jacobian:
-        gap = F.when(F.col("parent").isNotNull(), 1 / (F.col("_above") - F.col("low")))
-        added = known.select("tree", F.col("parent").alias("node"), gap.alias("g")).where("g is not null").groupBy("tree", "node").agg(F.sum("g").alias("_g"))
-        known = known.join(added, ["tree", "node"], "left").withColumn("by_height", F.col("by_height") + F.coalesce("_g", F.lit(0.0))).drop("_g")
-    known = settled(known)
-    scale = down(known, {"log_scale": (F.lit(1.0), F.log("ratio"))})
-    scaled = known.join(scale, ["tree", "node"])
-    total = up(scaled, {"total": ("sum", F.exp("log_scale") * F.col("by_height"))})
-    whole = scaled.join(total, ["tree", "node"]).withColumn("whole", F.col("total") / F.exp("log_scale"))
-    out = F.when(F.col("parent").isNull(), F.col("whole")).otherwise(F.col("whole") * (F.col("_above") - F.col("low")))
-    return whole.select("tree", "node", out.alias("slope"))
+    is its own plus, over the children, their ratio times their whole slope: a scaled sweep from the tips up. With
+    ``jacobian`` the log of the transform's determinant is added to what is differentiated; None gives both, the second
+    as with_jacobian."""
+    known = _above(inner).join(slopes.select("tree", "node", "by_height").hint("merge"), ["tree", "node"], "left").na.fill({"by_height": 0.0})
+    gap = F.when(F.col("parent").isNotNull(), 1 / (F.col("above") - F.col("low")))
+    added = _above(inner).where("parent is not null").groupBy("tree", F.col("parent").alias("node")).agg(F.count("*").alias("_kids"), F.sum(gap).alias("_g"))
+    known = settled(known.join(added.hint("merge"), ["tree", "node"], "left").na.fill({"_kids": 0, "_g": 0.0}))
+    sums = {} if jacobian else {"slope": ("sum", F.col("by_height"))}
+    if jacobian or jacobian is None:
+        sums["slope" if jacobian else "with_jacobian"] = "sum", F.col("by_height") + F.col("_g")
+    whole = up(known, sums, F.col("ratio"), ["parent", "above", "low"])
+    out = lambda n: F.when(F.col("parent").isNull(), F.col(n)).otherwise(F.col(n) * (F.col("above") - F.col("low"))).alias(n)
+    return whole.select("tree", "node", *map(out, sums))
 
 
 def height_slopes(placed: DataFrame, by_length: DataFrame, rate: Column | float = 1.0) -> DataFrame:
@@ -190,16 +273,13 @@ def roots_on_branches(edges: DataFrame, dates: DataFrame) -> DataFrame:
     regression on the dates is a parabola in x, whose least value in the branch is closed. ``distance`` is x, ``share`` x over
     the length. Where the residual does not depend on x (under three dated tips, or all on one side) x is the middle.
     Equal residuals are all kept; order by sse to rank."""
-    nodes = settled(nodes_of(edges))
-    far = down(nodes, {"far": (F.lit(1.0), F.col("length"))})
-    tipped = is_tip(nodes).join(far, ["tree", "node"]).join(dates.select("node", F.col("date").cast("double").alias("date")), "node", "left")
-    tipped = settled(tipped)
-    seen = F.col("tip") & F.col("date").isNotNull()
+    far = down(nodes_of(edges), {"far": (F.lit(1.0), F.col("length"))}, keep=["parent", "length", "_kids"])
+    tipped = settled(far.join(dates.select("node", F.col("date").cast("double").alias("date")), "node", "left"))
+    seen = (F.col("_kids") == 0) & F.col("date").isNotNull()
     brings = {"n": F.lit(1.0), "d": F.col("far"), "dd": F.col("far") ** 2, "t": F.col("date"), "tt": F.col("date") ** 2, "td": F.col("date") * F.col("far")}
-    below = settled(up(tipped, {k: ("sum", F.when(seen, v)) for k, v in brings.items()}).na.fill(0.0))
-    one = tipped.select("tree", "node", "parent", "length", "far").join(below, ["tree", "node"])
-    over = below.select("tree", F.col("node").alias("parent"), *[F.col(k).alias(f"p_{k}") for k in brings]).join(far.select("tree", F.col("node").alias("parent"), F.col("far").alias("p_far")), ["tree", "parent"])
-    steps = settled(one.join(over, ["tree", "parent"], "left").na.fill(0.0, [*[f"p_{k}" for k in brings], "p_far"]))
+    below = settled(up(tipped, {k: ("sum", F.when(seen, v)) for k, v in brings.items()}, keep=["parent", "length", "_kids", "far"]).na.fill(0.0, list(brings)))
+    over = below.where("_kids > 0").select("tree", F.col("node").alias("parent"), *[F.col(k).alias(f"p_{k}") for k in [*brings, "far"]])
+    steps = settled(below.join(over.hint("merge"), ["tree", "parent"], "left").na.fill(0.0, [f"p_{k}" for k in [*brings, "far"]]))
     # beside a step from a to its child: tips below a and not below the child, at far(p) + far(x) - 2 far(a) from any p further down
     n, t, tt = (F.col(f"p_{k}") - F.col(k) for k in ("n", "t", "tt"))
     a = 2 * F.col("p_far")
@@ -207,8 +287,8 @@ def roots_on_branches(edges: DataFrame, dates: DataFrame) -> DataFrame:
     dd = F.col("p_dd") - F.col("dd") - 2 * a * (F.col("p_d") - F.col("d")) + a * a * n
     td = F.col("p_td") - F.col("td") - a * t
     plus = F.lit(1.0)
-    sums = down(steps, {"o_n": (plus, n), "o_d": (plus, d), "o_dd": (plus, dd), "o_t": (plus, t), "o_tt": (plus, tt), "o_td": (plus, td)})
-    rows = steps.where("parent is not null").join(sums, ["tree", "node"])
+    sums = down(steps, {"o_n": (plus, n), "o_d": (plus, d), "o_dd": (plus, dd), "o_t": (plus, t), "o_tt": (plus, tt), "o_td": (plus, td)}, keep=["parent", "length", "far", "p_far", *brings])
+    rows = sums.where("parent is not null")
     p, v = F.col("p_far"), F.col("far")
     above = {"n": F.col("o_n"), "d": F.col("o_d") + p * F.col("o_n"), "dd": F.col("o_dd") + 2 * p * F.col("o_d") + p * p * F.col("o_n"), "t": F.col("o_t"), "tt": F.col("o_tt"), "td": F.col("o_td") + p * F.col("o_t")}
     under = {"n": F.col("n"), "d": F.col("d") - v * F.col("n"), "dd": F.col("dd") - 2 * v * F.col("d") + v * v * F.col("n"), "t": F.col("t"), "tt": F.col("tt"), "td": F.col("td") - v * F.col("t")}

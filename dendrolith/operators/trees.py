@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dendrolith.operators.sweeps import down, is_tip, nodes_of, up
+from dendrolith.operators.scans import settled
+from dendrolith.operators.sweeps import down, nodes_of, up
 
 
 def roots(edges: DataFrame) -> DataFrame:
@@ -19,22 +20,10 @@ def roots(edges: DataFrame) -> DataFrame:
     return tops
 
 
-def root_paths(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def root_paths(edges: DataFrame) -> DataFrame:
     """(tree, node, depth, distance) from the root of each node."""
-    inner = edges.where("parent is not null").select("tree", F.col("child").alias("node"), F.col("parent").alias("jump"), F.lit(1).cast("long").alias("depth"), F.col("length").cast("double").alias("distance"))
-    now = inner.union(roots(edges).select("tree", "node", F.lit(None).alias("jump"), F.lit(0).cast("long"), F.lit(0.0)))
-    before = None
-    for _ in range(max_rounds):
-        now = now.cache()
-        open_ = now.agg(F.count("jump")).first()[0]  # all of it is stored by then, and what it came from can go
-        if before is not None:
-            before.unpersist()
-        if not open_:
-            return now.select("tree", "node", "depth", "distance")
-        before = now
-        far = now.select("tree", F.col("node").alias("jump"), F.col("jump").alias("_j"), F.col("depth").alias("_d"), F.col("distance").alias("_x"))
-        now = now.join(far, ["tree", "jump"], "left").select("tree", "node", F.col("_j").alias("jump"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), (F.col("distance") + F.coalesce("_x", F.lit(0.0))).alias("distance"))
-    raise ValueError(f"the edges have a loop, or a depth of over 2^{max_rounds}")
+    found = down(nodes_of(edges), {"depth": (F.lit(1.0), F.lit(1.0)), "distance": (F.lit(1.0), F.col("length"))})
+    return found.select("tree", "node", F.col("depth").cast("long").alias("depth"), "distance")
 
 
 def ancestors(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -61,9 +50,8 @@ def tips(edges: DataFrame) -> DataFrame:
 
 def tip_counts(edges: DataFrame) -> DataFrame:
     """(tree, node, n_tips) of internal nodes."""
-    tipped = is_tip(nodes_of(edges))
-    counted = up(tipped, {"n_tips": ("sum", F.col("tip").cast("long"))})
-    return counted.join(tipped.where("not tip").select("tree", "node"), ["tree", "node"])
+    counted = up(nodes_of(edges), {"n_tips": ("sum", (F.col("_kids") == 0).cast("long"))}, keep=["_kids"])
+    return counted.where("_kids > 0").select("tree", "node", "n_tips")
 
 
 def clades(edges: DataFrame) -> DataFrame:
@@ -180,7 +168,7 @@ def rate_correlation(edges: DataFrame, rate: str = "rate") -> DataFrame:
 
 def inherited_rates(edges: DataFrame, own: DataFrame, root_rate: float) -> DataFrame:
     """(tree, node, rate): local clocks, a node's own rate (tree, node, rate) or that of the nearest ancestor with one."""
-    given = nodes_of(edges).join(own.select("tree", "node", F.col("rate").cast("double").alias("_r")), ["tree", "node"], "left")
+    given = settled(nodes_of(edges).join(own.select("tree", "node", F.col("rate").cast("double").alias("_r")), ["tree", "node"], "left"))
     slope = F.when(F.col("_r").isNull(), 1.0).otherwise(0.0)
     return down(given, {"rate": (slope, F.coalesce("_r", F.lit(0.0)))}, {"rate": F.coalesce("_r", F.lit(float(root_rate)))})
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from dendrolith.operators import consensus as K
 from dendrolith.operators import subsplits as B
 from dendrolith.operators import sweeps as W
+from dendrolith.operators.scans import settled
 from dendrolith.plans.standins import rounded, table
 from dendrolith.plans.trees import GEO_SQL, geography
 
@@ -86,8 +87,7 @@ r AS (SELECT h.*, p.height AS above, CASE WHEN h.parent IS NULL THEN h.height EL
 def height_ratios(spark, sf):
     """Ratios of all inner nodes of all trees, and the heights that they give back."""
     inner = W.to_ratios(W.heights_below(W.nodes_of(calendar(spark, sf))))
-    back = W.from_ratios(inner.select("tree", "node", "parent", "low", "ratio"))
-    return rounded(inner.select("tree", "node", "low", "ratio").join(back, ["tree", "node"]), 8)
+    return rounded(W.from_ratios(inner.select("tree", "node", "parent", "low", "ratio"), ["low", "ratio"]), 8)
 
 
 def slopes_sql(by: str) -> str:
@@ -100,10 +100,9 @@ SELECT tree, node, slope FROM tr UNION ALL SELECT tree, node, total * (above - l
 @query(f"WITH {RATIOS_SQL}, plain AS (WITH {slopes_sql('height')}), whole AS (WITH gaps AS (SELECT tree, parent, sum(1 / (above - low)) AS g FROM r WHERE parent IS NOT NULL GROUP BY 1, 2), {slopes_sql('height + coalesce((SELECT g FROM gaps WHERE gaps.tree = r.tree AND gaps.parent = r.node), 0)')}) SELECT tree, node, round(plain.slope, 6) AS slope, round(whole.slope, 6) AS with_jacobian FROM plain JOIN whole USING (tree, node)")
 def ratio_slopes(spark, sf):
     """The gradient of half the sum of squared heights by ratios and root heights, without and with the transform's log-determinant."""
-    inner = W.to_ratios(W.heights_below(W.nodes_of(calendar(spark, sf))))
+    inner = settled(W.to_ratios(W.heights_below(W.nodes_of(calendar(spark, sf)))))
     by = inner.select("tree", "node", F.col("height").alias("by_height"))
-    whole = W.ratio_gradients(inner, by, jacobian=True).withColumnRenamed("slope", "with_jacobian")
-    return rounded(W.ratio_gradients(inner, by).join(whole, ["tree", "node"]))
+    return rounded(W.ratio_gradients(inner, by, jacobian=None))
 
 
 @query(f"WITH {RATIOS_SQL} SELECT tree, round(sum(ln(above - low)), 8) AS lj FROM r WHERE parent IS NOT NULL GROUP BY 1")
