@@ -162,10 +162,10 @@ def free_rates(spark, sf):
 
 @query(f"WITH {GEO_SQL} SELECT child, round(length * CASE substr(child, 1, 1) WHEN 'r' THEN 1.0 WHEN 'n' THEN 0.5 WHEN 'c' THEN 2.0 ELSE 0.25 END, 10) AS length FROM geo")
 def clock_lengths(spark, sf):
-    """Discrete clock: a rate per class of branches."""
+    """Discrete clock: a rate per class of branches, four rows that go to the branches."""
     geo = geography(spark, sf).select("child", F.col("length").alias("duration"), F.substring("child", 1, 1).alias("class"))
     rates = spark.createDataFrame([("r", 1.0), ("n", 0.5), ("c", 2.0), ("o", 0.25)], "class string, rate double")
-    return rounded(K.branch_lengths(geo, rates, ["class"]).select("child", "length"), 10)
+    return rounded(K.branch_lengths(geo, F.broadcast(rates), ["class"]).select("child", "length"), 10)
 
 
 @query(f"""WITH {GEO_SQL}, o AS (SELECT child, CASE WHEN child LIKE 'n%' AND length > 4 THEN length WHEN child LIKE 'r%' THEN 10 + length END AS own FROM geo),
