@@ -112,11 +112,21 @@ def together(*columns: Column | str) -> Column:
     return F.struct(*columns).alias("at")
 
 
+def crowded_seconds(facts: DataFrame, leaf: int, narrowest: int = WIDTHS[-1]) -> DataFrame:
+    """(client, b, n): facts by leaves of 2^narrowest, of the blocks of 2^COUNTED that hold over half a leaf's events.
+
+    Others have no say in a client's width: what they hold at any width fits, and twice that is a leaf's events at most. Of a
+    block, however many facts it has, a row per narrowest leaf goes on."""
+    held = facts.groupBy(together("client", F.shiftright("e", narrowest).alias("b"))).agg(F.count("*").alias("n")).select("at.*", "n")
+    block = Window.partitionBy("client", F.shiftright("b", COUNTED - narrowest))
+    return held.withColumn("_held", F.sum("n").over(block)).where(2 * F.col("_held") > leaf).drop("_held")
+
+
 def leaf_widths(facts: DataFrame, leaf: int) -> DataFrame:
     """(client, k) of the clients whose tree has more than its top level. facts: (client, e).
 
-    Facts are counted by leaves of 2^COUNTED first; only clients that hold far more than a leaf in one of those are counted
-    again by seconds. No width parts what has one time: of the widths whose fullest leaf holds no more than a leaf's events,
+    Facts are counted by leaves of 2^COUNTED first; where a client holds far more than a leaf in one of those, its crowded ones
+    are counted again by seconds. No width parts what has one time: of the widths whose fullest leaf holds no more than a leaf's events,
     or twice what the narrowest leaf holds anyway, a client has the widest."""
     fine = [k for k in WIDTHS if k < COUNTED]
 
@@ -131,8 +141,7 @@ def leaf_widths(facts: DataFrame, leaf: int) -> DataFrame:
     full = cut(full)
     dense = full.where((F.col("k") == COUNTED) & (F.col("n") > 16 * leaf)).select("client")
     if not dense.isEmpty():
-        base = facts.join(dense.hint("merge"), "client", "left_semi").groupBy(together("client", F.shiftright("e", fine[-1]).alias("b"))).agg(F.count("*").alias("n")).select("at.*", "n")
-        full = full.union(fullest(base, fine))
+        full = full.union(fullest(crowded_seconds(facts, leaf, fine[-1]).join(dense.hint("merge"), "client", "left_semi"), fine))
     least = full.groupBy("client").agg(F.min_by("n", "k").alias("least"))
     fits = F.col("n") <= F.greatest(F.lit(leaf), 2 * F.col("least"))
     widest = full.join(least, "client").groupBy("client").agg(F.max(F.when(fits, F.col("k"))).alias("k"))

@@ -105,3 +105,23 @@ def test_blocks_tile_their_window(spans, top):
         for r, b in zip(rows.tolist(), block.tolist(), strict=True):
             covered[r] += range(b << up, (b + 1) << up)
     assert [sorted(c) for c in covered] == [list(range(s, e)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+
+def test_widths_from_crowded_blocks(spark):
+    """Of a client with one crowded block, only that block's seconds are counted again, and all clients get the widths that a plain
+    count of all leaves gives."""
+    leaf, block = 16, 1 << pit.COUNTED
+    facts = [(1, 5 * block)] * 300 + [(1, 5 * block + (j << 20)) for j in range(40)] + [(1, (10 + j) * block + j) for j in range(300)]
+    facts += [(2, 7 * block + (j << 19)) for j in range(900)] + [(3, j * block) for j in range(200)] + [(4, 9)]
+    frame = spark.createDataFrame(facts, "client long, e long")
+    seconds = pit.crowded_seconds(frame, leaf).toPandas()
+    assert len(seconds[seconds.client == 1]) == 40 and seconds.n.sum() == 340 + 900
+    expected = {}
+    for client in {c for c, _ in facts}:
+        own = np.array([e for c, e in facts if c == client])
+        full = {k: int(np.unique(own >> k, return_counts=True)[1].max()) for k in pit.WIDTHS}
+        levels = [k for k in pit.WIDTHS if k >= pit.COUNTED or full[pit.COUNTED] > 16 * leaf]
+        widest = max(k for k in levels if full[k] <= max(leaf, 2 * full[min(levels)]))
+        if len(own) > leaf and widest < pit.TOP:
+            expected[client] = widest
+    assert {r.client: r.k for r in pit.leaf_widths(frame, leaf).collect()} == expected and set(expected) == {1, 2, 3}
