@@ -14,22 +14,37 @@ from dendrolith.operators.scans import ranked
 
 #: P(X <= k) of a Poisson variable with mean one.
 POISSON = np.cumsum(np.exp(-1) / np.cumprod([1.0, *range(1, 13)]))
+#: The same as digests: a digest is under one of them if its uniform number is under that number, which 48 bits hold exactly.
+BOUNDS = [format(int(np.ceil(p * (1 << 48))), "012x") for p in POISSON]
+
+
+def digest(seed: int, *keys: Column) -> Column:
+    """Twelve hexadecimal digits of the keys, the same on every engine."""
+    return F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys])), 1, 12)
 
 
 def uniform(seed: int, *keys: Column) -> Column:
     """A number in [0, 1) from the digest of the keys, the same on every engine."""
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]))
-    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") / float(1 << 48)
+    return F.conv(digest(seed, *keys), 16, 10).cast("long") / float(1 << 48)
 
 
-def poisson_draw(u: Column) -> Column:
-    """Poisson(1) by inversion."""
-    out = F.lit(len(POISSON))
-    for k in range(len(POISSON) - 1, -1, -1):
-        out = F.when(u < float(POISSON[k]), k).otherwise(out)
+def poisson_draw(u: Column, bounds: Sequence[float] | Sequence[str] = tuple(POISSON.tolist())) -> Column:
+    """Poisson(1) by inversion of a uniform number or, with ``BOUNDS``, of a digest."""
+    out = F.lit(len(bounds))
+    for k in range(len(bounds) - 1, -1, -1):
+        out = F.when(u < bounds[k], k).otherwise(out)
     return out.cast("long")
 
 
+def drawn(rows: DataFrame, seed: int, *keys: Column) -> DataFrame:
+    """``rows`` with ``_w``, a Poisson(1) draw by the digest of the keys, where it is not 0.
+
+    The digest comes out of a generator, so that it is worked out once a row: a plain column is put into the filter, each
+    comparison and each sum that use it, and worked out anew there."""
+    each = rows.withColumn("_d", F.explode(F.array(digest(seed, *keys)))).where(F.col("_d") >= BOUNDS[0])
+    return each.withColumn("_w", poisson_draw(F.col("_d"), BOUNDS)).drop("_d")
+
+
 def bootstrap_weights(patterns: DataFrame, replicates: int, seed: int = 1) -> DataFrame:
     """(replicate, pattern, weight): site weights of bootstrap replicates.
 
@@ -38,8 +53,7 @@ def bootstrap_weights(patterns: DataFrame, replicates: int, seed: int = 1) -> Da
     """
     sites = patterns.select("pattern", F.explode(F.sequence(F.lit(1).cast("long"), F.col("weight").cast("long"))).alias("k"))
     each = sites.select("pattern", "k", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    drawn = each.withColumn("w", poisson_draw(uniform(seed, F.col("replicate"), F.col("pattern"), F.col("k")))).where("w > 0")
-    return drawn.groupBy("replicate", "pattern").agg(F.sum("w").alias("weight"))
+    return drawn(each, seed, F.col("replicate"), F.col("pattern"), F.col("k")).groupBy("replicate", "pattern").agg(F.sum("_w").alias("weight"))
 
 
 def jackknife_sites(columns: DataFrame, share: float, replicates: int, seed: int = 1) -> DataFrame:
@@ -127,8 +141,8 @@ def bootstrap_means(df: DataFrame, by: str, value: str, replicates: int, seed: i
     """
     own = df.select(F.col(by).alias("_k"), F.col(value).cast("double").alias("_v"), (F.monotonically_increasing_id() if row is None else row).alias("_row"))
     each = own.select("_k", "_v", "_row", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    w = poisson_draw(uniform(seed, F.col("replicate"), F.col("_row")))
-    return each.withColumn("_w", w).where("_w > 0").groupBy(F.col("_k").alias(by), "replicate").agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("mean"))
+    each = drawn(each, seed, F.col("replicate"), F.col("_row"))
+    return each.groupBy(F.col("_k").alias(by), "replicate").agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("mean"))
 
 
 def roulette_draws(weights: DataFrame, by: Sequence[str], item: str, weight: str, u: Column) -> DataFrame:
