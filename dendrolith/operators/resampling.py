@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dendrolith.functions.special import pnorm, qnorm
-from dendrolith.operators.scans import ranked
+from dendrolith.operators.scans import ranked, settled
 
 
 #: P(X <= k) of a Poisson variable with mean one.
@@ -89,6 +89,7 @@ def bca_intervals(boot: DataFrame, jackknife: DataFrame, estimates: DataFrame, b
     each, ``estimates`` (by, value). Acceleration comes from sums of powers about the weighted mean; the quantiles of the
     replicates from their counted ranks. Nothing but the groups' few numbers is ever in one place."""
     by = list(by)
+    boot = settled(boot.select(*by, "value"))  # read for the shares, for the ranks' ranges and for the ranks: drawn once
     means = jackknife.groupBy(*by).agg((F.sum(F.col("weight") * F.col("value")) / F.sum("weight")).alias("_m"))
     d = F.col("_m") - F.col("value")
     powers = jackknife.join(means, by).groupBy(*by).agg(F.sum(F.col("weight") * d**2).alias("_two"), F.sum(F.col("weight") * d**3).alias("_three"))
@@ -101,7 +102,7 @@ def bca_intervals(boot: DataFrame, jackknife: DataFrame, estimates: DataFrame, b
         z = F.col("z0") + float(qnorm(q))
         p = normal_probability(F.col("z0") + z / (1 - F.col("acceleration") * z))
         rows = rows.withColumn(name, F.least(F.greatest(F.ceil(p * F.col("_n")), F.lit(1)), F.col("_n")))
-    ranks = ranked(boot.select(*by, "value"), by, ["value"], "_rank").join(rows, by)
+    ranks = ranked(boot, by, ["value"], "_rank").join(rows, by)
     at = lambda c: F.max(F.when(F.col("_rank") == F.col(c), F.col("value")))
     return ranks.groupBy(*by, "z0", "acceleration").agg(at("_low").alias("low"), at("_high").alias("high"))
 

@@ -15,6 +15,10 @@ def test_digest_is_worked_out_once(spark):
     assert digests(means) == 1
     weights = resampling.bootstrap_weights(spark.range(9).select(F.col("id").alias("pattern"), F.lit(3).alias("weight")), 5)
     assert digests(weights) == 1
+    boot = means.withColumnRenamed("mean", "value")
+    estimates = rows.groupBy("k").agg(F.avg("v").alias("value"))
+    found = resampling.bca_intervals(boot, resampling.leave_one_out_means(rows, ["k"], "v"), estimates, ["k"])
+    assert digests(found) == 0 and found.count() == 3  # the replicates are settled before they are read
 
 
 def test_draws_equal_those_of_uniform_numbers(spark):
