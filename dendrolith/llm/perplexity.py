@@ -2,8 +2,8 @@
 
 Two models, both modified Kneser-Ney, both counted by Spark over all documents and kept in arrays sorted by hash:
 
-- Spelling: order 4 over byte classes (letters, and classes of digits, blanks, marks and non-ASCII bytes, 40 symbols),
-  at most 40^4 entries whatever the corpus is, which go to every task.
+- Spelling: order 4 over the 256 bytes as they are. The different 4-grams, which grow far more slowly than the text, go to
+  every task.
 - Words (``words.py``), one model per language: order 4 over 16 word shapes, or the shapes' shares without context, and of
   each word given its shape a discounted share that backs off to the shape's vocabulary. The word table grows with the corpus; it stays split by the
   hash of (language, word), and what a group of documents asks is joined to it.
@@ -35,8 +35,10 @@ from dendrolith.llm import words
 from dendrolith.llm.common import U64, cut, mix64, table, texts_as_bytes
 
 ORDER = 4
-SYMBOLS = 40
+SYMBOLS, BYTES = 40, 256
 CHUNK = 1 << 21
+#: log2 of the n-grams that a task remembers, and of the different ones that it gathers before it adds them up.
+REMEMBERED, GATHERED = 22, 22
 #: Half-widths of the bands in robust standard deviations, their least value in nats, and room for short texts (nats x sqrt(words)).
 WIDTH_BELOW, WIDTH_ABOVE, LEAST, SHORT = 4.0, 4.0, 0.05, 0.2
 #: The same for the word model.
@@ -45,7 +47,7 @@ RULE_SYMBOLS = b"#*$%&|<>"
 
 
 def byte_symbols() -> np.ndarray:
-    """The symbol of each byte: 0-25 letters, 26 capitals, 27 digits, then blanks, marks and non-ASCII bytes."""
+    """A coarse alphabet for callers that want one; the query does not. The symbol of each byte: 0-25 letters, 26 capitals, 27 digits, then blanks, marks and non-ASCII bytes."""
     out = np.full(256, 35, dtype=np.uint32)
     out[97:123] = np.arange(26)
     out[65:91] = 26
@@ -60,16 +62,18 @@ def byte_symbols() -> np.ndarray:
 SYMBOL_OF = byte_symbols()
 
 
-def ngram_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the n-grams of each text, text after text, and their number in each text."""
+def ngram_codes(texts: list[bytes], symbols: int = SYMBOLS) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the n-grams of each text, text after text, and their number in each text; of the coarse alphabet, or with BYTES
+    of the bytes as they are."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     counts = np.maximum(sizes - ORDER + 1, 0)
-    data = SYMBOL_OF[np.frombuffer(b"".join(texts), dtype=np.uint8)]
+    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    data = data.astype(np.uint32) if symbols == BYTES else SYMBOL_OF[data]
     if len(data) < ORDER:
         return np.zeros(0, dtype=np.uint32), counts
     code = data[: len(data) - ORDER + 1].copy()
     for k in range(1, ORDER):
-        code *= SYMBOLS
+        code *= symbols
         code += data[k : len(data) - ORDER + 1 + k]
     inside = np.ones(len(data), dtype=bool)
     ends = np.cumsum(sizes)
@@ -91,20 +95,28 @@ def chunks(texts: list[bytes], most: int = CHUNK) -> Iterator[list[bytes]]:
         yield part
 
 
+def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes in ascending order with their counts summed over the parts."""
+    codes, which = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    return codes, np.bincount(which, weights=np.concatenate([n for _, n in parts]), minlength=len(codes)).astype(np.int64)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(SYMBOLS**ORDER, dtype=np.int64)
+    total = [(np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64))]
+    waiting = 0
     for b in batches:
         for part in chunks(texts_as_bytes(b.column("text"))):
-            codes, _ = ngram_codes(part)
-            found, n = np.unique(codes, return_counts=True)
-            total[found] += n
-    found = np.flatnonzero(total)
+            total.append(np.unique(ngram_codes(part, BYTES)[0], return_counts=True))
+            waiting += len(total[-1][0])
+            if waiting > 1 << GATHERED:
+                total, waiting = [added(total)], 0
+    found, n = added(total)
     for at in range(0, len(found), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(found[at : at + 100_000].astype(np.int64)), pa.array(total[found[at : at + 100_000]])], names=["code", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(found[at : at + 100_000].astype(np.int64)), pa.array(n[at : at + 100_000])], names=["code", "n"])
 
 
 def count_ngrams(docs: DataFrame) -> DataFrame:
-    """(code, n) over all texts; at most 40^4 rows."""
+    """(code, n) of the byte n-grams over all texts."""
     return docs.select("text").mapInArrow(_count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
@@ -183,10 +195,10 @@ def kneser_ney(codes: np.ndarray, counts: np.ndarray, symbols: int = SYMBOLS) ->
 
 
 def train(docs: DataFrame) -> HashedModel:
-    rows = count_ngrams(docs).toArrow()  # bounded by the alphabet, 40^4 rows
+    rows = count_ngrams(docs).toArrow()  # a row per different n-gram of bytes
     codes, counts = rows.column("code").to_numpy(), rows.column("n").to_numpy()
     at = np.argsort(codes)
-    return kneser_ney(codes[at], counts[at])
+    return kneser_ney(codes[at], counts[at], BYTES)
 
 
 def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
@@ -217,15 +229,33 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, n_symbols, duplicates, repeated
 
 
-def spelling(texts: list[bytes], model: HashedModel, known: np.ndarray) -> np.ndarray:
-    """Negative mean log-probability of the symbols of each text; ``known`` remembers n-grams, NaN where it does not."""
+class Remembered:
+    """Log-probabilities of n-grams met before, a slot per hash: the n-gram that comes later takes the slot."""
+
+    def __init__(self, model: HashedModel):
+        self.model = model
+        self.codes, self.values = np.zeros(1 << REMEMBERED, dtype=np.uint32), np.full(1 << REMEMBERED, np.nan, dtype=np.float32)
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        slot = codes * np.uint32(0x9E3779B1) >> np.uint32(32 - REMEMBERED)
+        value = self.values[slot]
+        missing = np.flatnonzero((self.codes[slot] != codes) | np.isnan(value))
+        if len(missing):
+            new, which = np.unique(codes[missing], return_inverse=True)
+            found = self.model.log_probability(new).astype(np.float32)
+            value[missing] = found[which]
+            slot = new * np.uint32(0x9E3779B1) >> np.uint32(32 - REMEMBERED)
+            slot, first = np.unique(slot, return_index=True)
+            self.codes[slot], self.values[slot] = new[first], found[first]
+        return value
+
+
+def spelling(texts: list[bytes], known: Remembered) -> np.ndarray:
+    """Negative mean log-probability of the n-grams of each text."""
     logs = []
     for part in chunks(texts):
-        codes, counts = ngram_codes(part)
-        value = known[codes]
-        if (new := np.unique(codes[np.isnan(value)])).size:
-            known[new] = model.log_probability(new)
-            value = known[codes]
+        codes, counts = ngram_codes(part, known.model.symbols)
+        value = known.of(codes)
         sums = np.add.reduceat(np.concatenate([value, [0]]).astype(np.float64), np.minimum(np.cumsum(counts) - counts, len(value)))
         logs.append(np.where(counts > 0, -sums / np.maximum(counts, 1), np.nan))
     return np.concatenate(logs) if logs else np.zeros(0)
@@ -240,7 +270,7 @@ def measure(docs: DataFrame, letters: HashedModel, n_buckets: int | None = None,
     n_buckets = n_buckets or words.buckets(docs)
     asked = words.asked(docs, n_buckets, group)
     answered = cut(words.answered(asked))
-    shared = docs.sparkSession.sparkContext.broadcast((letters, words.shape_models(answered), words.discount_table(answered)))  # bounded by alphabets and languages
+    shared = docs.sparkSession.sparkContext.broadcast((letters, words.shape_models(answered), words.discount_table(answered)))  # a row per different n-gram of bytes, and shapes by language
     grouped = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text").mapInArrow(words.grouping(group), words.GROUPS)
 
     def run(own: pa.Table, answers: pa.Table) -> pa.Table:
@@ -248,8 +278,7 @@ def measure(docs: DataFrame, letters: HashedModel, n_buckets: int | None = None,
             return pa.table({n: pa.array([], t) for n, t in zip(MEASURED, [pa.int64(), pa.string(), *[pa.int64()] * 5, *[pa.float64()] * 3], strict=True)})
         spelled, shapes, stats = shared.value
         texts, langs = words.texts_of(own)
-        known = np.full(SYMBOLS**ORDER, np.nan, dtype=np.float32)
-        letters_ = spelling(texts, spelled, known)
+        letters_ = spelling(texts, Remembered(spelled))
         word_ = words.scores(texts, langs, answers, n_buckets, shapes, stats)
         base = np.array([base_counts(t) for t in texts], dtype=np.int64).reshape(-1, 5)
         floats = [pa.array(x, pa.float64(), mask=np.isnan(x)) for x in (letters_, *word_)]
