@@ -6,11 +6,16 @@ the trees that hold it. Two clades are compatible if one holds the other or they
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dendrolith.operators import groves as G
 from dendrolith.operators.scans import settled
-from dendrolith.operators.sweeps import MOST_ROUNDS, nodes_of, up
+from dendrolith.operators.sweeps import MOST_ROUNDS, clade_bits, nodes_of, up
 
 
 def weights(clades: DataFrame, trees: DataFrame | None = None) -> DataFrame:
@@ -21,10 +26,49 @@ def weights(clades: DataFrame, trees: DataFrame | None = None) -> DataFrame:
     held = clades.select("tree", "bits", "n").distinct()
     if trees is None:
         trees = held.select("tree").distinct().withColumn("weight", F.lit(1.0))
-    total = trees.agg(F.sum("weight").alias("_total"))
+    return _shares(_sums(held, trees), trees)
+
+
+def _sums(held: DataFrame, trees: DataFrame) -> DataFrame:
     # trees are many: the planner is kept from sending them to the driver and every task
-    rows = held.join(trees.select("tree", "weight").hint("merge"), "tree").groupBy("bits", "n").agg(F.sum("weight").alias("weight"), F.count("*").alias("trees"))
-    return rows.crossJoin(total).select("bits", "n", (F.col("weight") / F.col("_total")).alias("weight"), "trees")  # one row
+    return held.join(trees.select("tree", "weight").hint("merge"), "tree").groupBy("bits", "n").agg(F.sum("weight").alias("weight"), F.count("*").alias("trees"))
+
+
+def _shares(sums: DataFrame, trees: DataFrame) -> DataFrame:
+    total = trees.agg(F.sum("weight").alias("_total"))
+    return sums.crossJoin(total).select("bits", "n", (F.col("weight") / F.col("_total")).alias("weight"), "trees")  # one row
+
+
+def clade_weights(edges: DataFrame, taxa: DataFrame, words: int, trees: DataFrame | None = None, fewest: int = 1) -> DataFrame:
+    """``weights`` of the clades of at least ``fewest`` taxa of a collection of trees (tree, child, parent).
+
+    ``taxa`` and ``words`` are those of ``clade_bits``. Edges and weights are dealt out by tree once, a task sums the clades of
+    its trees, and only sums go on; trees too large for a task go by ``clade_bits``. Without ``trees`` every tree weighs the same."""
+    small, large = G.parted(edges)
+    rows = G.weighted(G.placed(small, taxa), trees)
+    found = G.by_tree(rows, _clades_held(words, fewest), G.sets_schema(["bits"], words, "weight double, trees long"))
+    if trees is None:
+        trees = edges.select("tree").distinct().withColumn("weight", F.lit(1.0))
+    size = F.aggregate("bits", F.lit(0), lambda n, b: n + F.bit_count(b)).cast("long")
+    sums = G.gathered(found, ["bits"], words, ["weight", "trees"]).select("bits", size.alias("n"), "weight", "trees")
+    if large is not None:
+        held = clade_bits(large, taxa, words).where(F.col("n") >= fewest).select("tree", "bits", "n").distinct()
+        sums = sums.union(_sums(held, trees)).groupBy("bits", "n").agg(F.sum("weight").alias("weight"), F.sum("trees").alias("trees"))
+    return _shares(sums, trees)
+
+
+def _clades_held(words: int, fewest: int) -> Callable[[pa.Table], pa.Table]:
+    def work(table: pa.Table) -> pa.Table:
+        grove = G.Grove(table)
+        sets = grove.sets(words)
+        weight, times = G.weights_in(grove)
+        kept = (G.sizes_of(sets) >= fewest) & (times[grove.tree] > 0)
+        once = G.summed({"tree": grove.tree[kept, None], "bits": sets[kept]}, {})
+        tree = once.column("tree_0").to_numpy()
+        bits = np.stack([once.column(f"bits_{w}").to_numpy() for w in range(words)], axis=1)
+        return G.summed({"bits": bits}, {"weight": weight[tree], "trees": times[tree]})
+
+    return work
 
 
 def conflict(a: Column, b: Column) -> Column:

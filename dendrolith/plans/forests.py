@@ -152,8 +152,7 @@ def ballots(spark, sf):
 def _clades(spark, sf):
     edges, weight = ballots(spark, sf)
     taxa = spark.createDataFrame([(t, k) for k, t in enumerate(TAXA)], "name string, at long")
-    found = W.clade_bits(edges, taxa, 1).where("n > 1")
-    return K.weights(found, weight), taxa
+    return K.clade_weights(edges, taxa, 1, weight, fewest=2), taxa
 
 
 WEIGHTS_SQL = f"WITH RECURSIVE {ballot_sql()}, w AS (SELECT bits, n, sum(weight) / (SELECT sum(weight) FROM ballots) AS weight, count(*) AS trees FROM sets JOIN ballots USING (tree) GROUP BY 1, 2)"
