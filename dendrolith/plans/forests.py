@@ -187,6 +187,6 @@ def unrooted_subsplits(spark, sf):
     """Conditional probabilities of subsplits over all trees and all their rootings."""
     edges, weight = ballots(spark, sf)
     taxa = spark.createDataFrame([(t, k) for k, t in enumerate(TAXA)], "name string, at long")
-    found = B.conditionals(B.unrooted(edges, W.clade_bits(edges, taxa, 1), weight))
+    found = B.conditionals(B.network(edges, taxa, 1, weight))
     first = lambda c: F.col(c)[0].alias(c)
     return found.select(first("parent"), first("one"), first("two"), F.round("weight", 6).alias("weight"), F.round("share", 8).alias("share"))
