@@ -11,9 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dendrolith.operators import groves as G
 from dendrolith.operators.scans import running, settled
 
 MOST_ROUNDS = 64
@@ -272,9 +276,49 @@ def roots_on_branches(edges: DataFrame, dates: DataFrame) -> DataFrame:
     x from the lower end, distances are those below plus x and those above plus length - x, so that the residual of their
     regression on the dates is a parabola in x, whose least value in the branch is closed. ``distance`` is x, ``share`` x over
     the length. Where the residual does not depend on x (under three dated tips, or all on one side) x is the middle.
-    Equal residuals are all kept; order by sse to rank."""
+    Equal residuals are all kept; order by sse to rank. Trees that fit in a task are dealt out by tree once and worked out
+    whole; the others go by the two sweeps."""
+    dates = dates.select("node", F.col("date").cast("double").alias("date"))
+    small, large = G.parted(edges)
+    dated = small.select("tree", "child", "parent", F.col("length").cast("double").alias("length")).join(dates.withColumnRenamed("node", "child"), "child", "left").select("tree", "child", "parent", "length", "date")
+    keys = ", ".join(f"{n} {edges.schema[c].dataType.simpleString()}" for n, c in (("tree", "tree"), ("node", "child")))
+    sums = G.by_tree(dated, _side_sums, f"{keys}, length double, " + ", ".join(f"{s}_{k} double" for s in "au" for k in SIDE))
+    if large is not None:
+        sums = sums.union(_swept_side_sums(large, dates))
+    return _best_places(sums)
+
+
+#: Of the dated tips on one side of a branch, seen from its end: their number, the sums of distances and dates, of squares and products.
+SIDE = ["n", "d", "dd", "t", "tt", "td"]
+
+
+def _side_sums(table: pa.Table) -> pa.Table:
+    """(tree, node, length, a_..., u_...): the sums above and below every branch of whole trees."""
+    grove = G.Grove(table)
+    up, filled = grove.up, lambda x: np.where(np.isnan(x), 0.0, x)
+    length = np.where(up >= 0, filled(grove.values("length", 0.0)), 0.0)
+    far, seen = grove.sink(length), (grove.kids == 0) & grove.present("date")
+    date = np.where(seen, grove.values("date", 0.0), 0.0)
+    brings = {"n": np.ones(len(up)), "d": far, "dd": far**2, "t": date, "tt": date**2, "td": date * far}
+    low = {k: filled(grove.rise(np.where(seen, v, 0.0))) for k, v in brings.items()}
+    p = np.where(up >= 0, far[up], 0.0)
+    # beside a step to a child: tips below its parent and not below itself, at far(p) + far(x) - 2 far(parent) from any p further down
+    n, d, dd, t, tt, td = (low[k][up] - low[k] for k in SIDE)
+    a = 2 * p
+    beside = {"n": n, "d": d - a * n, "dd": dd - 2 * a * d + a * a * n, "t": t, "tt": tt, "td": td - a * t}
+    o = {k: grove.sink(v) for k, v in beside.items()}
+    above = {"n": o["n"], "d": o["d"] + p * o["n"], "dd": o["dd"] + 2 * p * o["d"] + p * p * o["n"], "t": o["t"], "tt": o["tt"], "td": o["td"] + p * o["t"]}
+    under = {"n": low["n"], "d": low["d"] - far * low["n"], "dd": low["dd"] - 2 * far * low["d"] + far * far * low["n"], "t": low["t"], "tt": low["tt"], "td": low["td"] - far * low["t"]}
+    at = np.flatnonzero(up >= 0)
+    rows = pa.array(grove.row[at])
+    sides = {f"{s}_{k}": side[k][at] for s, side in (("a", above), ("u", under)) for k in SIDE}
+    return pa.table({"tree": pc.take(table.column("tree"), rows), "node": pc.take(table.column("child"), rows), "length": length[at], **sides})
+
+
+def _swept_side_sums(edges: DataFrame, dates: DataFrame) -> DataFrame:
+    """The same of trees of any size."""
     far = down(nodes_of(edges), {"far": (F.lit(1.0), F.col("length"))}, keep=["parent", "length", "_kids"])
-    tipped = settled(far.join(dates.select("node", F.col("date").cast("double").alias("date")), "node", "left"))
+    tipped = settled(far.join(dates, "node", "left"))
     seen = (F.col("_kids") == 0) & F.col("date").isNotNull()
     brings = {"n": F.lit(1.0), "d": F.col("far"), "dd": F.col("far") ** 2, "t": F.col("date"), "tt": F.col("date") ** 2, "td": F.col("date") * F.col("far")}
     below = settled(up(tipped, {k: ("sum", F.when(seen, v)) for k, v in brings.items()}, keep=["parent", "length", "_kids", "far"]).na.fill(0.0, list(brings)))
@@ -292,8 +336,7 @@ def roots_on_branches(edges: DataFrame, dates: DataFrame) -> DataFrame:
     p, v = F.col("p_far"), F.col("far")
     above = {"n": F.col("o_n"), "d": F.col("o_d") + p * F.col("o_n"), "dd": F.col("o_dd") + 2 * p * F.col("o_d") + p * p * F.col("o_n"), "t": F.col("o_t"), "tt": F.col("o_tt"), "td": F.col("o_td") + p * F.col("o_t")}
     under = {"n": F.col("n"), "d": F.col("d") - v * F.col("n"), "dd": F.col("dd") - 2 * v * F.col("d") + v * v * F.col("n"), "t": F.col("t"), "tt": F.col("tt"), "td": F.col("td") - v * F.col("t")}
-    rows = rows.select("tree", "node", "length", *[x.alias(f"a_{k}") for k, x in above.items()], *[x.alias(f"u_{k}") for k, x in under.items()])
-    return _best_places(rows)
+    return rows.select("tree", "node", "length", *[x.alias(f"a_{k}") for k, x in above.items()], *[x.alias(f"u_{k}") for k, x in under.items()])
 
 
 def _best_places(rows: DataFrame) -> DataFrame:
