@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dendrolith.functions import text as X
 from dendrolith.operators import density as Y
-from dendrolith.plans.standins import rounded, table
+from dendrolith.plans.standins import rounded, scaled_round, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -133,7 +133,8 @@ def bounded_transforms(spark, sf):
     u = (F.col("user_id") % 97 + 1) / F.lit(99.0)
     e = table(spark, sf, "events").withColumn("u", u)
     u = F.col("u")
-    return rounded(e.select("event_id", X.to_real(F.col("value"), 0.0).alias("z"), X.logit(u).alias("lg"), X.inverse_logit(u).alias("il"), X.to_real(2 * u + 1, 1.0, 3.0).alias("b"), X.log_jacobian(u, 1.0, 3.0).alias("lj")))
+    found = {"z": X.to_real(F.col("value"), 0.0), "lg": X.logit(u), "il": X.inverse_logit(u), "b": X.to_real(2 * u + 1, 1.0, 3.0), "lj": X.log_jacobian(u, 1.0, 3.0)}
+    return e.select("event_id", *[scaled_round(x, 6).alias(n) for n, x in found.items()])
 
 
 @query("""WITH c AS (SELECT user_id, event_type, count(*) + 1.0 AS n FROM events GROUP BY 1, 2),

@@ -7,7 +7,7 @@ geography tree (root, regions, nations, customers, orders) for a phylogeny.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dendrolith.operators import patterns as P
@@ -95,3 +95,10 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, for comparison with another engine."""
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def scaled_round(x: Column, digits: int) -> Column:
+    """Doubles rounded as the checking SQL rounds them: scaled up, to a whole number, and back. Spark rounds the shortest
+    decimal instead, so that a value just off a tie, which scaling brings onto it, goes the other way."""
+    whole = F.round(x * 10.0**digits)
+    return F.when(F.abs(whole) == float("inf"), x).otherwise(whole / 10.0**digits)
